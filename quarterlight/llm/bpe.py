@@ -174,6 +174,13 @@ def decode(vocabulary: Vocabulary, ids: bytes, step: int = 65536) -> Iterator[st
     yield machine.end()
 
 
+def _digests(vocabulary: Vocabulary, ids: bytes) -> tuple[int, str, str]:
+    out = hashlib.sha256()
+    for part in decode(vocabulary, ids):
+        out.update(part.encode("utf-8"))
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), out.hexdigest()
+
+
 def read_vocabulary(spark, path: str) -> str:
     """The tokenizer file's text; its size is that of the vocabulary, a few MB, whatever the data."""
     with open(path, encoding="utf-8") as f:
@@ -215,12 +222,16 @@ def digest_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     are. An empty table gives no rows. Other columns are not read.
     """
 
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _tasks(own, vocabulary, lambda e, v, t: _digests(v, e.encode(t)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenize_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (binary, little-endian 32-bit) and the digests of ``digest_documents``."""
+
     def work(encoder, v, text):
         ids = encoder.encode(text)
-        out = hashlib.sha256()
-        for part in decode(v, ids):
-            out.update(part.encode("utf-8"))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), out.hexdigest()
+        return ids, *_digests(v, ids)
 
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _tasks(own, vocabulary, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _tasks(own, vocabulary, work, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")

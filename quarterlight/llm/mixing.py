@@ -96,7 +96,7 @@ def balance(hist: DataFrame, goals: DataFrame, limit: float = 2.0) -> DataFrame:
 
 
 def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of ``df``.
+    """doc_id, source, crc (of the text), size, source_size, target, copies, taken for every row of ``df``.
 
     A null text has size 0 and takes nothing; null sources are one source, last in order.
     Equal rows are separate documents. A source without words has target 0. An empty
@@ -137,6 +137,18 @@ def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, .
     j = F.col("skip") + F.col("k")
     copies = F.least(F.col("whole") + upto(j) - upto(j - 1), F.lit(limit)).cast("long")
     return numbered.withColumn("copies", copies).select(
-        "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+        "doc_id", "source", "crc", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
         "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, with their own columns.
+
+    Rows with one id and text are one document that is taken as often as all of them together.
+    """
+    taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    marked = df.withColumn("_own", F.crc32(F.col(text_col).cast("binary"))).dropDuplicates([id_col, "_own"])
+    joined = marked.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_crc")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, rules, sharding, simhash, topk, toxicity
+from . import bpe, language_model, mixing, quality, repeats, rules, sharding, simhash, topk, toxicity
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), bpe.read_vocabulary(spark, tokenizer_file()))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -51,8 +55,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def queries() -> dict:
-    own = (op1_sharding, op2_quality, op3_rules, op4_simhash, op5_topk, op6_bpe, op8_mixing, op9_toxicity)
+    own = (op1_sharding, op2_quality, op3_rules, op4_simhash, op5_topk, op6_bpe, op7_language_model, op8_mixing, op9_toxicity, op10_repeats)
     return {f.__name__: f for f in own}
 
 
