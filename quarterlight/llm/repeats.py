@@ -229,6 +229,6 @@ def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     @F.pandas_udf("string")
     def cut(text: pd.Series, found: pd.Series) -> pd.Series:
         rows = zip(text, found, strict=True)
-        return pd.Series([t if t is None or r is None else cut_spans(t.encode("utf-8"), r, length)[0].decode("utf-8", "ignore") for t, r in rows], dtype=object)
+        return pd.Series([t if t is None or r is None else cut_spans(t.encode("utf-8"), list(r), length)[0].decode("utf-8", "ignore") for t, r in rows], dtype=object)
 
     return joined.withColumn(text_col, cut(F.col(text_col), F.col("ranges"))).select(*[F.col(f"`{c}`") for c in df.columns])
