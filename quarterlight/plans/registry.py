@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import calendar_queries, evaluation_queries, grid_queries  # noqa: F401  they register themselves
+from .frames import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
