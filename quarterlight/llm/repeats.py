@@ -5,22 +5,22 @@ gram hash in the string's first W grams. The sample is a cover in the sense of a
 difference cover: whatever the alignment, copies of a string hold the same sampled
 place at the same offset. Starts with one sampled place form a zone.
 
-1. Sampled places are named by their gram; a name that occurs once rules its zone out.
-2. Zones of repeated names are named again by the bytes of all their strings; zones
-   with one name are copies, and all their starts are repeated.
-3. What is left are starts of zones that differ from their namesakes somewhere. One zone
-   of each name is expanded, its starts are named by their L-byte prefixes, and starts
-   with one prefix name, adjacent in the order of names, are repeated.
-
-Names are digests (of 64 bits in the filter of step 1, 128 bits where they decide), as
+1. Sampled places are named by their gram; a zone whose gram occurs once is done.
+2. Zones are named by the bytes of all their strings; zones with one name are copies,
+   and all their starts are repeated. One zone stands for all of its name.
+3. Zones that differ from their namesakes somewhere are cut into pieces of STEP
+   offsets. A piece is named by the bytes that all its strings share, which rules it
+   out where they occur once, and by the bytes of all its strings, as in step 2.
+4. What is left are single starts, named by their L-byte prefixes; starts with one
+   prefix name, adjacent in the order of names, are repeated.
+
+Names are digests (of 64 bits where they rule out, of 128 bits where they decide), as
 the question is equality of prefixes, not their lexicographic rank. Counts are summed
-before shuffles, so a passage that is everywhere loads no task.
+before shuffles, so a passage that is everywhere loads no task. Texts travel compressed.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LENGTH, GRAM = 400, 48
+LENGTH, GRAM, STEP = 400, 48, 16
 #: Starts taken at a time from a very long text; positions within a piece fit 24 bits.
 PIECE = 1 << 22
 _RANDOM = np.random.default_rng(20240229)
@@ -54,13 +54,23 @@ def _tables(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return own[0][:n], own[1][:n]
 
 
-def window_hashes(raw: np.ndarray, length: int, kind: int) -> np.ndarray:
-    """A 64-bit polynomial hash of every ``length`` bytes, by prefix sums."""
-    up, down = _tables(kind, len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[kind][raw] * up[: len(raw)], dtype=np.uint64)))
-    x = (sums[length:] - sums[:-length]) * down[: len(raw) - length + 1]
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x9E3779B97F4A7C15)
+class Hasher:
+    """64-bit polynomial hashes of any ranges of a byte array, by prefix sums."""
+
+    def __init__(self, raw: np.ndarray, kind: int):
+        up, self.down = _tables(kind, len(raw) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[kind][raw] * up[: len(raw)], dtype=np.uint64)))
+
+    def ranges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = (self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64)
+        return _mixed(x)
+
+    def windows(self, length: int) -> np.ndarray:
+        return _mixed((self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
@@ -72,7 +82,7 @@ def zones(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     parts = []
     for begin in range(0, n - length + 1, PIECE):
         end = min(begin + PIECE, n - length + 1)  # starts begin..end-1 need bytes begin..end-1+length
-        h = window_hashes(raw[begin : end - 1 + length], gram, 0)
+        h = Hasher(raw[begin : end - 1 + length], 0).windows(gram)
         at = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
         padded = np.full(-(-len(h) // w) * w, np.uint64(2**64 - 1))
         padded[: len(h)] = at
@@ -94,74 +104,135 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8"), np.uint8)
 
 
+def _batch(columns: dict):
+    import pyarrow as pa
+
+    as_array = lambda v: pa.array(v.view(np.int64)) if isinstance(v, np.ndarray) and v.dtype == np.uint64 else pa.array(v)
+    return pa.RecordBatch.from_arrays([as_array(v) for v in columns.values()], list(columns))
+
+
+def _flat(parts: list, kind=np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """key, ranges (list of first and last repeated start) for the (key, text) rows that have any."""
 
-    def sample(batches):
-        import pyarrow as pa
-
+    def find(batches):
         for b in batches:
-            keys, names, times = [], [], []
+            out: list[list] = [[] for _ in range(7)]
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own, counts = np.unique(zones(_bytes(text.as_py()), length, gram)[3], return_counts=True)
-                keys += [key] * len(own)
-                names.append(own.view(np.int64))
-                times.append(np.minimum(counts, 2))
-            flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(flat(names)), pa.array(flat(times).astype(np.int64))], ["key", "h", "k"])
-
-    sampled = materialize(rows.mapInArrow(sample, "key binary, h long, k long"))
-    often = sampled.groupBy("h").agg(F.sum("k").alias("n")).where("n > 1").select("h")
-    known = sampled.join(often, "h").groupBy("key").agg(F.collect_list("h").alias("names")).withColumnRenamed("key", "_k")
-    texts = rows.join(known, F.col("key") == F.col("_k")).select("key", "text", "names")
-
-    def cut(batches):
-        import pyarrow as pa
+                raw = _bytes(text.as_py())
+                first, last, place, h = zones(raw, length, gram)
+                if len(first):
+                    names = [Hasher(raw, k).ranges(first, last + length) for k in (1, 2)]
+                    for column, v in zip(out, (np.full(len(first), key), first, last, place, h.view(np.int64), *[x.view(np.int64) for x in names]), strict=True):
+                        column.append(v)
+            yield _batch(dict(zip(("key", "lo", "hi", "m", "h", "u1", "u2"), map(_flat, out), strict=True)))
+
+    found = rows.mapInArrow(find, "key long, lo long, hi long, m long, h long, u1 long, u2 long")
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("h").alias("_h"))
+    repeated = materialize(found.join(often, F.col("h") == F.col("_h")).drop("_h"))
+    variants = materialize(repeated.groupBy("h", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("rep")))
+    names = variants.where("n > 1").select(F.col("h").alias("_h"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"))
+    copied = repeated.join(names, (F.col("h") == F.col("_h")) & (F.col("u1") == F.col("_u1")) & (F.col("u2") == F.col("_u2"))).select("key", "lo", "hi")
+    # Grams of which some zone stands alone beside others: one zone of each variant is looked into.
+    mixed = variants.groupBy("h").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("h")
+    chosen = variants.join(mixed, "h").select("rep.*", (F.col("n") == 1).alias("alone"))
+    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "m", "alone")).alias("wanted")).withColumnRenamed("key", "_k")
 
+    def take(batches):
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for key, text, names in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw = _bytes(text.as_py())
-                whole = raw.tobytes()
-                first, last, place, h = zones(raw, length, gram)
-                known = np.isin(h.view(np.int64), names.values.to_numpy())
-                for lo, hi, m, x in zip(first[known].tolist(), last[known].tolist(), place[known].tolist(), h[known].view(np.int64).tolist(), strict=True):
-                    data = whole[lo : hi + length]
-                    name = hashlib.blake2b(data, digest_size=16, salt=(m - lo).to_bytes(4, "little")).digest()
-                    for column, v in zip(out, (key, x, name, lo, hi, data), strict=True):
+            for key, packed, zone_list in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                whole = unpacked(packed)
+                for z in zone_list:
+                    for column, v in zip(out, (key, z["lo"], z["hi"], z["m"], z["alone"], whole[z["lo"] : z["hi"] + length]), strict=True):
                         column.append(v)
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "h", "name", "lo", "hi", "data"])
+            yield _typed(out, "key long, lo long, hi long, m long, alone boolean, data binary")
 
-    found = materialize(texts.mapInArrow(cut, "key binary, h long, name binary, lo long, hi long, data binary"))
-    variants = materialize(found.groupBy("h", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo")).alias("rep")))
-    # Names of which some zone stands alone beside others: one zone of each of their variants is expanded.
-    mixed = variants.groupBy("h").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("h")
-    chosen = variants.join(mixed, "h").select(F.col("rep.key").alias("_k"), F.col("rep.lo").alias("_lo"), (F.col("n") == 1).alias("alone"))
-    expand = found.select("key", "lo", "data").join(chosen, (F.col("key") == F.col("_k")) & (F.col("lo") == F.col("_lo"))).select("key", "lo", "data", "alone").distinct()
+    texts = compressed(rows).join(wanted, F.col("key") == F.col("_k")).select("key", "packed", "wanted")
+    held = materialize(texts.mapInArrow(take, "key long, lo long, hi long, m long, alone boolean, data binary").dropDuplicates(["key", "lo"]))
+
+    def pieces(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for key, lo, hi, m, alone, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = np.frombuffer(data, np.uint8)
+                block = np.arange((m - hi) // STEP, (m - lo) // STEP + 1)  # of offsets m - start
+                start, end = np.maximum(m - (block + 1) * STEP + 1, lo), np.minimum(m - block * STEP, hi)
+                # All strings of a full block share these bytes; here they are counted from the zone's first byte.
+                core = np.maximum(m - block * STEP, 0) - lo, m - (block + 1) * STEP + 1 + length - lo
+                hashers = [Hasher(raw, k) for k in (0, 1, 2)]
+                c = _mixed(hashers[0].ranges(*core) + block.astype(np.uint64))
+                u = [x.ranges(start - lo, end - lo + length) for x in hashers[1:]]
+                for column, v in zip(out, (np.full(len(block), key), np.full(len(block), lo), start, end, np.full(len(block), alone), c, *u), strict=True):
+                    column.append(v.view(np.int64) if v.dtype == np.uint64 else v)
+            flat = [_flat(x, bool if i == 4 else np.int64) for i, x in enumerate(out)]
+            yield _batch(dict(zip(("key", "zone", "lo", "hi", "alone", "core", "u1", "u2"), flat, strict=True)))
+
+    cut = held.mapInArrow(pieces, "key long, zone long, lo long, hi long, alone boolean, core long, u1 long, u2 long")
+    cores = cut.groupBy("core").agg(F.count(F.lit(1)).alias("_n"), F.max("alone").alias("_any")).where("_n > 1 AND _any").select(F.col("core").alias("_c"))
+    cut = materialize(cut.join(cores, F.col("core") == F.col("_c")).drop("_c"))
+    kinds = cut.groupBy("core", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any"), F.min(F.struct("key", "zone", "lo", "hi", "alone")).alias("rep"))
+    kinds = materialize(kinds)
+    same = kinds.where("n > 1 AND any").select(F.col("core").alias("_c"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"))
+    piece_hits = cut.where("alone").join(same, (F.col("core") == F.col("_c")) & (F.col("u1") == F.col("_u1")) & (F.col("u2") == F.col("_u2"))).select("key", "lo", "hi")
+    uneven = kinds.groupBy("core").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("core")
+    open_pieces = kinds.join(uneven, "core").select("rep.key", "rep.zone", "rep.lo", "rep.hi", (F.col("rep.alone") & (F.col("n") == 1)).alias("single"))
+    by_zone = open_pieces.groupBy(F.col("key").alias("_k"), F.col("zone").alias("_z")).agg(F.collect_list(F.struct("lo", "hi", "single")).alias("open"))
+    last = held.join(by_zone, (F.col("key") == F.col("_k")) & (F.col("lo") == F.col("_z"))).select("key", "lo", "data", "open")
 
     def starts(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for key, lo, data, found_open in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = np.frombuffer(data, np.uint8)
+                at = np.concatenate([np.arange(p["lo"], p["hi"] + 1) for p in found_open])
+                single = np.concatenate([np.full(p["hi"] - p["lo"] + 1, p["single"]) for p in found_open])
+                names = [Hasher(raw, k).ranges(at - lo, at - lo + length).view(np.int64) for k in (1, 2)]
+                for column, v in zip(out, (np.full(len(at), key), at, single, *names), strict=True):
+                    column.append(v)
+            flat = [_flat(x, bool if i == 2 else np.int64) for i, x in enumerate(out)]
+            yield _batch(dict(zip(("key", "start", "single", "x", "y"), flat, strict=True)))
+
+    named = last.mapInArrow(starts, "key long, start long, single boolean, x long, y long")
+    equal = named.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n"), F.max("single").alias("_any")).where("_n > 1 AND _any").select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+    start_hits = named.where("single").join(equal, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select("key", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    hits = copied.unionByName(piece_hits).unionByName(start_hits)
+    return hits.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+
+
+def unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """The same rows with the text as compressed UTF-8 in ``packed`` instead of ``text``."""
+
+    def pack(batches):
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, lo, data, alone in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                x, y = window_hashes(raw, length, 1).view(np.int64), window_hashes(raw, length, 2).view(np.int64)
-                out[0] += [key] * len(x)
-                out[1].append(np.arange(lo, lo + len(x)))
-                out[2].append(x)
-                out[3].append(y)
-                out[4] += [alone] * len(x)
-            flat = lambda c: np.concatenate(c) if c else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(flat(out[1])), pa.array(flat(out[2])), pa.array(flat(out[3])), pa.array(out[4], pa.bool_())], ["key", "start", "x", "y", "alone"])
-
-    named = materialize(expand.mapInArrow(starts, "key binary, start long, x long, y long, alone boolean"))
-    equal = named.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).where("n > 1 AND any").select("x", "y")
-    single = named.where("alone").join(equal, ["x", "y"]).select("key", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    copied = variants.where("n > 1").select(F.col("h").alias("_h"), F.col("name").alias("_n"))
-    whole = found.select("key", "h", "name", "lo", "hi").join(copied, (F.col("h") == F.col("_h")) & (F.col("name") == F.col("_n"))).select("key", "lo", "hi")
-    return whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+            at = b.schema.get_field_index("text")
+            packed = pa.array([press.compress((t.as_py() or "").encode("utf-8")) for t in b.column(at)], pa.binary())
+            columns = [packed if i == at else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["packed" if i == at else n for i, n in enumerate(b.schema.names)])
+
+    schema = ", ".join(f"{'packed binary' if n == 'text' else f'{n} {t}'}" for n, t in rows.dtypes)
+    return rows.mapInArrow(pack, schema)
+
+
+def _typed(columns: list[list], schema: str):
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def removed_spans(ranges: list, length: int) -> list[tuple[int, int]]:
@@ -187,7 +258,7 @@ def cut_spans(raw: bytes, ranges: list, length: int) -> tuple[bytes, int]:
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("key", F.unhex(F.md5(F.concat_ws("|", "doc_id", "text").cast("binary"))))
+    return own.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,15 +270,15 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     """
     own = _keyed(df, id_col, text_col)
     ranges = repeated_starts(own.select("key", "text"), length, gram).withColumnRenamed("key", "_k")
-    joined = own.join(ranges, F.col("key") == F.col("_k"), "left").select("doc_id", "text", "ranges")
+    joined = compressed(own).join(ranges, F.col("key") == F.col("_k"), "left").select("doc_id", "packed", "ranges")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode("utf-8")
+            for packed, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                raw = unpacked(packed.as_py())
                 kept, n = cut_spans(raw, found, length)
                 for column, v in zip(out, (len(raw), len(raw) - len(kept), n, kept), strict=True):
                     column.append(v)
@@ -222,7 +293,7 @@ def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
 
     Bytes of a character that a cut splits go too. Null texts stay null.
     """
-    key = F.unhex(F.md5(F.concat_ws("|", F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     ranges = repeated_starts(_keyed(df, id_col, text_col).select("key", "text"), length, gram).withColumnRenamed("key", "_repeat_key")
     joined = df.withColumn("_own_key", key).join(ranges, F.col("_own_key") == F.col("_repeat_key"), "left").drop("_own_key", "_repeat_key")
 
