@@ -24,11 +24,13 @@ from .common import materialize
 BLOCK, QUERY_BLOCK, GROUP = 4096, 4096, 8
 #: Candidates that are scored in full first, to set the bound.
 SEED = 256
+#: Shares into which the candidate blocks are dealt for each query block.
+SALTS = 32
 EXACT = 2.0**53
 
 
 def _pack(ids: list, rows: list[np.ndarray]) -> tuple[bytes, bytes, int, int]:
-    m = np.ascontiguousarray(np.array(rows, np.int64).T)
+    m = np.ascontiguousarray(np.array(rows, np.int32).T)
     return np.array(ids, np.int64).tobytes(), m.tobytes(), len(ids), m.shape[0]
 
 
@@ -76,6 +78,7 @@ def search_cell(qids: np.ndarray, q: np.ndarray, qat: np.ndarray, ids: np.ndarra
     ``q`` and ``x`` are dims x vectors; ``qat`` and ``at`` tell rows apart, so that a query skips only itself.
     """
     dims, n = x.shape
+    q, x = q.astype(np.int64), x.astype(np.int64)
     kind = np.float64 if np.abs(q).max(initial=0).astype(float) * np.abs(x).max(initial=0) * dims < EXACT else object
     xs, qs = x.astype(kind), q.astype(kind)
     starts = list(range(0, dims, GROUP))
@@ -126,7 +129,7 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
 
         for batch in batches:
             for r in batch.to_pylist():
-                ids, m = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(r["dim"], -1)
+                ids, m = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int32).reshape(r["dim"], -1)
                 own = np.flatnonzero(ids % every == 0)
                 if len(own):
                     yield pa.RecordBatch.from_pydict({"block": [r["block"]], "dim": [r["dim"]], "n": [len(own)], "ids": [ids[own].tobytes()], "at": [own.tobytes()], "data": [np.ascontiguousarray(m[:, own]).tobytes()]})
@@ -143,7 +146,13 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
     )
     right = everything.join(known.withColumnRenamed("dim", "_d"), F.col("dim") == F.col("_d")).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("last"))))
     right = right.select("dim", "number", F.col("block").alias("cblock"), F.col("ids").alias("cids"), F.col("data").alias("cdata"))
-    cells = right.join(left, ["dim", "number"])
+    # A query block goes to SALTS tasks, each with its share of the candidate blocks; the number of
+    # partitions is stated, as cells are small in bytes and costly in time.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["dim", "number", "salt"]
+    right = right.withColumn("salt", F.pmod(F.xxhash64("cblock"), F.lit(SALTS)).cast("int")).repartition(parts, *keys)
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(parts, *keys)
+    cells = right.join(left, keys)
 
     def run(batches):
         import pyarrow as pa
@@ -151,11 +160,11 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
         for batch in batches:
             for r in batch.to_pylist():
                 d = r["dim"]
-                ids, x = np.frombuffer(r["cids"], np.int64), np.frombuffer(r["cdata"], np.int64).reshape(d, -1)
+                ids, x = np.frombuffer(r["cids"], np.int64), np.frombuffer(r["cdata"], np.int32).reshape(d, -1)
                 at = (np.int64(r["cblock"]) << 13) + np.arange(len(ids))
                 rows = []
                 for p in r["parts"]:
-                    qids, q = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["data"], np.int64).reshape(d, -1)
+                    qids, q = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["data"], np.int32).reshape(d, -1)
                     qat = (np.int64(p["block"]) << 13) + np.frombuffer(p["at"], np.int64)
                     rows += [(int(qids[j]), int(qat[j]), i, a, s) for j, i, a, s in search_cell(qids, q, qat, ids, x, at, k)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
