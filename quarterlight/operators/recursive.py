@@ -53,7 +53,7 @@ def sequence_correction(days: DataFrame, keys: list[str], window: int, least: in
         train, test = rows[rows["split"] == "train"], rows[rows["split"] == "test"]
         out = test[[*keys, "fold"]].rename(columns={"fold": "day"})
         if len(train) < least or test.empty:
-            return out.iloc[:0].assign(correction=[])
+            return out.iloc[:0].assign(correction=pd.Series([], dtype=object))
         x, z = shape(np.stack(train["p"].to_list())), shape(np.stack(test["p"].to_list()))
         y = np.stack(train["r"].to_list())
         mean, std = x.mean(axis=0), x.std(axis=0)
