@@ -41,3 +41,33 @@ def n_words(text: Column) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+#: Keys that are spread over several tasks in a join, at most, and tasks for each of them.
+HOT_KEYS, SHARES = 1024, 32
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: dict[str, str], weight: str, spread: list[str]) -> DataFrame:
+    """Inner join on ``left`` columns = ``right`` columns, ``right`` having one row a key.
+
+    ``right[weight]`` tells how many left rows a key has. The heaviest keys (HOT_KEYS at
+    most, so they can be broadcast) are dealt over SHARES tasks each by ``spread``.
+    """
+    own = [F.col(r).alias(f"_hot_{i}") for i, r in enumerate(on.values())]
+    hot = F.broadcast(right.orderBy(F.desc(weight), *on.values()).limit(HOT_KEYS).select(*own, F.lit(True).alias("_hot")))
+    marks = [f"_hot_{i}" for i in range(len(on))]
+
+    def meets(names) -> Column:
+        out = F.lit(True)
+        for name, mark in zip(names, marks, strict=True):
+            out = out & (F.col(name) == F.col(mark))
+        return out
+
+    share = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SHARES)).cast("int")).otherwise(F.lit(0))
+    shares = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(hot, meets(on.keys()), "left").withColumn("_share", share).drop("_hot", *marks)
+    b = right.join(hot, meets(on.values()), "left").withColumn("_part", F.explode(shares)).drop("_hot", *marks)
+    same = F.col("_share") == F.col("_part")
+    for x, y in on.items():
+        same = same & (F.col(x) == F.col(y))
+    return a.join(b, same).drop("_share", "_part")

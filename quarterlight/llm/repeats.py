@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 LENGTH, GRAM, STEP = 400, 48, 16
 #: Starts taken at a time from a very long text; positions within a piece fit 24 bits.
@@ -131,11 +131,11 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield _batch(dict(zip(("key", "lo", "hi", "m", "h", "u1", "u2"), map(_flat, out), strict=True)))
 
     found = rows.mapInArrow(find, "key long, lo long, hi long, m long, h long, u1 long, u2 long")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("h").alias("_h"))
-    repeated = materialize(found.join(often, F.col("h") == F.col("_h")).drop("_h"))
+    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("h").alias("_h"), "_n"))
+    repeated = materialize(join_hot(found, often, {"h": "_h"}, "_n", ["key", "lo"]).drop("_h", "_n"))
     variants = materialize(repeated.groupBy("h", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("rep")))
-    names = variants.where("n > 1").select(F.col("h").alias("_h"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"))
-    copied = repeated.join(names, (F.col("h") == F.col("_h")) & (F.col("u1") == F.col("_u1")) & (F.col("u2") == F.col("_u2"))).select("key", "lo", "hi")
+    names = variants.where("n > 1").select(F.col("h").alias("_h"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"), F.col("n").alias("_n"))
+    copied = join_hot(repeated, names, {"h": "_h", "u1": "_u1", "u2": "_u2"}, "_n", ["key", "lo"]).select("key", "lo", "hi")
     # Grams of which some zone stands alone beside others: one zone of each variant is looked into.
     mixed = variants.groupBy("h").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("h")
     chosen = variants.join(mixed, "h").select("rep.*", (F.col("n") == 1).alias("alone"))
