@@ -270,8 +270,10 @@ _POA = " + ".join(
 @query("E35_plane_irradiance", f"WITH {_SITES}, {_SUN}, q AS (SELECT *, sqrt(greatest(0, 1 - cz * cz)) AS sz, atan2(sin(ha), cos(ha) * sin(la) - tan(de) * cos(la)) + pi() AS az, greatest(0, least(1400, CASE WHEN cz > 1e-4 THEN v * 0.6 / cz ELSE 0 END)) AS dni FROM sun) SELECT ts, name, round(greatest(0, {_POA}), 4) AS poa FROM q")
 def e35(spark, d):
     v = F.col("v")
-    sun = H.solar_position(F.col("ts"), F.col("lat"), F.col("lon"))
-    return sites(spark, d).select("ts", "name", rounded(H.plane_irradiance(v, v * 0.6, v * 0.4, sun, _PLANES), 4).alias("poa"))
+    position = H.solar_position(F.col("ts"), F.col("lat"), F.col("lon"))
+    staged = sites(spark, d).select("ts", "name", "v", *[c.alias(k) for k, c in position.items()])  # each angle once
+    sun = {k: F.col(k) for k in position}
+    return staged.select("ts", "name", rounded(H.plane_irradiance(v, v * 0.6, v * 0.4, sun, _PLANES), 4).alias("poa"))
 
 
 @query("E36_forecast_lead", f"WITH {SERIES} SELECT ts, round(epoch(ts - (({DAY} - 1)::TIMESTAMP + INTERVAL 5 HOUR)) / 3600, 6) AS lead_hours FROM series")
