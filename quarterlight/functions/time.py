@@ -13,8 +13,8 @@ def utc(ts: Column) -> Column:
 
 
 def bucket(ts: Column, minutes: int = 15) -> Column:
-    """Start of the ``minutes`` bucket that holds ``ts``."""
-    into = F.minute(ts) % minutes
+    """Start of the ``minutes`` bucket of the day (a divisor of 1440) that holds ``ts``."""
+    into = (F.hour(ts) * 60 + F.minute(ts)) % minutes
     start = F.date_trunc("minute", utc(ts)).cast("timestamp_ntz")
     return (start - F.make_dt_interval(mins=into)).cast("timestamp_ntz")
 

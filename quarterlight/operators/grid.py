@@ -110,13 +110,24 @@ def as_of(points: DataFrame, quotes: DataFrame, keys: list[str], value: str, lag
 
 
 def interval_load(intervals: DataFrame, keys: list[str], amount: str, minutes: int = 15) -> DataFrame:
-    """Sum of ``amount`` over the intervals [start, end) that cover each slot: intervals become slots, then one sum."""
+    """Sum of ``amount`` over the intervals [start, end) that cover each slot; slots that none covers are left out.
+
+    An interval is two signed events, and a running sum on the dense grid of slots gives the load, so that the
+    work grows with the intervals and the slots, not with their product.
+    """
     first = T.bucket(F.col("start"), minutes)
     first = F.when(first < F.col("start"), T.plus(first, mins=minutes)).otherwise(first)
-    last = T.plus(F.col("end"), secs=-1)
-    spread = intervals.withColumn("_a", first).withColumn("_z", last).where(F.col("_a") <= F.col("_z"))
-    slots = spread.select(*keys, F.explode(F.sequence(F.col("_a"), F.col("_z"), F.make_dt_interval(mins=F.lit(minutes)))).alias("ts"), amount)
-    return slots.groupBy(*keys, "ts").agg(F.sum(amount).alias(amount))
+    own = intervals.withColumn("_a", first).where(F.col("_a") < F.col("end"))
+    covered = F.floor((T.seconds(F.col("end")) - 1 - T.seconds(F.col("_a"))) / (60 * minutes)) + 1
+    after = F.col("_a") + F.make_dt_interval(mins=(covered * minutes).cast("int"))
+    up = own.select(*keys, F.col("_a").alias("ts"), F.col(amount).alias("_x"), F.lit(1).alias("_n"))
+    down = own.select(*keys, after.alias("ts"), (-F.col(amount)).alias("_x"), F.lit(-1).alias("_n"))
+    events = up.unionByName(down).groupBy(*keys, "ts").agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"))
+    ends = events.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_z"))
+    grid = ends.select(*keys, F.explode(F.sequence("_a", "_z", F.make_dt_interval(mins=F.lit(minutes)))).alias("ts"))
+    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    load = grid.join(events, [*keys, "ts"], "left").withColumn("_count", F.sum("_n").over(w)).withColumn(amount, F.round(F.sum("_x").over(w), 6))
+    return load.where(F.col("_count") > 0).select(*keys, "ts", amount)
 
 
 def incomplete_days(df: DataFrame, keys: list[str], value: str = "v", zone: str = T.ZONE) -> DataFrame:

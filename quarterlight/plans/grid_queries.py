@@ -169,7 +169,7 @@ def b14(spark, d):
 s AS (SELECT kind, unnest(generate_series("start", "end" - INTERVAL 1 SECOND, INTERVAL 1 DAY)) AS ts, mw FROM intervals)
 SELECT kind, ts, round(sum(mw), 6) AS mw FROM s GROUP BY 1, 2""")
 def b15(spark, d):
-    return out(G.interval_load(intervals(spark, d), ["kind"], "mw", minutes=1440).groupBy("kind", "ts").agg(F.sum("mw").alias("mw")), ["kind", "ts"], "mw")
+    return out(G.interval_load(intervals(spark, d), ["kind"], "mw", minutes=1440), ["kind", "ts"], "mw")
 
 
 @query("B18_strict_totals", f"WITH {AREAS}, w AS (SELECT ts, max(v) FILTER (area = 'click') AS a, max(v) FILTER (area = 'view') AS b, max(v) FILTER (area = 'error') AS c FROM areas GROUP BY ts) SELECT ts, round(a + b, 6) AS two, round(a + b + c, 6) AS three FROM w")
