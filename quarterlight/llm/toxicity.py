@@ -5,7 +5,8 @@ digit substitutions to letters and turns the rest into spaces. The lexicon (whol
 words and word beginnings) and its weights are log odds learnt from a bounded
 sample of labelled rows; phrases around a lexicon word that occur in clean rows only
 become exceptions and cancel its weight. The weighted sum, alone and per word, goes
-through a logistic calibration fitted on the same sample.
+through a logistic calibration fitted on the same sample, whose rows weigh as many
+labelled rows of their class as they stand for, so the prior is that of all labels.
 """
 
 from __future__ import annotations
@@ -86,12 +87,16 @@ def terms_of(text: str) -> set[str]:
     return {f" {w} " for w in tokens if len(w) > 2} | {f" {w[:k]}" for w in tokens for k in PREFIXES if len(w) > k}
 
 
-def _sample(labels: DataFrame, label_col: str) -> DataFrame:
-    """doc_id, label: at most SAMPLE rows of each class, chosen by hash; small enough to broadcast."""
+def _sample(labels: DataFrame, label_col: str) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, label: at most SAMPLE rows of each class, chosen by hash; small enough to broadcast.
+
+    With it, for each class, the number of held-in labels that one sampled label stands for.
+    """
     rows = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("label")).where("_id IS NOT NULL")
     rows = rows.where(fold(F.col("_id"), 4) != 2).distinct()
     part = lambda k: rows.where(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    return part(0).unionByName(part(1))
+    stands = {r["label"]: max(1.0, r["count"] / SAMPLE) for r in rows.where("label IN (0, 1)").groupBy("label").count().collect()}
+    return part(0).unionByName(part(1)), stands
 
 
 def _count(rows: DataFrame, found, table: dict[int, str]) -> DataFrame:
@@ -118,11 +123,12 @@ def _count(rows: DataFrame, found, table: dict[int, str]) -> DataFrame:
 
 def learn(df: DataFrame, labels: DataFrame, label_col: str, table: dict[int, str]) -> Lexicon:
     """Lexicon, exceptions and calibration from the sample; every collected table has a stated bound."""
-    sample = df.join(F.broadcast(_sample(labels, label_col)), F.col("doc_id") == F.col("_id")).select("text", "label")
+    chosen, stands = _sample(labels, label_col)
+    sample = df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
-        return Lexicon(curve=(math.log((n1 + 0.5) / (n0 + 0.5)), 0.0, 0.0))
+        return Lexicon(curve=(math.log((n1 * stands.get(1, 1.0) + 0.5) / (n0 * stands.get(0, 1.0) + 0.5)), 0.0, 0.0))
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))  # noqa: E731  toxic a, clean b
     frequent = _count(sample.where("label = 1"), terms_of, table).where(F.col("1") >= max(LEAST, SHARE * n1))
     seen = {r["key"]: r["1"] for r in frequent.orderBy(F.desc("1"), "key").limit(CANDIDATES).collect()}
@@ -152,7 +158,7 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str, table: dict[int, str
         for r in around.orderBy(F.desc("0"), "key").limit(EXCEPTIONS).collect():
             exceptions[r["key"]] = -sum(w for _, (_, w) in machine.iter(r["key"]))
     lexicon = Lexicon(kept, exceptions)
-    lexicon.curve = _calibrate(_features(sample.select(F.lit(0).cast("long").alias("doc_id"), "text", "label"), lexicon, table, "label"))
+    lexicon.curve = _calibrate(_features(sample.select(F.lit(0).cast("long").alias("doc_id"), "text", "label"), lexicon, table, "label"), stands)
     return lexicon
 
 
@@ -169,15 +175,16 @@ def _features(df: DataFrame, lexicon: Lexicon, table: dict[int, str], *more: str
     return df.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, total double, density double" + "".join(f", {c} int" for c in more))
 
 
-def _calibrate(rows: DataFrame) -> tuple[float, ...]:
-    """Ridge logistic regression on the two features, from at most 2 * SAMPLE rows."""
+def _calibrate(rows: DataFrame, stands: dict[int, float]) -> tuple[float, ...]:
+    """Ridge logistic regression on the two features, from the sample with each row's weight by class."""
     data = rows.select("total", "density", "label").toPandas().to_numpy(float)
     x, y = np.column_stack([np.ones(len(data)), data[:, 0], data[:, 1]]), data[:, 2]
+    w = np.where(y == 1, stands[1], stands[0])
     beta = np.zeros(3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-2, 1e-2])
-        step = np.linalg.solve(h, x.T @ (y - p) - np.array([0, 1e-2, 1e-2]) * beta)
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-2, 1e-2])
+        step = np.linalg.solve(h, x.T @ (w * (y - p)) - np.array([0, 1e-2, 1e-2]) * beta)
         beta = beta + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break

@@ -283,3 +283,17 @@ def test_scores_learn_from_held_in_rows_only(spark):
         held = [r for r in found.collect() if r.held_out]
         assert held and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
         assert sum(r.predicted == truth[r.doc_id][k] for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_prior_is_that_of_all_labels(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, 30) + (" you idiot" if i % 8 == 0 and i % 3 else " idiot" if i % 40 == 1 else "")) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    mean = lambda: np.mean([r.score for r in toxicity.score(docs, labels).collect()])
+    whole = mean()
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    assert whole == pytest.approx(1 / 8, abs=0.02) and mean() == pytest.approx(whole, abs=0.04)
+    one_class = toxicity.score(docs, labels.where("toxic = 0")).first().score
+    monkeypatch.setattr(toxicity, "SAMPLE", 40_000)
+    assert toxicity.score(docs, labels.where("toxic = 0")).first().score == pytest.approx(one_class, rel=0.01)
