@@ -51,16 +51,16 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             own = np.array([fingerprint(t.as_py() or "") for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64()), *[b.column(2 + i) for i in range(len(more))]], ["doc_id", "fp", *more])
 
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long")
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return own.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 class VantageTree:
@@ -181,6 +181,12 @@ def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataF
     return came.unionByName(at_home).groupBy("part", "leaf", "i", "j").applyInPandas(cell, "a long, b long")
 
 
+def _placed(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes`` with the root (a fingerprint) of each one's component."""
+    roots = star_components(links(classes, radius)).withColumnRenamed("node", "_n")
+    return classes.join(roots, F.col("fp") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``df``.
 
@@ -191,8 +197,7 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
     """
     rows = materialize(fingerprints(df, id_col, text_col))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = star_components(links(classes, radius)).withColumnRenamed("node", "_n")
-    placed = classes.join(roots, F.col("fp") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(classes, radius)
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialize(placed.join(named, "root").select(F.col("fp").alias("_fp"), "n", "component_id"))
     total = rows.count()
@@ -203,7 +208,17 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
 
 
 def keep_first(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` that give their component its name, with their own columns; one row an id."""
-    groups = near_duplicates(df, radius)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return df.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi")
+    """One row of each component of ``df``, with its own columns: that of the smallest id, null last.
+
+    A row is known by its id and a digest of all its columns, so null ids and ids with
+    several texts are rows like any other and reruns agree. Equal rows are one.
+    """
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns])
+    id_ = F.col("doc_id").cast("long")
+    keyed = df.withColumn("_row", digest).withColumn("_none", id_.isNull()).withColumn("_id", F.coalesce(id_, F.lit(0).cast("long")))
+    rows = materialize(fingerprints(keyed, "doc_id", "text", "_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), "_row")
+    classes = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    kept = _placed(classes, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    key = ["_id", "_none", "_row"]
+    return keyed.dropDuplicates(key).join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -108,6 +108,34 @@ def test_simhash_components_match_all_pairs(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_chooses_rows_not_ids(spark, docs, rows, empty):
+    rng = random.Random(21)
+    near = sentence(rng, 400)
+    more = [(None, sentence(rng, 80)), (None, sentence(rng, 80)), (900, near), (901, sentence(rng, 80)), (901, near), (902, sentence(rng, 80)), (902, sentence(rng, 80)), (None, near)]
+    own = [*rows, *[(i, t, *rows[0][2:]) for i, t in more]]
+    fps = [simhash.fingerprint(r[1] or "") for r in own]
+    parent = {f: f for f in fps}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in parent:
+        for b in parent:
+            if (a ^ b).bit_count() <= 4:
+                parent[find(a)] = find(b)
+    groups = collections.defaultdict(set)
+    for r, f in zip(own, fps, strict=True):
+        groups[find(f)].add(r)
+    all_rows = spark.createDataFrame(own, SCHEMA)
+    kept = simhash.keep_first(all_rows)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(groups)
+    by_id = lambda r: (r[0] is None, r[0] or 0)
+    for r in got:
+        group = groups.pop(find(simhash.fingerprint(r[1] or "")))
+        assert r in group and by_id(r) == min(map(by_id, group))
+    assert sum(r[0] is None for r in got) >= 2 and {t for i, t in more[3:4] + more[5:7]} <= {r[1] for r in got}
+    assert sorted(map(tuple, simhash.keep_first(all_rows.repartition(5)).collect()), key=str) == sorted(got, key=str)
+    assert simhash.keep_first(empty).count() == 0
+
+
 def test_vantage_tree_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 20)
     monkeypatch.setattr(simhash, "CELL", 64)
