@@ -1,11 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
 Rates r_i of a source's documents minimise the relative entropy to a uniform start
-under two constraints, the source's token target and a document count in the same
-proportion; the entropy is that of the bounded rates r_i and L - r_i, L being the
-copy limit. The optimum is an exponential tilt of the odds, r_i / (L - r_i)
-proportional to exp(a + b * z_i) with z_i the size over the source's mean size;
-Newton steps on the strictly convex dual give (a, b) for every source at once. Each step is one aggregate over
+under one constraint, the source's token target; the entropy is that of the bounded
+rates r_i and L - r_i, L being the copy limit. (A document count in the same proportion
+is no second constraint: the uniform rate would meet both, and nothing would be tilted.)
+The optimum is an exponential tilt of the odds, r_i / (L - r_i) proportional to
+exp(b * z_i) with z_i the size over the source's mean size; Newton steps on the strictly
+convex dual, bracketed, give b for every source at once. Each step is one aggregate over
 the histogram (source, size, documents), which is built once, with partial sums
 before its shuffle, so a hot source costs no more than its number of sizes.
 
@@ -57,13 +58,15 @@ def _rate(a: Column, b: Column, z: Column, limit: float) -> Column:
 
 
 def balance(hist: DataFrame, goals: DataFrame, limit: float = 2.0) -> DataFrame:
-    """goals with dual variables (a, b) by damped Newton steps over ``hist`` (source, size, docs)."""
+    """goals with the dual variable b by bracketed Newton steps over ``hist`` (source, size, docs).
+
+    ``a`` is 0, and 60 where the target is at the limit: the optimum is at infinity, every rate is the limit.
+    """
     mean = F.col("words") / F.col("docs")
     duals = goals.where("words > 0").withColumn("mean", mean).withColumn("ratio", F.col("target") / F.col("words"))
-    # A target at the limit has its optimum at infinity: every rate is the limit.
     duals = duals.withColumn("a", F.when(F.col("ratio") >= limit * (1 - 1e-12), F.lit(60.0)).otherwise(F.lit(0.0))).withColumn("b", F.lit(0.0))
-    duals = materialize(duals)
-    columns = duals.columns
+    unknown = F.lit(None).cast("double")
+    duals = materialize(duals.withColumn("low", unknown).withColumn("high", unknown))
     for _ in range(STEPS):
         z = F.col("size") / F.col("mean")
         r = _rate(F.col("a"), F.col("b"), z, limit)
@@ -71,28 +74,25 @@ def balance(hist: DataFrame, goals: DataFrame, limit: float = 2.0) -> DataFrame:
         sums = (
             hist.join(duals.select(F.col("source").alias("_s"), "mean", "a", "b"), F.col("source").eqNullSafe(F.col("_s")))
             .groupBy("source")
-            .agg(
-                F.sum(F.col("m") * r).alias("g0"), F.sum(F.col("m") * z * r).alias("g1"),
-                F.sum(F.col("m") * free).alias("h00"), F.sum(F.col("m") * z * free).alias("h01"), F.sum(F.col("m") * z * z * free).alias("h11"),
-            )
+            .agg(F.sum(F.col("m") * z * r).alias("g"), F.sum(F.col("m") * z * z * free).alias("h"))
             .withColumnRenamed("source", "_s")
-        )
-        e0, e1 = F.col("ratio") * F.col("docs") - F.col("g0"), F.col("ratio") * F.col("docs") - F.col("g1")
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        flat = det <= 1e-9 * F.col("h00") * F.col("h11")
-        # With one size only (det 0) the second constraint repeats the first.
-        da = F.when(F.col("h00") <= 0, F.lit(0.0)).when(flat, e1 / F.greatest(F.col("h01"), F.lit(1e-300))).otherwise((e0 * F.col("h11") - e1 * F.col("h01")) / det)
-        db = F.when((F.col("h00") <= 0) | flat, F.lit(0.0)).otherwise((e1 * F.col("h00") - e0 * F.col("h01")) / det)
-        clip = lambda x: F.greatest(F.lit(-1.5), F.least(F.lit(1.5), x))
+        )
         moved = duals.join(sums, duals["source"].eqNullSafe(F.col("_s"))).drop("_s")
-        moved = moved.withColumn("off", F.when(F.col("a") >= 60, F.lit(0.0)).otherwise(F.abs(e1) / F.greatest(F.col("docs") * F.col("ratio"), F.lit(1e-300))))
-        moved = moved.withColumn("a", F.when(F.col("a") >= 60, F.col("a")).otherwise(F.col("a") + clip(da))).withColumn("b", F.col("b") + clip(db))
-        moved = materialize(moved)
+        moved = moved.withColumn("e", F.when(F.col("a") > 0, F.lit(0.0)).otherwise(F.col("ratio") * F.col("docs") - F.col("g")))
+        # The tokens taken grow with b: the sign of the residual tells on which side of the optimum b is.
+        moved = moved.withColumn("low", F.when(F.col("e") > 0, F.col("b")).otherwise(F.col("low")))
+        moved = moved.withColumn("high", F.when(F.col("e") < 0, F.col("b")).otherwise(F.col("high")))
+        most = 8 + F.abs("b")
+        to = F.col("b") + F.greatest(-most, F.least(most, F.col("e") / F.greatest(F.col("h"), F.lit(1e-300))))
+        inside = (F.col("low").isNull() | (to > F.col("low"))) & (F.col("high").isNull() | (to < F.col("high")))
+        to = F.when(F.col("e") == 0, F.col("b")).when(inside | F.col("low").isNull() | F.col("high").isNull(), to).otherwise((F.col("low") + F.col("high")) / 2)
+        moved = moved.withColumn("off", F.abs("e") / F.greatest(F.col("docs") * F.col("ratio"), F.lit(1e-300)))
+        moved = materialize(moved.withColumn("b", to))
         worst = moved.agg(F.max("off")).first()[0]
-        duals = moved.select(*columns)
+        duals = moved.select(*duals.columns)
         if worst is None or worst <= TOLERANCE:
             break
-    return duals
+    return duals.drop("low", "high")
 
 
 def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -251,6 +251,24 @@ def test_mixing(docs, rows, empty):
     assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in got)
 
 
+def test_mixing_tilts_by_size(spark):
+    sizes = {"few": ([1, 2, 3, 400, 5, 5, 90], 0.4), "many": ([7, 30, 30, 200, 0, 1000], 1.7), "deep": ([1] * 50 + [5000, 300], 1.9999), "full": ([4, 5], 2.0), "one": ([6, 6, 6], 0.5), None: ([3, 8, 40], 0.01)}
+    hist = [(s, z, c) for s, (all_z, _) in sizes.items() for z, c in collections.Counter(all_z).items()]
+    goals = [(s, len(z), sum(z), sum(z) * ratio) for s, (z, ratio) in sizes.items()]
+    found = mixing.balance(spark.createDataFrame(hist, "source string, size long, m long"), spark.createDataFrame(goals, "source string, docs long, words long, target double"))
+    for r in found.collect():
+        z, ratio = sizes[r.source]
+        rates = [2 / (1 + math.exp(-min(60, r.a + r.b * x / r["mean"]))) for x in z]
+        assert sum(x * y for x, y in zip(z, rates, strict=True)) == pytest.approx(r.target, rel=1e-6)
+        if r.source != "full":
+            assert r.a == 0 and (r.b > 0) == (ratio > 1) and abs(r.b) > 0.01
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, rng.choice([20, 60, 200])), "ab"[i % 2]) for i in range(400)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.2).collect()
+    copies = lambda size: np.mean([r.copies for r in mixed if r.source == "b" and r["size"] == size])
+    assert copies(20) > copies(60) + 0.02 > copies(200) + 0.04
+
+
 def test_repeats(docs, rows, empty):
     length = 120
     got = repeats.remove_repeats(docs, length, 24).collect()
