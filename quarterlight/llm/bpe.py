@@ -9,7 +9,11 @@ and the part after it merge independently, and memory stays constant in the leng
 of the piece. The decoder is a byte-to-text state machine that keeps at most three
 pending bytes.
 
-Encoder state lives in a task and is rebuilt if the task runs again.
+A text is read from its Arrow buffer in blocks that end where no piece goes on (a blank after
+a visible ASCII character); where there is no such place, pieces are found one at a time and
+long ones are fed to the transducer in chunks. So the working memory is that of a block,
+whatever the text's length; ids and decoded text are hashed block by block. Encoder state lives
+in a task and is rebuilt if the task runs again.
 """
 
 from __future__ import annotations
@@ -18,16 +22,21 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that are remembered are no longer than this, and so many at most.
-CACHED_BYTES, CACHED_PIECES = 64, 500_000
+CACHED_BYTES, CACHED_PIECES = 64, 200_000
+#: Bytes of text in a block, and characters of a long piece encoded at a time.
+BLOCK, CHUNK = 1 << 16, 1 << 12
 #: A window is this many times the lookahead.
 WINDOW = 4
 
@@ -75,6 +84,21 @@ class Vocabulary:
         self.added = added
         self.lookahead = sufficient_lookahead(self.merges)
 
+    def merge_short(self, piece: bytes) -> list[bytes]:
+        """``merge`` for pieces of so few bytes that a scan of the ranks is faster than a heap."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+        return parts
+
     def merge(self, piece: bytes) -> list[bytes]:
         """All merges of a bounded piece, lowest rank first, leftmost first among equals."""
         rank = self.rank
@@ -124,33 +148,70 @@ class Encoder:
         import regex
 
         self.v = vocabulary
-        self.find = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.find, self.find_each = pattern.findall, pattern.finditer
         self.seen: dict[str, bytes] = {}
         special = sorted(vocabulary.added, key=len, reverse=True)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        # Blocks end before a blank after a visible character; an added token with such a place in it would be cut.
+        self.end = None if any(regex.search(r"[!-~] ", t) for t in special) else re.compile(rb"[!-~](?= )")
 
     def piece(self, text: str) -> bytes:
         raw = text.encode("utf-8")
-        tokens = self.v.merge(raw) if len(raw) <= CACHED_BYTES else self.v.stream([raw])
-        ids = b"".join(self.v.ids[t].to_bytes(4, "little") for t in tokens)
-        if len(raw) <= CACHED_BYTES:
-            if len(self.seen) >= CACHED_PIECES:
-                self.seen.clear()
-            self.seen[text] = ids
+        ids = b"".join([self.v.ids[t].to_bytes(4, "little") for t in self.v.merge_short(raw)])
+        if len(self.seen) >= CACHED_PIECES:
+            self.seen.clear()
+        self.seen[text] = ids
         return ids
 
-    def plain(self, text: str) -> Iterator[bytes]:
+    def long_piece(self, text: str, a: int, z: int) -> Iterator[bytes]:
+        ids = self.v.ids
+        for token in self.v.stream(text[i : min(i + CHUNK, z)].encode("utf-8") for i in range(a, z, CHUNK)):
+            yield ids[token].to_bytes(4, "little")
+
+    def plain(self, text: str, a: int, z: int) -> Iterator[bytes]:
+        """The ids of text[a:z], piece by piece."""
         seen, piece = self.seen, self.piece
-        for p in self.find(text):
-            yield seen.get(p) or piece(p)
+        if z - a <= 2 * BLOCK:
+            for p in self.find(text, a, z):
+                found = seen.get(p)
+                if found is None:
+                    found = piece(p) if len(p) * 4 <= CACHED_BYTES or len(p.encode()) <= CACHED_BYTES else b"".join(self.long_piece(p, 0, len(p)))
+                yield found
+            return
+        for m in self.find_each(text, a, z):
+            yield from self.long_piece(text, *m.span())
+
+    def block(self, text: str) -> Iterator[bytes]:
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from self.plain(text, at, m.start())
+            yield self.v.added[m.group()].to_bytes(4, "little")
+            at = m.end()
+        yield from self.plain(text, at, len(text))
+
+    def blocks(self, raw) -> Iterator[bytes]:
+        """Ids of a whole UTF-8 text (any bytes-like object), a bounded part at a time."""
+        n, at = len(raw), 0
+        while at < n:
+            cut = None
+            if self.end and n - at > BLOCK:
+                found = self.end.search(raw, at + BLOCK)
+                cut = found.end() if found else None
+            text = str(raw[at : cut or n], "utf-8")
+            at = cut or n
+            held, size = [], 0
+            for ids in self.block(text):
+                held.append(ids)
+                size += len(ids)
+                if size >= BLOCK:
+                    yield b"".join(held)
+                    held, size = [], 0
+            if held:
+                yield b"".join(held)
 
     def encode(self, text: str) -> bytes:
-        if self.split is None:
-            return b"".join(self.plain(text))
-        out = []
-        for i, part in enumerate(self.split(text)):
-            out.append(self.v.added[part].to_bytes(4, "little") if i % 2 else b"".join(self.plain(part)))
-        return b"".join(out)
+        return b"".join(self.blocks(text.encode("utf-8")))
 
 
 class Decoder:
@@ -167,18 +228,29 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-def decode(vocabulary: Vocabulary, ids: bytes, step: int = 65536) -> Iterator[str]:
-    own, machine = array("I", ids), Decoder(vocabulary)
-    for i in range(0, len(own), step):
-        yield machine.feed(own[i : i + step])
+def decode(vocabulary: Vocabulary, blocks: Iterable[bytes]) -> Iterator[str]:
+    machine = Decoder(vocabulary)
+    for ids in blocks:
+        yield machine.feed(array("I", ids))
     yield machine.end()
 
 
-def _digests(vocabulary: Vocabulary, ids: bytes) -> tuple[int, str, str]:
-    out = hashlib.sha256()
-    for part in decode(vocabulary, ids):
-        out.update(part.encode("utf-8"))
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), out.hexdigest()
+def _digests(vocabulary: Vocabulary, blocks: Iterable[bytes], keep: list[bytes] | None = None) -> tuple[int, str, str]:
+    """Number of ids, and SHA-256 of the ids and of the text decoded from them; ``keep`` gets the blocks."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def passing() -> Iterator[bytes]:
+        nonlocal n
+        for ids in blocks:
+            n += len(ids) // 4
+            of_ids.update(ids)
+            if keep is not None:
+                keep.append(ids)
+            yield ids
+
+    for part in decode(vocabulary, passing()):
+        of_text.update(part.encode("utf-8"))
+    return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def read_vocabulary(spark, path: str) -> str:
@@ -187,32 +259,27 @@ def read_vocabulary(spark, path: str) -> str:
         return f.read()
 
 
-def _tasks(df: DataFrame, vocabulary: str, work, schema: str) -> DataFrame:
-    """Run ``work(encoder, vocabulary, row)`` over (key, text) rows in Arrow batches."""
+def _tasks(df: DataFrame, vocabulary: str, work, schema: str, id_col: str, text_col: str) -> DataFrame:
+    """Run ``work(encoder, UTF-8 bytes)`` over the texts in Arrow batches; a null text is empty."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    types = [x.split(" ")[1] for x in schema.split(", ")[1:]]
 
     def run(batches):
         import pyarrow as pa
 
-        v = Vocabulary(shared.value)
-        encoder = Encoder(v)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            rows = [work(encoder, v, t.as_py() or "") for t in texts]
-            columns = list(zip(*rows, strict=True)) if rows else []
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(c) for c in columns]], names) if rows else pa.RecordBatch.from_arrays([keys, *[pa.array([], f) for f in kinds]], names)
-
-    import pyarrow as pa
+        kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t] for t in types]
+        encoder = Encoder(Vocabulary(shared.value))
+        for batch in slices(batches, 256):
+            rows = [work(encoder, memoryview(t.as_buffer()) if t.is_valid else b"") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
 
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split(" ")[1]] for x in schema.split(", ")[1:]]
-    return df.mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the token ids (binary, little-endian 32-bit) of every whole text; null: empty."""
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _tasks(own, vocabulary, lambda e, v, t: (e.encode(t),), "doc_id long, ids binary")
+    return _tasks(df, vocabulary, lambda e, raw: (b"".join(e.blocks(raw)),), "doc_id long, ids binary", id_col, text_col)
 
 
 def digest_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,17 +288,15 @@ def digest_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     A null text counts as empty (0 tokens). Null ids and repeated rows are kept as they
     are. An empty table gives no rows. Other columns are not read.
     """
-
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _tasks(own, vocabulary, lambda e, v, t: _digests(v, e.encode(t)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _tasks(df, vocabulary, lambda e, raw: _digests(e.v, e.blocks(raw)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
 
 def tokenize_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian 32-bit) and the digests of ``digest_documents``."""
+    """doc_id, ids (binary, little-endian 32-bit) and the digests of ``digest_documents``; here the ids of a text are held whole, as they are the result."""
 
-    def work(encoder, v, text):
-        ids = encoder.encode(text)
-        return ids, *_digests(v, ids)
+    def work(encoder, raw):
+        kept: list[bytes] = []
+        found = _digests(encoder.v, encoder.blocks(raw), kept)
+        return b"".join(kept), *found
 
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _tasks(own, vocabulary, work, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _tasks(df, vocabulary, work, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,20 +16,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# Frequent function words of the languages served.
+FUNCTION_WORDS = (
+    "the of and to in a is that for it on as with was be by this are or an from at not which "
+    "de la le les et des un une du en dans que qui pour au sur par est pas plus "
+    "der die das und den zu von mit im für auf ein eine nicht ist dem "
+    "el los las y por con una para del se su al lo como no es"
+).split()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only a session that
-    names none (tests on one machine) gets a temporary one.
+    The folder is the one named by ``spark.checkpoint.dir``; only a session on one machine
+    that names none (as in tests) gets a temporary one, any other raises an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def packed_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``df``, beside the columns in ``more``.
+
+    Operators that return whole rows work on this, so none of their own columns can clash
+    with one of the caller's; ``unpacked_rows`` gives the caller's columns back.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def slices(batches, rows: int = 1024):
+    """Arrow batches in parts of at most ``rows`` rows, so that a task holds the results of few rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def words(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import materialize, n_words, packed_rows, unpacked_rows
 
 WEIGHTS = (3, 1, 2)
-#: Newton stops at this relative residual of every source, or after so many steps.
-TOLERANCE, STEPS = 1e-9, 25
+#: Newton stops at this relative residual of every source. Bracketed steps get there in far fewer than STEPS; one that does not is an error.
+TOLERANCE, STEPS = 1e-9, 100
 #: Documents of one (source, size) cell are numbered in so many separate parts.
 PARTS = 64
 PHASES = 64
@@ -91,20 +91,25 @@ def balance(hist: DataFrame, goals: DataFrame, limit: float = 2.0) -> DataFrame:
         worst = moved.agg(F.max("off")).first()[0]
         duals = moved.select(*duals.columns)
         if worst is None or worst <= TOLERANCE:
-            break
-    return duals.drop("low", "high")
+            return duals.drop("low", "high")
+    raise RuntimeError(f"the dual has a relative residual of {worst} after {STEPS} steps")
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 of the text, null for a null text: tells texts of one id apart."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, crc (of the text), size, source_size, target, copies, taken for every row of ``df``.
+    """doc_id, source, digest (of the text), size, source_size, target, copies, taken for every row of ``df``.
 
     A null text has size 0 and takes nothing; null sources are one source, last in order.
     Equal rows are separate documents. A source without words has target 0. An empty
     table gives no rows. Other columns are not read. The result depends on the rows
     alone, so reruns agree; between equal rows the copies are interchangeable.
     """
-    own = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.crc32(F.col(text_col).cast("binary")).alias("crc"))
-    own = materialize(own.withColumn("part", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(PARTS))))
+    own = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _digest(F.col(text_col)).alias("digest"))
+    own = materialize(own.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS))))
     cells = own.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
     hist = materialize(cells.groupBy("source", "size").agg(F.sum("n").alias("m")))
     goals = materialize(targets(hist.groupBy("source").agg(F.sum("m").alias("docs"), F.sum(F.col("m") * F.col("size")).alias("words")), share, limit, weights))
@@ -131,24 +136,34 @@ def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, .
         starts.join(sizes.drop("mean", "a", "b"), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size")))
         .select("_s", "_z", "_p", "skip", F.col("words").alias("source_size"), "target", "whole", "part_rate", "start", "phase")
     )
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", "crc"), "doc_id", "crc"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest"))
     numbered = own.withColumn("k", place).join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("part") == F.col("_p")))
     upto = lambda k: F.floor(F.col("start") + k * F.col("part_rate") + F.col("phase"))
     j = F.col("skip") + F.col("k")
     copies = F.least(F.col("whole") + upto(j) - upto(j - 1), F.lit(limit)).cast("long")
     return numbered.withColumn("copies", copies).select(
-        "doc_id", "source", "crc", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
+        "doc_id", "source", "digest", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
         "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
 def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them, with their own columns.
+    """The rows of ``df`` as often as the mix takes them, with their own columns, whatever these are called.
 
-    Rows with one id and text are one document that is taken as often as all of them together.
+    The copies that rows with one id, source and text get together are dealt evenly over those
+    rows, which are counted, not gathered: rows equal in all columns are one with a count, and
+    the others stand in order of a hash of all columns. Null ids are ids like any other.
     """
     taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    marked = df.withColumn("_own", F.crc32(F.col(text_col).cast("binary"))).dropDuplicates([id_col, "_own"])
-    joined = marked.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_crc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    taken = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    everything = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in everything]
+    rows = packed_rows(df, id=F.col(id_col), source=F.col(source_col), digest=_digest(F.col(text_col)), h1=F.xxhash64(F.lit(1), *everything, *nulls), h2=F.xxhash64(F.lit(2), *everything, *nulls))
+    kinds = rows.groupBy("id", "source", "digest", "h1", "h2").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("m"))
+    same = Window.partitionBy("id", "source", "digest")
+    upto = F.sum("m").over(same.orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kinds = kinds.withColumn("upto", upto).withColumn("all", F.sum("m").over(same))
+    joined = kinds.join(taken, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("digest").eqNullSafe(F.col("_d")))
+    part = lambda n: F.floor(F.col("copies") * n / F.col("all"))
+    own = (part(F.col("upto")) - part(F.col("upto") - F.col("m"))).cast("int")
+    return unpacked_rows(joined.withColumn("own", own).where("own > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("own")))), df.columns)

@@ -15,23 +15,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
-
-# Frequent function words of the languages served, and symbol bytes.
-FUNCTION_WORDS = frozenset(
-    w.encode()
-    for w in (
-        "the of and to in a is that for it on as with was be by this are or an from at not which "
-        "de la le les et des un une du en dans que qui pour au sur par est pas plus "
-        "der die das und den zu von mit im für auf ein eine nicht ist dem "
-        "el los las y por con una para del se su al lo como no es"
-    ).split()
-)
+from .common import FUNCTION_WORDS, fold, materialize, slices
+
+# Fixed value: symbol bytes.
 SYMBOLS = b"#*$%&|<>"
 STATISTICS = (
     "words", "word_length", "upper", "digit", "symbol", "exclamation", "punctuation", "line_length",
     "distinct", "adjacent", "top_word", "dup_lines", "wide", "function_words",
 )
+KNOWN = frozenset(w.encode() for w in FUNCTION_WORDS)
 #: Weights of the pooled covariance and of the diagonal in a class covariance.
 POOL, DIAGONAL = 0.10, 0.05
 NOISE = 1e-3
@@ -66,7 +58,7 @@ def statistics(text: str) -> list[float]:
         share(max(counts.values()) / n),
         share(1 - len(set(lines)) / max(1, len(lines))),
         share(c[128:].sum() / size),
-        share(sum(v for k, v in counts.items() if k in FUNCTION_WORDS) / n),
+        share(sum(v for k, v in counts.items() if k in KNOWN) / n),
     ]
 
 
@@ -76,7 +68,7 @@ def statistic_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = [statistics(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 

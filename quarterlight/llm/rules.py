@@ -11,16 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
-
-# Frequent function words of the languages the rules serve.
-STOP_WORDS = (
-    "the of and to in a is that for it on as with was be by this are or an from at not which "
-    "de la le les et des un une du en dans que qui pour au sur par est pas plus "
-    "der die das und den zu von mit im für auf ein eine nicht ist dem "
-    "el los las y por con una para del se su al lo como no es"
-).split()
-
+from .common import FUNCTION_WORDS, packed_rows, unpacked_rows, words
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,10 +56,10 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), count).otherwise(F.lit(0)).cast("long")
 
 
-def rule_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with a struct column ``_rules`` of the counts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = df.withColumn("_w", words(F.col(text_col)))
+def rule_counts(df: DataFrame) -> DataFrame:
+    """``df`` (text and columns that do not begin with _) with a struct column ``_rules`` of the counts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    step = df.withColumn("_w", words(F.col("text")))
     tokens = F.col("_w")
     windows = F.when(
         F.size(tokens) > 2,
@@ -84,7 +75,7 @@ def rule_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_h")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_w", lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long").alias("n_stop_words"),
     )
     # Exploding a one-element array keeps a later filter on the counts from pulling them apart and recomputing them.
     return step.withColumn("_rules", F.explode(F.array(counts))).drop("_w", "_h", "_l")
@@ -131,9 +122,10 @@ def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
 
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that pass, with their own columns."""
+    """The rows of ``df`` that pass, with their own columns, whatever these are called."""
     counts = F.col("_rules")
-    return rule_counts(df, text_col).where(~base_failed(counts) & verdict(counts, rules)).select(*[F.col(f"`{c}`") for c in df.columns])
+    found = rule_counts(packed_rows(df, text=F.col(text_col)))
+    return unpacked_rows(found.where(~base_failed(counts) & verdict(counts, rules)), df.columns)
 
 
 ORACLE = r"""
@@ -157,4 +149,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND n_stop / n_words >= 0.015 AND (CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END) <= 0.50
          AND n_repeat_words / n_words <= 0.50 AS kept
 FROM b
-""".replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS))
+""".replace("STOPS", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))

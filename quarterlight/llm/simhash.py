@@ -2,7 +2,8 @@
 
 Documents with one fingerprint form a class. Two fingerprints that differ in at most
 r of 64 bits differ in at most r // w bits in one of w equal parts, so there is a
-vantage-point tree over the values of each part. A tree's leaf is a shard: each
+vantage-point tree over the values of each part (or, for very many classes, of each pair
+of parts). A tree's leaf is a shard: each
 fingerprint belongs to one leaf and visits the others that the triangle bound leaves
 open, where |d(x, vantage) - radius| is within the part's distance. In a shard the
 visitors and members are compared on all 64 bits; a shard over CELL entries is cut
@@ -13,17 +14,18 @@ pairs, and star contraction joins the forests into components.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed_rows, slices, unpacked_rows
 from .components import star_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, SHINGLE, RADIUS, PARTS = 42, 4, 4, 4
 #: Sampled fingerprints that place vantage points; members a leaf should have; entries of a cell.
 SAMPLE, LEAF, CELL = 8192, 800, 8192
+#: Levels that one part's 16 bits support, and levels of the deepest trees (their leaves grow beyond LEAF only over 50 million classes).
+SINGLE, DEEPEST = 12, 16
 #: A class with over 1 in HOT of all rows (so at most HOT classes) is joined by broadcast.
 HOT = 1024
 
@@ -55,7 +57,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             own = np.array([fingerprint(t.as_py() or "") for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64()), *[b.column(2 + i) for i in range(len(more))]], ["doc_id", "fp", *more])
 
@@ -64,20 +66,21 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
 
 
 class VantageTree:
-    """A vantage-point tree over the values of one part: arrays of vantage points and radii by node."""
-
-    def __init__(self, values: np.ndarray, depth: int):
-        self.depth = depth
-        self.vantage = np.zeros(2**depth - 1, np.uint64)
-        self.radius = np.zeros(2**depth - 1, np.int64)
-        groups = {0: np.sort(values)}
-        for node in range(2**depth - 1):
+    """A vantage-point tree whose level i looks at part ``levels[i]`` of the fingerprints: vantage points and radii by node."""
+
+    def __init__(self, sample: np.ndarray, levels: list[int], bits: int):
+        self.levels, self.bits, self.mask = levels, bits, np.uint64((1 << bits) - 1)
+        size = 2 ** len(levels) - 1
+        self.vantage, self.radius = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        groups = {0: np.sort(sample)}
+        for node in range(size):
             own = groups.pop(node)
+            values = self._part(own, (node + 1).bit_length() - 1)
             if len(own):
                 # Of a few evenly spaced candidates, the one whose median splits best.
                 best = None
-                for p in own[np.linspace(0, len(own) - 1, min(9, len(own))).astype(int)]:
-                    d = np.bitwise_count(own ^ p).astype(np.int64)
+                for p in values[np.linspace(0, len(own) - 1, min(9, len(own))).astype(int)]:
+                    d = np.bitwise_count(values ^ p).astype(np.int64)
                     r = int(np.median(d))
                     r = min((r - 1, r, r + 1), key=lambda x: (abs(int((d <= x).sum()) - len(own) / 2), x))  # noqa: B023
                     off = abs(int((d <= r).sum()) - len(own) / 2)
@@ -87,17 +90,21 @@ class VantageTree:
                 inside = d <= self.radius[node]
                 groups[2 * node + 1], groups[2 * node + 2] = own[inside], own[~inside]
             else:
+                self.radius[node] = bits // 2
                 groups[2 * node + 1] = groups[2 * node + 2] = own
 
-    def route(self, values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, leaf, member) of each value's own leaf and of the leaves that may hold values within ``reach``.
+    def _part(self, fp: np.ndarray, level: int) -> np.ndarray:
+        return (fp >> np.uint64(self.bits * self.levels[level])) & self.mask
+
+    def route(self, fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, leaf, member) of each fingerprint's own leaf and of the leaves that may hold others within ``reach`` on every part of the tree.
 
         Two members that part at a node meet once: the inner one also goes outside.
         A visitor goes wherever the triangle bound lets a partner be.
         """
-        index, node, member = np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
-        for _ in range(self.depth):
-            d = np.bitwise_count(values[index] ^ self.vantage[node]).astype(np.int64)
+        index, node, member = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+        for level in range(len(self.levels)):
+            d = np.bitwise_count(self._part(fp, level)[index] ^ self.vantage[node]).astype(np.int64)
             r = self.radius[node]
             inside = d <= r
             cross_out = inside & (d > r - reach)
@@ -108,7 +115,21 @@ class VantageTree:
             index = np.concatenate((index, index[also]))
             node = np.concatenate((home, other))
             member = np.concatenate((member, np.zeros(int(also.sum()), bool)))
-        return index, node - (2**self.depth - 1), member
+        return index, node - (2 ** len(self.levels) - 1), member
+
+
+def tree_levels(depth: int, radius: int = RADIUS, parts: int = PARTS) -> list[list[int]]:
+    """The parts that each tree looks at, level by level.
+
+    Up to SINGLE levels, one tree a part: some part of a link has at most radius // parts
+    differing bits. One part's values tell no more leaves apart; beyond, one tree for each
+    pair of parts. With four parts and a radius under six, two parts of a link have at most one
+    differing bit each, since three with two or more would make six.
+    """
+    if depth <= SINGLE or (parts, radius // parts) != (4, 1) or radius > 5:
+        return [[p] * min(depth, SINGLE) for p in range(parts)]
+    first = depth // 2
+    return [[p] * first + [q] * (depth - first) for p in range(parts) for q in range(p + 1, parts)]
 
 
 def linked(members: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -144,47 +165,47 @@ def linked(members: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[i
 def links(classes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """a, b: links whose components are those of all pairs of ``classes.fp`` within ``radius`` bits."""
     n = classes.count()
-    sample = np.array([r["fp"] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    depth = max(0, min(12, int(np.ceil(np.log2(max(1, n / LEAF))))))
-    bits, reach = 64 // parts, radius // parts
-    mask = np.uint64((1 << bits) - 1)
-    trees = [VantageTree((sample >> np.uint64(bits * p)) & mask, depth) for p in range(parts)]
+    depth = max(0, min(DEEPEST, int(np.ceil(np.log2(max(1, n / LEAF))))))
+    size = max(SAMPLE, 4 << depth)  # 8 * size bytes, 2 MB at most
+    sample = np.array([r["fp"] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
+    trees = [VantageTree(sample, levels, 64 // parts) for levels in tree_levels(depth, radius, parts)]
 
     def route(batches):
         import pyarrow as pa
 
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            values = fp.view(np.uint64)
             for p, tree in enumerate(trees):
-                index, leaf, member = tree.route((values >> np.uint64(bits * p)) & mask, reach)
+                index, leaf, member = tree.route(fp.view(np.uint64), radius // parts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), p, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(member), pa.array(fp[index])], ["part", "leaf", "member", "fp"])
 
     routed = classes.select("fp").mapInArrow(route, "part int, leaf int, member boolean, fp long")
     # Cells: members cut by hash into m parts, everything that came to the leaf into q parts.
     sizes = materialize(routed.groupBy("part", "leaf").agg(
         F.ceil(F.sum(F.col("member").cast("int")) / CELL).cast("int").alias("m"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("q")
-    ).where("m > 0"))  # one row a leaf: at most parts * 2**12 rows
-    entries = routed.join(F.broadcast(sizes), ["part", "leaf"])
+    ).where("m > 0"))  # one row a leaf
+    entries = routed.join(sizes, ["part", "leaf"])
     cut = lambda k: F.pmod(F.xxhash64("fp"), F.col(k)).cast("int")
     steps = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     came = entries.select("part", "leaf", steps("m").alias("i"), cut("q").alias("j"), F.lit(False).alias("member"), "fp")
     at_home = entries.where("member").select("part", "leaf", cut("m").alias("i"), steps("q").alias("j"), F.lit(True).alias("member"), "fp")
 
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        fp, own = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["member"].to_numpy(bool)
+    def cell(rows):
+        import pyarrow as pa
+
+        fp, own = rows["fp"].to_numpy().view(np.uint64), rows["member"].to_numpy(zero_copy_only=False)
         members = np.unique(fp[own])
         found = linked(members, np.setdiff1d(fp[~own], members), radius)
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return came.unionByName(at_home).groupBy("part", "leaf", "i", "j").applyInPandas(cell, "a long, b long")
+    return came.unionByName(at_home).groupBy("part", "leaf", "i", "j").applyInArrow(cell, "a long, b long")
 
 
 def _placed(classes: DataFrame, radius: int) -> DataFrame:
     """``classes`` with the root (a fingerprint) of each one's component."""
     roots = star_components(links(classes, radius)).withColumnRenamed("node", "_n")
-    return classes.join(roots, F.col("fp") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "fp"))
+    return materialize(classes.join(roots, F.col("fp") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "fp")))
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +219,8 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
     rows = materialize(fingerprints(df, id_col, text_col))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     placed = _placed(classes, radius)
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that adaptive execution can split a component of very many classes in the join.
+    named = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = materialize(placed.join(named, "root").select(F.col("fp").alias("_fp"), "n", "component_id"))
     total = rows.count()
     hot = F.broadcast(classes.where(F.col("n") * HOT > total))  # fewer than HOT rows
@@ -211,14 +233,16 @@ def keep_first(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component of ``df``, with its own columns: that of the smallest id, null last.
 
     A row is known by its id and a digest of all its columns, so null ids and ids with
-    several texts are rows like any other and reruns agree. Equal rows are one.
+    several texts are rows like any other and reruns agree. Equal rows are one. The
+    caller's columns may have any names.
     """
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns])
+    everything = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in everything]
     id_ = F.col("doc_id").cast("long")
-    keyed = df.withColumn("_row", digest).withColumn("_none", id_.isNull()).withColumn("_id", F.coalesce(id_, F.lit(0).cast("long")))
-    rows = materialize(fingerprints(keyed, "doc_id", "text", "_row"))
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), "_row")
+    keyed = packed_rows(df, doc_id=id_, text=F.col("text"), none=id_.isNull(), id=F.coalesce(id_, F.lit(0).cast("long")), h1=F.xxhash64(F.lit(1), *everything, *nulls), h2=F.xxhash64(F.lit(2), *everything, *nulls))
+    key = ["none", "id", "h1", "h2"]
+    rows = materialize(fingerprints(keyed, "doc_id", "text", "h1", "h2"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "h1", "h2")
     classes = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")))
     kept = _placed(classes, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    key = ["_id", "_none", "_row"]
-    return keyed.dropDuplicates(key).join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return unpacked_rows(keyed.join(kept, key, "left_semi").dropDuplicates(key), df.columns)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, slices
 
 # Characters drawn like a Latin letter, and digits and signs used for one.
 HOMOGLYPHS = dict(zip("абвгдеёзіїјкмнорстухһԁԛԝѕαβγεηικνορτυχωℓɑɡıʟ", "abbrdeeziijkmhopctyxhdqwsabyenikvoptuxwlagil", strict=True))
@@ -99,14 +99,18 @@ def _sample(labels: DataFrame, label_col: str) -> tuple[DataFrame, dict[int, flo
     return part(0).unionByName(part(1)), stands
 
 
-def _count(rows: DataFrame, found, table: dict[int, str]) -> DataFrame:
-    """key, label, n: the rows whose folded text yields the key, with sums per task before the shuffle."""
+def _count(rows: DataFrame, begin, table: dict[int, str]) -> DataFrame:
+    """key, 0, 1: the rows of each label whose folded text yields the key, with sums per task before the shuffle.
+
+    ``begin`` runs once a task and returns the function from a folded text to its keys.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         sums: Counter = Counter()
-        for b in batches:
+        found = begin()
+        for b in slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for key in found(folded(text or "", table)):
                     sums[key, label] += 1
@@ -130,9 +134,9 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str, table: dict[int, str
     if not n0 or not n1:
         return Lexicon(curve=(math.log((n1 * stands.get(1, 1.0) + 0.5) / (n0 * stands.get(0, 1.0) + 0.5)), 0.0, 0.0))
     odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))  # noqa: E731  toxic a, clean b
-    frequent = _count(sample.where("label = 1"), terms_of, table).where(F.col("1") >= max(LEAST, SHARE * n1))
+    frequent = _count(sample.where("label = 1"), lambda: terms_of, table).where(F.col("1") >= max(LEAST, SHARE * n1))
     seen = {r["key"]: r["1"] for r in frequent.orderBy(F.desc("1"), "key").limit(CANDIDATES).collect()}
-    clean = {r["key"]: r["0"] for r in _count(sample.where("label = 0"), lambda t: terms_of(t) & seen.keys(), table).collect()}
+    clean = {r["key"]: r["0"] for r in _count(sample.where("label = 0"), lambda: lambda t: terms_of(t) & seen.keys(), table).collect()}
     marked = {k: w for k, a in seen.items() if (w := odds(a, clean.get(k, 0))) >= MIN_LOG_ODDS}
     kept: dict[str, float] = {}
     for term in sorted(marked, key=lambda k: (k.endswith(" "), len(k), k)):  # a beginning stands for the words that have it
@@ -141,15 +145,16 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str, table: dict[int, str
     kept = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
     plain = Lexicon(kept)
 
-    def phrases(text: str) -> set[str]:
-        machine, out = plain.automaton(), set()
-        tokens = text.split()
-        for i, w in enumerate(tokens):
-            if any(True for _ in machine.iter(f" {w} ")):
-                out |= {f" {a} {b} " for a, b in zip(tokens[max(0, i - 1) : i + 1], tokens[i : i + 2] if i else tokens[0:1], strict=False) if a != b}
-                if i + 1 < len(tokens):
-                    out.add(f" {w} {tokens[i + 1]} ")
-        return out
+    def phrases():
+        machine = plain.automaton()
+
+        def found(text: str) -> set[str]:
+            """The pairs of neighbours of which one is hit by the lexicon."""
+            tokens = text.split()
+            hit = [machine is not None and any(True for _ in machine.iter(f" {w} ")) for w in tokens]
+            return {f" {tokens[i]} {tokens[i + 1]} " for i in range(len(tokens) - 1) if hit[i] or hit[i + 1]}
+
+        return found
 
     around = _count(sample, phrases, table).where((F.col("0") >= 2) & (F.col("1") * n0 < F.col("0") * n1))
     machine = plain.automaton()
@@ -167,7 +172,7 @@ def _features(df: DataFrame, lexicon: Lexicon, table: dict[int, str], *more: str
         import pyarrow as pa
 
         machine = lexicon.automaton()
-        for b in batches:
+        for b in slices(batches):
             x = [features(folded(t or "", table), machine) for t in b.column(1).to_pylist()]
             own = [b.column(0), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), *[b.column(2 + i) for i in range(len(more))]]
             yield pa.RecordBatch.from_arrays(own, ["doc_id", "total", "density", *more])
@@ -176,10 +181,14 @@ def _features(df: DataFrame, lexicon: Lexicon, table: dict[int, str], *more: str
 
 
 def _calibrate(rows: DataFrame, stands: dict[int, float]) -> tuple[float, ...]:
-    """Ridge logistic regression on the two features, from the sample with each row's weight by class."""
-    data = rows.select("total", "density", "label").toPandas().to_numpy(float)
+    """Ridge logistic regression on the two features, from the sample with each row's weight by class.
+
+    Features are rounded to hundredths and counted, so repeated rows bring no more to the driver.
+    """
+    counts = rows.groupBy(F.round("total", 2).alias("t"), F.round("density", 2).alias("d"), "label").count().orderBy("t", "d", "label")
+    data = np.array([tuple(r) for r in counts.collect()], float).reshape(-1, 4)
     x, y = np.column_stack([np.ones(len(data)), data[:, 0], data[:, 1]]), data[:, 2]
-    w = np.where(y == 1, stands[1], stands[0])
+    w = np.where(y == 1, stands[1], stands[0]) * data[:, 3]
     beta = np.zeros(3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
