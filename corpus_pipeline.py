@@ -20,9 +20,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_first(docs)
 
 
+#: Bytes of the strings that the repeated-strings stage cuts: passages of some fifty short words have as many.
+PASSAGE = 240
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that occur elsewhere are cut out of the texts; all documents stay."""
-    cut = repeats.without_repeats(docs)
+    cut = repeats.without_repeats(docs, PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

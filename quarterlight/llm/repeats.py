@@ -22,11 +22,10 @@ before shuffles, so a passage that is everywhere loads no task. Texts travel com
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import join_hot, materialize, slices
 
 LENGTH, GRAM, STEP = 400, 48, 16
 #: Starts taken at a time from a very long text; positions within a piece fit 24 bits.
@@ -100,10 +99,6 @@ def zones(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8"), np.uint8)
-
-
 def _batch(columns: dict):
     import pyarrow as pa
 
@@ -115,14 +110,14 @@ def _flat(parts: list, kind=np.int64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, ranges (list of first and last repeated start) for the (key, text) rows that have any."""
+def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """key, ranges (list of first and last repeated start) for the (key, packed) rows that have any; keys are distinct."""
 
     def find(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(7)]
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = _bytes(text.as_py())
+            for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = np.frombuffer(unpacked(data.as_py()), np.uint8)
                 first, last, place, h = zones(raw, length, gram)
                 if len(first):
                     names = [Hasher(raw, k).ranges(first, last + length) for k in (1, 2)]
@@ -130,7 +125,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                         column.append(v)
             yield _batch(dict(zip(("key", "lo", "hi", "m", "h", "u1", "u2"), map(_flat, out), strict=True)))
 
-    found = rows.mapInArrow(find, "key long, lo long, hi long, m long, h long, u1 long, u2 long")
+    found = stored.select("key", "packed").mapInArrow(find, "key long, lo long, hi long, m long, h long, u1 long, u2 long")
     often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("h").alias("_h"), "_n"))
     repeated = materialize(join_hot(found, often, {"h": "_h"}, "_n", ["key", "lo"]).drop("_h", "_n"))
     variants = materialize(repeated.groupBy("h", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("rep")))
@@ -142,7 +137,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "m", "alone")).alias("wanted")).withColumnRenamed("key", "_k")
 
     def take(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             out: list[list] = [[] for _ in range(6)]
             for key, packed, zone_list in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 whole = unpacked(packed)
@@ -151,11 +146,11 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                         column.append(v)
             yield _typed(out, "key long, lo long, hi long, m long, alone boolean, data binary")
 
-    texts = compressed(rows).join(wanted, F.col("key") == F.col("_k")).select("key", "packed", "wanted")
+    texts = stored.select("key", "packed").join(wanted, F.col("key") == F.col("_k")).select("key", "packed", "wanted")
     held = materialize(texts.mapInArrow(take, "key long, lo long, hi long, m long, alone boolean, data binary").dropDuplicates(["key", "lo"]))
 
     def pieces(batches):
-        for b in batches:
+        for b in slices(batches, 2048):
             out: list[list] = [[] for _ in range(8)]
             for key, lo, hi, m, alone, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = np.frombuffer(data, np.uint8)
@@ -184,7 +179,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     last = held.join(by_zone, (F.col("key") == F.col("_k")) & (F.col("lo") == F.col("_z"))).select("key", "lo", "data", "open")
 
     def starts(batches):
-        for b in batches:
+        for b in slices(batches, 512):
             out: list[list] = [[] for _ in range(5)]
             for key, lo, data, found_open in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = np.frombuffer(data, np.uint8)
@@ -203,28 +198,30 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return hits.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
-def unpacked(data: bytes) -> bytes:
+def unpacked(data: bytes | None) -> bytes:
+    """UTF-8 bytes of a stored text; a null text has none."""
     import zstandard
 
-    return zstandard.decompress(data)
+    return b"" if data is None else zstandard.decompress(data)
 
 
-def compressed(rows: DataFrame) -> DataFrame:
-    """The same rows with the text as compressed UTF-8 in ``packed`` instead of ``text``."""
+def store(rows: DataFrame) -> DataFrame:
+    """Write the rows with a distinct ``key``, and the compressed UTF-8 of ``text`` in ``packed`` instead of it (null stays null).
+
+    Keys number the written rows, so they are the same whenever a task reads them again.
+    """
 
-    def pack(batches):
+    @F.arrow_udf("binary")
+    def pack(texts):
         import pyarrow as pa
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            packed = pa.array([press.compress((t.as_py() or "").encode("utf-8")) for t in b.column(at)], pa.binary())
-            columns = [packed if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, ["packed" if i == at else n for i, n in enumerate(b.schema.names)])
+        return pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())
 
-    schema = ", ".join(f"{'packed binary' if n == 'text' else f'{n} {t}'}" for n, t in rows.dtypes)
-    return rows.mapInArrow(pack, schema)
+    others = [c for c in rows.columns if c != "text"]
+    written = materialize(rows.select(*others, pack("text").alias("packed")))
+    return written.withColumn("key", F.monotonically_increasing_id())
 
 
 def _typed(columns: list[list], schema: str):
@@ -256,11 +253,6 @@ def cut_spans(raw: bytes, ranges: list, length: int) -> tuple[bytes, int]:
     return b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)), len(spans)
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("key", F.xxhash64("doc_id", "text"))
-
-
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for every row of ``df``.
 
@@ -268,17 +260,17 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     Repeated rows are copies of each other. Null ids are kept. An empty table gives no rows.
     Other columns are not read.
     """
-    own = _keyed(df, id_col, text_col)
-    ranges = repeated_starts(own.select("key", "text"), length, gram).withColumnRenamed("key", "_k")
-    joined = compressed(own).join(ranges, F.col("key") == F.col("_k"), "left").select("doc_id", "packed", "ranges")
+    stored = store(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    ranges = repeated_starts(stored, length, gram).withColumnRenamed("key", "_k")
+    joined = stored.join(ranges, F.col("key") == F.col("_k"), "left").select("doc_id", "packed", "ranges")
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 256):
             out: list[list] = [[], [], [], []]
-            for packed, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = unpacked(packed.as_py())
+            for data, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                raw = unpacked(data.as_py())
                 kept, n = cut_spans(raw, found, length)
                 for column, v in zip(out, (len(raw), len(raw) - len(kept), n, kept), strict=True):
                     column.append(v)
@@ -288,18 +280,22 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("kept_sha256", F.sha2("kept", 256))
 
 
-def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the repeated strings cut out of its texts; every row and column stays.
+def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
+    """``df`` with the repeated strings cut out of its texts; every row and column stays, whatever the columns are called.
 
     Bytes of a character that a cut splits go too. Null texts stay null.
     """
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    ranges = repeated_starts(_keyed(df, id_col, text_col).select("key", "text"), length, gram).withColumnRenamed("key", "_repeat_key")
-    joined = df.withColumn("_own_key", key).join(ranges, F.col("_own_key") == F.col("_repeat_key"), "left").drop("_own_key", "_repeat_key")
+    row = F.struct(*[F.col(f"`{c}`") if c != text_col else F.lit(None).cast("string").alias(c) for c in df.columns])
+    stored = store(df.select(row.alias("row"), F.col(text_col).cast("string").alias("text")))
+    ranges = repeated_starts(stored, length, gram).withColumnRenamed("key", "_k")
+    joined = stored.join(ranges, F.col("key") == F.col("_k"), "left")
+
+    @F.arrow_udf("string")
+    def cut(packed, found):
+        import pyarrow as pa
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
-        rows = zip(text, found, strict=True)
-        return pd.Series([t if t is None or r is None else cut_spans(t.encode("utf-8"), list(r), length)[0].decode("utf-8", "ignore") for t, r in rows], dtype=object)
+        rows = zip(packed, found, strict=True)
+        return pa.array([cut_spans(unpacked(t.as_py()), r.as_py(), length)[0].decode("utf-8", "ignore") if t.is_valid else None for t, r in rows], pa.string())
 
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("ranges"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    texts = joined.withColumn("text", cut("packed", "ranges"))
+    return texts.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
