@@ -48,3 +48,8 @@ def strict_sum(*parts: Column) -> Column:
 
 def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
+
+
+def rounded_up(x: Column, digits: int = 6) -> Column:
+    """``rounded`` for values that often stand half-way: these go up whatever the order in which they were summed."""
+    return F.round(x + F.lit(1e-9), digits) + F.lit(0.0)

@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Days that can be asked for at once.
+DAYS = 100_000
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """One row with the sorted array ``_days`` of the asked days. A calendar is short: DAYS at most, or an error."""
+    found = days.agg(F.array_sort(F.collect_set(F.col("day").cast("date"))).alias("_days"))
+    return found.select(F.when(F.size("_days") <= DAYS, F.col("_days")).otherwise(F.raise_error(F.lit(f"more than {DAYS} days asked"))).alias("_days"))
+
 
 def active(units: DataFrame, keys: list[str], days: DataFrame, mw: str = "mw") -> DataFrame:
-    """keys, day, mw: capacity in service at each day of ``days``, never negative.
+    """keys, day, mw: capacity in service at each day of ``days``, never negative, for every key of ``units``.
 
-    Units become two signed events; a running sum per key over event days and asked days
-    replaces the range join of units with days.
+    A unit is two signed events, read once; a running sum per key holds from one event to the
+    next and is given out to the asked days in between.
     """
-    plus = units.select(*keys, F.col("start").cast("date").alias("day"), F.col(mw).alias("x"))
-    minus = units.where("end IS NOT NULL").select(*keys, F.col("end").cast("date").alias("day"), (-F.col(mw)).alias("x"))
-    events = plus.unionByName(minus).groupBy(*keys, "day").agg(F.sum("x").alias("x"), F.lit(0).alias("asked"))
-    names = units.select(*keys).distinct()
-    asked = names.crossJoin(F.broadcast(days.select("day").distinct())).select(*keys, "day", F.lit(0.0).alias("x"), F.lit(1).alias("asked"))  # a calendar
-    both = events.unionByName(asked).groupBy(*keys, "day").agg(F.sum("x").alias("x"), F.max("asked").alias("asked"))
-    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("mw", F.greatest(F.round(F.sum("x").over(w), 6), F.lit(0.0))).where("asked = 1").select(*keys, "day", "mw")
+    both = F.array(F.struct(F.col("start").cast("date").alias("day"), F.col(mw).alias("x")), F.struct(F.col("end").cast("date").alias("day"), (-F.col(mw)).alias("x")))
+    events = units.select(*keys, F.explode(both).alias("_e")).where("_e.day IS NOT NULL").groupBy(*keys, F.col("_e.day").alias("_from")).agg(F.sum("_e.x").alias("_x"))
+    order = Window.partitionBy(*keys).orderBy("_from")
+    held = events.select(
+        *keys, "_from", F.lead("_from").over(order).alias("_to"), (F.row_number().over(order) == 1).alias("_first"),
+        F.greatest(F.round(F.sum("_x").over(order.rowsBetween(Window.unboundedPreceding, 0)), 6), F.lit(0.0)).alias("mw"),
+    )
+    mine = lambda d: (F.col("_first") | (d >= F.col("_from"))) & (F.col("_to").isNull() | (d < F.col("_to")))  # noqa: E731  the first stretch also serves the days before it
+    out = held.crossJoin(F.broadcast(calendar(days))).withColumn("day", F.explode(F.filter("_days", mine)))
+    return out.select(*keys, "day", F.when(F.col("day") < F.col("_from"), F.lit(0.0)).otherwise(F.col("mw")).alias("mw"))
 
 
 def weights_by(active_rows: DataFrame, by: list[str]) -> DataFrame:
@@ -29,19 +40,18 @@ def weights_by(active_rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fleet_statistics(units: DataFrame, keys: list[str], days: DataFrame, part: str, recent_days: int = 365) -> DataFrame:
-    """Per key and day: MW, units, mean and largest size, weighted age, share built recently, concentration by part.
+    """Per key and day: MW, units, mean and largest size, weighted age, share built recently, parts and concentration by part.
 
-    Days are bounded (month starts); each unit is offered to the asked days of its life only.
+    Units are read once and go to the asked days of their own life; sums by part, then by key.
     """
-    span = F.broadcast(days.select("day").distinct())
-    alive = units.join(span, (F.col("start").cast("date") <= F.col("day")) & (F.col("end").isNull() | (F.col("end").cast("date") > F.col("day"))))
+    inside = lambda d: (d >= F.col("start").cast("date")) & (F.col("end").isNull() | (d < F.col("end").cast("date")))
+    alive = units.crossJoin(F.broadcast(calendar(days))).withColumn("day", F.explode(F.filter("_days", inside)))
     age = F.datediff("day", F.col("start").cast("date"))
-    base = alive.groupBy(*keys, "day").agg(
-        F.sum("mw").alias("mw"), F.count(F.lit(1)).alias("units"), F.avg("mw").alias("mean_mw"), F.max("mw").alias("max_mw"),
-        (F.sum(F.col("mw") * age) / F.sum("mw")).alias("age_days"), (F.sum(F.when(age <= recent_days, F.col("mw")).otherwise(0.0)) / F.sum("mw")).alias("recent_share"),
-        F.count_distinct(part).alias("parts"),
+    own = alive.groupBy(*keys, "day", F.col(part).alias("_part")).agg(
+        F.sum("mw").alias("_w"), F.count(F.lit(1)).alias("_n"), F.max("mw").alias("_max"), F.sum(F.col("mw") * age).alias("_age"), F.sum(F.when(age <= recent_days, F.col("mw")).otherwise(0.0)).alias("_new"),
+    )
+    total = F.sum("_w")
+    return own.groupBy(*keys, "day").agg(
+        total.alias("mw"), F.sum("_n").alias("units"), (total / F.sum("_n")).alias("mean_mw"), F.max("_max").alias("max_mw"),
+        (F.sum("_age") / total).alias("age_days"), (F.sum("_new") / total).alias("recent_share"), F.count("_part").alias("parts"), (F.sum(F.col("_w") * F.col("_w")) / (total * total)).alias("hhi"),
     )
-    own = alive.groupBy(*keys, "day", part).agg(F.sum("mw").alias("w"))
-    share = F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "day"))
-    index = own.withColumn("s", share).groupBy(*keys, "day").agg(F.sum(F.col("s") * F.col("s")).alias("hhi"))
-    return base.join(index, [*keys, "day"])

@@ -28,6 +28,22 @@ def kmeans_within(points: DataFrame, key: str, names: list, k: int, weight: str
     return parts
 
 
+def kmeans_by_dominant_area(units: DataFrame, area: str, names: list, k: int, size: float, weight: str = "mw") -> DataFrame:
+    """``units`` (id, x, y, area, weight) with cell_x, cell_y, cell_area and cluster.
+
+    Units fall into square cells; a cell belongs to the area with most weight in it (ties to the smaller), its
+    weighted centre is clustered with the other cells of that area, and all its units take its cluster.
+    """
+    cell = lambda c: F.round(F.col(c) / size).cast("long")
+    own = units.withColumn("cell_x", cell("x")).withColumn("cell_y", cell("y"))
+    parts = own.groupBy("cell_x", "cell_y", area).agg(F.sum(weight).alias("_w"), F.sum(F.col(weight) * F.col("x")).alias("_x"), F.sum(F.col(weight) * F.col("y")).alias("_y"))
+    cells = parts.groupBy("cell_x", "cell_y").agg(
+        F.min_by(area, F.struct(-F.col("_w"), F.col(area))).alias("cell_area"), F.sum("_w").alias("_w"), (F.sum("_x") / F.sum("_w")).alias("x"), (F.sum("_y") / F.sum("_w")).alias("y"),
+    ).where("_w > 0")
+    grouped = kmeans_within(cells, "cell_area", names, k, "_w").select("cell_x", "cell_y", "cell_area", "cluster")
+    return own.join(grouped, ["cell_x", "cell_y"])
+
+
 def representatives(points: DataFrame, k: int, weight: str = "mw") -> DataFrame:
     """cluster, x, y, mw, n: weighted centres of clusters of the distinct coordinates."""
     merged = points.groupBy("x", "y").agg(F.sum(weight).alias("mw"), F.count(F.lit(1)).alias("n"))

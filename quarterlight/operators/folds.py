@@ -59,15 +59,13 @@ def ridge_by_fold(folds: DataFrame, features: list[str], target: str, alpha: flo
     One fold is one group; its size is the window, whatever the length of the series.
     """
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        train, test = rows[(rows["split"] == "train") & rows[target].notna()], rows[rows["split"] == "test"]
-        if train.empty or test.empty:
-            return pd.DataFrame({"fold": [], "id": [], "y_pred": []})
-        x, z = train[features].to_numpy(float), test[features].to_numpy(float)
-        middle = np.array([np.nanmedian(c) if np.isfinite(c).any() else 0.0 for c in x.T])
-        x, z = np.where(np.isfinite(x), x, middle), np.where(np.isfinite(z), z, middle)
+        found = _prepared(rows, features, target)
+        if found is None:
+            return pd.DataFrame({"fold": [], "id": [], "y_pred": []}, dtype=object)
+        x, y, z, test = found
         mean, std = x.mean(axis=0), x.std(axis=0)
         std[std < 1e-12] = 1.0
-        x, z, y = (x - mean) / std, (z - mean) / std, train[target].to_numpy(float)
+        x, z = (x - mean) / std, (z - mean) / std
         beta = np.linalg.solve(x.T @ x + alpha * np.eye(len(features)), x.T @ (y - y.mean()))
         return pd.DataFrame({"fold": test["fold"].to_numpy(), "id": test["id"].to_numpy(), "y_pred": z @ beta + y.mean()})
 
@@ -75,6 +73,18 @@ def ridge_by_fold(folds: DataFrame, features: list[str], target: str, alpha: flo
     return folds.select("fold", "split", "id", target, *features).groupBy("fold").applyInPandas(fit, f"fold {kind['fold']}, id {kind['id']}, y_pred double")
 
 
+def bounded_context(rows: DataFrame, keys: list[str], order: str, same: str, recent: int, weekday: int, older: int) -> DataFrame:
+    """keys, order, part: per series at most ``recent`` last rows, the ``weekday`` last of the other rows where ``same`` holds, and ``older`` evenly spaced rows of the rest."""
+    w = Window.partitionBy(*keys)
+    n = rows.withColumn("_recent", F.row_number().over(w.orderBy(F.desc(order))) <= recent)
+    mine = F.col(same) & ~F.col("_recent")
+    n = n.withColumn("_same", mine & (F.row_number().over(Window.partitionBy(*keys, mine).orderBy(F.desc(order))) <= weekday))
+    rest = ~F.col("_recent") & ~F.col("_same")
+    n = n.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, rest).orderBy(order)) - 1).withColumn("_m", F.sum(rest.cast("int")).over(w))
+    part = F.when(F.col("_recent"), "recent").when(F.col("_same"), "weekday").when(evenly_spaced(F.col("_m"), F.col("_i"), older), "older")
+    return n.select(*keys, order, part.alias("part")).where("part IS NOT NULL")
+
+
 def evenly_spaced(n: Column, i: Column, k: int) -> Column:
     """Whether row ``i`` (from 0) of ``n`` is one of ``k`` evenly spaced rows, ends included."""
     if k < 2:
@@ -82,3 +92,119 @@ def evenly_spaced(n: Column, i: Column, k: int) -> Column:
     step = F.greatest((n - 1) / (k - 1), F.lit(1e-9))
     j = F.round(i / step)
     return (n <= k) | ((F.round(j * step) == i) & (j <= k - 1))
+
+
+def _prepared(rows: pd.DataFrame, features: list[str], target: str):
+    """Training matrix, target and test matrix (missing features at the training median), and the test rows; None without both."""
+    train, test = rows[(rows["split"] == "train") & rows[target].notna()], rows[rows["split"] == "test"]
+    if train.empty or test.empty:
+        return None
+    x, z = train[features].to_numpy(float), test[features].to_numpy(float)
+    middle = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in x.T])
+    return np.where(np.isfinite(x), x, middle), train[target].to_numpy(float), np.where(np.isfinite(z), z, middle), test
+
+
+def lasso_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Coefficients for each penalty: minimise mean((y - x b)^2) / 2 + penalty * sum(abs(b)), columns of mean 0 and deviation 1 or 0.
+
+    Accelerated proximal gradient steps on the Gram matrix, all penalties at once.
+    """
+    gram, right = x.T @ x / len(x), x.T @ y / len(x)
+    step = 1 / max(float(np.linalg.norm(gram, 2)), 1e-12)
+    beta = ahead = np.zeros((len(penalties), x.shape[1]))
+    t, shrink = 1.0, step * penalties[:, None]
+    for _ in range(rounds):
+        z = ahead - step * (ahead @ gram - right)
+        new = np.sign(z) * np.maximum(np.abs(z) - shrink, 0.0)
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = new - beta
+        ahead, beta, t = new + (t - 1) / s * moved, new, s
+        if np.abs(moved).max() < 1e-7:
+            break
+    return beta
+
+
+def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str, parts: int = 4, grid: int = 8) -> DataFrame:
+    """fold, slot, id, y_pred, alpha, intercept, coefficients (by feature, on standardised columns) for the test rows.
+
+    One sparse linear model per fold and slot of the day: asinh of the robustly scaled target, standardised
+    features, and the penalty with the least error over ``parts`` consecutive parts of the training rows. A
+    group is one slot of one window, whatever the length of the series.
+    """
+
+    def scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        std = x.std(axis=0)
+        return x.mean(axis=0), np.where(std < 1e-12, np.inf, std)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _prepared(rows.sort_values("id"), features, target)
+        if found is None:
+            return pd.DataFrame({c: [] for c in ("fold", slot, "id", "y_pred", "alpha", "intercept", "coefficients")}, dtype=object)
+        x, y, z, test = found
+        center = np.median(y)
+        spread = np.median(np.abs(y - center)) / 0.6745 or y.std() or 1.0
+        t = np.arcsinh((y - center) / spread)
+        mean, std = scale(x)
+        u, level = (x - mean) / std, t.mean()
+        top = max(np.abs(u.T @ (t - level)).max() / len(u), 1e-9)
+        penalties = top * np.logspace(0, -3, grid)
+        loss = np.zeros(grid)
+        for part in np.array_split(np.arange(len(u)), min(parts, len(u))) if len(u) > 1 else ():
+            rest = np.setdiff1d(np.arange(len(u)), part)
+            m, s = scale(x[rest])
+            path = lasso_path((x[rest] - m) / s, t[rest] - t[rest].mean(), penalties)
+            loss += ((((x[part] - m) / s) @ path.T + t[rest].mean() - t[part][:, None]) ** 2).sum(axis=0)
+        best = int(np.argmin(np.round(loss, 12)))
+        beta = lasso_path(u, t - level, penalties[best : best + 1])[0]
+        pred = np.sinh(np.clip(((z - mean) / std) @ beta + level, -20, 20)) * spread + center
+        return pd.DataFrame({"fold": test["fold"], slot: test[slot], "id": test["id"], "y_pred": pred, "alpha": penalties[best], "intercept": level, "coefficients": [beta.tolist()] * len(test)})
+
+    kind = dict(folds.dtypes)
+    schema = f"fold {kind['fold']}, {slot} {kind[slot]}, id {kind['id']}, y_pred double, alpha double, intercept double, coefficients array<double>"
+    return folds.select("fold", "split", slot, "id", target, *features).groupBy("fold", slot).applyInPandas(fit, schema)
+
+
+def boosted(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 25, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 5) -> np.ndarray:
+    """Predictions for ``z`` of regression trees boosted on squared error; features are binned by training quantiles."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    code = lambda m: np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, m.T, strict=True)], axis=1)
+    cx, cz, size = code(x), code(z), bins + 1
+    now, out = np.full(len(x), y.mean()), np.full(len(z), y.mean())
+    for _ in range(rounds):
+        residual, at_x, at_z = y - now, np.zeros(len(x), int), np.zeros(len(z), int)
+        for _ in range(depth):
+            nodes = at_x.max() + 1
+            total = np.stack([np.bincount(at_x, minlength=nodes), np.bincount(at_x, residual, nodes)])
+            best = np.zeros(nodes), np.zeros(nodes, int), np.full(nodes, size)  # gain, feature, last bin that goes left
+            for j in range(x.shape[1]):
+                cell = at_x * size + cx[:, j]
+                left = np.stack([np.bincount(cell, minlength=nodes * size), np.bincount(cell, residual, nodes * size)]).reshape(2, nodes, size).cumsum(axis=2)
+                right = total[:, :, None] - left
+                ok = (left[0] >= least) & (right[0] >= least)
+                gain = np.where(ok, left[1] ** 2 / np.maximum(left[0], 1) + right[1] ** 2 / np.maximum(right[0], 1) - (total[1] ** 2 / np.maximum(total[0], 1))[:, None], 0.0)
+                cut = gain.argmax(axis=1)
+                value = gain[np.arange(nodes), cut]
+                better = value > best[0] + 1e-12
+                for store, v in zip(best, (value, np.full(nodes, j), cut), strict=True):
+                    store[better] = v[better]
+            at_x = 2 * at_x + (cx[np.arange(len(x)), best[1][at_x]] > best[2][at_x])
+            at_z = 2 * at_z + (cz[np.arange(len(z)), best[1][at_z]] > best[2][at_z])
+        leaves = 2**depth
+        leaf = rate * np.bincount(at_x, residual, leaves) / np.maximum(np.bincount(at_x, minlength=leaves), 1)
+        now, out = now + leaf[at_x], out + leaf[at_z]
+    return out
+
+
+def boosted_by_fold(folds: DataFrame, by: list[str], features: list[str], target: str) -> DataFrame:
+    """fold, by, id, y_pred for the test rows: boosted trees for each fold, or each fold and block or slot of the day."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _prepared(rows.sort_values("id"), features, target)
+        if found is None:
+            return pd.DataFrame({c: [] for c in ("fold", *by, "id", "y_pred")}, dtype=object)
+        x, y, z, test = found
+        return pd.DataFrame({"fold": test["fold"], **{c: test[c] for c in by}, "id": test["id"], "y_pred": boosted(x, y, z)})
+
+    kind = dict(folds.dtypes)
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("fold", *by, "id")) + ", y_pred double"
+    return folds.select("fold", "split", *by, "id", target, *[f for f in features if f not in by]).groupBy("fold", *by).applyInPandas(fit, schema)

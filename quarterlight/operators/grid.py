@@ -11,7 +11,8 @@ from ..functions import time as T
 def keep_last(df: DataFrame, keys: list[str], order: str, *, first: bool = False) -> DataFrame:
     """One row per key: the last (or first) by ``order``."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).asc() if first else F.col(order).desc())
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    whole = df.select(F.struct("*").alias("row"), F.row_number().over(w).alias("rank")).where("rank = 1")  # a struct, so no column of the caller's clashes
+    return whole.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def restrict_days(df: DataFrame, start, end, skip: list | None = None, zone: str = T.ZONE) -> DataFrame:
@@ -112,22 +113,22 @@ def as_of(points: DataFrame, quotes: DataFrame, keys: list[str], value: str, lag
 def interval_load(intervals: DataFrame, keys: list[str], amount: str, minutes: int = 15) -> DataFrame:
     """Sum of ``amount`` over the intervals [start, end) that cover each slot; slots that none covers are left out.
 
-    An interval is two signed events, and a running sum on the dense grid of slots gives the load, so that the
-    work grows with the intervals and the slots, not with their product.
+    An interval is two signed events and a running sum over the events gives the load, so that the intervals
+    are read once and the work grows with the intervals and the slots, not with their product.
     """
     first = T.bucket(F.col("start"), minutes)
     first = F.when(first < F.col("start"), T.plus(first, mins=minutes)).otherwise(first)
     own = intervals.withColumn("_a", first).where(F.col("_a") < F.col("end"))
     covered = F.floor((T.seconds(F.col("end")) - 1 - T.seconds(F.col("_a"))) / (60 * minutes)) + 1
     after = F.col("_a") + F.make_dt_interval(mins=(covered * minutes).cast("int"))
-    up = own.select(*keys, F.col("_a").alias("ts"), F.col(amount).alias("_x"), F.lit(1).alias("_n"))
-    down = own.select(*keys, after.alias("ts"), (-F.col(amount)).alias("_x"), F.lit(-1).alias("_n"))
-    events = up.unionByName(down).groupBy(*keys, "ts").agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"))
-    ends = events.groupBy(*keys).agg(F.min("ts").alias("_a"), F.max("ts").alias("_z"))
-    grid = ends.select(*keys, F.explode(F.sequence("_a", "_z", F.make_dt_interval(mins=F.lit(minutes)))).alias("ts"))
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    load = grid.join(events, [*keys, "ts"], "left").withColumn("_count", F.sum("_n").over(w)).withColumn(amount, F.round(F.sum("_x").over(w), 6))
-    return load.where(F.col("_count") > 0).select(*keys, "ts", amount)
+    both = F.array(F.struct(F.col("_a").alias("ts"), F.col(amount).alias("x"), F.lit(1).alias("n")), F.struct(after.alias("ts"), (-F.col(amount)).alias("x"), F.lit(-1).alias("n")))
+    events = own.select(*keys, F.explode(both).alias("_e")).groupBy(*keys, F.col("_e.ts").alias("ts")).agg(F.sum("_e.x").alias("_x"), F.sum("_e.n").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("ts")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    # The load is constant from one event to the next; only those stretches become slots.
+    held = events.select(*keys, "ts", F.lead("ts").over(order).alias("_next"), F.sum("_n").over(upto).alias("_count"), F.round(F.sum("_x").over(upto), 6).alias(amount))
+    step = F.make_dt_interval(mins=F.lit(minutes))
+    return held.where(F.col("_count") > 0).select(*keys, F.explode(F.sequence(F.col("ts"), F.col("_next") - step, step)).alias("ts"), amount)
 
 
 def incomplete_days(df: DataFrame, keys: list[str], value: str = "v", zone: str = T.ZONE) -> DataFrame:

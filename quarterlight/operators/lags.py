@@ -20,12 +20,14 @@ def naive(df: DataFrame, days: list[int], value: str = "v") -> DataFrame:
 
 
 def lag_by_time(df: DataFrame, keys: list[str], days: list[int], value: str = "v") -> DataFrame:
-    """Values exactly n * 24 hours earlier, by a self join; gaps give null, not a neighbour."""
-    out = df
-    for n in days:
-        past = df.select(*keys, T.plus(F.col("ts"), days=n).alias("ts"), F.col(value).alias(f"{value}_lag_{n}d"))
-        out = out.join(past, [*keys, "ts"], "left")
-    return out
+    """Values exactly n * 24 hours earlier (one row a key and time); gaps give null, not a neighbour.
+
+    Each row offers itself to the times it is a lag of, so that one self join serves all lags.
+    """
+    offers = df.select(*keys, "ts", F.col(value).alias("_v"), F.explode(F.array(*[F.lit(n) for n in days])).alias("_n"))
+    at = F.col("ts") + F.make_dt_interval(days=F.col("_n"))
+    past = offers.groupBy(*keys, at.alias("ts")).agg(*[F.max(F.when(F.col("_n") == n, F.col("_v"))).alias(f"{value}_lag_{n}d") for n in days])
+    return df.join(past, [*keys, "ts"], "left")
 
 
 def window_stats(df: DataFrame, keys: list[str], start: int, end: int, value: str = "v", zone: str = T.ZONE) -> DataFrame:
@@ -48,16 +50,19 @@ def point_values(df: DataFrame, keys: list[str], minutes: list[int], value: str
     return own.groupBy(*keys, T.local_day(F.col("ts"), zone).alias("day")).agg(*[F.max(F.when(F.col("_m") == m, F.col(value))).alias(f"at_{m // 60:02d}{m % 60:02d}") for m in minutes])
 
 
-def partial_day(df: DataFrame, keys: list[str], starts: list[int], end: int, back: int, value: str = "v") -> DataFrame:
-    """For delivery day D: the mean of D-1 between each start and ``end``, and its difference to ``back`` days before that."""
-    out = None
-    for s in starts:
-        stats = window_stats(df, keys, s, end, value).select(*keys, "day", F.col("mean").alias("m"))
-        before = stats.select(*keys, F.date_add("day", back).alias("day"), F.col("m").alias("b"))
-        tag = f"{s // 60:02d}"
-        own = stats.join(before, [*keys, "day"], "left").select(*keys, F.date_add("day", 1).alias("day"), F.col("m").alias(f"mean_{tag}"), (F.col("m") - F.col("b")).alias(f"diff_{tag}"))
-        out = own if out is None else out.join(own, [*keys, "day"], "full_outer")
-    return out
+def partial_day(df: DataFrame, keys: list[str], starts: list[int], end: int, back: int, value: str = "v", zone: str = T.ZONE) -> DataFrame:
+    """For delivery day D: the mean of D-1 between each start and ``end``, and its difference to ``back`` days before that.
+
+    One aggregate serves all starts, and one self join all differences.
+    """
+    here = T.local(F.col("ts"), zone)
+    minute = F.hour(here) * 60 + F.minute(here)
+    own = df.select(*keys, T.local_day(F.col("ts"), zone).alias("day"), minute.alias("_minute"), F.col(value).alias("_v")).where(F.col("_minute").between(min(starts), end) & F.col("_v").isNotNull())
+    tags = {s: f"{s // 60:02d}" for s in starts}
+    stats = own.groupBy(*keys, "day").agg(*[F.avg(F.when(F.col("_minute") >= s, F.col("_v"))).alias(f"mean_{t}") for s, t in tags.items()])
+    before = stats.select(*keys, F.date_add("day", back).alias("day"), *[F.col(f"mean_{t}").alias(f"_b_{t}") for t in tags.values()])
+    both = stats.join(before, [*keys, "day"], "left").withColumn("day", F.date_add("day", 1))
+    return both.select(*keys, "day", *[x for t in tags.values() for x in (F.col(f"mean_{t}"), (F.col(f"mean_{t}") - F.col(f"_b_{t}")).alias(f"diff_{t}"))])
 
 
 def cutoff(day: Column, lag_days: int = 1, hour: int | None = None, minute: int = 0, before_day: bool = False, zone: str = T.ZONE) -> Column:

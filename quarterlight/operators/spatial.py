@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import settle
+
 #: A point set of at most this many rows is joined whole; a larger one through grid cells.
 SMALL = 10_000
 
@@ -29,10 +31,15 @@ def nearest(left: DataFrame, points: DataFrame, point: str, x: str = "x", y: str
 
 
 def _nearest_by_cells(left: DataFrame, points: DataFrame, point: str, x: str, y: str, keys: list[str], n: int) -> DataFrame:
-    """Candidates from the 3 x 3 cells around each row, cells growing until every row has a proven nearest."""
+    """Candidates from the 3 x 3 cells around each row, cells growing until every row has a proven nearest.
+
+    Rows without coordinates or without a point of their keys have none, and are left out of the search.
+    """
     box = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     size = max(box[1] - box[0], box[3] - box[2], 1e-9) / max(1.0, n**0.5)
-    todo, done = left.select("id", x, y, *keys), None
+    todo, done = left.select("id", x, y, *keys).where(F.col(x).isNotNull() & F.col(y).isNotNull()), None
+    if keys:
+        todo = todo.join(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys).distinct(), keys, "left_semi").select("id", x, y, *keys)
     known = points.select(F.col(point).alias("_p"), F.col(x).alias("_px"), F.col(y).alias("_py"), *[F.col(k).alias(f"_{k}") for k in keys])
     while True:
         cell = lambda c, s=size: F.floor(c / s).cast("long")
@@ -43,11 +50,12 @@ def _nearest_by_cells(left: DataFrame, points: DataFrame, point: str, x: str, y:
             on = on & (F.col(k) == F.col(f"_{k}"))
         d2 = (F.col(x) - F.col("_px")) * (F.col(x) - F.col("_px")) + (F.col(y) - F.col("_py")) * (F.col(y) - F.col("_py"))
         best = around.join(placed, on).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("_p").alias("p"))).alias("m")).where(F.col("m.d2") <= size * size)
-        found = best.select("id", F.col("m.p").alias(point), F.sqrt("m.d2").alias("distance")).checkpoint()
+        found = best.select("id", F.col("m.p").alias(point), F.sqrt("m.d2").alias("distance"))
+        found = settle(found)
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(found, "id", "left_anti").checkpoint()
+        todo = settle(todo.join(found, "id", "left_anti"))
         size *= 4
-        if todo.isEmpty() or size > 4 * max(box[1] - box[0], box[3] - box[2], 1.0) * 64:
+        if todo.isEmpty():
             return left.join(done, "id", "left")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import time as T
-from ..functions.numeric import rounded, safe_ratio
+from ..functions.numeric import rounded, rounded_up, safe_ratio
 from ..operators import calendar as C
 from ..operators import evaluation as E
 from ..operators import grid as G
@@ -137,10 +137,10 @@ def f13(spark, d):
     return out(L.shifts(G.on_grid(areas(spark, d), ["area"]), ["area"], lags=(2,), leads=(1,), diffs=(4,)), ["area", "ts"], "v_lag_2", "v_lead_1", "v_diff_4")
 
 
-@query("F14_centred_window", f"WITH {AREA_GRID} SELECT area, ts, round(avg(v) OVER w, 6) AS mean, round(stddev_samp(v) OVER w, 5) AS std, round(min(v) OVER w, 6) AS min, round(max(v) OVER w, 6) AS max FROM grid WINDOW w AS (PARTITION BY area ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)")
+@query("F14_centred_window", f"WITH {AREA_GRID} SELECT area, ts, round(avg(v) OVER w + 1e-9, 6) AS mean, round(stddev_samp(v) OVER w + 1e-9, 5) AS std, round(min(v) OVER w + 1e-9, 6) AS min, round(max(v) OVER w + 1e-9, 6) AS max FROM grid WINDOW w AS (PARTITION BY area ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)")
 def f14(spark, d):
     c = L.centred_window(G.on_grid(areas(spark, d), ["area"]), ["area"], 4)
-    return out(c, ["area", "ts"], "mean", "std", "min", "max").withColumn("std", rounded(F.col("std"), 5))
+    return c.select("area", "ts", *[rounded_up(F.col(x), 5 if x == "std" else 6).alias(x) for x in ("mean", "std", "min", "max")])
 
 
 @query("F15_regional_load", f"""WITH {AREA_GRID}, r AS (SELECT area, ts, v, v - lag(v, 4) OVER w AS ramp, v - lag(v, 96) OVER w AS delta FROM grid WINDOW w AS (PARTITION BY area ORDER BY ts))

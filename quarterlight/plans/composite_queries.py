@@ -19,6 +19,7 @@ from ..operators import lags as L
 from ..operators import recursive as RC
 from ..operators import spatial as S
 from ..operators import weather as W
+from ..sources.files import settle
 from .calendar_queries import holidays
 from .frames import AREAS, CLUSTERS, DAY, LOCAL, MTU, PANEL, SERIES, areas, clusters, out, panel, query, series
 from .model_queries import _FOLDS, _H, folds, hourly_panel
@@ -47,8 +48,9 @@ def d11(spark, d):
 
 @query("D12_kmeans_by_area")
 def d12(spark, d):
+    """Clusters of each control area; a cell's units go, whatever their own area, to the clusters of the area with most capacity in the cell."""
     own = points(spark, d).withColumn("area", (F.col("region") % 3).cast("int"))
-    return K.kmeans_within(own, "area", [0, 1, 2], 3, "mw").groupBy("area", "cluster").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("mw"), 4).alias("mw"))
+    return out(K.kmeans_by_dominant_area(own, "area", [0, 1, 2], 3, 0.1, "mw"), ["id", "area", "cell_x", "cell_y", "cell_area", "cluster"], "mw")
 
 
 @query("D14_representatives")
@@ -121,14 +123,14 @@ def f19(spark, d):
 
 
 def dataset(spark, d):
-    """ts, day, id, features and target y of the load model: lags, partial day, calendar."""
-    s = series(spark, d)
-    lags = L.lag_by_time(s, [], [1, 7]).withColumn("day", T.local_day(F.col("ts")))
-    part = L.partial_day(s, [], [0], 600, 7)
-    cal = CA.calendar_features(s).select("ts", "hour", "is_weekend")
-    flags = CA.day_flags(lags.select("day").distinct(), holidays(spark)).select("day", "is_holiday")
-    x = lags.join(part, "day", "left").join(cal, "ts").join(flags, "day", "left")
-    return x.select("ts", "day", T.seconds(F.col("ts")).alias("id"), "v_lag_1d", "v_lag_7d", "mean_00", "diff_00", F.col("hour").cast("double").alias("hour"), F.col("is_weekend").cast("double").alias("weekend"), F.col("is_holiday").cast("double").alias("holiday"), F.col("v").alias("y"))
+    """ts, day, id, features and target y of the load model: lags, partial day, calendar. The series is computed once."""
+    s = settle(series(spark, d))
+    here = T.local(F.col("ts"))
+    x = L.lag_by_time(s, [], [1, 7]).withColumn("day", T.local_day(F.col("ts")))
+    off = holidays(spark).select("day").distinct().withColumn("holiday", F.lit(1.0))
+    x = x.join(L.partial_day(s, [], [0], 600, 7), "day", "left").join(F.broadcast(off), "day", "left")
+    weekend = (F.weekday(here) >= 5).cast("double")
+    return x.select("ts", "day", T.seconds(F.col("ts")).alias("id"), "v_lag_1d", "v_lag_7d", "mean_00", "diff_00", F.hour(here).cast("double").alias("hour"), weekend.alias("weekend"), F.coalesce("holiday", F.lit(0.0)).alias("holiday"), F.col("v").alias("y"))
 
 
 FEATURES = ["v_lag_1d", "v_lag_7d", "mean_00", "diff_00", "hour", "weekend", "holiday"]
@@ -165,17 +167,11 @@ def g9(spark, d):
 
 @query("G13_sparse_linear")
 def g13(spark, d):
-    """Lasso on robust-scaled asinh features for one delivery day, by pyspark.ml."""
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    x = dataset(spark, d).na.drop()
-    split = F.lit("2024-01-25").cast("date")
-    v = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(x)
-    train = v.where(F.col("day") < split)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-    model = LinearRegression(labelCol="y", elasticNetParam=1.0, regParam=1.0).fit(scaler.transform(train))
-    return model.transform(scaler.transform(v.where(F.col("day") == split))).select("ts", rounded(F.col("prediction"), 3).alias("y_pred"), "y")
+    """One cross-validated lasso for every slot of every delivery day, with its penalty, intercept and coefficients."""
+    x = dataset(spark, d).withColumn("mtu", T.mtu(F.col("ts")))
+    f = M.lasso_by_slot(M.rolling_folds(settle(x), "day", 14, 300), "mtu", FEATURES, "y")
+    coefficients = [rounded(F.col("coefficients")[i], 4).alias(f"coef_{n}") for i, n in enumerate(FEATURES)]
+    return f.select("fold", "mtu", "id", rounded(F.col("y_pred"), 4).alias("y_pred"), rounded(F.col("alpha")).alias("alpha"), rounded(F.col("intercept")).alias("intercept"), *coefficients)
 
 
 def ridge_forecast(spark, d):
@@ -185,12 +181,16 @@ def ridge_forecast(spark, d):
 
 @query("G18_rolling_forecast")
 def g18(spark, d):
-    """Rolling-origin forecast and its metrics beside the naive benchmark on the same days."""
+    """Rolling-origin forecast: metrics of the model and of the naive benchmark on its days, with runtime rows for each delivery day."""
     truth = series(spark, d).select(T.seconds(F.col("ts")).alias("id"), F.col("v").alias("y_true"))
-    model = ridge_forecast(spark, d).select("id", F.lit("ridge").alias("model"), "y_pred").join(truth, "id")
+    fit = settle(ridge_forecast(spark, d))
+    model = fit.select("fold", "id", F.lit("ridge").alias("model"), "y_pred").join(truth, "id")
     naive = panel(spark, d).where("model = 'naive_d1'").select(T.seconds(F.col("ts")).alias("id"), "model", "y_pred", "y_true")
-    both = model.select("id", "model", "y_pred", "y_true").unionByName(naive.join(model.select("id"), "id", "left_semi"))
-    return out(E.point_metrics(both, ["model"]), ["model"], "mae", "rmse", "bias", "n_obs")
+    both = model.select("fold", "id", "model", "y_pred", "y_true").unionByName(naive.join(model.select("fold", "id"), "id").select("fold", "id", "model", "y_pred", "y_true"))
+    days = both.groupBy("model", "fold").agg(F.count("y_pred").alias("n"), F.avg(F.abs(E.errors())).alias("mae"))  # what a run writes for each day
+    full = E.point_metrics(both, ["model"]).withColumn("fold", F.lit(None).cast("date"))
+    rows = days.select("model", "fold", "mae", F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("double").alias("bias"), F.col("n").alias("n_obs"))
+    return out(full.select("model", "fold", "mae", "rmse", "bias", "n_obs").unionByName(rows), ["model", "fold"], "mae", "rmse", "bias", "n_obs")
 
 
 @query("G23_one_day_prediction")

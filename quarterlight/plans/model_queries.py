@@ -10,6 +10,7 @@ from ..functions.numeric import clean, clip, rounded
 from ..operators import calibration as C
 from ..operators import folds as M
 from ..operators import lags as L
+from ..sources.files import settle
 from .frames import AREAS, DAY, LOCAL, MTU, PANEL, SERIES, areas, out, panel, query, series, table
 
 _AD = f"ad AS (SELECT area, {DAY} AS day, sum(v) AS v, count(*) AS n FROM areas GROUP BY 1, 2)"
@@ -107,15 +108,13 @@ def g12(spark, d):
 
 @query("G14_boosted_trees")
 def g14(spark, d):
-    """A gradient-boosted tree model on the last days, trained and applied by pyspark.ml."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    p = L.naive(series(spark, d), [1]).withColumn("mtu", T.mtu(F.col("ts")).cast("double")).withColumn("day", T.local_day(F.col("ts")))
-    x = VectorAssembler(inputCols=["y_pred", "mtu"], outputCol="features").transform(p)
-    split = F.lit("2024-01-24").cast("date")
-    model = GBTRegressor(labelCol="y_true", maxIter=10, maxDepth=4, seed=7).fit(x.where(F.col("day") < split))
-    return model.transform(x.where(F.col("day") >= split)).select("ts", rounded(F.col("prediction")).alias("y_model"), "y_true")
+    """Boosted trees refitted for every delivery day in three configurations: one model a day, one a block of six hours, one a slot."""
+    p = L.naive(series(spark, d), [1]).withColumn("mtu", T.mtu(F.col("ts"))).withColumn("day", T.local_day(F.col("ts")))
+    rows = settle(p.select(T.seconds(F.col("ts")).alias("id"), "day", "mtu", F.floor(F.col("mtu") / 24).cast("int").alias("block"), F.weekday("day").alias("dow"), F.col("y_pred").alias("lag"), F.col("y_true").alias("y")))
+    f = M.rolling_folds(rows, "day", 14, 200)
+    parts = {"day": ([], ["lag", "mtu", "dow"]), "block": (["block"], ["lag", "mtu", "dow"]), "slot": (["mtu"], ["lag", "dow"])}
+    fits = [M.boosted_by_fold(f, by, x, "y").select(F.lit(k).alias("configuration"), "fold", "id", "y_pred") for k, (by, x) in parts.items()]
+    return out(fits[0].unionByName(fits[1]).unionByName(fits[2]), ["configuration", "fold", "id"], "y_pred")
 
 
 @query("G15_components")
@@ -130,13 +129,17 @@ def g15(spark, d):
     return PCA(k=2, inputCol="x", outputCol="pc").fit(scaled).transform(scaled).select("vec_id", F.round(F.abs(pc[0]), 4).alias("pc1"), F.round(F.abs(pc[1]), 4).alias("pc2"))
 
 
-@query("G16_bounded_sample", f"""WITH {SERIES}, n AS (SELECT ts, v, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM series)
-SELECT ts, i >= n - 96 AS recent, (dayofweek({LOCAL}) + 6) % 7 = 2 AS same_weekday FROM n WHERE i >= n - 96 OR (dayofweek({LOCAL}) + 6) % 7 = 2""")
+@query("G16_bounded_sample", f"""WITH {SERIES}, n AS (SELECT ts, (dayofweek({LOCAL}) + 6) % 7 AS dow, row_number() OVER (ORDER BY ts DESC) AS back, (dayofweek(max({LOCAL}) OVER () + INTERVAL 1 DAY) + 6) % 7 AS asked FROM series),
+a AS (SELECT *, back <= 192 AS recent, CASE WHEN back > 192 AND dow = asked THEN row_number() OVER (PARTITION BY back > 192, dow = asked ORDER BY ts DESC) END AS k FROM n),
+b AS (SELECT *, coalesce(k <= 192, FALSE) AS same FROM a), c AS (SELECT *, CASE WHEN NOT recent AND NOT same THEN row_number() OVER (PARTITION BY recent OR same ORDER BY ts) - 1 END AS i, count(*) FILTER (NOT recent AND NOT same) OVER () AS m FROM b)
+SELECT ts, CASE WHEN recent THEN 'recent' WHEN same THEN 'weekday' ELSE 'older' END AS part FROM c
+WHERE recent OR same OR m <= 96 OR i IN (SELECT round(j * ((SELECT max(m) FROM c) - 1) / 95.0::DOUBLE)::BIGINT FROM range(96) t(j))""")
 def g16(spark, d):
-    w = Window.orderBy("ts")  # rows of the time grid
-    s = series(spark, d).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    recent, same = F.col("i") >= F.col("n") - 96, F.weekday(T.local(F.col("ts"))) == 2
-    return s.where(recent | same).select("ts", recent.alias("recent"), same.alias("same_weekday"))
+    """The training context for the day after the last: recent rows, the latest of its weekday, evenly spaced older ones."""
+    s = series(spark, d)
+    day = s.agg(F.weekday(F.date_add(F.max(T.local_day(F.col("ts"))), 1)).alias("asked"))
+    rows = s.crossJoin(F.broadcast(day)).select("ts", (F.weekday(T.local(F.col("ts"))) == F.col("asked")).alias("same"))  # one row
+    return M.bounded_context(rows, [], "ts", "same", 192, 192, 96)
 
 
 @query("G17_clean_impute", "WITH x AS (SELECT event_id, event_type, CASE WHEN value > 100 THEN NULL ELSE value END AS v FROM events), m AS (SELECT event_type, median(v) AS m FROM x GROUP BY 1) SELECT event_id, round(coalesce(v, m), 6) AS v FROM x JOIN m USING (event_type)")
@@ -153,11 +156,16 @@ def g19(spark, d):
     return w.select("ts", rounded(wind).alias("wind"), rounded(solar).alias("solar"), rounded(wind + solar).alias("total"))
 
 
-@query("G20_sweep", "WITH a AS (SELECT DISTINCT area_size AS w FROM (VALUES (28), (42), (56)) t(area_size)), s AS (SELECT DISTINCT p_size AS leaves FROM part WHERE p_size <= 10), e AS (SELECT DISTINCT event_type AS target FROM events) SELECT w AS days, leaves::INTEGER AS leaves, target FROM a, s, e")
+_SWEEP = {"days": (28, 42, 56, 70), "leaves": (15, 31, 63), "rounds": (100, 300), "rate": (0.03, 0.05, 0.1), "l2": (0.0, 1.0, 5.0), "clusters": (1, 2, 5, 8, 12, 16)}
+
+
+@query("G20_sweep", "WITH " + ", ".join(f"{k} AS (SELECT * FROM (VALUES {', '.join(f'({x})' for x in v)}) t({k}))" for k, v in _SWEEP.items()) + ", e AS (SELECT DISTINCT event_type AS target FROM events) SELECT target, days, leaves, rounds, rate::DOUBLE AS rate, l2::DOUBLE AS l2, clusters FROM e, " + ", ".join(_SWEEP))
 def g20(spark, d):
-    days = spark.createDataFrame([(28,), (42,), (56,)], "days int")
-    leaves = table(spark, d, "part").where("p_size <= 10").select(F.col("p_size").alias("leaves")).distinct()
-    return days.crossJoin(leaves).crossJoin(table(spark, d, "events").select(F.col("event_type").alias("target")).distinct())  # a parameter grid
+    """Every combination of the sweep's axes for every target of the data."""
+    grid = table(spark, d, "events").select(F.col("event_type").alias("target")).distinct()
+    for name, values in _SWEEP.items():
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return grid
 
 
 @query("G22_benchmark_frame", f"WITH {PANEL} SELECT s.ts, round(p.y_pred, 6) AS benchmark, round(s.v, 6) AS actual FROM series s LEFT JOIN panel p ON p.ts = s.ts AND p.model = 'naive_d7'")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import physics as H
 from ..functions import text as X
 from ..functions import time as T
-from ..functions.numeric import rounded
+from ..functions.numeric import rounded, rounded_up
+from ..operators import evaluation as E
 from ..operators import grid as G
 from ..operators.clustering import dominant
 from ..sources import files as S
 from ..streaming import streams as R
-from .frames import AREAS, CLUSTERS, DAY, SERIES, areas, clusters, out, query, series, table
+from .frames import AREAS, CLUSTERS, DAY, LOCAL, PANEL, SERIES, areas, clusters, out, panel, query, series, table
 
 
 @query("A2_offset_timestamps", "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN event_id % 3 = 0 THEN date_trunc('second', ts) ELSE date_trunc('second', ts) - INTERVAL 1 HOUR END AS ts FROM events")
@@ -39,16 +40,21 @@ def a5(spark, d):
     return out(table(spark, d, "part").where("p_size > 40").select("p_partkey", "p_retailprice"), ["p_partkey"], "p_retailprice")
 
 
-@query("A6_issue_folders")
+_SKIPPED = ("2024-01-13", "2024-01-20")
+
+
+@query("A6_issue_folders", f"""WITH q AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, (user_id % 8)::INTEGER AS cluster_id, round(avg(value), 4) AS v FROM events GROUP BY 1, 2), {CLUSTERS},
+l AS (SELECT ts, cluster_id, 'ghi' AS variable, v FROM q UNION ALL SELECT ts, cluster_id, 't2m', v FROM clusters),
+r AS (SELECT ts::DATE AS issue_day, ts + INTERVAL 1 DAY AS valid, cluster_id, variable, v FROM l WHERE hour(ts) // 6 = 1 AND ts::DATE >= DATE '2024-01-10' AND ts::DATE NOT IN (DATE '{_SKIPPED[0]}', DATE '{_SKIPPED[1]}'))
+SELECT issue_day, valid, cluster_id, max(v) FILTER (variable = 't2m') AS t2m, max(v) FILTER (variable = 'ghi') AS ghi, minute(valid) = 0 AS hourly FROM r
+WHERE valid >= issue_day::TIMESTAMP + INTERVAL 23 HOUR AND valid < issue_day::TIMESTAMP + INTERVAL 47 HOUR GROUP BY 1, 2, 3""")
 def a6(spark, d):
-    """Hourly cluster values landed by issue day and run, read with partition pruning and clipped to the delivery day."""
-    c = clusters(spark, d)
-    landed = c.select(F.col("ts").cast("date").alias("issue_day"), (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("run"), T.plus(F.col("ts"), days=1).alias("valid"), "cluster_id", "v")
-    read = S.write_partitions(landed, S.shared_folder(spark), "issue_day", "run")
-    day = F.date_add("issue_day", 1)
-    chosen = read.where((F.col("run") == 6) & (F.col("issue_day") >= F.lit("2024-01-10").cast("date")))
-    inside = (F.col("valid") >= T.day_start(day)) & (F.col("valid") < T.next_day_start(day))
-    return out(chosen.where(inside), ["issue_day", "run", "valid", "cluster_id"], "v")
+    """Forecast folders by issue day and run: pruned, without skipped days, flux stamps moved to the step's begin, variables merged by time, clipped to the delivery day."""
+    q = table(spark, d, "events").groupBy(T.bucket(F.col("ts")).alias("ts"), (F.col("user_id") % 8).cast("int").alias("cluster_id")).agg(F.round(F.avg("value"), 4).alias("v"))
+    flux = q.select(F.lit("ghi").alias("variable"), "ts", T.plus(F.col("ts"), mins=15).alias("stamp"), "cluster_id", "v")  # a flux lands with the end of its step
+    state = clusters(spark, d).select(F.lit("t2m").alias("variable"), "ts", F.col("ts").alias("stamp"), "cluster_id", "v")
+    landed = flux.unionByName(state).select("variable", F.col("ts").cast("date").alias("issue_day"), (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("run"), T.plus(F.col("stamp"), days=1).alias("stamp"), "cluster_id", "v")
+    return S.issue_folders(S.write_partitions(landed, S.shared_folder(spark), "issue_day", "run"), 6, "2024-01-10", _SKIPPED, ["t2m"], ["ghi"])
 
 
 @query("A7_variable_aliases", "SELECT event_type AS raw, CASE event_type WHEN 'click' THEN 't2m' WHEN 'view' THEN 'ghi' WHEN 'error' THEN 'u10' ELSE lower(event_type) END AS variable, count(*) AS n FROM events GROUP BY 1, 2")
@@ -58,16 +64,17 @@ def a7(spark, d):
     return table(spark, d, "events").groupBy(raw.alias("raw"), F.coalesce(names[raw], X.label(raw)).alias("variable")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A8_yearly_union", """WITH y AS (SELECT year(o_orderdate) AS y, o_orderdate AS ts, avg(o_totalprice) AS price, count(*) AS n FROM orders GROUP BY 1, 2)
-SELECT ts, round(price, 4) AS price, n FROM y WHERE y <= 1998""")
+@query("A8_yearly_union", """WITH p AS (SELECT year(o_orderdate) AS y, o_orderdate AS ts, avg(o_totalprice) AS price FROM orders GROUP BY 1, 2), s AS (SELECT year(l_shipdate) AS y, l_shipdate AS ts, avg(l_quantity) AS wind FROM lineitem GROUP BY 1, 2)
+SELECT coalesce(p.ts, s.ts) AS ts, round(price + 1e-9, 4) AS price, round(wind + 1e-9, 4) AS wind FROM p FULL JOIN s ON p.y = s.y AND p.ts = s.ts""")
 def a8(spark, d):
-    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), T.utc(F.col("o_orderdate")).alias("ts"), "o_totalprice").where("y <= 1998")
-    price, n = o.groupBy("y", "ts").agg(F.avg("o_totalprice").alias("price")), o.groupBy("y", "ts").agg(F.count(F.lit(1)).alias("n"))
-    both = G.keep_last(price.join(n, ["y", "ts"]), ["ts"], "y", first=True)
-    return both.select("ts", rounded(F.col("price"), 4).alias("price"), "n")
+    """Two directories of yearly tables, one per variable: all years of each, joined by time; the first of equal times stays."""
+    o = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y"), T.utc(F.col("o_orderdate")).alias("ts")).agg(F.avg("o_totalprice").alias("price"))
+    li = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y"), T.utc(F.col("l_shipdate")).alias("ts")).agg(F.avg("l_quantity").alias("wind"))
+    parts = [G.keep_last(S.write_partitions(x, S.shared_folder(spark), "y"), ["ts"], "y", first=True).drop("y") for x in (o, li)]
+    return parts[0].join(parts[1], "ts", "full_outer").select("ts", rounded_up(F.col("price"), 4).alias("price"), rounded_up(F.col("wind"), 4).alias("wind"))
 
 
-@query("A9_registry_xml")
+@query("A9_registry_xml", "SELECT s_suppkey AS id, s_nationkey::INTEGER AS nation, round(abs(s_acctbal) * 10 / 1000, 6) AS mw, s_nationkey % 5 = 0 AS offshore FROM supplier WHERE s_nationkey < 20 AND s_acctbal <> 0")
 def a9(spark, d):
     """Units landed as XML, read by row tag, filtered and converted from kW to MW."""
     path = S.shared_folder(spark)
@@ -92,36 +99,56 @@ def a12(spark, d):
     return out(s.join(short, "day", "left").withColumn("refreshed", F.coalesce("refreshed", F.lit(False))), ["ts"], "v", "refreshed")
 
 
-@query("A14_request_cache")
+@query("A14_request_cache", f"WITH {AREAS} SELECT area, {DAY} AS day, ts, round(v, 6) AS v, area = 'click' AND {DAY} <= DATE '2024-01-12' AS hit FROM areas WHERE area IN ('click', 'view') AND {DAY} BETWEEN DATE '2024-01-08' AND DATE '2024-01-20'")
 def a14(spark, d):
-    """A Parquet cache keyed by area and day; one request reads one partition."""
+    """A cache keyed by area and day: one request fills it, a second finds some of its keys there and fetches the rest."""
     a = areas(spark, d).withColumn("day", T.local_day(F.col("ts")))
-    cache = S.write_partitions(a, S.shared_folder(spark), "area", "day")
-    return out(cache.where("area = 'click'").where(F.col("day") == F.lit("2024-01-12").cast("date")), ["area", "day", "ts"], "v")
+    path, keys = S.shared_folder(spark), ["area", "day"]
+    wanted = lambda names, lo, hi: a.where(F.col("area").isin(names) & F.col("day").between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))).select(*keys).distinct()
+    fetch = lambda missing: a.join(missing, keys, "left_semi")
+    S.request(spark, path, wanted(["click"], "2024-01-01", "2024-01-12"), keys, fetch)
+    return out(S.request(spark, path, wanted(["click", "view"], "2024-01-08", "2024-01-20"), keys, fetch), [*keys, "ts"], "v", "hit")
 
 
 @query("A16_allow_list", "SELECT o_orderkey, o_orderstatus FROM orders")
 def a16(spark, d):
+    """The columns that a file allows for a target, under one of its names."""
+    path = S.shared_folder(spark)
+    lines = ["# target, feature", "wind, o_orderkey", "solar, o_totalprice", "wind, not_there", "", "*, o_orderstatus"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     o = table(spark, d, "orders")
-    return o.select(*[c for c in ("o_orderkey", "not_there", "o_orderstatus") if c in o.columns])
+    return o.select(*[c for c in S.allow_list(spark, path, "wind_onshore", {"wind_onshore": "wind"}) if c in o.columns])
 
 
-@query("A17_output_bundle")
+@query("A17_output_bundle", f"""WITH {PANEL}, e AS (SELECT model, strftime({LOCAL}, '%Y-%m') AS month, y_pred - y_true AS e FROM panel),
+m AS (SELECT model, month AS period, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, count(*) AS n FROM e GROUP BY 1, 2 UNION ALL SELECT model, 'full', avg(abs(e)), sqrt(avg(e * e)), avg(e), count(*) FROM e GROUP BY 1)
+SELECT model, period, round(mae, 5) AS mae, round(rmse, 5) AS rmse, round(bias, 5) AS bias, n AS n_obs, n AS forecast_rows, 'naive' AS experiment, (SELECT count(DISTINCT {DAY}) FROM panel) AS runtime_rows FROM m""")
 def a17(spark, d):
-    """Forecast rows by month, written and read back with their counts."""
-    s = series(spark, d).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    back = S.write_partitions(s, S.shared_folder(spark), "month")
-    return back.groupBy("month").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("v"), 3).alias("total"))
-
-
-@query("A18_metadata_row")
+    """Forecast by month, runtime rows, metrics full and by month, and the configuration, written as one bundle and read back."""
+    p = panel(spark, d)
+    runtime = p.select(T.local_day(F.col("ts")).alias("day")).distinct().withColumn("seconds", F.lit(0.0))
+    b = S.write_bundle(p.withColumn("month", F.date_format(T.local(F.col("ts")), "yyyy-MM")), runtime, E.monthly_metrics(p).withColumnRenamed("month", "period"), {"experiment": "naive", "days": [1, 7]}, S.shared_folder(spark))
+    counts = b["forecast"].groupBy("model", F.col("month").alias("period")).agg(F.count(F.lit(1)).alias("forecast_rows"))
+    counts = counts.unionByName(b["forecast"].groupBy("model").agg(F.count(F.lit(1)).alias("forecast_rows")).withColumn("period", F.lit("full")))
+    days = b["runtime"].agg(F.count(F.lit(1)).alias("runtime_rows"))
+    found = b["metrics"].join(counts, ["model", "period"]).crossJoin(F.broadcast(b["config"].select("experiment"))).crossJoin(F.broadcast(days))  # one row each
+    return found.select("model", "period", *[rounded(F.col(c), 5).alias(c) for c in ("mae", "rmse", "bias")], "n_obs", "forecast_rows", "experiment", "runtime_rows")
+
+
+@query("A18_metadata_row", f"WITH {AREAS} SELECT area, round(sum(v), 3) AS total, count(*) AS rows, (SELECT count(*) FROM areas) AS table_rows, (SELECT min(ts) FROM areas) AS \"start\", (SELECT max(ts) FROM areas) AS \"end\", (SELECT count(DISTINCT area) FROM areas) AS areas FROM areas GROUP BY area")
 def a18(spark, d):
-    """One JSON metadata row of a feature table."""
-    m = areas(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.min("ts").cast("string").alias("start"), F.max("ts").cast("string").alias("end"), F.sort_array(F.collect_set("area")).alias("areas"))
-    return m.select(F.to_json(F.struct("*")).alias("metadata"))
+    """A feature table by area with a summary beside it and one JSON row of metadata, all read back."""
+    path = S.shared_folder(spark)
+    a = S.write_partitions(areas(spark, d), f"{path}/features", "area")
+    a.groupBy("area").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("rows")).write.csv(f"{path}/summary", header=True)
+    m = a.agg(F.count(F.lit(1)).alias("table_rows"), F.min("ts").cast("string").alias("start"), F.max("ts").cast("string").alias("end"), F.size(F.collect_set("area")).cast("long").alias("areas"))
+    m.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/metadata")
+    meta = spark.read.schema("table_rows long, start timestamp_ntz, end timestamp_ntz, areas long").json(f"{path}/metadata")
+    summary = spark.read.schema("area string, total double, rows long").csv(f"{path}/summary", header=True)
+    return summary.crossJoin(F.broadcast(meta)).withColumn("total", rounded(F.col("total"), 3))  # one row of metadata
 
 
-@query("A19_cell_map")
+@query("A19_cell_map", f"WITH {CLUSTERS} SELECT 'v' AS variable, cluster_id, count(*) AS n, round(avg(v), 4) AS mean FROM clusters GROUP BY 2")
 def a19(spark, d):
     """Cell to cluster map and one aggregated series per variable, written by variable and day."""
     c = clusters(spark, d).select(F.lit("v").alias("variable"), F.col("ts").cast("date").alias("issue_day"), "ts", "cluster_id", "v")
@@ -131,19 +158,24 @@ def a19(spark, d):
 
 @query("A22_reuse_or_rebuild", f"WITH {AREAS}, a AS (SELECT ts, v AS click FROM areas WHERE area = 'click'), b AS (SELECT ts, v AS purchase FROM areas WHERE area = 'purchase') SELECT ts, round(click, 6) AS click, round(purchase, 6) AS purchase FROM a FULL JOIN b USING (ts)")
 def a22(spark, d):
-    a = areas(spark, d)
-    stored = a.where("area = 'click'").select("ts", F.col("v").alias("click"))
-    if {"click", "purchase"} <= set(stored.columns):
-        return out(stored, ["ts"], "click", "purchase")
-    return out(stored.join(a.where("area = 'purchase'").select("ts", F.col("v").alias("purchase")), "ts", "full_outer"), ["ts"], "click", "purchase")
+    """A stored table that lacks a column is rebuilt by an outer join; the next call reuses it."""
+    a, path, columns = areas(spark, d), S.shared_folder(spark), ["ts", "click", "purchase"]
+    part = lambda k: a.where(F.col("area") == k).select("ts", F.col("v").alias(k))
+    part("click").write.parquet(path)
+    build = lambda: part("click").join(part("purchase"), "ts", "full_outer")
+    _, reused = S.reuse_or_build(spark, path, columns, build)
+    found, again = S.reuse_or_build(spark, path, columns, build)
+    if reused or not again:
+        raise RuntimeError("the first call builds and the second reuses")
+    return out(found, ["ts"], "click", "purchase")
 
 
-_PRODUCTS = "prod AS (SELECT o_orderdate::DATE AS day, CASE o_orderstatus WHEN 'F' THEN 'POS' ELSE 'NEG' END AS direction, (o_orderkey % 6)::INTEGER * 4 AS h, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01')"
+_PRODUCTS = "prod AS (SELECT o_orderdate::DATE AS day, CASE o_orderstatus WHEN 'F' THEN 'POS' ELSE 'NEG' END AS direction, (o_orderkey % 6)::INTEGER * 4 AS h, o_totalprice AS price FROM orders)"
 
 
 def products(spark, d):
     """day, product (like POS_04_08), price as German text."""
-    o = table(spark, d, "orders").where("o_orderdate < TIMESTAMP_NTZ '1995-03-01 00:00:00'")
+    o = table(spark, d, "orders")
     h = (F.col("o_orderkey") % 6).cast("int") * 4
     name = F.format_string("%s_%02d_%02d", F.when(F.col("o_orderstatus") == "F", "POS").otherwise("NEG"), h, h + 4)
     return o.select(F.col("o_orderdate").cast("date").alias("day"), name.alias("product"), F.regexp_replace(F.format_string("%.2f", "o_totalprice"), "\\.", ",").alias("price"))
@@ -158,7 +190,12 @@ def b16(spark, d):
     return w.select("day", "mtu", rounded(F.col("POS"), 2).alias("pos"), rounded(F.col("NEG"), 2).alias("neg"))
 
 
-@query("B17_publication_time", f"WITH {_PRODUCTS} SELECT DISTINCT day, direction, day::TIMESTAMP - INTERVAL 1 DAY + CASE direction WHEN 'POS' THEN INTERVAL 8 HOUR ELSE INTERVAL 9 HOUR END AS published FROM prod")
+_LAST_SUNDAY = "make_date(year(day - 1), {0}) - dayofweek(make_date(year(day - 1), {0}))::INTEGER"
+# Summer time ended in September up to 1995.
+_SUMMER = f"day - 1 >= {_LAST_SUNDAY.format('3, 31')} AND day - 1 < CASE WHEN year(day - 1) <= 1995 THEN {_LAST_SUNDAY.format('9, 30')} ELSE {_LAST_SUNDAY.format('10, 31')} END"
+
+
+@query("B17_publication_time", f"WITH {_PRODUCTS} SELECT DISTINCT day, direction, day::TIMESTAMP - INTERVAL 1 DAY + CASE direction WHEN 'POS' THEN INTERVAL 8 HOUR ELSE INTERVAL 9 HOUR END - CASE WHEN {_SUMMER} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS published FROM prod")
 def b17(spark, d):
     times = F.when(F.col("direction") == "POS", 9).otherwise(10)  # local clock hours on the day before
     p = products(spark, d).select("day", F.substring("product", 1, 3).alias("direction")).distinct()

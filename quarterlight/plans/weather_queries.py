@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as H
 from ..functions import time as T
-from ..functions.numeric import clip, rounded, safe_ratio
+from ..functions.numeric import clip, rounded, rounded_up, safe_ratio
 from ..operators import weather as W
 from .frames import AREAS, CLUSTERS, DAY, LOCAL, SERIES, areas, clusters, out, query, series
 
@@ -101,12 +101,12 @@ def e9(spark, d):
 
 
 @query("E10_model_levels", f"""WITH {WEATHER}, l AS (SELECT ts, region, level, sum(cap * speed * (1 + level / 10)) / sum(cap) AS m FROM weather, (VALUES (1), (2), (3)) t(level) GROUP BY 1, 2, 3)
-SELECT ts, region, level, round(m, 6) AS m, round(m - lag(m) OVER w, 6) AS diff, round(m / lag(m) OVER w, 6) AS ratio FROM l WINDOW w AS (PARTITION BY ts, region ORDER BY level)""")
+SELECT ts, region, level, round(m + 1e-9, 6) AS m, round(m - lag(m) OVER w + 1e-9, 6) AS diff, round(m / lag(m) OVER w + 1e-9, 6) AS ratio FROM l WINDOW w AS (PARTITION BY ts, region ORDER BY level)""")
 def e10(spark, d):
     x = weather(spark, d).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     g = x.groupBy("ts", "region", "level").agg(W.mean0(F.col("speed") * (1 + F.col("level") / 10), F.col("cap")).alias("m"))
     before = F.lag("m").over(Window.partitionBy("ts", "region").orderBy("level"))
-    return g.select("ts", "region", "level", rounded(F.col("m")).alias("m"), rounded(F.col("m") - before).alias("diff"), rounded(F.col("m") / before).alias("ratio"))
+    return g.select("ts", "region", "level", rounded_up(F.col("m")).alias("m"), rounded_up(F.col("m") - before).alias("diff"), rounded_up(F.col("m") / before).alias("ratio"))
 
 
 @query("E11_cluster_proxies", f"WITH {WEATHER} SELECT ts, cluster_id, round(cap * {curve('speed')}, 6) AS wind, round(cap * ghi / 1000, 6) AS solar FROM weather")
@@ -142,9 +142,10 @@ def e18(spark, d):
     return n.groupBy("ts", "region").agg(rounded(W.available_mean(F.col("x"), F.col("cap"))).alias("t2m"))
 
 
-@query("E19_spread", f"WITH {WEATHER} SELECT ts, round(avg(t2m), 6) AS mean, round(min(t2m), 6) AS min, round(max(t2m), 6) AS max, round(max(t2m) - min(t2m), 6) AS range, round(stddev_samp(t2m), 5) AS std, round(quantile_cont(t2m, 0.1), 6) AS p10, round(quantile_cont(t2m, 0.9), 6) AS p90 FROM weather GROUP BY 1")
+@query("E19_spread", f"WITH {WEATHER} SELECT ts, round(avg(t2m) + 1e-9, 6) AS mean, round(min(t2m) + 1e-9, 6) AS min, round(max(t2m) + 1e-9, 6) AS max, round(max(t2m) - min(t2m) + 1e-9, 6) AS range, round(stddev_samp(t2m) + 1e-9, 5) AS std, round(quantile_cont(t2m, 0.1) + 1e-9, 6) AS p10, round(quantile_cont(t2m, 0.9) + 1e-9, 6) AS p90 FROM weather GROUP BY 1")
 def e19(spark, d):
-    return out(W.spread(weather(spark, d), ["ts"], "t2m"), ["ts"], "mean", "min", "max", "range", "std", "p10", "p90").withColumn("std", rounded(F.col("std"), 5))
+    s = W.spread(weather(spark, d), ["ts"], "t2m")
+    return s.select("ts", *[rounded_up(F.col(c), 5 if c == "std" else 6).alias(c) for c in ("mean", "min", "max", "range", "std", "p10", "p90")])
 
 
 @query("E20_weighted_quantiles", f"""WITH {WEATHER}, c AS (SELECT ts, t2m, sum(cap) OVER (PARTITION BY ts ORDER BY t2m, cluster_id ROWS UNBOUNDED PRECEDING) AS cum, sum(cap) OVER (PARTITION BY ts) AS total FROM weather)
