@@ -1,15 +1,20 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-log P(w | h) = log P(class(w) | h) + log P(w | class(w)). The class factor is a softmax
-whose features are hashed: a bias, the previous class (bigram), the class before it
-(skip) and the pair (trigram). The word factor has the add-one unigram feature, whose
-optimum is a ratio of counts. Frequent words are classes of their own; others are
-classed by their ending.
-
-All training text is counted: word counts and (context, class) counts are summed per
-task before their shuffle. Gradient updates run over the context counts in distributed
-jobs. A bounded number of frequent words goes to the tasks with their counts; all other
-words get theirs through a join, so that no table of unbounded size is broadcast.
+log P(w | h) = log P(class | h) + log P(slot | class, h) + log P(w | class, slot). Each of the
+first two factors is a softmax over 32 outcomes whose features are hashed contexts of words: the
+previous word (bigram), the word before it (skip) and both (trigram). A context's row of a
+hashed table tells how often each outcome followed it in all training text; the feature's value for an
+outcome is the log of that smoothed count over the outcome's own share, and the features'
+weights, one for each kind and size of row, are trained by Newton steps on the conditional likelihood. Each
+update is one distributed job over a part of the training texts, whose own counts are left out
+of the table, so that rare contexts are not trusted more than they deserve; every text is in one part.
+Frequent words have a slot of their own; others share slots by ending and hash, and the word
+factor inside a slot is the add-one unigram.
+
+All training text is counted: word counts and table cells are summed per task before their
+shuffle, the table as compressed blocks, which are added up block by block. The table has a fixed
+number of cells, so what goes to the tasks is bounded; words beyond a bounded number of
+frequent ones get their counts through a join.
 """
 
 from __future__ import annotations
@@ -21,31 +26,33 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, materialize, slices
 from .simhash import LOWER
 
 #: Frequent words whose counts travel with the tasks; the others are joined.
 FREQUENT = 100_000
-#: Classes: frequent words with an own class, then classes by ending, then the end of a text.
-OWN, CLASSES = 31, 64
-END = CLASSES - 1
+#: Outcomes of either factor; words with a slot of their own; the class of the end of a text.
+WIDTH, OWN = 32, 480
+END = WIDTH - 1
 ENDING = 3
-#: Rows of the hashed weight table, gradient updates, and the ridge added to their curvature.
-BUCKETS, UPDATES, RIDGE = 4096, 12, 1.0
+#: Hashed rows, in powers of two, of the bigram, skip and trigram features of the class factor and of the slot factor.
+ROW_BITS = ((14, 14, 16), (15, 15, 17))
+#: Smoothing counts of a row; gradient updates; ridge towards the first weight of every feature.
+SMOOTH, UPDATES, RIDGE, FIRST = 1.0, 4, 10.0, 0.4
+#: Row sizes from which a feature has another weight.
+SIZES = (1, 2, 4, 8, 32, 128, 1024)
 FLUSH = 400_000
-#: Other words whose class a task remembers.
-REMEMBERED = 200_000
+#: Other words whose group a task remembers.
+REMEMBERED = 150_000
+#: Cells of a block in which the table is added up, tokens that are worked on at once.
+BLOCK, STEP = 1 << 15, 1 << 14
+END_HASH = 0x9E3779B9
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(LOWER).split()
 
 
-def ending_class(word: bytes) -> int:
-    """Class of a word that has none of its own, by its last bytes without punctuation."""
-    return OWN + zlib.crc32(word.strip(b".,;:!?#*$%&|<>()\"'")[-ENDING:]) % (CLASSES - 1 - OWN)
-
-
 def _sums(rows: DataFrame, gather, schema: str, to_arrays) -> DataFrame:
     """Per-task sums of what ``gather`` adds for each text, flushed when they grow large."""
 
@@ -53,7 +60,7 @@ def _sums(rows: DataFrame, gather, schema: str, to_arrays) -> DataFrame:
         import pyarrow as pa
 
         sums: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0):
                 gather(sums, t.as_py())
                 if len(sums) > FLUSH:
@@ -76,102 +83,191 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return _sums(rows, gather, "word binary, c long", arrays).groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def other_group(word: bytes) -> int:
+    """class * WIDTH + slot of a word without a slot of its own: class by its last bytes without punctuation, slot by hash."""
+    first = OWN // WIDTH
+    return (first + zlib.crc32(word.strip(b".,;:!?#*$%&|<>()\"'")[-ENDING:]) % (END - first)) * WIDTH + zlib.crc32(word, 7) % WIDTH
+
+
 class Words(dict):
-    """word -> its place among the frequent words, or -1 - class; filled on demand up to REMEMBERED entries."""
+    """word -> its place among the frequent words, or a negative code of its group and hash; filled on demand up to REMEMBERED entries."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], end: int):
-        super().__init__((w, i) for i, (w, _) in enumerate(frequent))
-        counts = np.array([c for _, c in frequent], float)
-        self.log_count = np.log10(counts + 1)
-        self.cls = np.array([i if i < OWN else ending_class(w) for i, (w, _) in enumerate(frequent)] or [0], np.int64)
-        self.log_end, self.end_known = float(np.log10(end + 1)), int(end > 0)
+    def __init__(self, joined: bytes, counts: np.ndarray, end: int):
+        known = joined.split(b"\n") if len(counts) else []
+        super().__init__((w, i) for i, w in enumerate(known))
+        self.log_count = np.log10(counts + 1.0)
+        self.group = np.array([i if i < OWN else other_group(w) for i, w in enumerate(known)] or [0], np.int64)
+        self.hash = np.array([zlib.crc32(w) for w in known] or [0], np.int64)
+        self.log_end, self.end_known, self.most = float(np.log10(end + 1)), int(end > 0), len(known) + REMEMBERED
 
     def __missing__(self, word: bytes) -> int:
-        value = -1 - ending_class(word)
-        if len(self) < FREQUENT + REMEMBERED:
+        value = -1 - (other_group(word) << 32 | zlib.crc32(word))
+        if len(self) < self.most:
             self[word] = value
         return value
 
-    def classes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the frequent words (negative: none) and class of each word."""
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place among the frequent words (negative: none), group and hash of each word."""
         at = np.array(list(map(self.__getitem__, words)), np.int64)
-        return at, np.where(at >= 0, self.cls[np.maximum(at, 0)], -1 - at)
+        code, place = -1 - at, np.maximum(at, 0)
+        return at, np.where(at >= 0, self.group[place], code >> 32), np.where(at >= 0, self.hash[place], code & 0xFFFFFFFF)
 
 
-def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """All words with a count over the lowest bar that at most ``most`` words reach, by count."""
-    words = counts.where("word IS NOT NULL")
-    bar, total = None, 0
-    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most).collect():  # one row a count
-        total += r["n"]
-        if total > most:
-            break
-        bar = r["c"]
-    found = words.where(F.col("c") >= bar).collect() if bar is not None else []
-    return sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+def _rows(kind: int, x: np.ndarray, bits: int) -> np.ndarray:
+    """Row of each context hash, by multiplication."""
+    x = (x + np.uint64(kind + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def contexts(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context number and class of every token of a text, its end included."""
-    c = np.concatenate((cls, [END]))
-    before = np.concatenate(([END], c[:-1]))
-    skip = np.concatenate(([END], before[:-1]))
-    return skip * CLASSES + before, c
+#: First row of each feature of each factor in the table, and the rows of the whole table.
+OFFSETS, ROWS = [], 0
+for _bits in ROW_BITS:
+    OFFSETS.append([ROWS + sum(1 << b for b in _bits[:k]) for k in range(len(_bits))])
+    ROWS += sum(1 << b for b in _bits)
 
 
-def feature_rows() -> np.ndarray:
-    """Rows of the weight table that each context's four features hash to."""
-    n = np.arange(CLASSES * CLASSES, dtype=np.uint64)
-    skip, before = n // CLASSES, n % CLASSES
-    mix = lambda kind, x: ((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0xC2B2AE3D27D4EB4F % 2**64)) >> np.uint64(40)) % np.uint64(BUCKETS)
-    return np.stack([mix(1, n * 0), mix(2, before), mix(3, skip), mix(4, n)], axis=1).astype(np.int64)
+def table_rows(group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the table that the features of each token stand in (factor, feature, token), and the token's class and slot.
 
+    ``first`` tells which tokens begin a text; before a text stands its end.
+    """
+    h = hashes.astype(np.uint64)
+    end = np.uint64(END_HASH)
+    before = np.where(first, end, np.roll(h, 1))
+    second = np.roll(first, 1) & ~first
+    skip = np.where(first | second, end, np.roll(h, 2))
+    contexts = (before, skip, before * np.uint64(0xC2B2AE3D27D4EB4F) + skip)
+    cls, slot = group // WIDTH, group % WIDTH
+    inner = cls.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    rows = [[OFFSETS[0][k] + _rows(k, x, ROW_BITS[0][k]) for k, x in enumerate(contexts)], [OFFSETS[1][k] + _rows(8 + k, x ^ inner, ROW_BITS[1][k]) for k, x in enumerate(contexts)]]
+    return np.array(rows), cls, slot
+
+
+def read_texts(model: Words, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """Places, groups, hashes and text beginnings of all tokens of some texts, each text's end included, and the words."""
+    words = [tokens(t) for t in texts]
+    flat = [w for own in words for w in own]
+    at, group, hashes = model.read(flat)
+    lengths = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(lengths)
+    put = lambda x, v: np.insert(x, ends, v)
+    first = np.zeros(len(flat) + len(words), bool)
+    first[np.concatenate(([0], (np.cumsum(lengths + 1))[:-1])) if len(words) else []] = True
+    return put(at, -1), put(group, END * WIDTH), put(hashes, END_HASH), first, lengths, words
+
+
+def add_tables(blocks: DataFrame, partitions: int) -> DataFrame:
+    """block, data: the blocks of all tasks added up; with very many tasks, in two rounds."""
+
+    def add(batches):
+        import pyarrow as pa
+        import zstandard
 
-def class_log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows].sum(axis=1)
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                own = np.frombuffer(zstandard.decompress(data.as_py()), np.int64)
+                if at in sums:
+                    sums[at] += own
+                else:
+                    sums[at] = own.copy()
+        for at, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["block", "data"])
 
+    schema = "block int, data binary"
+    if partitions > 256:
+        blocks = blocks.repartition("block", F.spark_partition_id() % 64).select("block", "data").mapInArrow(add, schema)
+    return blocks.repartition("block").select("block", "data").mapInArrow(add, schema)
 
-def train(cells: DataFrame) -> np.ndarray:
-    """Natural-log class probabilities for every context, from (context, class, n) counts.
 
-    Each update is one job: tasks compute the gradient and the diagonal curvature of their
-    contexts and the driver adds them up. A context touches four rows, so what comes back is
-    bounded by 4 * CLASSES**2 rows of 1 kB, whatever the corpus and the partitions.
-    """
-    rows = feature_rows()
-    grouped = cells.groupBy("context").agg(F.collect_list(F.struct("cls", "n")).alias("counts"))  # CLASSES entries at most
-    grouped = materialize(grouped.repartition(8, "context"))
-    weights = np.zeros((BUCKETS, CLASSES))
+def prepare(counts: np.ndarray, groups: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
+    """The model's arrays: log shares of classes and of slots in a class, log ratios by row (float32) and size bucket of each row.
 
-    def gradient(current: np.ndarray):
-        def run(batches):
-            import pyarrow as pa
+    ``groups``: training tokens of each class and slot. Slots that hold no word have no share.
+    """
 
-            g, h, used = np.zeros((BUCKETS, CLASSES)), np.zeros((BUCKETS, CLASSES)), np.zeros(BUCKETS, bool)
-            for b in batches:
-                for r in b.to_pylist():
-                    own = rows[r["context"]]
-                    seen = np.zeros(CLASSES)
-                    for x in r["counts"]:
-                        seen[x["cls"]] += x["n"]
-                    p = np.exp(class_log_probabilities(current, own[None, :])[0])
-                    g[own] += seen - seen.sum() * p
-                    h[own] += seen.sum() * p * (1 - p)
-                    used[own] = True
-            at = np.flatnonzero(used)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([g[i].tobytes() for i in at], pa.binary()), pa.array([h[i].tobytes() for i in at], pa.binary())], ["row", "g", "h"])
+    def log_share(n: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        own = np.where(ok, n + 1.0, 0.0)
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(own / np.maximum(own.sum(axis=-1, keepdims=True), 1e-300)), -1e30)
+
+    q1, q2 = log_share(groups.sum(axis=1), valid.any(axis=1)), log_share(groups, valid)
+    ratio = np.zeros(counts.shape, np.float32)
+    cut = OFFSETS[1][0]
+    s1 = np.exp(q1)
+    ratio[:cut, s1 > 0] = np.log((counts[:cut, s1 > 0] + SMOOTH * s1[s1 > 0]) / s1[s1 > 0])
+    # A row of the slot factor belongs to contexts of any class, so its counts are compared with equal shares.
+    ratio[cut:] = np.log((counts[cut:] + SMOOTH / WIDTH) * WIDTH)
+    return {"q1": q1, "q2": q2, "ratio": ratio, "size": np.searchsorted(np.array(SIZES), counts.sum(axis=1), side="right").astype(np.int8)}
+
+
+def factor_scores(model: dict, weights: np.ndarray, factor: int, rows: np.ndarray, cls: np.ndarray, outcome: np.ndarray):
+    """log softmax of all outcomes, feature values (feature, token, outcome) and weight numbers (feature, token) of one factor's tokens."""
+    f = model["ratio"][rows]
+    size = model["size"][rows].astype(np.int64)
+    number = np.arange(len(rows))[:, None] * (len(SIZES) + 1) + size
+    z = (model["q1"][None, :] if factor == 0 else model["q2"][cls]) + np.einsum("kt,kto->to", weights[factor][number].astype(np.float32), f)
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), f, number
+
+
+def token_scores(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | h) P(slot | class, h) for every token."""
+    rows, cls, slot = table_rows(group, hashes, first)
+    out = np.zeros(len(group))
+    for i in range(0, len(group), STEP):
+        part = slice(i, i + STEP)
+        for factor, outcome in enumerate((cls[part], slot[part])):
+            logs, _, _ = factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)
+            out[part] += logs[np.arange(len(outcome)), outcome]
+    return out
+
+
+PARAMETERS = len(ROW_BITS[0]) * (len(SIZES) + 1)
+
+
+def gradient_sums(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log likelihood by the weights of both factors."""
+    rows, cls, slot = table_rows(group, hashes, first)
+    kinds = len(ROW_BITS[0])
+    g, h = np.zeros((2, PARAMETERS)), np.zeros((2, PARAMETERS, PARAMETERS))
+    for i in range(0, len(group), STEP):
+        part = slice(i, i + STEP)
+        for factor, outcome in enumerate((cls[part], slot[part])):
+            logs, f, number = factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)
+            p = np.exp(logs).astype(np.float32)
+            mean = np.einsum("to,kto->kt", p, f)
+            g[factor] += np.bincount(number.ravel(), (f[:, np.arange(len(outcome)), outcome] - mean).ravel(), PARAMETERS)
+            for a in range(kinds):
+                weighed = p * f[a]
+                for b in range(a, kinds):
+                    cov = np.einsum("to,to->t", weighed, f[b]) - mean[a] * mean[b]
+                    cells = np.bincount(number[a] * PARAMETERS + number[b], cov, PARAMETERS**2).reshape(PARAMETERS, PARAMETERS)
+                    h[factor] += cells if a == b else cells + cells.T
+    return g, h
+
+
+def newton_step(weights: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Weights after one bounded step of both factors, with a ridge towards FIRST."""
+    out = weights.copy()
+    for factor in range(2):
+        step = np.linalg.solve(h[factor] + RIDGE * np.eye(PARAMETERS), g[factor] - RIDGE * (weights[factor] - FIRST))
+        out[factor] += np.clip(step, -0.5, 0.5)
+    return out
 
-        return run
 
-    for _ in range(UPDATES):
-        g, h = np.zeros_like(weights), np.full_like(weights, RIDGE)
-        for r in grouped.mapInArrow(gradient(weights), "row long, g binary, h binary").collect():
-            g[r["row"]] += np.frombuffer(r["g"])
-            h[r["row"]] += np.frombuffer(r["h"])
-        weights = weights + np.clip((g - 0.01 * RIDGE * weights) / (rows.shape[1] * h), -2, 2)
-    return class_log_probabilities(weights, rows)
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """All words with a count over the lowest bar that at most ``most`` words reach, by count."""
+    words = counts.where("word IS NOT NULL")
+    bar, total = None, 0
+    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most).collect():  # one row a count
+        total += r["n"]
+        if total > most:
+            break
+        bar = r["c"]
+    found = words.where(F.col("c") >= bar).collect() if bar is not None else []
+    return sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
 def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,65 +278,113 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
     rows nothing is known and base_score is 0. An empty table gives no rows. Other columns
     are not read.
     """
+    context = df.sparkSession.sparkContext
     out = fold(F.col("doc_id"), 7) == 2 if held_out is None else held_out
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     learning = own.where(~out)
     counts = materialize(word_counts(learning))
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("end")).first()
     n, v, end = totals["n"] or 0, totals["v"], totals["end"] or 0
-    shared = df.sparkSession.sparkContext.broadcast((frequent_words(counts, FREQUENT), end))  # FREQUENT words at most
+    frequent = frequent_words(counts, FREQUENT)  # FREQUENT words at most
+    shared = context.broadcast((b"\n".join(w for w, _ in frequent), np.array([c for _, c in frequent], np.int64), end))
     words = lambda: Words(*shared.value)  # noqa: E731  once a task
 
-    def class_totals(batches):
+    def group_totals(batches):
         import pyarrow as pa
 
         known = words()
-        sums, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        sums, kinds = np.zeros(WIDTH**2, np.int64), np.zeros(WIDTH**2, np.int64)
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k = END if w is None else i if 0 <= (i := known[w]) < OWN else ending_class(w)
+                i = -1 if w is None else known.get(w, -1)
+                k = END * WIDTH if w is None else i if 0 <= i < OWN else other_group(w)
                 sums[k] += c
                 kinds[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums), pa.array(kinds)], ["cls", "n", "v"])
-
-    mass = np.zeros(CLASSES)
-    for r in counts.mapInArrow(class_totals, "cls long, n long, v long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        alone = r["cls"] < OWN or r["cls"] == END  # a class of one word
-        mass[r["cls"]] = r["n"] + 1 if alone else r["n"] + r["v"] + 1
-    mass = np.log10(np.maximum(mass, 1))
+        at = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at]), pa.array(kinds[at])], ["grp", "n", "v"])
+
+    groups, mass = np.zeros(WIDTH**2), np.zeros(WIDTH**2)
+    mass[OWN : END * WIDTH] = 1  # an unknown word
+    for r in counts.mapInArrow(group_totals, "grp long, n long, v long").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # WIDTH**2 rows at most
+        groups[r["grp"]] = r["n"]
+        alone = r["grp"] < OWN or r["grp"] == END * WIDTH  # a slot of one word
+        mass[r["grp"]] = r["n"] + 1 if alone else r["n"] + r["v"] + 1
+    mass[END * WIDTH] = max(mass[END * WIDTH], 1)
+    valid, log_mass = (mass > 0).reshape(WIDTH, WIDTH), np.log10(np.maximum(mass, 1))
 
     def count_cells(batches):
         import pyarrow as pa
+        import zstandard
+
+        model, sums = words(), np.zeros(ROWS * WIDTH, np.int32)
+        for b in slices(batches, 64):
+            _, group, hashes, first, _, _ = read_texts(model, b.column(0).to_pylist())
+            rows, cls, slot = table_rows(group, hashes, first)
+            for factor, outcome in enumerate((cls, slot)):
+                np.add.at(sums, (rows[factor] * WIDTH + outcome).ravel(), 1)
+        for at in range(len(sums) // BLOCK):
+            part = sums[at * BLOCK : (at + 1) * BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(part.astype(np.int64).tobytes(), 1)], pa.binary())], ["block", "data"])
+
+    def table_of(texts: DataFrame) -> np.ndarray:
+        import zstandard
+
+        table = np.zeros(ROWS * WIDTH, np.float32)
+        added = add_tables(texts.mapInArrow(count_cells, "block int, data binary"), texts.rdd.getNumPartitions())
+        for r in added.collect():  # ROWS * WIDTH cells, whatever the corpus
+            table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
+        return table.reshape(ROWS, WIDTH)
+
+    model_of = lambda table: context.broadcast(prepare(table, groups.reshape(WIDTH, WIDTH), valid))
+
+    def gradient(weights: np.ndarray, others):
+        def run(batches):
+            import pyarrow as pa
 
-        model, sums = words(), np.zeros(CLASSES**3, np.int64)
-        for b in batches:
-            parts = [contexts(model.classes(tokens(t.as_py()))[1]) for t in b.column(0)]
-            if parts:
-                sums += np.bincount(np.concatenate([x * CLASSES + c for x, c in parts]), minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
+            model, known = others.value, words()
+            g, h = np.zeros((2, PARAMETERS)), np.zeros((2, PARAMETERS, PARAMETERS))
+            for b in slices(batches, 64):
+                _, group, hashes, first, _, _ = read_texts(known, b.column(0).to_pylist())
+                dg, dh = gradient_sums(model, weights, group, hashes, first)
+                g += dg
+                h += dh
+            flat = np.concatenate((g.ravel(), h.ravel()))
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["i", "x"])
 
-    cells = learning.select("text").mapInArrow(count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = train(cells.select(F.floor(F.col("cell") / CLASSES).alias("context"), (F.col("cell") % CLASSES).alias("cls"), "n"))
-    per_token = df.sparkSession.sparkContext.broadcast((table / np.log(10) - mass[None, :]).astype(np.float64))
+        return run
+
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(UPDATES))
+    parts = [learning.where(part == k).select("text") for k in range(UPDATES)]
+    tables = [table_of(x) for x in parts]
+    table = np.sum(tables, axis=0, dtype=np.float32)
+    weights = np.full((2, PARAMETERS), FIRST)
+    for own_texts, own_table in zip(parts, tables, strict=True):  # every training text takes part in one update
+        others = model_of(table - own_table)
+        flat = np.zeros(2 * PARAMETERS * (1 + PARAMETERS))
+        for r in own_texts.mapInArrow(gradient(weights, others), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # one row a parameter pair
+            flat[r["i"]] = r["x"]
+        others.destroy()
+        weights = newton_step(weights, flat[: 2 * PARAMETERS].reshape(2, -1), flat[2 * PARAMETERS :].reshape(2, PARAMETERS, PARAMETERS))
+    del tables
+    prepared = model_of(table)
 
     def run(batches):
         import pyarrow as pa
 
-        model, gain = words(), per_token.value
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for t in b.column(1):
-                found = tokens(t.as_py())
-                at, cls = model.classes(found)
-                context, c = contexts(cls)
-                known = at >= 0
-                rest = Counter(found[i] for i in np.flatnonzero(~known).tolist())
-                row = len(found) + 1, int(known.sum()) + model.end_known, float(model.log_count[at[known]].sum()) + model.log_end, float(gain[context, c].sum()), list(rest.items())
-                for x, y in zip(cols, row, strict=True):
-                    x.append(y)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_tokens", "known", "logs", "gain", "rest"])
+        model, known = prepared.value, words()
+        for b in slices(batches, 64):
+            at, group, hashes, first, lengths, found = read_texts(known, b.column(1).to_pylist())
+            gain = token_scores(model, weights, group, hashes, first) / np.log(10) - log_mass[group]
+            starts = np.flatnonzero(first)
+            logs = np.add.reduceat(np.where(at >= 0, known.log_count[np.maximum(at, 0)] if len(known.log_count) else 0.0, 0.0), starts) if len(starts) else np.zeros(0)
+            rest = [Counter(w for w, place in zip(own, at[s : s + len(own)].tolist(), strict=True) if place < 0) for own, s in zip(found, starts, strict=True)]
+            columns = [
+                (pa.int64(), lengths + 1), (pa.int64(), (np.add.reduceat((at >= 0).astype(np.int64), starts) if len(starts) else starts) + known.end_known), (pa.float64(), logs + known.log_end),
+                (pa.float64(), np.add.reduceat(gain, starts) if len(starts) else np.zeros(0)), (pa.map_(pa.binary(), pa.int64()), [list(c.items()) for c in rest]),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for k, x in columns]], ["doc_id", "n_tokens", "known", "logs", "gain", "rest"])
 
     scored = own.mapInArrow(run, "doc_id long, n_tokens long, known long, logs double, gain double, rest map<binary,bigint>")
     scored = materialize(scored).withColumn("row", F.monotonically_increasing_id())  # stable: the rows are written

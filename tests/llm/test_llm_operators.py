@@ -191,6 +191,23 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs, rows, empty):
     assert bpe.digest_documents(empty, spec).count() == 0
 
 
+def test_bpe_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    v = bpe.Vocabulary(open(tokenizer_file(), encoding="utf-8").read())
+    peaks = []
+    for unit in ("the quick brown fox, 1234 jumps! ", "abcdefghij"):  # with places to cut at, and one piece without any
+        for n in (100_000, 2_000_000):
+            raw = memoryview((unit * (n // len(unit))).encode())
+            encoder = bpe.Encoder(v)
+            tracemalloc.start()
+            count, _, text = bpe._digests(v, encoder.blocks(raw))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert count > n / 20 and text == hashlib.sha256(raw).hexdigest()
+    assert peaks[1] < peaks[0] + 3e6 and peaks[3] < 2.2 * 2_000_000 + 6e6  # a piece without a cut is one str; no ids are held
+
+
 def test_bpe_stream_equals_whole_merge():
     v = bpe.Vocabulary(open(tokenizer_file(), encoding="utf-8").read())
     rng = random.Random(2)
@@ -219,6 +236,97 @@ def test_language_model(docs, rows, empty, monkeypatch):
     assert all(r.n_known == 0 and r.base_score == 0 and r.train_tokens == 0 for r in alone)
 
 
+def small_model(texts):
+    """The model's arrays from counts made one token at a time."""
+    counts = collections.Counter(w for t in texts for w in language_model.tokens(t))
+    words = sorted(counts, key=lambda w: (-counts[w], w))
+    known = language_model.Words(b"\n".join(words), np.array([counts[w] for w in words]), len(texts))
+    table, groups = np.zeros((language_model.ROWS, language_model.WIDTH), np.float32), np.zeros((32, 32))
+    for t in texts:
+        _, group, hashes, first, _, _ = language_model.read_texts(known, [t])
+        r, cls, slot = language_model.table_rows(group, hashes, first)
+        for i in range(len(group)):
+            groups[cls[i], slot[i]] += 1
+            for k in range(3):
+                table[r[0][k][i], cls[i]] += 1
+                table[r[1][k][i], slot[i]] += 1
+    valid = np.zeros((32, 32), bool)
+    valid[15:31] = True
+    valid[31, 0] = True
+    for i in range(min(len(words), language_model.OWN)):
+        valid[i // 32, i % 32] = True
+    return known, counts, table, groups, valid, language_model.prepare(table, groups, valid)
+
+
+def test_language_model_is_a_softmax(monkeypatch):
+    monkeypatch.setattr(language_model, "STEP", 50)
+    rng = random.Random(6)
+    texts = [sentence(rng, rng.randint(0, 40)) for _ in range(30)] + [None, "odd word"]
+    known, counts, table, groups, valid, model = small_model(texts)
+    weights = np.random.default_rng(1).uniform(0.1, 0.9, (2, language_model.PARAMETERS))
+    _, group, hashes, first, lengths, _ = language_model.read_texts(known, [*texts, "never seen this"])
+    got = language_model.token_scores(model, weights, group, hashes, first)
+    rows, cls, slot = language_model.table_rows(group, hashes, first)
+    assert first.sum() == len(texts) + 1 and lengths.sum() + len(lengths) == len(group)
+    for i in [*range(0, len(group), 7), len(group) - 1]:
+        want = 0.0
+        for factor, (own, width) in enumerate(((cls[i], valid.any(axis=1)), (slot[i], valid[cls[i]]))):
+            share = groups.sum(axis=1) if factor == 0 else groups[cls[i]]
+            q = [(share[o] + 1) * bool(width[o]) for o in range(32)]
+            z = []
+            for o in range(32):
+                if not width[o]:
+                    continue
+                base = q[o] / sum(q)
+                x = math.log(base)
+                for k in range(3):
+                    row = table[rows[factor][k][i]]
+                    size = sum(row.sum() >= b for b in language_model.SIZES)
+                    even = base if factor == 0 else 1 / 32
+                    x += weights[factor][k * (len(language_model.SIZES) + 1) + size] * math.log((row[o] + even) / even)
+                z.append((o, x))
+            most = max(x for _, x in z)
+            want += dict(z)[own] - most - math.log(sum(math.exp(x - most) for _, x in z))
+        assert got[i] == pytest.approx(want, abs=2e-3)
+    # In any context the probabilities of all words, known and unknown, add up to one.
+    at = 5
+    total = 0.0
+    for g in np.flatnonzero(valid.ravel()):
+        group[at] = g
+        total += math.exp(language_model.token_scores(model, weights, group[: at + 1], hashes[: at + 1], first[: at + 1])[at])
+    assert total == pytest.approx(1, abs=1e-3)
+    shared = collections.Counter(language_model.other_group(w) for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))) if i >= language_model.OWN)
+    assert not shared  # here every word has a slot of its own, so its word factor is one
+
+
+def test_language_model_gradient():
+    rng = random.Random(8)
+    texts = [sentence(rng, 30) for _ in range(12)]
+    known, _, _, _, _, model = small_model(texts[:8])
+    _, group, hashes, first, _, _ = language_model.read_texts(known, texts[8:])
+    weights = np.full((2, language_model.PARAMETERS), 0.4)
+    g, h = language_model.gradient_sums(model, weights, group, hashes, first)
+    for factor, i in ((0, 0), (0, 3), (0, 10), (1, 1), (1, 17)):
+        moved = [weights.copy(), weights.copy()]
+        moved[0][factor, i] -= 0.05
+        moved[1][factor, i] += 0.05
+        low, high = (language_model.token_scores(model, w, group, hashes, first).sum() for w in moved)
+        assert g[factor, i] == pytest.approx((high - low) / 0.1, rel=0.02, abs=0.05)
+    assert (np.linalg.eigvalsh(h[0]) > -1e-2).all()
+    better = language_model.newton_step(weights, g, h)
+    assert language_model.token_scores(model, better, group, hashes, first).sum() > language_model.token_scores(model, weights, group, hashes, first).sum()
+
+
+def test_language_model_table_is_added_up(spark, docs):
+    blocks = [(i % 5, np.full(4, i, np.int64).tobytes()) for i in range(40)]
+    import zstandard
+
+    table = spark.createDataFrame([(b, zstandard.compress(x)) for b, x in blocks], "block int, data binary")
+    for partitions in (4, 1000):
+        got = {r.block: np.frombuffer(zstandard.decompress(r.data), np.int64).tolist() for r in language_model.add_tables(table, partitions).collect()}
+        assert got == {b: [sum(i for i in range(40) if i % 5 == b)] * 4 for b in range(5)}
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
@@ -251,6 +359,34 @@ def test_mixing(docs, rows, empty):
     assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in got)
 
 
+def test_mixing_keeps_every_text_of_an_id(spark):
+    """Null ids, one id with several texts, equal rows and two texts with one CRC-32 are told apart."""
+    a, b = "plumless words here", "buckeroo words here"
+    assert zlib.crc32(a[:8].encode()) == zlib.crc32(b[:8].encode())
+    rows = [(i, t, s, x) for s in ("x", None) for x in (1, 2) for i, t in ((None, a[:8]), (None, b[:8]), (1, a), (1, b), (2, "same"))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int").repartition(3)
+    want = collections.Counter()
+    for r in mixing.mix(df, share=2.0).collect():  # every row twice
+        want[r.doc_id, r.source, bytes(r.digest)] += r.copies
+    got = mixing.repeat_rows(df, share=2.0).collect()
+    assert collections.Counter((r.doc_id, r.source, hashlib.sha256(r.text.encode()).digest()) for r in got) == want
+    assert collections.Counter(map(tuple, got)) == collections.Counter({r: 2 * n for r, n in collections.Counter(rows).items()})
+
+
+CLASHES = ("_w", "_h", "_l", "_rules", "row", "_row", "_id", "id", "_crc", "_own", "_copy", "copies", "ranges", "key", "packed", "_k", "h1", "none", "first", "digest", "m")
+
+
+def test_stages_allow_any_column_names(spark, rows):
+    names = ", ".join(f"{c} int" for c in CLASHES)
+    own = [(r[0], r[1], r[3], *[i + j for j in range(len(CLASHES))]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(own, f"doc_id long, text string, source string, {names}").repartition(2)
+    known = {t[3]: t for t in own}
+    for stage in (rules.keep_good, simhash.keep_first, mixing.repeat_rows, lambda x: repeats.without_repeats(x, 120, 24)):
+        found = stage(df)
+        assert found.columns == df.columns
+        for r in found.collect():
+            assert (r.doc_id, *r[2:]) == (known[r["_w"]][0], *known[r["_w"]][2:]) or stage is simhash.keep_first
+
 def test_mixing_tilts_by_size(spark):
     sizes = {"few": ([1, 2, 3, 400, 5, 5, 90], 0.4), "many": ([7, 30, 30, 200, 0, 1000], 1.7), "deep": ([1] * 50 + [5000, 300], 1.9999), "full": ([4, 5], 2.0), "one": ([6, 6, 6], 0.5), None: ([3, 8, 40], 0.01)}
     hist = [(s, z, c) for s, (all_z, _) in sizes.items() for z, c in collections.Counter(all_z).items()]
