@@ -110,6 +110,40 @@ def _flat(parts: list, kind=np.int64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def repeated_samples(stored: DataFrame, length: int, gram: int) -> DataFrame:
+    """_h, _n: hashes of the grams that stand at two or more sampled places of the (key, packed) rows, and their number."""
+
+    def names(batches):
+        for b in slices(batches):
+            found = [zones(np.frombuffer(unpacked(x.as_py()), np.uint8), length, gram)[3].view(np.int64) for x in b.column(0)]
+            h, n = np.unique(_flat(found), return_counts=True)
+            yield _batch({"h": h, "n": n})
+
+    counted = stored.select("packed").mapInArrow(names, "h long, n long").groupBy("h").agg(F.sum("n").alias("_n"))
+    return materialize(counted.where("_n > 1").select(F.col("h").alias("_h"), "_n"))
+
+
+def shared_passages(stored: DataFrame, shortest: int = 240, gram: int = 128) -> DataFrame:
+    """key, n_passages for the rows that have any: sampled strings of ``gram`` bytes that also start elsewhere.
+
+    Places are sampled so that every passage of ``shortest`` bytes or more that also stands elsewhere holds one at least,
+    the same in all its copies; a text without a repeated string of ``gram`` bytes has none.
+    """
+
+    def names(batches):
+        for b in slices(batches):
+            keys, hashes = [], []
+            for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = zones(np.frombuffer(unpacked(data.as_py()), np.uint8), shortest, gram)[3].view(np.int64)
+                keys.append(np.full(len(h), key))
+                hashes.append(h)
+            yield _batch({"key": _flat(keys), "h": _flat(hashes)})
+
+    found = stored.select("key", "packed").mapInArrow(names, "key long, h long")
+    hits = join_hot(found, repeated_samples(stored, shortest, gram), {"h": "_h"}, "_n", ["key"])
+    return hits.groupBy("key").agg(F.count(F.lit(1)).alias("n_passages"))
+
+
 def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """key, ranges (list of first and last repeated start) for the (key, packed) rows that have any; keys are distinct."""
 
@@ -126,13 +160,14 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             yield _batch(dict(zip(("key", "lo", "hi", "m", "h", "u1", "u2"), map(_flat, out), strict=True)))
 
     found = stored.select("key", "packed").mapInArrow(find, "key long, lo long, hi long, m long, h long, u1 long, u2 long")
-    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("h").alias("_h"), "_n"))
+    often = repeated_samples(stored, length, gram)
     repeated = materialize(join_hot(found, often, {"h": "_h"}, "_n", ["key", "lo"]).drop("_h", "_n"))
     variants = materialize(repeated.groupBy("h", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("rep")))
     names = variants.where("n > 1").select(F.col("h").alias("_h"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"), F.col("n").alias("_n"))
     copied = join_hot(repeated, names, {"h": "_h", "u1": "_u1", "u2": "_u2"}, "_n", ["key", "lo"]).select("key", "lo", "hi")
     # Grams of which some zone stands alone beside others: one zone of each variant is looked into.
-    mixed = variants.groupBy("h").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("h")
+    # Aggregates are written before they are joined, so that adaptive execution can split a gram of very many variants.
+    mixed = materialize(variants.groupBy("h").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("h"))
     chosen = variants.join(mixed, "h").select("rep.*", (F.col("n") == 1).alias("alone"))
     wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "m", "alone")).alias("wanted")).withColumnRenamed("key", "_k")
 
@@ -149,15 +184,28 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     texts = stored.select("key", "packed").join(wanted, F.col("key") == F.col("_k")).select("key", "packed", "wanted")
     held = materialize(texts.mapInArrow(take, "key long, lo long, hi long, m long, alone boolean, data binary").dropDuplicates(["key", "lo"]))
 
+    def blocks(lo: int, hi: int, m: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Blocks of STEP offsets before the sampled place, and the bytes that all strings of a block share, from the zone's first byte."""
+        block = np.arange((m - hi) // STEP, (m - lo) // STEP + 1)
+        return block, (np.maximum(m - block * STEP, 0) - lo, m - (block + 1) * STEP + 1 + length - lo)
+
+    def core_names(batches):
+        for b in slices(batches, 2048):
+            out: list[list] = [[], []]
+            for lo, hi, m, alone, data in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "m", "alone", "data")), strict=True):
+                block, core = blocks(lo, hi, m)
+                c = _mixed(Hasher(np.frombuffer(data, np.uint8), 0).ranges(*core) + block.astype(np.uint64))
+                out[0].append(c.view(np.int64))
+                out[1].append(np.full(len(c), alone))
+            yield _batch({"core": _flat(out[0]), "alone": _flat(out[1], bool)})
+
     def pieces(batches):
         for b in slices(batches, 2048):
             out: list[list] = [[] for _ in range(8)]
             for key, lo, hi, m, alone, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = np.frombuffer(data, np.uint8)
-                block = np.arange((m - hi) // STEP, (m - lo) // STEP + 1)  # of offsets m - start
+                block, core = blocks(lo, hi, m)
                 start, end = np.maximum(m - (block + 1) * STEP + 1, lo), np.minimum(m - block * STEP, hi)
-                # All strings of a full block share these bytes; here they are counted from the zone's first byte.
-                core = np.maximum(m - block * STEP, 0) - lo, m - (block + 1) * STEP + 1 + length - lo
                 hashers = [Hasher(raw, k) for k in (0, 1, 2)]
                 c = _mixed(hashers[0].ranges(*core) + block.astype(np.uint64))
                 u = [x.ranges(start - lo, end - lo + length) for x in hashers[1:]]
@@ -166,14 +214,16 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             flat = [_flat(x, bool if i == 4 else np.int64) for i, x in enumerate(out)]
             yield _batch(dict(zip(("key", "zone", "lo", "hi", "alone", "core", "u1", "u2"), flat, strict=True)))
 
+    counted = held.mapInArrow(core_names, "core long, alone boolean").groupBy("core").agg(F.count(F.lit(1)).alias("_n"), F.max("alone").alias("_any"))
+    cores = materialize(counted.where("_n > 1 AND _any").select(F.col("core").alias("_c")))
     cut = held.mapInArrow(pieces, "key long, zone long, lo long, hi long, alone boolean, core long, u1 long, u2 long")
-    cores = cut.groupBy("core").agg(F.count(F.lit(1)).alias("_n"), F.max("alone").alias("_any")).where("_n > 1 AND _any").select(F.col("core").alias("_c"))
     cut = materialize(cut.join(cores, F.col("core") == F.col("_c")).drop("_c"))
     kinds = cut.groupBy("core", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any"), F.min(F.struct("key", "zone", "lo", "hi", "alone")).alias("rep"))
     kinds = materialize(kinds)
     same = kinds.where("n > 1 AND any").select(F.col("core").alias("_c"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"))
     piece_hits = cut.where("alone").join(same, (F.col("core") == F.col("_c")) & (F.col("u1") == F.col("_u1")) & (F.col("u2") == F.col("_u2"))).select("key", "lo", "hi")
     uneven = kinds.groupBy("core").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("core")
+    uneven = materialize(uneven)
     open_pieces = kinds.join(uneven, "core").select("rep.key", "rep.zone", "rep.lo", "rep.hi", (F.col("rep.alone") & (F.col("n") == 1)).alias("single"))
     by_zone = open_pieces.groupBy(F.col("key").alias("_k"), F.col("zone").alias("_z")).agg(F.collect_list(F.struct("lo", "hi", "single")).alias("open"))
     last = held.join(by_zone, (F.col("key") == F.col("_k")) & (F.col("lo") == F.col("_z"))).select("key", "lo", "data", "open")
@@ -254,15 +304,17 @@ def cut_spans(raw: bytes, ranges: list, length: int) -> tuple[bytes, int]:
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for every row of ``df``.
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), n_passages, kept_sha256 for every row of ``df``.
 
-    A null text counts as empty. Texts under ``length`` bytes have no string to repeat.
+    ``n_passages`` also counts passages under ``length`` bytes, which are not removed: see ``shared_passages``. A null text counts as empty. Texts under ``length`` bytes have no string to repeat.
     Repeated rows are copies of each other. Null ids are kept. An empty table gives no rows.
     Other columns are not read.
     """
     stored = store(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     ranges = repeated_starts(stored, length, gram).withColumnRenamed("key", "_k")
-    joined = stored.join(ranges, F.col("key") == F.col("_k"), "left").select("doc_id", "packed", "ranges")
+    passages = shared_passages(stored).withColumnRenamed("key", "_p")
+    joined = stored.join(ranges, F.col("key") == F.col("_k"), "left").join(passages, F.col("key") == F.col("_p"), "left")
+    joined = joined.select("doc_id", "packed", "ranges", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"))
 
     def run(batches):
         import pyarrow as pa
@@ -275,9 +327,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
                 for column, v in zip(out, (len(raw), len(raw) - len(kept), n, kept), strict=True):
                     column.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], b.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("kept_sha256", F.sha2("kept", 256))
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long").withColumn("kept_sha256", F.sha2("kept", 256))
 
 
 def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:

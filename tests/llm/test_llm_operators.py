@@ -421,6 +421,26 @@ def test_repeats(docs, rows, empty):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert sum(r.n_removed for r in got) > 0
     assert repeats.remove_repeats(empty).count() == 0
+
+
+def test_passages_over_and_under_the_length(spark):
+    """A passage of over 400 bytes goes from both documents; one of 51 words below it stays, but is counted."""
+    rng = random.Random(17)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    long, short, tiny = fresh(90), fresh(51), fresh(15)
+    assert len(long) > 400 > len(short) > 240 and len(tiny) < 128
+    texts = [fresh(60) + " " + long + " " + fresh(60), fresh(7) + " " + long, fresh(80) + " " + short + " " + fresh(33), fresh(9) + " " + short, fresh(100) + " " + tiny, tiny + " " + fresh(70), fresh(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
+    assert all(len(long) <= got[i].n_removed <= len(long) + 2 for i in (0, 1))  # blanks and letters beside it may agree
+    assert all(got[i].n_removed == 0 for i in range(2, 7))
+    assert [got[i].n_passages > 0 for i in range(7)] == [True, True, True, True, False, False, False]
+    kept = {r.doc_id: r.text for r in repeats.without_repeats(df, 240).collect()}
+    assert all(long not in kept[i] and short not in kept[i] for i in range(7)) and [kept[i] for i in (4, 5, 6)] == texts[4:]
+
+
+def test_repeats_keep_rows_and_columns(docs, rows):
+    length = 120
     cut = repeats.without_repeats(docs, length, 24)
     assert cut.columns == docs.columns and cut.count() == len(rows)
 
