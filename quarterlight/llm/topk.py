@@ -7,6 +7,9 @@ dimensions, bounds what a candidate can still gain, and candidates whose bound i
 under the k-th best score so far leave the block. Survivors are compacted into a
 smaller array before the next group. Scores are exact integers.
 
+The k-th best score starts from a bounded number of the longest vectors, which every query
+meets first, and rises from block to block as a task goes on. A pair of a candidate block and a
+query block is shuffled only if the longest candidate could reach some query's k-th best.
 Blocks meet blocks: the candidate blocks are joined with the query blocks on the
 query block's number, so no side has to fit a broadcast. Each cell returns k rows
 a query at most and a window keeps the best k over all cells.
@@ -22,8 +25,8 @@ from .common import materialize
 
 #: Vectors a candidate block and a query block hold, and dimensions in a group.
 BLOCK, QUERY_BLOCK, GROUP = 4096, 4096, 8
-#: Candidates that are scored in full first, to set the bound.
-SEED = 256
+#: Candidates of a block that are scored in full first, to set the bound; longest vectors of all blocks that every query meets first, and of one block.
+SEED, LONGEST, LONG_OF_BLOCK = 256, 1024, 64
 #: Shares into which the candidate blocks are dealt for each query block.
 SALTS = 32
 EXACT = 2.0**53
@@ -35,7 +38,7 @@ def _pack(ids: list, rows: list[np.ndarray]) -> tuple[bytes, bytes, int, int]:
 
 
 def blocks(df: DataFrame, scale: int, wanted: Column, size: int, id_col: str, vector_col: str) -> DataFrame:
-    """Blocks of equal dimension: block (task and number), dim, n, ids and the integers dimension by dimension.
+    """Blocks of equal dimension: block (task and number), dim, n, norm of the longest, ids and the integers dimension by dimension.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part.
     """
@@ -53,8 +56,9 @@ def blocks(df: DataFrame, scale: int, wanted: Column, size: int, id_col: str, ve
             nonlocal number
             ids, rows = waiting.pop(d)
             a, b, n, dim = _pack(ids, rows)
+            longest = max(float(np.sqrt((x * x).sum())) for x in rows) * (1 + 1e-9)
             number += 1
-            return pa.RecordBatch.from_pydict({"block": [(task << 32) + number], "dim": [dim], "n": [n], "ids": [a], "data": [b]})
+            return pa.RecordBatch.from_pydict({"block": [(task << 24) + number], "dim": [dim], "n": [n], "norm": [longest], "ids": [a], "data": [b]})
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -69,13 +73,14 @@ def blocks(df: DataFrame, scale: int, wanted: Column, size: int, id_col: str, ve
         for d in list(waiting):
             yield out(d)
 
-    return own.mapInArrow(run, "block long, dim long, n long, ids binary, data binary")
+    return own.mapInArrow(run, "block long, dim long, n long, norm double, ids binary, data binary")
 
 
-def search_cell(qids: np.ndarray, q: np.ndarray, qat: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+def search_cell(qids: np.ndarray, q: np.ndarray, qat: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(query's position, candidate id, candidate's position, score) of the k best in this block, ties to the smaller id.
 
     ``q`` and ``x`` are dims x vectors; ``qat`` and ``at`` tell rows apart, so that a query skips only itself.
+    ``floor``: a score that each query's k best are known to reach; candidates under it are left out.
     """
     dims, n = x.shape
     q, x = q.astype(np.int64), x.astype(np.int64)
@@ -92,17 +97,20 @@ def search_cell(qids: np.ndarray, q: np.ndarray, qat: np.ndarray, ids: np.ndarra
         own = qs[:, j]
         other = at != qat[j]
         seed = np.flatnonzero(other[: SEED + k])
-        first = own @ xs[:, seed]
-        best = np.sort(first)[-k] if len(seed) >= k else -np.inf
+        best = -np.inf if floor is None else floor[j]
+        if len(seed) >= k:
+            best = max(best, float(np.sort(own @ xs[:, seed])[-k]))
         alive = np.flatnonzero(other)
         partial = np.zeros(len(alive), kind)
         for g, s in enumerate(starts):
             e = min(s + GROUP, dims)
             partial = partial + own[s:e] @ (xs[s:e] if len(alive) == n else xs[s:e, alive])
             bound = partial.astype(float) + qrest[g][j] * xrest[g][alive]
-            keep = bound >= float(best) - 1e-6 * (1 + abs(float(best)))
+            keep = bound >= best - 1e-6 * (1 + abs(best))
             if not keep.all():
                 alive, partial = alive[keep], partial[keep]
+        if not len(alive):
+            continue
         if len(alive) > k:
             cut = np.sort(partial)[-k]
             top = partial >= cut
@@ -112,6 +120,15 @@ def search_cell(qids: np.ndarray, q: np.ndarray, qat: np.ndarray, ids: np.ndarra
     return out
 
 
+def _places(block: int, own: np.ndarray) -> np.ndarray:
+    """Numbers that tell all rows apart: the block's number and the place in it."""
+    return (np.int64(block) << 13) + own
+
+
+def _norms(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m.astype(float) ** 2).sum(axis=0))
+
+
 def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of floor(scale * x) for every query row.
 
@@ -123,8 +140,22 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
     """
     everything = materialize(blocks(df, scale, F.lit(True), BLOCK, id_col, vector_col))
 
+    def longest(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = np.frombuffer(r["data"], np.int32).reshape(r["dim"], -1)
+                norms = _norms(m)
+                top = np.argsort(-norms, kind="stable")[:LONG_OF_BLOCK]
+                yield pa.RecordBatch.from_pydict({"dim": [r["dim"]] * len(top), "at": _places(r["block"], top), "norm": norms[top], "data": [np.ascontiguousarray(m[:, i]).tobytes() for i in top]})
+
+    by_norm = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("norm"), "at"))
+    long = everything.select("block", "dim", "data").mapInArrow(longest, "dim long, at long, norm double, data binary").withColumn("r", by_norm).where(F.col("r") <= LONGEST)
+    long = long.groupBy("dim").agg(F.collect_list("at").alias("_at"), F.collect_list("data").alias("_data")).withColumnRenamed("dim", "_dim")  # LONGEST vectors a dimension
+
     def chosen(batches):
-        """The query vectors of each block with their place (block and position)."""
+        """The query vectors of each block with their place, the k-th best score among the longest vectors, and the norm a candidate needs to matter."""
         import pyarrow as pa
 
         for batch in batches:
@@ -132,19 +163,26 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
                 ids, m = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int32).reshape(r["dim"], -1)
                 own = np.flatnonzero(ids % every == 0)
                 if len(own):
-                    yield pa.RecordBatch.from_pydict({"block": [r["block"]], "dim": [r["dim"]], "n": [len(own)], "ids": [ids[own].tobytes()], "at": [own.tobytes()], "data": [np.ascontiguousarray(m[:, own]).tobytes()]})
-
-    queries = everything.mapInArrow(chosen, "block long, dim long, n long, ids binary, at binary, data binary")
-    # Query parts are gathered into numbered query blocks by running count; a block has under QUERY_BLOCK + BLOCK queries.
-    counts = queries.select("block", "dim", "n")
-    running = Window.partitionBy("dim").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    number = F.floor(F.coalesce(F.sum("n").over(running), F.lit(0)) / QUERY_BLOCK).cast("int")
-    numbers = materialize(counts.withColumn("number", number))
-    known = numbers.groupBy("dim").agg(F.max("number").alias("last"))
-    left = queries.join(numbers.select(F.col("block").alias("_b"), "number"), F.col("block") == F.col("_b")).groupBy("dim", "number").agg(
-        F.collect_list(F.struct(F.col("block"), F.col("n"), F.col("ids"), F.col("at"), F.col("data"))).alias("parts")
-    )
-    right = everything.join(known.withColumnRenamed("dim", "_d"), F.col("dim") == F.col("_d")).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("last"))))
+                    q, at = np.ascontiguousarray(m[:, own]), np.array(r["_at"], np.int64)
+                    x = np.frombuffer(b"".join(r["_data"]), np.int32).reshape(len(at), -1).astype(float)
+                    scores = x @ q.astype(float)
+                    scores[at[:, None] == _places(r["block"], own)[None, :]] = -np.inf
+                    floor = np.sort(scores, axis=0)[-k] if len(at) >= k else np.full(len(own), -np.inf)
+                    floor = floor - 1e-6 * (1 + np.abs(floor))
+                    norms = _norms(q)
+                    need = np.where(floor <= 0, -1.0, floor / np.maximum(norms, 1e-300))
+                    yield pa.RecordBatch.from_pydict({"block": [r["block"]], "dim": [r["dim"]], "n": [len(own)], "ids": [ids[own].tobytes()], "at": [own.tobytes()], "floor": [floor.tobytes()], "need": [float(need.min())], "data": [q.tobytes()]})
+
+    met = everything.join(F.broadcast(long), F.col("dim") == F.col("_dim")).drop("_dim")
+    queries = materialize(met.mapInArrow(chosen, "block long, dim long, n long, ids binary, at binary, floor binary, need double, data binary"))
+    # Query parts are dealt by hash over as many query blocks as their number asks for.
+    sizes = queries.groupBy(F.col("dim").alias("_d")).agg(F.ceil(F.sum("n") / QUERY_BLOCK).cast("int").alias("_blocks"))  # one row a dimension
+    queries = queries.join(F.broadcast(sizes), F.col("dim") == F.col("_d")).withColumn("number", F.pmod(F.xxhash64("block"), F.col("_blocks")).cast("int"))
+    left = queries.groupBy("dim", "number").agg(F.collect_list(F.struct("block", "n", "ids", "at", "floor", "data")).alias("parts"))
+    # What a candidate block must reach for each query block; one number a query block.
+    needs = queries.groupBy(F.col("dim").alias("_d"), "number").agg(F.min("need").alias("need")).groupBy("_d").agg(F.collect_list(F.struct("number", "need")).alias("needs"))
+    right = everything.join(needs, F.col("dim") == F.col("_d"))
+    right = right.withColumn("met", F.explode(F.filter("needs", lambda x: x["need"] <= F.col("norm")))).withColumn("number", F.col("met.number"))
     right = right.select("dim", "number", F.col("block").alias("cblock"), F.col("ids").alias("cids"), F.col("data").alias("cdata"))
     # A query block goes to SALTS tasks, each with its share of the candidate blocks; the number of
     # partitions is stated, as cells are small in bytes and costly in time.
@@ -157,16 +195,27 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
     def run(batches):
         import pyarrow as pa
 
+        known: dict[tuple, np.ndarray] = {}  # of the query block at hand: the k best scores of each query so far
         for batch in batches:
             for r in batch.to_pylist():
                 d = r["dim"]
                 ids, x = np.frombuffer(r["cids"], np.int64), np.frombuffer(r["cdata"], np.int32).reshape(d, -1)
-                at = (np.int64(r["cblock"]) << 13) + np.arange(len(ids))
+                at = _places(r["cblock"], np.arange(len(ids)))
                 rows = []
                 for p in r["parts"]:
                     qids, q = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["data"], np.int32).reshape(d, -1)
-                    qat = (np.int64(p["block"]) << 13) + np.frombuffer(p["at"], np.int64)
-                    rows += [(int(qids[j]), int(qat[j]), i, a, s) for j, i, a, s in search_cell(qids, q, qat, ids, x, at, k)]
+                    qat = _places(p["block"], np.frombuffer(p["at"], np.int64))
+                    key = (d, r["number"], p["block"])
+                    if key not in known:
+                        known = {x: v for x, v in known.items() if x[:2] == key[:2]}
+                        known[key] = np.full((len(qids), k), -np.inf)
+                    best = known[key]
+                    floor = np.maximum(np.frombuffer(p["floor"], np.float64), best[:, 0])
+                    for j, i, a, s in search_cell(qids, q, qat, ids, x, at, k, floor):
+                        rows.append((int(qids[j]), int(qat[j]), i, a, s))
+                        if s > best[j, 0]:
+                            best[j, 0] = s
+                            best[j].sort()
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "query_at", "vec_id", "at", "score"])
 
