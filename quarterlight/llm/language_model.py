@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,15 +39,16 @@ ENDING = 3
 #: Hashed rows, in powers of two, of the bigram, skip and trigram features of the class factor and of the slot factor.
 ROW_BITS = ((14, 14, 16), (15, 15, 17))
 #: Smoothing counts of a row; gradient updates; ridge towards the first weight of every feature.
-SMOOTH, UPDATES, RIDGE, FIRST = 1.0, 4, 10.0, 0.4
+SMOOTH, UPDATES, RIDGE, FIRST = 1.0, 4, 10.0, 0.25
 #: Row sizes from which a feature has another weight.
 SIZES = (1, 2, 4, 8, 32, 128, 1024)
 FLUSH = 400_000
 #: Other words whose group a task remembers.
 REMEMBERED = 150_000
-#: Cells of a block in which the table is added up, tokens that are worked on at once.
-BLOCK, STEP = 1 << 15, 1 << 14
+#: Cells of a block in which the table is added up; tokens that are worked on at once (their arrays stay in the processor's cache).
+BLOCK, STEP = 1 << 15, 1500
 END_HASH = 0x9E3779B9
+ONES = np.ones(WIDTH, np.float32)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -92,14 +94,19 @@ def other_group(word: bytes) -> int:
 class Words(dict):
     """word -> its place among the frequent words, or a negative code of its group and hash; filled on demand up to REMEMBERED entries."""
 
-    def __init__(self, joined: bytes, counts: np.ndarray, end: int):
+    def __init__(self, joined: bytes, counts: np.ndarray, group: np.ndarray, hashes: np.ndarray, end: int):
         known = joined.split(b"\n") if len(counts) else []
-        super().__init__((w, i) for i, w in enumerate(known))
-        self.log_count = np.log10(counts + 1.0)
-        self.group = np.array([i if i < OWN else other_group(w) for i, w in enumerate(known)] or [0], np.int64)
-        self.hash = np.array([zlib.crc32(w) for w in known] or [0], np.int64)
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.log_count, self.group, self.hash = np.log10(counts + 1.0), group, hashes
         self.log_end, self.end_known, self.most = float(np.log10(end + 1)), int(end > 0), len(known) + REMEMBERED
 
+    @staticmethod
+    def parts(frequent: list[tuple[bytes, int]], end: int) -> tuple:
+        """What the constructor takes, for all tasks: words by falling count, and the count of ends."""
+        known = [w for w, _ in frequent]
+        group = np.array([i if i < OWN else other_group(w) for i, w in enumerate(known)] or [0], np.int64)
+        return b"\n".join(known), np.array([c for _, c in frequent], np.int64), group, np.array([zlib.crc32(w) for w in known] or [0], np.int64), end
+
     def __missing__(self, word: bytes) -> int:
         value = -1 - (other_group(word) << 32 | zlib.crc32(word))
         if len(self) < self.most:
@@ -108,7 +115,7 @@ class Words(dict):
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place among the frequent words (negative: none), group and hash of each word."""
-        at = np.array(list(map(self.__getitem__, words)), np.int64)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         code, place = -1 - at, np.maximum(at, 0)
         return at, np.where(at >= 0, self.group[place], code >> 32), np.where(at >= 0, self.hash[place], code & 0xFFFFFFFF)
 
@@ -147,13 +154,19 @@ def table_rows(group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tupl
 def read_texts(model: Words, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """Places, groups, hashes and text beginnings of all tokens of some texts, each text's end included, and the words."""
     words = [tokens(t) for t in texts]
-    flat = [w for own in words for w in own]
+    flat = list(chain.from_iterable(words))
     at, group, hashes = model.read(flat)
     lengths = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(lengths)
-    put = lambda x, v: np.insert(x, ends, v)
-    first = np.zeros(len(flat) + len(words), bool)
-    first[np.concatenate(([0], (np.cumsum(lengths + 1))[:-1])) if len(words) else []] = True
+    inside, first = np.ones(len(flat) + len(words), bool), np.zeros(len(flat) + len(words), bool)
+    inside[ends + np.arange(len(words))] = False
+    first[ends - lengths + np.arange(len(words))] = True
+
+    def put(x: np.ndarray, v: int) -> np.ndarray:
+        out = np.full(len(inside), v, np.int64)
+        out[inside] = x
+        return out
+
     return put(at, -1), put(group, END * WIDTH), put(hashes, END_HASH), first, lengths, words
 
 
@@ -167,11 +180,12 @@ def add_tables(blocks: DataFrame, partitions: int) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for at, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                own = np.frombuffer(zstandard.decompress(data.as_py()), np.int64)
+                raw = zstandard.decompress(data.as_py())
+                own = np.frombuffer(raw, np.int32 if len(raw) == 4 * BLOCK else np.int64).astype(np.int64)
                 if at in sums:
                     sums[at] += own
                 else:
-                    sums[at] = own.copy()
+                    sums[at] = own
         for at, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["block", "data"])
 
@@ -199,17 +213,27 @@ def prepare(counts: np.ndarray, groups: np.ndarray, valid: np.ndarray) -> dict[s
     ratio[:cut, s1 > 0] = np.log((counts[:cut, s1 > 0] + SMOOTH * s1[s1 > 0]) / s1[s1 > 0])
     # A row of the slot factor belongs to contexts of any class, so its counts are compared with equal shares.
     ratio[cut:] = np.log((counts[cut:] + SMOOTH / WIDTH) * WIDTH)
-    return {"q1": q1, "q2": q2, "ratio": ratio, "size": np.searchsorted(np.array(SIZES), counts.sum(axis=1), side="right").astype(np.int8)}
-
-
-def factor_scores(model: dict, weights: np.ndarray, factor: int, rows: np.ndarray, cls: np.ndarray, outcome: np.ndarray):
-    """log softmax of all outcomes, feature values (feature, token, outcome) and weight numbers (feature, token) of one factor's tokens."""
-    f = model["ratio"][rows]
-    size = model["size"][rows].astype(np.int64)
-    number = np.arange(len(rows))[:, None] * (len(SIZES) + 1) + size
-    z = (model["q1"][None, :] if factor == 0 else model["q2"][cls]) + np.einsum("kt,kto->to", weights[factor][number].astype(np.float32), f)
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), f, number
+    return {"q1": q1.astype(np.float32), "q2": q2.astype(np.float32), "ratio": ratio, "size": np.searchsorted(np.array(SIZES), counts.sum(axis=1), side="right").astype(np.int8)}
+
+
+def factor_scores(model: dict, weights: np.ndarray, factor: int, rows: np.ndarray, cls: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """log of the outcomes' probabilities, feature values (feature: token, outcome), weight numbers (feature, token) and exponentials over their sums, of one factor's tokens."""
+    number = np.arange(len(rows))[:, None] * (len(SIZES) + 1) + model["size"][rows]
+    w = weights[factor].astype(np.float32)[number]
+    f = [model["ratio"].take(r, axis=0) for r in rows]
+    z = w[0][:, None] * f[0]
+    for k in range(1, len(f)):
+        z += w[k][:, None] * f[k]
+    z += model["q1"] if factor == 0 else model["q2"].take(cls, axis=0)
+    most = z
+    while most.shape[1] > 1:  # faster than a maximum along the short axis
+        most = np.maximum(most[:, : most.shape[1] // 2], most[:, most.shape[1] // 2 :])
+    z -= most
+    p = np.exp(z)
+    total = p @ ONES
+    logs = z[np.arange(len(outcome)), outcome] - np.log(total)
+    p *= (1 / total)[:, None]
+    return logs, f, number, p
 
 
 def token_scores(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -219,8 +243,7 @@ def token_scores(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np
     for i in range(0, len(group), STEP):
         part = slice(i, i + STEP)
         for factor, outcome in enumerate((cls[part], slot[part])):
-            logs, _, _ = factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)
-            out[part] += logs[np.arange(len(outcome)), outcome]
+            out[part] += factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)[0]
     return out
 
 
@@ -228,23 +251,23 @@ PARAMETERS = len(ROW_BITS[0]) * (len(SIZES) + 1)
 
 
 def gradient_sums(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of the log likelihood by the weights of both factors."""
+    """Gradient of the log likelihood by the weights of both factors, and its curvature as the sum of the tokens' squared gradients."""
     rows, cls, slot = table_rows(group, hashes, first)
     kinds = len(ROW_BITS[0])
     g, h = np.zeros((2, PARAMETERS)), np.zeros((2, PARAMETERS, PARAMETERS))
     for i in range(0, len(group), STEP):
         part = slice(i, i + STEP)
         for factor, outcome in enumerate((cls[part], slot[part])):
-            logs, f, number = factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)
-            p = np.exp(logs).astype(np.float32)
-            mean = np.einsum("to,kto->kt", p, f)
-            g[factor] += np.bincount(number.ravel(), (f[:, np.arange(len(outcome)), outcome] - mean).ravel(), PARAMETERS)
+            _, f, number, p = factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)
+            n = np.arange(len(outcome))
+            own = [x[n, outcome] - np.einsum("to,to->t", p, x) for x in f]
             for a in range(kinds):
-                weighed = p * f[a]
+                g[factor] += np.bincount(number[a], own[a], PARAMETERS)
                 for b in range(a, kinds):
-                    cov = np.einsum("to,to->t", weighed, f[b]) - mean[a] * mean[b]
-                    cells = np.bincount(number[a] * PARAMETERS + number[b], cov, PARAMETERS**2).reshape(PARAMETERS, PARAMETERS)
-                    h[factor] += cells if a == b else cells + cells.T
+                    cells = np.bincount(number[a] * PARAMETERS + number[b], own[a] * own[b], PARAMETERS**2).reshape(PARAMETERS, PARAMETERS)
+                    h[factor] += cells
+                    if a != b:
+                        h[factor] += cells.T
     return g, h
 
 
@@ -286,7 +309,7 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word").isNull(), F.col("c"))).alias("end")).first()
     n, v, end = totals["n"] or 0, totals["v"], totals["end"] or 0
     frequent = frequent_words(counts, FREQUENT)  # FREQUENT words at most
-    shared = context.broadcast((b"\n".join(w for w, _ in frequent), np.array([c for _, c in frequent], np.int64), end))
+    shared = context.broadcast(Words.parts(frequent, end))
     words = lambda: Words(*shared.value)  # noqa: E731  once a task
 
     def group_totals(batches):
@@ -321,11 +344,11 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
             _, group, hashes, first, _, _ = read_texts(model, b.column(0).to_pylist())
             rows, cls, slot = table_rows(group, hashes, first)
             for factor, outcome in enumerate((cls, slot)):
-                np.add.at(sums, (rows[factor] * WIDTH + outcome).ravel(), 1)
+                np.add.at(sums, (rows[factor] * WIDTH + outcome).ravel(), np.int32(1))
         for at in range(len(sums) // BLOCK):
             part = sums[at * BLOCK : (at + 1) * BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(part.astype(np.int64).tobytes(), 1)], pa.binary())], ["block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["block", "data"])
 
     def table_of(texts: DataFrame) -> np.ndarray:
         import zstandard

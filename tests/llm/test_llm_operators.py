@@ -240,7 +240,7 @@ def small_model(texts):
     """The model's arrays from counts made one token at a time."""
     counts = collections.Counter(w for t in texts for w in language_model.tokens(t))
     words = sorted(counts, key=lambda w: (-counts[w], w))
-    known = language_model.Words(b"\n".join(words), np.array([counts[w] for w in words]), len(texts))
+    known = language_model.Words(*language_model.Words.parts([(w, counts[w]) for w in words], len(texts)))
     table, groups = np.zeros((language_model.ROWS, language_model.WIDTH), np.float32), np.zeros((32, 32))
     for t in texts:
         _, group, hashes, first, _, _ = language_model.read_texts(known, [t])
