@@ -19,7 +19,6 @@ frequent ones get their counts through a join.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from itertools import chain
 
@@ -43,11 +42,15 @@ SMOOTH, UPDATES, RIDGE, FIRST = 1.0, 4, 10.0, 0.25
 #: Row sizes from which a feature has another weight.
 SIZES = (1, 2, 4, 8, 32, 128, 1024)
 FLUSH = 400_000
-#: Other words whose group a task remembers.
-REMEMBERED = 150_000
 #: Cells of a block in which the table is added up; tokens that are worked on at once (their arrays stay in the processor's cache).
-BLOCK, STEP = 1 << 15, 1500
-END_HASH = 0x9E3779B9
+BLOCK, STEP = 1 << 15, 1024
+END_HASH = np.uint64(0x9E3779B97F4A7C15)
+#: By byte: whether it separates words, is punctuation at a word's end, its lower-case form, and a random number for hashes.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>()\"'"))
+LOWERED = np.frombuffer(LOWER, np.uint8)
+NOISE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+BASE = 0xD6E8FEB86659FD93
 ONES = np.ones(WIDTH, np.float32)
 
 
@@ -85,39 +88,100 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return _sums(rows, gather, "word binary, c long", arrays).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def other_group(word: bytes) -> int:
-    """class * WIDTH + slot of a word without a slot of its own: class by its last bytes without punctuation, slot by hash."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+_POWERS: dict[bool, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0..n-1, modulo 2**64; kept by the task."""
+    if len(_POWERS.get(False, ())) < n:
+        for inverse in (False, True):
+            x = np.full(max(n, 1 << 18), pow(BASE, -1, 2**64) if inverse else BASE, np.uint64)
+            x[0] = 1
+            _POWERS[inverse] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS[False][:n], _POWERS[True][:n]
+
+
+def find_words(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts, ends and 64-bit hashes of the words of some texts that stand one after another, and the words of each text.
+
+    ``edges``: where the texts begin, and the end of the last.
+    """
+    low = LOWERED[raw]
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~BLANK[raw]
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    cuts = edges[(edges > 0) & (edges < len(raw))]
+    begins[cuts] = inside[1:-1][cuts]
+    stops[cuts - 1] = inside[1:-1][cuts - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    up, down = _powers(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(NOISE[low] * up[: len(raw)], dtype=np.uint64)))
+    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
+    return low, starts, ends, hashes, np.diff(np.searchsorted(starts, edges))
+
+
+def other_groups(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """class * WIDTH + slot of words without a slot of their own: class by the last ENDING bytes before punctuation, slot by hash."""
+    ends, open_ = ends.copy(), np.arange(len(ends))
+    while len(open_):
+        open_ = open_[(ends[open_] > starts[open_]) & MARK[low[ends[open_] - 1]]]
+        ends[open_] -= 1
+    ending = np.zeros(len(ends), np.uint64)
+    for k in range(1, ENDING + 1):
+        at = ends - k
+        ending = ending * np.uint64(257) + np.where(at >= starts, low[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
     first = OWN // WIDTH
-    return (first + zlib.crc32(word.strip(b".,;:!?#*$%&|<>()\"'")[-ENDING:]) % (END - first)) * WIDTH + zlib.crc32(word, 7) % WIDTH
+    cls = first + (_mixed(ending * np.uint64(BASE)) >> np.uint64(40)).astype(np.int64) % (END - first)
+    return cls * WIDTH + (hashes >> np.uint64(59)).astype(np.int64)
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """``find_words`` of a list of texts."""
+    return find_words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64))))
 
 
-class Words(dict):
-    """word -> its place among the frequent words, or a negative code of its group and hash; filled on demand up to REMEMBERED entries."""
+class Words:
+    """The frequent words' places by hash, with the counts and groups of all of them."""
 
-    def __init__(self, joined: bytes, counts: np.ndarray, group: np.ndarray, hashes: np.ndarray, end: int):
-        known = joined.split(b"\n") if len(counts) else []
-        super().__init__(zip(known, range(len(known)), strict=True))
+    def __init__(self, counts: np.ndarray, group: np.ndarray, hashes: np.ndarray, end: int):
         self.log_count, self.group, self.hash = np.log10(counts + 1.0), group, hashes
-        self.log_end, self.end_known, self.most = float(np.log10(end + 1)), int(end > 0), len(known) + REMEMBERED
+        self.log_end, self.end_known = float(np.log10(end + 1)), int(end > 0)
+        # Tables by some bits of the hash; words that meet in one go on to the next.
+        self.tables: list[tuple[int, np.ndarray]] = []
+        left, bits = np.arange(len(hashes)), max(4, int(8 * len(hashes)).bit_length())
+        while len(left):
+            table = np.full(1 << bits, -1, np.int32)
+            table[self._slot(hashes[left], len(self.tables), bits)] = left
+            self.tables.append((bits, table))
+            left = left[table[self._slot(hashes[left], len(self.tables) - 1, bits)] != left]
 
     @staticmethod
-    def parts(frequent: list[tuple[bytes, int]], end: int) -> tuple:
-        """What the constructor takes, for all tasks: words by falling count, and the count of ends."""
-        known = [w for w, _ in frequent]
-        group = np.array([i if i < OWN else other_group(w) for i, w in enumerate(known)] or [0], np.int64)
-        return b"\n".join(known), np.array([c for _, c in frequent], np.int64), group, np.array([zlib.crc32(w) for w in known] or [0], np.int64), end
-
-    def __missing__(self, word: bytes) -> int:
-        value = -1 - (other_group(word) << 32 | zlib.crc32(word))
-        if len(self) < self.most:
-            self[word] = value
-        return value
+    def _slot(h: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return ((h * np.uint64(2 * level + 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place among the frequent words (negative: none), group and hash of each word."""
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        code, place = -1 - at, np.maximum(at, 0)
-        return at, np.where(at >= 0, self.group[place], code >> 32), np.where(at >= 0, self.hash[place], code & 0xFFFFFFFF)
+    @staticmethod
+    def parts(frequent: list[tuple[bytes, int]], end: int) -> tuple:
+        """What the constructor takes, for all tasks: of words by falling count, and the count of ends."""
+        low, starts, ends, hashes, _ = words_of([w for w, _ in frequent])
+        group = other_groups(low, starts, ends, hashes)
+        group[:OWN] = np.arange(len(group))[:OWN]
+        return np.array([c for _, c in frequent], np.int64), group, hashes, end
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Place among the frequent words of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        for level, (bits, table) in enumerate(self.tables):
+            at = table[self._slot(h[left], level, bits)]
+            same = (at >= 0) & (self.hash[np.maximum(at, 0)] == h[left])
+            out[left[same]] = at[same]
+            left = left[~same & (at >= 0)]
+        return out
 
 
 def _rows(kind: int, x: np.ndarray, bits: int) -> np.ndarray:
@@ -139,11 +203,9 @@ def table_rows(group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tupl
 
     ``first`` tells which tokens begin a text; before a text stands its end.
     """
-    h = hashes.astype(np.uint64)
-    end = np.uint64(END_HASH)
-    before = np.where(first, end, np.roll(h, 1))
+    before = np.where(first, END_HASH, np.roll(hashes, 1))
     second = np.roll(first, 1) & ~first
-    skip = np.where(first | second, end, np.roll(h, 2))
+    skip = np.where(first | second, END_HASH, np.roll(hashes, 2))
     contexts = (before, skip, before * np.uint64(0xC2B2AE3D27D4EB4F) + skip)
     cls, slot = group // WIDTH, group % WIDTH
     inner = cls.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
@@ -151,23 +213,39 @@ def table_rows(group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tupl
     return np.array(rows), cls, slot
 
 
-def read_texts(model: Words, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """Places, groups, hashes and text beginnings of all tokens of some texts, each text's end included, and the words."""
-    words = [tokens(t) for t in texts]
-    flat = list(chain.from_iterable(words))
-    at, group, hashes = model.read(flat)
-    lengths = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(lengths)
-    inside, first = np.ones(len(flat) + len(words), bool), np.zeros(len(flat) + len(words), bool)
-    inside[ends + np.arange(len(words))] = False
-    first[ends - lengths + np.arange(len(words))] = True
+def read_texts(model: Words, column) -> tuple[np.ndarray, ...]:
+    """Places, groups, hashes and text beginnings of all tokens of an Arrow column of texts, each text's end included.
 
-    def put(x: np.ndarray, v: int) -> np.ndarray:
-        out = np.full(len(inside), v, np.int64)
+    Also the number of words of each text, and the lower-cased bytes, starts and ends of the words.
+    """
+    import pyarrow as pa
+
+    column = column.cast(pa.large_string())
+    n = len(column)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    low, starts, ends, hashes, lengths = find_words(raw, edges - edges[0])
+    at = model.places(hashes)
+    rest = np.flatnonzero(at < 0)
+    group = model.group[np.maximum(at, 0)] if len(model.group) else np.zeros(len(at), np.int64)
+    group[rest] = other_groups(low, starts[rest], ends[rest], hashes[rest])
+    last = np.cumsum(lengths) + np.arange(n)
+    inside, first = np.ones(len(at) + n, bool), np.zeros(len(at) + n, bool)
+    inside[last] = False
+    first[last - lengths] = True
+
+    def put(x: np.ndarray, v) -> np.ndarray:
+        out = np.full(len(inside), v, x.dtype)
         out[inside] = x
         return out
 
-    return put(at, -1), put(group, END * WIDTH), put(hashes, END_HASH), first, lengths, words
+    return put(at, -1), put(group, END * WIDTH), put(hashes, END_HASH), first, lengths, (low, starts, ends)
+
+
+def _ends(first: np.ndarray) -> np.ndarray:
+    """Which tokens are the end of a text: those before the first of another, and the last."""
+    return np.append(first[1:], True)[: len(first)]
 
 
 def add_tables(blocks: DataFrame, partitions: int) -> DataFrame:
@@ -207,67 +285,88 @@ def prepare(counts: np.ndarray, groups: np.ndarray, valid: np.ndarray) -> dict[s
             return np.maximum(np.log(own / np.maximum(own.sum(axis=-1, keepdims=True), 1e-300)), -1e30)
 
     q1, q2 = log_share(groups.sum(axis=1), valid.any(axis=1)), log_share(groups, valid)
+    total = counts.sum(axis=1)
     ratio = np.zeros(counts.shape, np.float32)
     cut = OFFSETS[1][0]
     s1 = np.exp(q1)
     ratio[:cut, s1 > 0] = np.log((counts[:cut, s1 > 0] + SMOOTH * s1[s1 > 0]) / s1[s1 > 0])
     # A row of the slot factor belongs to contexts of any class, so its counts are compared with equal shares.
     ratio[cut:] = np.log((counts[cut:] + SMOOTH / WIDTH) * WIDTH)
-    return {"q1": q1.astype(np.float32), "q2": q2.astype(np.float32), "ratio": ratio, "size": np.searchsorted(np.array(SIZES), counts.sum(axis=1), side="right").astype(np.int8)}
-
-
-def factor_scores(model: dict, weights: np.ndarray, factor: int, rows: np.ndarray, cls: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """log of the outcomes' probabilities, feature values (feature: token, outcome), weight numbers (feature, token) and exponentials over their sums, of one factor's tokens."""
-    number = np.arange(len(rows))[:, None] * (len(SIZES) + 1) + model["size"][rows]
-    w = weights[factor].astype(np.float32)[number]
-    f = [model["ratio"].take(r, axis=0) for r in rows]
-    z = w[0][:, None] * f[0]
-    for k in range(1, len(f)):
-        z += w[k][:, None] * f[k]
-    z += model["q1"] if factor == 0 else model["q2"].take(cls, axis=0)
-    most = z
-    while most.shape[1] > 1:  # faster than a maximum along the short axis
-        most = np.maximum(most[:, : most.shape[1] // 2], most[:, most.shape[1] // 2 :])
-    z -= most
-    p = np.exp(z)
-    total = p @ ONES
-    logs = z[np.arange(len(outcome)), outcome] - np.log(total)
-    p *= (1 / total)[:, None]
-    return logs, f, number, p
-
-
-def token_scores(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    ratio -= np.log(total + SMOOTH)[:, None]  # changes no probability, and keeps exponentials small
+    return {"q1": q1.astype(np.float32), "q2": q2.astype(np.float32), "ratio": ratio, "size": np.searchsorted(np.array(SIZES), total, side="right").astype(np.int8)}
+
+
+class Scorer:
+    """The model under given weights: the rows' log ratios times their weights, and room for the work on STEP tokens."""
+
+    def __init__(self, model: dict, weights: np.ndarray):
+        self.model, kinds = model, len(ROW_BITS[0])
+        self.number = np.empty(ROWS, np.int64)  # weight of each row
+        self.weight = np.empty(ROWS, np.float32)
+        for factor in range(2):
+            for k in range(kinds):
+                rows = slice(OFFSETS[factor][k], OFFSETS[factor][k] + (1 << ROW_BITS[factor][k]))
+                self.number[rows] = k * (len(SIZES) + 1) + model["size"][rows].astype(np.int64)
+                self.weight[rows] = weights[factor][self.number[rows]]
+        self.table = model["ratio"] * self.weight[:, None]
+        self.room = [np.empty((STEP, WIDTH), np.float32) for _ in range(kinds + 2)]
+
+    def step(self, factor: int, rows: np.ndarray, cls: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """log probability of the outcomes of at most STEP tokens, weighted features, exponentials, and one over their sums."""
+        n = len(outcome)
+        f = [x[:n] for x in self.room[: len(rows)]]
+        z, q = self.room[-2][:n], self.room[-1][:n]
+        for x, r in zip(f, rows, strict=True):
+            np.take(self.table, r, axis=0, out=x, mode="clip")
+        np.add(f[0], f[1], out=z)
+        for x in f[2:]:
+            z += x
+        if factor == 0:
+            z += self.model["q1"]
+        else:
+            np.take(self.model["q2"], cls, axis=0, out=q, mode="clip")
+            z += q
+        own = z[np.arange(n), outcome]
+        np.exp(z, out=z)
+        total = z @ ONES
+        return own - np.log(total), f, z, 1 / total
+
+
+def token_scores(scorer: Scorer, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log of P(class | h) P(slot | class, h) for every token."""
     rows, cls, slot = table_rows(group, hashes, first)
     out = np.zeros(len(group))
     for i in range(0, len(group), STEP):
         part = slice(i, i + STEP)
         for factor, outcome in enumerate((cls[part], slot[part])):
-            out[part] += factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)[0]
+            out[part] += scorer.step(factor, rows[factor][:, part], cls[part], outcome)[0]
     return out
 
 
 PARAMETERS = len(ROW_BITS[0]) * (len(SIZES) + 1)
 
 
-def gradient_sums(model: dict, weights: np.ndarray, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gradient_sums(scorer: Scorer, group: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the log likelihood by the weights of both factors, and its curvature as the sum of the tokens' squared gradients."""
     rows, cls, slot = table_rows(group, hashes, first)
     kinds = len(ROW_BITS[0])
     g, h = np.zeros((2, PARAMETERS)), np.zeros((2, PARAMETERS, PARAMETERS))
-    for i in range(0, len(group), STEP):
-        part = slice(i, i + STEP)
-        for factor, outcome in enumerate((cls[part], slot[part])):
-            _, f, number, p = factor_scores(model, weights, factor, rows[factor][:, part], cls[part], outcome)
-            n = np.arange(len(outcome))
-            own = [x[n, outcome] - np.einsum("to,to->t", p, x) for x in f]
-            for a in range(kinds):
-                g[factor] += np.bincount(number[a], own[a], PARAMETERS)
-                for b in range(a, kinds):
-                    cells = np.bincount(number[a] * PARAMETERS + number[b], own[a] * own[b], PARAMETERS**2).reshape(PARAMETERS, PARAMETERS)
-                    h[factor] += cells
-                    if a != b:
-                        h[factor] += cells.T
+    for factor, outcome in enumerate((cls, slot)):
+        own = np.empty((kinds, len(group)), np.float32)
+        for i in range(0, len(group), STEP):
+            part = slice(i, i + STEP)
+            o = outcome[part]
+            _, f, p, scale = scorer.step(factor, rows[factor][:, part], cls[part], o)
+            n = np.arange(len(o))
+            for k, x in enumerate(f):
+                own[k, part] = x[n, o] - np.einsum("to,to->t", p, x) * scale
+        own /= scorer.weight[rows[factor]]
+        number = scorer.number[rows[factor]]
+        for a in range(kinds):
+            g[factor] += np.bincount(number[a], own[a], PARAMETERS)
+            for b in range(a, kinds):
+                cells = np.bincount(number[a] * PARAMETERS + number[b], own[a] * own[b], PARAMETERS**2).reshape(PARAMETERS, PARAMETERS)
+                h[factor] += cells if a == b else cells + cells.T
     return g, h
 
 
@@ -276,7 +375,7 @@ def newton_step(weights: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray
     out = weights.copy()
     for factor in range(2):
         step = np.linalg.solve(h[factor] + RIDGE * np.eye(PARAMETERS), g[factor] - RIDGE * (weights[factor] - FIRST))
-        out[factor] += np.clip(step, -0.5, 0.5)
+        out[factor] = np.maximum(weights[factor] + np.clip(step, -0.5, 0.5), 0.01)
     return out
 
 
@@ -310,6 +409,7 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
     n, v, end = totals["n"] or 0, totals["v"], totals["end"] or 0
     frequent = frequent_words(counts, FREQUENT)  # FREQUENT words at most
     shared = context.broadcast(Words.parts(frequent, end))
+    _POWERS.clear()  # not to travel with the functions
     words = lambda: Words(*shared.value)  # noqa: E731  once a task
 
     def group_totals(batches):
@@ -318,11 +418,15 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
         known = words()
         sums, kinds = np.zeros(WIDTH**2, np.int64), np.zeros(WIDTH**2, np.int64)
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                i = -1 if w is None else known.get(w, -1)
-                k = END * WIDTH if w is None else i if 0 <= i < OWN else other_group(w)
-                sums[k] += c
-                kinds[k] += 1
+            c = b.column(1).to_numpy()
+            is_end = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            low, starts, ends, hashes, _ = words_of([w for w in b.column(0).to_pylist() if w is not None])
+            at, group = known.places(hashes), other_groups(low, starts, ends, hashes)
+            group = np.where((at >= 0) & (at < OWN), at, group)
+            np.add.at(sums, group, c[~is_end])
+            np.add.at(kinds, group, 1)
+            sums[END * WIDTH] += c[is_end].sum()
+            kinds[END * WIDTH] += is_end.sum()
         at = np.flatnonzero(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at]), pa.array(kinds[at])], ["grp", "n", "v"])
 
@@ -341,7 +445,7 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
 
         model, sums = words(), np.zeros(ROWS * WIDTH, np.int32)
         for b in slices(batches, 64):
-            _, group, hashes, first, _, _ = read_texts(model, b.column(0).to_pylist())
+            _, group, hashes, first, _, _ = read_texts(model, b.column(0))
             rows, cls, slot = table_rows(group, hashes, first)
             for factor, outcome in enumerate((cls, slot)):
                 np.add.at(sums, (rows[factor] * WIDTH + outcome).ravel(), np.int32(1))
@@ -365,11 +469,11 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
         def run(batches):
             import pyarrow as pa
 
-            model, known = others.value, words()
+            scorer, known = Scorer(others.value, weights), words()
             g, h = np.zeros((2, PARAMETERS)), np.zeros((2, PARAMETERS, PARAMETERS))
             for b in slices(batches, 64):
-                _, group, hashes, first, _, _ = read_texts(known, b.column(0).to_pylist())
-                dg, dh = gradient_sums(model, weights, group, hashes, first)
+                _, group, hashes, first, _, _ = read_texts(known, b.column(0))
+                dg, dh = gradient_sums(scorer, group, hashes, first)
                 g += dg
                 h += dh
             flat = np.concatenate((g.ravel(), h.ravel()))
@@ -396,13 +500,16 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
     def run(batches):
         import pyarrow as pa
 
-        model, known = prepared.value, words()
+        scorer, known = Scorer(prepared.value, weights), words()
         for b in slices(batches, 64):
-            at, group, hashes, first, lengths, found = read_texts(known, b.column(1).to_pylist())
-            gain = token_scores(model, weights, group, hashes, first) / np.log(10) - log_mass[group]
+            at, group, hashes, first, lengths, (low, begin, end_at) = read_texts(known, b.column(1))
+            gain = token_scores(scorer, group, hashes, first) / np.log(10) - log_mass[group]
             starts = np.flatnonzero(first)
             logs = np.add.reduceat(np.where(at >= 0, known.log_count[np.maximum(at, 0)] if len(known.log_count) else 0.0, 0.0), starts) if len(starts) else np.zeros(0)
-            rest = [Counter(w for w, place in zip(own, at[s : s + len(own)].tolist(), strict=True) if place < 0) for own, s in zip(found, starts, strict=True)]
+            rest: list[Counter] = [Counter() for _ in lengths]
+            raw, others = low.tobytes(), np.flatnonzero(at[~_ends(first)] < 0)
+            for i, a, z in zip(np.repeat(np.arange(len(lengths)), lengths)[others].tolist(), begin[others].tolist(), end_at[others].tolist(), strict=True):
+                rest[i][raw[a:z]] += 1
             columns = [
                 (pa.int64(), lengths + 1), (pa.int64(), (np.add.reduceat((at >= 0).astype(np.int64), starts) if len(starts) else starts) + known.end_known), (pa.float64(), logs + known.log_end),
                 (pa.float64(), np.add.reduceat(gain, starts) if len(starts) else np.zeros(0)), (pa.map_(pa.binary(), pa.int64()), [list(c.items()) for c in rest]),

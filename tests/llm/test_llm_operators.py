@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,7 +244,7 @@ def small_model(texts):
     known = language_model.Words(*language_model.Words.parts([(w, counts[w]) for w in words], len(texts)))
     table, groups = np.zeros((language_model.ROWS, language_model.WIDTH), np.float32), np.zeros((32, 32))
     for t in texts:
-        _, group, hashes, first, _, _ = language_model.read_texts(known, [t])
+        _, group, hashes, first, _, _ = language_model.read_texts(known, pa.array([t], pa.string()))
         r, cls, slot = language_model.table_rows(group, hashes, first)
         for i in range(len(group)):
             groups[cls[i], slot[i]] += 1
@@ -264,8 +265,9 @@ def test_language_model_is_a_softmax(monkeypatch):
     texts = [sentence(rng, rng.randint(0, 40)) for _ in range(30)] + [None, "odd word"]
     known, counts, table, groups, valid, model = small_model(texts)
     weights = np.random.default_rng(1).uniform(0.1, 0.9, (2, language_model.PARAMETERS))
-    _, group, hashes, first, lengths, _ = language_model.read_texts(known, [*texts, "never seen this"])
-    got = language_model.token_scores(model, weights, group, hashes, first)
+    _, group, hashes, first, lengths, _ = language_model.read_texts(known, pa.array([*texts, "never seen this"]))
+    scorer = language_model.Scorer(model, weights)
+    got = language_model.token_scores(scorer, group, hashes, first)
     rows, cls, slot = language_model.table_rows(group, hashes, first)
     assert first.sum() == len(texts) + 1 and lengths.sum() + len(lengths) == len(group)
     for i in [*range(0, len(group), 7), len(group) - 1]:
@@ -293,28 +295,49 @@ def test_language_model_is_a_softmax(monkeypatch):
     total = 0.0
     for g in np.flatnonzero(valid.ravel()):
         group[at] = g
-        total += math.exp(language_model.token_scores(model, weights, group[: at + 1], hashes[: at + 1], first[: at + 1])[at])
+        total += math.exp(language_model.token_scores(scorer, group[: at + 1], hashes[: at + 1], first[: at + 1])[at])
     assert total == pytest.approx(1, abs=1e-3)
-    shared = collections.Counter(language_model.other_group(w) for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))) if i >= language_model.OWN)
-    assert not shared  # here every word has a slot of its own, so its word factor is one
+    assert len(counts) <= language_model.OWN  # here every word has a slot of its own, so its word factor is one
+
+
+def test_language_model_words_are_those_of_split():
+    texts = ["Abc  d\te", "", None, "x", " lead", "trail ", "one", "two\u00a0three É\x0bfour\x0c", "?!... a.b! ??", "w" * 5000]
+    column = pa.array(["not read", *texts, "nor this"]).slice(1, len(texts))
+    known = language_model.Words(*language_model.Words.parts([(b"one", 9), (b"x", 5), (b"d", 1)], 3))
+    at, group, hashes, first, lengths, (low, starts, ends) = language_model.read_texts(known, column)
+    want = [language_model.tokens(t) for t in texts]
+    assert [low[a:z].tobytes() for a, z in zip(starts, ends, strict=True)] == [w for own in want for w in own] and lengths.tolist() == list(map(len, want))
+    flat = [w for own in want for w in [*own, None]]
+    assert [{b"one": 0, b"x": 1, b"d": 2}.get(w, -1) for w in flat] == at.tolist()
+    assert np.flatnonzero(first).tolist() == [0, *(np.cumsum([len(w) + 1 for w in want])[:-1]).tolist()]
+    by_word = {}
+    for w, g, h in zip(flat, group.tolist(), hashes.tolist(), strict=True):
+        assert by_word.setdefault(w, (g, h)) == (g, h)
+    assert len({h for _, h in by_word.values()}) == len(by_word)
+    many = [b"%d" % i for i in range(5000)]
+    known = language_model.Words(*language_model.Words.parts([(w, 1) for w in many], 1))
+    assert known.places(language_model.words_of(many)[3]).tolist() == list(range(5000)) and len(known.tables) > 1
+    same_end = language_model.words_of([b"nation", b"station.", b"ration!?"])
+    assert len(set((language_model.other_groups(*same_end[:4]) // 32).tolist())) == 1
 
 
 def test_language_model_gradient():
     rng = random.Random(8)
     texts = [sentence(rng, 30) for _ in range(12)]
     known, _, _, _, _, model = small_model(texts[:8])
-    _, group, hashes, first, _, _ = language_model.read_texts(known, texts[8:])
+    _, group, hashes, first, _, _ = language_model.read_texts(known, pa.array(texts[8:]))
     weights = np.full((2, language_model.PARAMETERS), 0.4)
-    g, h = language_model.gradient_sums(model, weights, group, hashes, first)
+    likelihood = lambda w: language_model.token_scores(language_model.Scorer(model, w), group, hashes, first).sum()
+    g, h = language_model.gradient_sums(language_model.Scorer(model, weights), group, hashes, first)
     for factor, i in ((0, 0), (0, 3), (0, 10), (1, 1), (1, 17)):
         moved = [weights.copy(), weights.copy()]
         moved[0][factor, i] -= 0.05
         moved[1][factor, i] += 0.05
-        low, high = (language_model.token_scores(model, w, group, hashes, first).sum() for w in moved)
+        low, high = map(likelihood, moved)
         assert g[factor, i] == pytest.approx((high - low) / 0.1, rel=0.02, abs=0.05)
     assert (np.linalg.eigvalsh(h[0]) > -1e-2).all()
     better = language_model.newton_step(weights, g, h)
-    assert language_model.token_scores(model, better, group, hashes, first).sum() > language_model.token_scores(model, weights, group, hashes, first).sum()
+    assert likelihood(better) > likelihood(weights)
 
 
 def test_language_model_table_is_added_up(spark, docs):
