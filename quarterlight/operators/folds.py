@@ -104,7 +104,7 @@ def _prepared(rows: pd.DataFrame, features: list[str], target: str):
     return np.where(np.isfinite(x), x, middle), train[target].to_numpy(float), np.where(np.isfinite(z), z, middle), test
 
 
-def lasso_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, rounds: int = 300) -> np.ndarray:
+def lasso_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, rounds: int = 150) -> np.ndarray:
     """Coefficients for each penalty: minimise mean((y - x b)^2) / 2 + penalty * sum(abs(b)), columns of mean 0 and deviation 1 or 0.
 
     Accelerated proximal gradient steps on the Gram matrix, all penalties at once.
@@ -124,7 +124,7 @@ def lasso_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, rounds: int
     return beta
 
 
-def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str, parts: int = 4, grid: int = 8) -> DataFrame:
+def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str, parts: int = 3, grid: int = 6) -> DataFrame:
     """fold, slot, id, y_pred, alpha, intercept, coefficients (by feature, on standardised columns) for the test rows.
 
     One sparse linear model per fold and slot of the day: asinh of the robustly scaled target, standardised
@@ -164,7 +164,7 @@ def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str,
     return folds.select("fold", "split", slot, "id", target, *features).groupBy("fold", slot).applyInPandas(fit, schema)
 
 
-def boosted(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 25, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 5) -> np.ndarray:
+def boosted(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 15, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 5) -> np.ndarray:
     """Predictions for ``z`` of regression trees boosted on squared error; features are binned by training quantiles."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     code = lambda m: np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, m.T, strict=True)], axis=1)

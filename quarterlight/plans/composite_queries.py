@@ -203,7 +203,16 @@ def g23(spark, d):
     return out(M.ridge_by_fold(one, FEATURES, "y"), ["fold", "id"], "y_pred")
 
 
-@query("H2_recursive_bias")
+# The same recursion over days in SQL: each key carries its corrected errors of the last 7 days.
+_WALK = f"""RECURSIVE {PANEL}, {_H}, daily AS (SELECT model, hour, day, sum(y_pred - y_true) AS e, count(*)::DOUBLE AS n FROM h GROUP BY 1, 2, 3),
+walk AS (SELECT model, hour, min(day) - 1 AS day, max(day) AS last, 0::DOUBLE AS bias, CAST([] AS STRUCT(d DATE, e DOUBLE, n DOUBLE)[]) AS hist FROM daily GROUP BY 1, 2
+  UNION ALL SELECT model, hour, day, last, bias, CASE WHEN n IS NULL THEN hist ELSE list_append(hist, {{'d': day, 'e': e - n * bias, 'n': n}}) END AS hist
+  FROM (SELECT *, CASE WHEN list_sum(list_transform(hist, lambda x: x.n)) >= 8 THEN 0.5 * list_sum(list_transform(hist, lambda x: x.e)) / list_sum(list_transform(hist, lambda x: x.n)) ELSE 0 END AS bias
+    FROM (SELECT w.model, w.hour, w.day + 1 AS day, w.last, d.e, d.n, list_filter(w.hist, lambda x: x.d >= w.day - 6) AS hist FROM walk w LEFT JOIN daily d ON d.model = w.model AND d.hour = w.hour AND d.day = w.day + 1 WHERE w.day < w.last))),
+fixed AS (SELECT h.ts, h.model, h.day, h.hour, h.y_true, h.y_pred, coalesce(w.bias, 0) AS bias FROM h LEFT JOIN walk w USING (model, hour, day))"""
+
+
+@query("H2_recursive_bias", f"WITH {_WALK} SELECT ts, model, round(bias, 6) AS bias, round(y_pred - bias, 6) AS y_corrected FROM fixed")
 def h2(spark, d):
     p = hourly_panel(spark, d)
     b = RC.recursive_bias(p, ["model", "hour"], 7, 8, 0.5)
@@ -249,7 +258,11 @@ def h7(spark, d):
     return rows.join(fit.select("id", F.col("y_pred").alias("fix")), "id").select("ts", rounded(F.greatest(F.col("y_pred") + 0.5 * F.col("fix"), F.lit(0.0))).alias("y_calibrated"), "y_true")
 
 
-@query("H8_postprocess_chain")
+@query("H8_postprocess_chain", f"""WITH {_WALK}, c AS (SELECT ts, model, day, hour, y_true, greatest(y_pred - bias, 0) AS y_pred FROM fixed),
+g AS (SELECT a.model, a.day, a.hour, count(*) AS n, [quantile_cont(b.y_true - b.y_pred, 0.1), quantile_cont(b.y_true - b.y_pred, 0.5), quantile_cont(b.y_true - b.y_pred, 0.9)] AS q FROM (SELECT DISTINCT model, day, hour FROM c) a JOIN c b ON b.model = a.model AND b.hour = a.hour AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY 1, 2, 3),
+k AS (SELECT a.model, a.day, count(*) AS n, [quantile_cont(b.y_true - b.y_pred, 0.1), quantile_cont(b.y_true - b.y_pred, 0.5), quantile_cont(b.y_true - b.y_pred, 0.9)] AS q FROM (SELECT DISTINCT model, day FROM c) a JOIN c b ON b.model = a.model AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY 1, 2),
+j AS (SELECT c.ts, c.model, c.y_pred, CASE WHEN g.n >= 12 THEN g.q WHEN k.n >= 12 THEN k.q END AS q FROM c LEFT JOIN g USING (model, day, hour) LEFT JOIN k ON k.model = c.model AND k.day = c.day)
+SELECT ts, model, t.tau::DOUBLE AS tau, round(greatest(0, y_pred + q[t.i]), 6) AS q FROM j, (VALUES (1, 0.1), (2, 0.5), (3, 0.9)) t(i, tau) WHERE q IS NOT NULL""")
 def h8(spark, d):
     """Recursive bias, then residual quantiles of the corrected series."""
     p = hourly_panel(spark, d)

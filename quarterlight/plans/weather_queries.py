@@ -166,11 +166,11 @@ def e22(spark, d):
     return i.select("area", "ts", rounded(F.col("mean"), 5).alias("mean"), rounded(F.col("range")).alias("range"), rounded(F.col("delta"), 5).alias("delta"))
 
 
-@query("E23_interactions", f"WITH {WEATHER} SELECT ts, cluster_id, round(t2m * sin(2 * pi() * hour({LOCAL}) / 24), 5) AS x_sin, round(t2m * cos(2 * pi() * hour({LOCAL}) / 24), 5) AS x_cos, round(CASE WHEN (dayofweek({LOCAL}) + 6) % 7 >= 5 THEN t2m ELSE 0 END, 6) AS x_weekend FROM weather")
+@query("E23_interactions", f"WITH {WEATHER} SELECT ts, cluster_id, round(t2m * sin(2 * pi() * hour({LOCAL}) / 24) + 1e-9, 5) AS x_sin, round(t2m * cos(2 * pi() * hour({LOCAL}) / 24) + 1e-9, 5) AS x_cos, round(CASE WHEN (dayofweek({LOCAL}) + 6) % 7 >= 5 THEN t2m ELSE 0 END, 6) AS x_weekend FROM weather")
 def e23(spark, d):
     here, t = T.local(F.col("ts")), F.col("t2m")
     angle = F.lit(2 * math.pi / 24) * F.hour(here)
-    return weather(spark, d).select("ts", "cluster_id", rounded(t * F.sin(angle), 5).alias("x_sin"), rounded(t * F.cos(angle), 5).alias("x_cos"), rounded(F.when(F.weekday(here) >= 5, t).otherwise(0.0)).alias("x_weekend"))
+    return weather(spark, d).select("ts", "cluster_id", rounded_up(t * F.sin(angle), 5).alias("x_sin"), rounded_up(t * F.cos(angle), 5).alias("x_cos"), rounded(F.when(F.weekday(here) >= 5, t).otherwise(0.0)).alias("x_weekend"))
 
 
 @query("E24_provider_ensemble", f"WITH {WEATHER} SELECT ts, count(speed) AS n, round(avg(speed), 6) AS mean, round(stddev_pop(speed), 5) AS std, round(max(speed) - min(speed), 6) AS range, round(avg(speed) FILTER (cluster_id < 4) - avg(speed) FILTER (cluster_id >= 4), 6) AS group_diff FROM weather GROUP BY 1")

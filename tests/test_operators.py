@@ -163,3 +163,126 @@ def test_ridge_recovers_a_line(spark):
     rows = frame(spark, [(f"2026-01-{k:02d}", k, float(k), 3.0 * k + 1) for k in range(1, 29)], "day string, id int, x double, y double")
     got = M.ridge_by_fold(M.rolling_folds(rows, "day", 10, 10), ["x"], "y", 1e-6).collect()
     assert got and all(abs(r.y_pred - (3 * r.id + 1)) < 1e-3 for r in got)
+
+
+def test_outage_load_agrees_with_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for k in range(60):
+        a = dt.datetime(2026, 1, 1) + dt.timedelta(minutes=rng.randint(0, 3000))
+        rows.append(("ab"[k % 2], a, a + dt.timedelta(minutes=rng.randint(1, 600)), float(rng.randint(1, 9))))
+    df = spark.createDataFrame(rows, "k string, start timestamp_ntz, end timestamp_ntz, mw double")
+    want = {}
+    for key, a, z, mw in rows:
+        at = dt.datetime(2026, 1, 1)
+        while at < z:
+            if at >= a:
+                want[key, at] = want.get((key, at), 0.0) + mw
+            at += dt.timedelta(minutes=15)
+    assert {(r.k, r.ts): r.mw for r in G.interval_load(df, ["k"], "mw").collect()} == want
+
+
+def test_fleet_statistics_agree_with_brute_force(spark):
+    units = frame(spark, [("a", "2020-01-10 00:00:00", None, 10.0, 1), ("a", "2020-01-20 00:00:00", "2020-03-01 00:00:00", 30.0, 2), ("a", "2020-01-20 00:00:00", "2020-02-01 00:00:00", 5.0, 2)], "region string, start string, end string, mw double, part int")
+    days = frame(spark, [("2020-02-01",), ("2020-03-01",), ("2019-01-01",)], "day string")
+    got = {str(r.day): r for r in P.fleet_statistics(units, ["region"], days, "part", 15).collect()}
+    assert set(got) == {"2020-02-01", "2020-03-01"}
+    r = got["2020-02-01"]
+    assert (r.mw, r.units, r.mean_mw, r.max_mw, r.parts) == (40.0, 2, 20.0, 30.0, 2)
+    assert (r.age_days, r.recent_share, r.hhi) == (pytest.approx((10 * 22 + 30 * 12) / 40), pytest.approx(0.75), pytest.approx(0.625))
+
+
+def test_keep_last_allows_any_column_names(spark):
+    df = spark.createDataFrame([(1, 1, 5, 7), (1, 2, 6, 8)], "k int, t int, _rank int, rank int")
+    assert [tuple(r) for r in G.keep_last(df, ["k"], "t").collect()] == [(1, 2, 6, 8)]
+
+
+def test_context_is_bounded(spark):
+    rows = spark.range(1000).select(F.col("id").alias("ts"), (F.col("id") % 7 == 3).alias("same"))
+    got = {}
+    for r in M.bounded_context(rows, [], "ts", "same", 50, 20, 30).collect():
+        got.setdefault(r.part, []).append(r.ts)
+    assert sorted(got["recent"]) == list(range(950, 1000))
+    assert sorted(got["weekday"]) == [x for x in range(950) if x % 7 == 3][-20:]
+    rest = [x for x in range(950) if x not in set(got["weekday"])]
+    assert len(got["older"]) == 30 and min(got["older"]) == rest[0] and max(got["older"]) == rest[-1]
+
+
+def test_lasso_meets_its_conditions_and_recovers_a_sparse_line(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 6))
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    y = x @ np.array([3.0, 0, 0, -2.0, 0, 0]) + 0.1 * rng.normal(size=40)
+    y -= y.mean()
+    for penalty, b in zip((1.0, 0.1, 0.01), M.lasso_path(x, y, np.array([1.0, 0.1, 0.01])), strict=True):
+        gradient = x.T @ (y - x @ b) / len(x)
+        assert np.all(np.abs(gradient) <= penalty + 1e-4) and np.allclose(gradient[b != 0], penalty * np.sign(b[b != 0]), atol=1e-4)
+    assert set(np.flatnonzero(M.lasso_path(x, y, np.array([0.2]))[0])) == {0, 3}
+    rows = [(f"2026-01-{d:02d}", 100 * d + m, m, float(v), float(w), float(2 * v + 5 * m)) for d in range(1, 29) for m in (0, 1) for v, w in [rng.normal(size=2)]]
+    got = M.lasso_by_slot(M.rolling_folds(frame(spark, rows, "day string, id int, slot int, a double, b double, y double"), "day", 20, 20), "slot", ["a", "b"], "y").collect()
+    truth = {r[1]: r[5] for r in rows}
+    late = [r for r in got if r.id > 2000]
+    assert late and np.mean([abs(r.y_pred - truth[r.id]) for r in late]) < 0.5
+    assert all(r.alpha > 0 and abs(r.coefficients[0]) > 5 * abs(r.coefficients[1]) for r in late)
+
+
+def test_boosted_trees_learn_steps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.uniform(size=(400, 3))
+    y = np.where(x[:, 0] > 0.5, 10.0, 0.0) + np.where((x[:, 1] > 0.3) & (x[:, 0] > 0.5), 4.0, 0.0)
+    z = rng.uniform(size=(200, 3))
+    want = np.where(z[:, 0] > 0.5, 10.0, 0.0) + np.where((z[:, 1] > 0.3) & (z[:, 0] > 0.5), 4.0, 0.0)
+    assert np.mean(np.abs(M.boosted(x, y, z, rounds=40) - want)) < 0.6
+    assert np.allclose(M.boosted(x[:3], y[:3], z[:2]), y[:3].mean())  # too few rows to split
+    rows = [(f"2026-01-{d:02d}", 100 * d + m, m // 4, float(m), 7.0 * (m > 3)) for d in range(1, 20) for m in range(8)]
+    folds = M.rolling_folds(frame(spark, rows, "day string, id int, block int, m double, y double"), "day", 14, 50)
+    for by in ([], ["block"]):
+        got = M.boosted_by_fold(folds, by, ["m"], "y").collect()
+        assert got and all(abs(r.y_pred - 7.0 * (r.id % 100 > 3)) < 0.5 for r in got if r.id > 1500)
+
+
+def test_clusters_of_blobs_are_labelled_from_the_north(spark):
+    from quarterlight.operators import clustering as K
+
+    rows = [(i, x + 0.01 * (i % 5), y + 0.01 * (i % 3), 1.0 + i % 2) for i in range(60) for x, y in [((0, 9), (5, 5), (9, 0))[i % 3]]]
+    df = spark.createDataFrame(rows, "id long, x double, y double, mw double")
+    assert {(r.id % 3, r.cluster) for r in K.kmeans(df, 3).collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert {(r.id % 3, r.cluster) for r in K.kmeans(df, 3, weight="mw").collect()} == {(0, 0), (1, 1), (2, 2)}
+    found = {r.cluster: r for r in K.representatives(df, 3).collect()}
+    for k in range(3):
+        own = [r for r in rows if r[0] % 3 == k]
+        assert found[k].n == 20 and found[k].mw == sum(r[3] for r in own) and found[k].x == pytest.approx(sum(r[1] * r[3] for r in own) / found[k].mw)
+
+
+def test_cache_finds_what_it_has_and_fetches_the_rest(spark, tmp_path):
+    from quarterlight.sources import files
+
+    source = spark.createDataFrame([(k, d, float(10 * d)) for k in "ab" for d in range(4)], "k string, d int, v double")
+    asked = []
+
+    def fetch(missing):
+        asked.append(sorted(map(tuple, missing.collect())))
+        return source.join(missing, ["k", "d"], "left_semi")
+
+    want = lambda *pairs: spark.createDataFrame(list(pairs), "k string, d int")
+    path = str(tmp_path / "cache")
+    first = files.request(spark, path, want(("a", 0), ("a", 1)), ["k", "d"], fetch).collect()
+    again = files.request(spark, path, want(("a", 1), ("b", 2)), ["k", "d"], fetch).collect()
+    assert {(r.k, r.d, r.hit) for r in first} == {("a", 0, False), ("a", 1, False)} and {(r.k, r.d, r.hit) for r in again} == {("a", 1, True), ("b", 2, False)}
+    assert files.request(spark, path, want(("b", 2)), ["k", "d"], fetch).count() == 1
+    assert asked == [[("a", 0), ("a", 1)], [("b", 2)]]
+
+
+def test_bundle_is_read_back(spark, tmp_path):
+    from quarterlight.sources import files
+
+    forecast = spark.createDataFrame([("2024-01", 1.0), ("2024-02", 2.0)], "month string, y double")
+    b = files.write_bundle(forecast, spark.createDataFrame([(1, 0.5)], "day int, seconds double"), spark.createDataFrame([("m", 0.25)], "model string, mae double"), {"x": [1, 2]}, str(tmp_path / "b"))
+    assert sorted(map(tuple, b["forecast"].select("month", "y").collect())) == [("2024-01", 1.0), ("2024-02", 2.0)]
+    assert b["runtime"].first().seconds == 0.5 and b["metrics"].first().mae == 0.25 and b["config"].first().x == [1, 2]
