@@ -171,72 +171,65 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     chosen = variants.join(mixed, "h").select("rep.*", (F.col("n") == 1).alias("alone"))
     wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "m", "alone")).alias("wanted")).withColumnRenamed("key", "_k")
 
-    def take(batches):
-        for b in slices(batches, 256):
-            out: list[list] = [[] for _ in range(6)]
-            for key, packed, zone_list in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                whole = unpacked(packed)
-                for z in zone_list:
-                    for column, v in zip(out, (key, z["lo"], z["hi"], z["m"], z["alone"], whole[z["lo"] : z["hi"] + length]), strict=True):
-                        column.append(v)
-            yield _typed(out, "key long, lo long, hi long, m long, alone boolean, data binary")
-
-    texts = stored.select("key", "packed").join(wanted, F.col("key") == F.col("_k")).select("key", "packed", "wanted")
-    held = materialize(texts.mapInArrow(take, "key long, lo long, hi long, m long, alone boolean, data binary").dropDuplicates(["key", "lo"]))
-
-    def blocks(lo: int, hi: int, m: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Blocks of STEP offsets before the sampled place, and the bytes that all strings of a block share, from the zone's first byte."""
-        block = np.arange((m - hi) // STEP, (m - lo) // STEP + 1)
-        return block, (np.maximum(m - block * STEP, 0) - lo, m - (block + 1) * STEP + 1 + length - lo)
+    # Texts of which some zone is looked into, with these zones: one row a text.
+    held = materialize(stored.select("key", "packed").join(wanted, F.col("key") == F.col("_k")).select("key", "packed", "wanted"))
+
+    def blocks(lo: np.ndarray, hi: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Blocks of STEP offsets before the sampled places: zone and number of each, first and last start, and the bytes that all its strings share."""
+        low = (m - hi) // STEP
+        count = (m - lo) // STEP - low + 1
+        zone = np.repeat(np.arange(len(lo)), count)
+        block = np.arange(len(zone)) - np.repeat(np.cumsum(count) - count, count) + low[zone]
+        top = m[zone] - block * STEP
+        return zone, block, np.maximum(top - STEP + 1, lo[zone]), np.minimum(top, hi[zone]), np.maximum(top, 0), top - STEP + 1 + length
 
     def core_names(batches):
-        for b in slices(batches, 2048):
+        for b in slices(batches, 256):
             out: list[list] = [[], []]
-            for lo, hi, m, alone, data in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "m", "alone", "data")), strict=True):
-                block, core = blocks(lo, hi, m)
-                c = _mixed(Hasher(np.frombuffer(data, np.uint8), 0).ranges(*core) + block.astype(np.uint64))
-                out[0].append(c.view(np.int64))
-                out[1].append(np.full(len(c), alone))
+            for _, data, zone_list in zip(*_held(b), strict=True):
+                lo, hi, m, alone = zone_list
+                zone, block, _, _, first, end = blocks(lo, hi, m)
+                out[0].append(_mixed(Hasher(data, 0).ranges(first, end) + block.astype(np.uint64)).view(np.int64))
+                out[1].append(alone[zone])
             yield _batch({"core": _flat(out[0]), "alone": _flat(out[1], bool)})
 
     def pieces(batches):
-        for b in slices(batches, 2048):
-            out: list[list] = [[] for _ in range(8)]
-            for key, lo, hi, m, alone, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                block, core = blocks(lo, hi, m)
-                start, end = np.maximum(m - (block + 1) * STEP + 1, lo), np.minimum(m - block * STEP, hi)
-                hashers = [Hasher(raw, k) for k in (0, 1, 2)]
-                c = _mixed(hashers[0].ranges(*core) + block.astype(np.uint64))
-                u = [x.ranges(start - lo, end - lo + length) for x in hashers[1:]]
-                for column, v in zip(out, (np.full(len(block), key), np.full(len(block), lo), start, end, np.full(len(block), alone), c, *u), strict=True):
+        for b in slices(batches, 256):
+            out: list[list] = [[] for _ in range(7)]
+            for key, data, zone_list in zip(*_held(b), strict=True):
+                lo, hi, m, alone = zone_list
+                zone, block, start, end, first, stop = blocks(lo, hi, m)
+                hashers = [Hasher(data, k) for k in (0, 1, 2)]
+                c = _mixed(hashers[0].ranges(first, stop) + block.astype(np.uint64))
+                u = [x.ranges(start, end + length) for x in hashers[1:]]
+                for column, v in zip(out, (np.full(len(block), key), start, end, alone[zone], c, *u), strict=True):
                     column.append(v.view(np.int64) if v.dtype == np.uint64 else v)
-            flat = [_flat(x, bool if i == 4 else np.int64) for i, x in enumerate(out)]
-            yield _batch(dict(zip(("key", "zone", "lo", "hi", "alone", "core", "u1", "u2"), flat, strict=True)))
+            flat = [_flat(x, bool if i == 3 else np.int64) for i, x in enumerate(out)]
+            yield _batch(dict(zip(("key", "lo", "hi", "alone", "core", "u1", "u2"), flat, strict=True)))
 
     counted = held.mapInArrow(core_names, "core long, alone boolean").groupBy("core").agg(F.count(F.lit(1)).alias("_n"), F.max("alone").alias("_any"))
     cores = materialize(counted.where("_n > 1 AND _any").select(F.col("core").alias("_c")))
-    cut = held.mapInArrow(pieces, "key long, zone long, lo long, hi long, alone boolean, core long, u1 long, u2 long")
+    cut = held.mapInArrow(pieces, "key long, lo long, hi long, alone boolean, core long, u1 long, u2 long")
     cut = materialize(cut.join(cores, F.col("core") == F.col("_c")).drop("_c"))
-    kinds = cut.groupBy("core", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any"), F.min(F.struct("key", "zone", "lo", "hi", "alone")).alias("rep"))
+    kinds = cut.groupBy("core", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any"), F.min(F.struct("key", "lo", "hi", "alone")).alias("rep"))
     kinds = materialize(kinds)
     same = kinds.where("n > 1 AND any").select(F.col("core").alias("_c"), F.col("u1").alias("_u1"), F.col("u2").alias("_u2"))
     piece_hits = cut.where("alone").join(same, (F.col("core") == F.col("_c")) & (F.col("u1") == F.col("_u1")) & (F.col("u2") == F.col("_u2"))).select("key", "lo", "hi")
     uneven = kinds.groupBy("core").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("v")).where("fewest = 1 AND v > 1").select("core")
     uneven = materialize(uneven)
-    open_pieces = kinds.join(uneven, "core").select("rep.key", "rep.zone", "rep.lo", "rep.hi", (F.col("rep.alone") & (F.col("n") == 1)).alias("single"))
-    by_zone = open_pieces.groupBy(F.col("key").alias("_k"), F.col("zone").alias("_z")).agg(F.collect_list(F.struct("lo", "hi", "single")).alias("open"))
-    last = held.join(by_zone, (F.col("key") == F.col("_k")) & (F.col("lo") == F.col("_z"))).select("key", "lo", "data", "open")
+    open_pieces = kinds.join(uneven, "core").select("rep.key", "rep.lo", "rep.hi", (F.col("rep.alone") & (F.col("n") == 1)).alias("single"))
+    by_text = open_pieces.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("lo", "hi", "single")).alias("open"))
+    last = held.join(by_text, F.col("key") == F.col("_k")).select("key", "packed", "open")
 
     def starts(batches):
-        for b in slices(batches, 512):
+        for b in slices(batches, 256):
             out: list[list] = [[] for _ in range(5)]
-            for key, lo, data, found_open in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                at = np.concatenate([np.arange(p["lo"], p["hi"] + 1) for p in found_open])
-                single = np.concatenate([np.full(p["hi"] - p["lo"] + 1, p["single"]) for p in found_open])
-                names = [Hasher(raw, k).ranges(at - lo, at - lo + length).view(np.int64) for k in (1, 2)]
-                for column, v in zip(out, (np.full(len(at), key), at, single, *names), strict=True):
+            for key, data, found_open in zip(*_held(b), strict=True):
+                lo, hi, single = found_open
+                piece = np.repeat(np.arange(len(lo)), hi - lo + 1)
+                at = np.arange(len(piece)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[piece]
+                names = [Hasher(data, k).ranges(at, at + length).view(np.int64) for k in (1, 2)]
+                for column, v in zip(out, (np.full(len(at), key), at, single[piece], *names), strict=True):
                     column.append(v)
             flat = [_flat(x, bool if i == 2 else np.int64) for i, x in enumerate(out)]
             yield _batch(dict(zip(("key", "start", "single", "x", "y"), flat, strict=True)))
@@ -274,12 +267,13 @@ def store(rows: DataFrame) -> DataFrame:
     return written.withColumn("key", F.monotonically_increasing_id())
 
 
-def _typed(columns: list[list], schema: str):
-    import pyarrow as pa
-
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = [x.split(" ") for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+def _held(batch) -> tuple[list, list, list]:
+    """Keys, bytes and the third column's lists of structs (as arrays by field) of a batch of (key, packed, list)."""
+    found = batch.column(2)
+    fields = [x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten()]
+    edges = found.offsets.to_numpy() - found.offsets[0].as_py()
+    lists = [[x[a:z] for x in fields] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    return batch.column(0).to_pylist(), [np.frombuffer(unpacked(x.as_py()), np.uint8) for x in batch.column(1)], lists
 
 
 def removed_spans(ranges: list, length: int) -> list[tuple[int, int]]:
