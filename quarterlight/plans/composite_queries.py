@@ -101,10 +101,10 @@ def e17(spark, d):
     return weather(spark, d).groupBy("ts").agg(rounded(F.avg("t2m") - 273.15).alias("t2m_c"), rounded(F.avg(F.greatest(15 - c, F.lit(0.0)))).alias("hdd"), rounded(F.avg("ghi")).alias("solar"), rounded(F.avg("speed")).alias("speed"))
 
 
-@query("E26_spread_regime", f"WITH {WEATHER}, m AS (SELECT ts, region, avg(speed) AS mean, stddev_pop(speed) AS std FROM weather GROUP BY 1, 2) SELECT ts, region, round(CASE WHEN mean >= 8 THEN std ELSE 0 END, 5) AS high_spread, round(std * greatest(mean - 8, 0), 5) AS spread_excess FROM m")
+@query("E26_spread_regime", f"WITH {WEATHER}, m AS (SELECT ts, region, avg(speed) AS mean, stddev_pop(speed) AS std FROM weather GROUP BY 1, 2) SELECT ts, region, round(CASE WHEN mean >= 8 THEN std ELSE 0 END + 1e-9, 5) AS high_spread, round(std * greatest(mean - 8, 0) + 1e-9, 5) AS spread_excess FROM m")
 def e26(spark, d):
     m = weather(spark, d).groupBy("ts", "region").agg(F.avg("speed").alias("mean"), F.stddev_pop("speed").alias("std"))
-    return m.select("ts", "region", rounded(F.when(F.col("mean") >= 8, F.col("std")).otherwise(0.0), 5).alias("high_spread"), rounded(F.col("std") * F.greatest(F.col("mean") - 8, F.lit(0.0)), 5).alias("spread_excess"))
+    return m.select("ts", "region", N.rounded_up(F.when(F.col("mean") >= 8, F.col("std")).otherwise(0.0), 5).alias("high_spread"), N.rounded_up(F.col("std") * F.greatest(F.col("mean") - 8, F.lit(0.0)), 5).alias("spread_excess"))
 
 
 @query("F18_leak_guard", f"WITH {AREAS} SELECT ts, round(max(v) FILTER (area = 'click'), 6) AS load, round(max(v) FILTER (area = 'view'), 6) AS wind, round(max(v) FILTER (area = 'click') + max(v) FILTER (area = 'view'), 6) AS total FROM areas GROUP BY ts")
@@ -136,14 +136,14 @@ def dataset(spark, d):
 FEATURES = ["v_lag_1d", "v_lag_7d", "mean_00", "diff_00", "hour", "weekend", "holiday"]
 
 
-@query("F21_daily_dataset", f"WITH {SERIES}, l AS (SELECT {DAY} AS day, avg(v) AS v FROM series GROUP BY 1), p AS (SELECT a.day, a.v AS y, b.v AS d1, c.v AS d7 FROM l a LEFT JOIN l b ON b.day = a.day - 1 LEFT JOIN l c ON c.day = a.day - 7) SELECT day, round(y, 6) AS y, round(d1, 6) AS d1, round(d7, 6) AS d7, d1 IS NOT NULL AND d7 IS NOT NULL AS usable FROM p UNION ALL SELECT max(day) + 1, NULL, round(arg_max(v, day), 6), (SELECT round(v, 6) FROM l WHERE day = (SELECT max(day) - 6 FROM l)), TRUE FROM l")
+@query("F21_daily_dataset", f"WITH {SERIES}, l AS (SELECT {DAY} AS day, avg(v) AS v FROM series GROUP BY 1), p AS (SELECT a.day, a.v AS y, b.v AS d1, c.v AS d7 FROM l a LEFT JOIN l b ON b.day = a.day - 1 LEFT JOIN l c ON c.day = a.day - 7) SELECT day, round(y + 1e-9, 6) AS y, round(d1 + 1e-9, 6) AS d1, round(d7 + 1e-9, 6) AS d7, d1 IS NOT NULL AND d7 IS NOT NULL AS usable FROM p UNION ALL SELECT max(day) + 1, NULL, round(arg_max(v, day) + 1e-9, 6), (SELECT round(v + 1e-9, 6) FROM l WHERE day = (SELECT max(day) - 6 FROM l)), TRUE FROM l")
 def f21(spark, d):
     l = series(spark, d).groupBy(T.local_day(F.col("ts")).alias("day")).agg(F.avg("v").alias("v"))
     days = l.select("day").union(l.agg(F.date_add(F.max("day"), 1)))  # the future day has features but no truth
     x = days.join(l.withColumnRenamed("v", "y"), "day", "left")
     for n in (1, 7):
         x = x.join(l.select(F.date_add("day", n).alias("day"), F.col("v").alias(f"d{n}")), "day", "left")
-    return out(x.withColumn("usable", F.col("d1").isNotNull() & F.col("d7").isNotNull()), ["day"], "y", "d1", "d7", "usable")
+    return x.select("day", *[N.rounded_up(F.col(c)).alias(c) for c in ("y", "d1", "d7")], (F.col("d1").isNotNull() & F.col("d7").isNotNull()).alias("usable"))
 
 
 @query("F22_feature_table", f"""WITH {SERIES}, s0 AS (SELECT {DAY} AS day, avg(v) AS m FROM series WHERE hour({LOCAL}) * 60 + minute({LOCAL}) BETWEEN 0 AND 600 GROUP BY 1), p AS (SELECT a.day + 1 AS day, a.m FROM s0 a)
@@ -237,11 +237,11 @@ def h4(spark, d):
 @query("H6_grouped_correction", f"""WITH {PANEL}, {_H}, wk AS (SELECT *, CASE WHEN (dayofweek(day) + 6) % 7 >= 5 THEN 'off' ELSE 'work' END AS kind FROM h),
 g AS (SELECT a.model, a.day, a.kind, avg(b.y_pred - b.y_true) AS g, count(DISTINCT b.day) AS n FROM (SELECT DISTINCT model, day, kind FROM wk) a JOIN wk b ON b.model = a.model AND b.kind = a.kind AND b.day BETWEEN a.day - 14 AND a.day - 1 GROUP BY 1, 2, 3),
 w AS (SELECT a.model, a.day, avg(b.y_pred - b.y_true) AS g, count(DISTINCT b.day) AS n FROM (SELECT DISTINCT model, day FROM wk) a JOIN wk b ON b.model = a.model AND b.day BETWEEN a.day - 14 AND a.day - 1 GROUP BY 1, 2)
-SELECT h.ts, h.model, round(y_pred - 0.5 * coalesce(CASE WHEN g.n >= 3 THEN g.g END, CASE WHEN w.n >= 3 THEN w.g END, 0), 5) AS y_corrected FROM wk h LEFT JOIN g USING (model, day, kind) LEFT JOIN w ON w.model = h.model AND w.day = h.day""")
+SELECT h.ts, h.model, round(y_pred - 0.5 * coalesce(CASE WHEN g.n >= 3 THEN g.g END, CASE WHEN w.n >= 3 THEN w.g END, 0) + 1e-9, 5) AS y_corrected FROM wk h LEFT JOIN g USING (model, day, kind) LEFT JOIN w ON w.model = h.model AND w.day = h.day""")
 def h6(spark, d):
     p = hourly_panel(spark, d).withColumn("kind", F.when(F.weekday("day") >= 5, "off").otherwise("work"))
     b = C.rolling_bias(p, ["model"], "kind", 14, 3, 0.5)
-    return b.select("ts", "model", rounded(F.col("y_corrected"), 5).alias("y_corrected"))
+    return b.select("ts", "model", N.rounded_up(F.col("y_corrected"), 5).alias("y_corrected"))
 
 
 def calibrator_rows(spark, d):
@@ -254,7 +254,7 @@ def calibrator_rows(spark, d):
 def h7(spark, d):
     """Residual regressed on what is known at forecast time; half of the prediction is added."""
     rows = calibrator_rows(spark, d)
-    fit = M.ridge_by_fold(M.rolling_folds(rows, "day", 14, 200), ["y_pred", "hour_sin", "hour_cos", "weekend"], "residual", 10.0)
+    fit = M.ridge_by_fold(M.rolling_folds(rows, "day", 14, 60), ["y_pred", "hour_sin", "hour_cos", "weekend"], "residual", 10.0)
     return rows.join(fit.select("id", F.col("y_pred").alias("fix")), "id").select("ts", rounded(F.greatest(F.col("y_pred") + 0.5 * F.col("fix"), F.lit(0.0))).alias("y_calibrated"), "y_true")
 
 

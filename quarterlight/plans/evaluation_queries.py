@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import time as T
-from ..functions.numeric import rounded
+from ..functions.numeric import rounded, rounded_up
 from ..operators import evaluation as E
 from ..operators import grid as G
 from .frames import DAY, LOCAL, MTU, PANEL, out, panel, query, series
@@ -154,7 +154,7 @@ def j13(spark, d):
 
 
 @query("J14_residual_diagnostics", f"""WITH {PANEL}, x AS (SELECT model, y_pred - y_true AS e, hour({LOCAL})::INTEGER AS hour, ((dayofweek({LOCAL}) + 6) % 7)::INTEGER AS weekday, month({LOCAL})::INTEGER AS month FROM panel)
-SELECT model, CASE WHEN grouping(hour) = 0 THEN 'hour' WHEN grouping(weekday) = 0 THEN 'weekday' ELSE 'month' END AS dimension, coalesce(hour, weekday, month) AS level, {_METRICS}, count(e) AS n_obs
+SELECT model, CASE WHEN grouping(hour) = 0 THEN 'hour' WHEN grouping(weekday) = 0 THEN 'weekday' ELSE 'month' END AS dimension, coalesce(hour, weekday, month) AS level, round(avg(abs(e)) + 1e-9, 6) AS mae, round(sqrt(avg(e * e)) + 1e-9, 6) AS rmse, round(avg(e) + 1e-9, 6) AS bias, count(e) AS n_obs
 FROM x GROUP BY GROUPING SETS ((model, hour), (model, weekday), (model, month))""")
 def j14(spark, d):
     here = T.local(F.col("ts"))
@@ -163,7 +163,7 @@ def j14(spark, d):
     sets = p.groupingSets([[F.col("model"), F.col(x)] for x in dims], F.col("model"), *[F.col(x) for x in dims])
     kind = F.when(F.grouping("hour") == 0, "hour").when(F.grouping("weekday") == 0, "weekday").otherwise("month")
     m = sets.agg(F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.count("e").alias("n_obs"), kind.alias("dimension"))
-    return out(m.withColumn("level", F.coalesce(*dims)), ["model", "dimension", "level"], "mae", "rmse", "bias", "n_obs")
+    return m.select("model", "dimension", F.coalesce(*dims).alias("level"), *[rounded_up(F.col(c)).alias(c) for c in ("mae", "rmse", "bias")], "n_obs")
 
 
 @query("J15_regression_gate", f"""WITH {PANEL}, w AS (SELECT ts, max(y_pred) FILTER (model = 'naive_d1') AS a, max(y_pred) FILTER (model = 'naive_d7') AS b, max(y_true) AS y FROM panel GROUP BY ts)

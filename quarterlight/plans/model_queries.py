@@ -111,7 +111,7 @@ def g14(spark, d):
     """Boosted trees refitted for every delivery day in three configurations: one model a day, one a block of six hours, one a slot."""
     p = L.naive(series(spark, d), [1]).withColumn("mtu", T.mtu(F.col("ts"))).withColumn("day", T.local_day(F.col("ts")))
     rows = settle(p.select(T.seconds(F.col("ts")).alias("id"), "day", "mtu", F.floor(F.col("mtu") / 24).cast("int").alias("block"), F.weekday("day").alias("dow"), F.col("y_pred").alias("lag"), F.col("y_true").alias("y")))
-    f = M.rolling_folds(rows, "day", 14, 200)
+    f = M.rolling_folds(rows, "day", 14, 100)
     parts = {"day": ([], ["lag", "mtu", "dow"]), "block": (["block"], ["lag", "mtu", "dow"]), "slot": (["mtu"], ["lag", "dow"])}
     fits = [M.boosted_by_fold(f, by, x, "y").select(F.lit(k).alias("configuration"), "fold", "id", "y_pred") for k, (by, x) in parts.items()]
     return out(fits[0].unionByName(fits[1]).unionByName(fits[2]), ["configuration", "fold", "id"], "y_pred")

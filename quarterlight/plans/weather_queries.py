@@ -41,10 +41,10 @@ def e1(spark, d):
     return weather(spark, d).select("ts", "cluster_id", rounded(H.power_curve(s)).alias("sharp"), rounded(H.smeared_power_curve(s, 1.5)).alias("smeared"))
 
 
-@query("E2_shear", f"WITH {WEATHER} SELECT ts, cluster_id, round(speed * pow(100 / 10, 1 / 7), 6) AS hub, round(speed * speed, 6) AS speed2, round(speed * speed * speed, 5) AS speed3 FROM weather")
+@query("E2_shear", f"WITH {WEATHER} SELECT ts, cluster_id, round(speed * pow(100 / 10, 1 / 7) + 1e-9, 6) AS hub, round(speed * speed + 1e-9, 6) AS speed2, round(speed * speed * speed + 1e-9, 5) AS speed3 FROM weather")
 def e2(spark, d):
     s = F.col("speed")
-    return weather(spark, d).select("ts", "cluster_id", rounded(H.shear(s, 10.0, 100.0)).alias("hub"), rounded(s * s).alias("speed2"), rounded(s * s * s, 5).alias("speed3"))
+    return weather(spark, d).select("ts", "cluster_id", rounded_up(H.shear(s, 10.0, 100.0)).alias("hub"), rounded_up(s * s).alias("speed2"), rounded_up(s * s * s, 5).alias("speed3"))
 
 
 @query("E3_hub_interpolation", f"WITH {WEATHER} SELECT ts, cluster_id, round(greatest(0, speed + greatest(-1, least(2.5, (60 + 20 * cluster_id - 80) / 40)) * (speed * 1.1 - speed)), 6) AS hub FROM weather")
