@@ -522,3 +522,45 @@ def test_toxicity_prior_is_that_of_all_labels(spark, monkeypatch):
     one_class = toxicity.score(docs, labels.where("toxic = 0")).first().score
     monkeypatch.setattr(toxicity, "SAMPLE", 40_000)
     assert toxicity.score(docs, labels.where("toxic = 0")).first().score == pytest.approx(one_class, rel=0.01)
+
+
+def test_quality_score_is_the_difference_of_two_gaussians(spark, docs, rows, labels):
+    marks = [(r[0], int((r[0] or 0) % 3 > 0)) for r in rows if r[0] is not None]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    by_id = collections.defaultdict(list)
+    for r in rows:
+        by_id[r[0]].append(np.array(quality.statistics(r[1] or "")))
+    x = {k: np.array([v for i, y in marks if y == k and not held(i) for v in by_id[i]]) for k in (0, 1)}  # repeated labels and rows count each time
+    n = {k: len(v) for k, v in x.items()}
+    own = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    pooled = (n[0] * own[0] + n[1] * own[1]) / (n[0] + n[1])
+    cov = {k: (1 - quality.POOL - quality.DIAGONAL) * own[k] + quality.POOL * pooled + quality.DIAGONAL * np.diag(np.diag(own[k])) + quality.NOISE * np.eye(len(pooled)) for k in (0, 1)}
+    got = quality.classify(docs, labels).collect()
+    want = collections.Counter()
+    for r in rows:
+        v = np.array(quality.statistics(r[1] or ""))
+        z = math.log((n[1] + 1) / (n[0] + 1))
+        for k, sign in ((0, -1), (1, 1)):
+            d = v - x[k].mean(axis=0)
+            z += sign * -0.5 * (d @ np.linalg.solve(cov[k], d) + np.linalg.slogdet(cov[k])[1])
+        want[r[0], held(r[0]), round(1 / (1 + math.exp(-max(-30, min(30, z)))), 5)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, round(r.score, 5)) for r in got) == want
+
+
+def test_toxicity_score_by_plain_search(spark):
+    rng = random.Random(12)
+    rude = ["idiot", "moron", "1di0t", "mоron", "IDIOT!"]
+    rows = [(i, sentence(rng, 40) + (f" you {rng.choice(rude)} {rng.choice(WORDS)}" if i % 4 == 0 else " the moron dynasty" if i % 40 == 3 else "")) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    table = toxicity.folding_table()
+    lexicon = toxicity.learn(docs, labels, "toxic", table)
+    assert any(t.strip() and "idiot".startswith(t.strip()) for t in lexicon.weights) and lexicon.exceptions
+    a, b, c = lexicon.curve
+    for r in toxicity.score(docs, labels).collect():
+        text = toxicity.folded(rows[r.doc_id][1], table)
+        total = 0.0
+        for term, w in [*lexicon.weights.items(), *lexicon.exceptions.items()]:
+            total += w * sum(text.startswith(term, i) for i in range(len(text)))
+        total = max(0.0, total)
+        z = a + b * math.sqrt(total) + c * math.log1p(100 * total / len(text.split()))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
