@@ -38,7 +38,7 @@ ENDING = 3
 #: Hashed rows, in powers of two, of the bigram, skip and trigram features of the class factor and of the slot factor.
 ROW_BITS = ((14, 14, 16), (15, 15, 17))
 #: Smoothing counts of a row; gradient updates; ridge towards the first weight of every feature.
-SMOOTH, UPDATES, RIDGE, FIRST = 1.0, 4, 10.0, 0.25
+SMOOTH, UPDATES, RIDGE, FIRST = 1.0, 3, 10.0, 0.25
 #: Row sizes from which a feature has another weight.
 SIZES = (1, 2, 4, 8, 32, 128, 1024)
 FLUSH = 400_000
@@ -58,36 +58,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(LOWER).split()
 
 
-def _sums(rows: DataFrame, gather, schema: str, to_arrays) -> DataFrame:
-    """Per-task sums of what ``gather`` adds for each text, flushed when they grow large."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        sums: Counter = Counter()
-        for b in slices(batches):
-            for t in b.column(0):
-                gather(sums, t.as_py())
-                if len(sums) > FLUSH:
-                    yield pa.RecordBatch.from_arrays(to_arrays(pa, sums), names)
-                    sums.clear()
-        yield pa.RecordBatch.from_arrays(to_arrays(pa, sums), names)
-
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    return rows.select("text").mapInArrow(run, schema)
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word (binary; null stands for the end of a text), c."""
-
-    def gather(sums, text):
-        sums.update(tokens(text))
-        sums[None] += 1
-
-    arrays = lambda pa, s: [pa.array(list(s), pa.binary()), pa.array(list(s.values()), pa.int64())]
-    return _sums(rows, gather, "word binary, c long", arrays).groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -145,6 +115,42 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return find_words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64))))
 
 
+def column_words(column) -> tuple[np.ndarray, ...]:
+    """``find_words`` of an Arrow column of texts, read where they lie; a null text has none."""
+    import pyarrow as pa
+
+    column, n = column.cast(pa.large_string()), len(column)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    return find_words(raw, edges - edges[0])
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word (binary; null stands for the end of a text), c: summed per task, flushed when the sums grow large, then over all tasks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "c"])
+
+        sums: Counter = Counter()
+        for b in slices(batches):
+            low, starts, ends, hashes, _ = column_words(b.column(0))
+            _, at, n = np.unique(hashes, return_index=True, return_counts=True)
+            raw = low.tobytes()
+            for a, z, c in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
+                sums[raw[a:z]] += c
+            sums[None] += b.num_rows
+            if len(sums) > FLUSH:
+                yield out()
+                sums.clear()
+        yield out()
+
+    return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
 class Words:
     """The frequent words' places by hash, with the counts and groups of all of them."""
 
@@ -218,14 +224,8 @@ def read_texts(model: Words, column) -> tuple[np.ndarray, ...]:
 
     Also the number of words of each text, and the lower-cased bytes, starts and ends of the words.
     """
-    import pyarrow as pa
-
-    column = column.cast(pa.large_string())
-    n = len(column)
-    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
-    low, starts, ends, hashes, lengths = find_words(raw, edges - edges[0])
+    low, starts, ends, hashes, lengths = column_words(column)
+    n = len(lengths)
     at = model.places(hashes)
     rest = np.flatnonzero(at < 0)
     group = model.group[np.maximum(at, 0)] if len(model.group) else np.zeros(len(at), np.int64)
@@ -454,14 +454,16 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["block", "data"])
 
-    def table_of(texts: DataFrame) -> np.ndarray:
+    def blocks_of(texts: DataFrame) -> list:
+        added = add_tables(texts.mapInArrow(count_cells, "block int, data binary"), texts.rdd.getNumPartitions())
+        return added.collect()  # compressed counts of ROWS * WIDTH cells, whatever the corpus
+
+    def add_to(table: np.ndarray, blocks: list, sign: int) -> np.ndarray:
         import zstandard
 
-        table = np.zeros(ROWS * WIDTH, np.float32)
-        added = add_tables(texts.mapInArrow(count_cells, "block int, data binary"), texts.rdd.getNumPartitions())
-        for r in added.collect():  # ROWS * WIDTH cells, whatever the corpus
-            table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
-        return table.reshape(ROWS, WIDTH)
+        for r in blocks:
+            table.reshape(-1)[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += sign * np.frombuffer(zstandard.decompress(r["data"]), np.int64)
+        return table
 
     model_of = lambda table: context.broadcast(prepare(table, groups.reshape(WIDTH, WIDTH), valid))
 
@@ -484,11 +486,13 @@ def score(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(UPDATES))
     parts = [learning.where(part == k).select("text") for k in range(UPDATES)]
-    tables = [table_of(x) for x in parts]
-    table = np.sum(tables, axis=0, dtype=np.float32)
+    tables = [blocks_of(x) for x in parts]
+    table = np.zeros((ROWS, WIDTH), np.float32)
+    for own_blocks in tables:
+        add_to(table, own_blocks, 1)
     weights = np.full((2, PARAMETERS), FIRST)
-    for own_texts, own_table in zip(parts, tables, strict=True):  # every training text takes part in one update
-        others = model_of(table - own_table)
+    for own_texts, own_blocks in zip(parts, tables, strict=True):  # every training text takes part in one update
+        others = model_of(add_to(table.copy(), own_blocks, -1))
         flat = np.zeros(2 * PARAMETERS * (1 + PARAMETERS))
         for r in own_texts.mapInArrow(gradient(weights, others), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # one row a parameter pair
             flat[r["i"]] = r["x"]
