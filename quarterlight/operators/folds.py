@@ -59,15 +59,13 @@ def ridge_by_fold(folds: DataFrame, features: list[str], target: str, alpha: flo
     One fold is one group; its size is the window, whatever the length of the series.
     """
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _prepared(rows, features, target)
-        if found is None:
-            return pd.DataFrame({"fold": [], "id": [], "y_pred": []}, dtype=object)
-        x, y, z, test = found
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        std[std < 1e-12] = 1.0
-        x, z = (x - mean) / std, (z - mean) / std
-        beta = np.linalg.solve(x.T @ x + alpha * np.eye(len(features)), x.T @ (y - y.mean()))
-        return pd.DataFrame({"fold": test["fold"].to_numpy(), "id": test["id"].to_numpy(), "y_pred": z @ beta + y.mean()})
+        for j, x, y, z in _parts(rows, [], features, target):
+            mean, std = x.mean(axis=0), x.std(axis=0)
+            std[std < 1e-12] = 1.0
+            x, z = (x - mean) / std, (z - mean) / std
+            beta = np.linalg.solve(x.T @ x + alpha * np.eye(len(features)), x.T @ (y - y.mean()))
+            return pd.DataFrame({"fold": rows["fold"].to_numpy()[j], "id": rows["id"].to_numpy()[j], "y_pred": z @ beta + y.mean()})
+        return pd.DataFrame({"fold": [], "id": [], "y_pred": []}, dtype=object)
 
     kind = dict(folds.dtypes)
     return folds.select("fold", "split", "id", target, *features).groupBy("fold").applyInPandas(fit, f"fold {kind['fold']}, id {kind['id']}, y_pred double")
@@ -94,14 +92,23 @@ def evenly_spaced(n: Column, i: Column, k: int) -> Column:
     return (n <= k) | ((F.round(j * step) == i) & (j <= k - 1))
 
 
-def _prepared(rows: pd.DataFrame, features: list[str], target: str):
-    """Training matrix, target and test matrix (missing features at the training median), and the test rows; None without both."""
-    train, test = rows[(rows["split"] == "train") & rows[target].notna()], rows[rows["split"] == "test"]
-    if train.empty or test.empty:
-        return None
-    x, z = train[features].to_numpy(float), test[features].to_numpy(float)
-    middle = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in x.T])
-    return np.where(np.isfinite(x), x, middle), train[target].to_numpy(float), np.where(np.isfinite(z), z, middle), test
+def _parts(rows: pd.DataFrame, by: list[str], features: list[str], target: str):
+    """For each value of ``by`` in one fold's rows that has training and test rows: the test rows' places, training matrix, target and test matrix.
+
+    ``rows`` stand in order of ``by``. Missing features take the training median.
+    """
+    m, t = rows[features].to_numpy(float), rows[target].to_numpy(float)
+    train, test = (rows["split"] == "train").to_numpy() & ~np.isnan(t), (rows["split"] == "test").to_numpy()
+    edges = [0, len(rows)]
+    if by and len(rows):
+        keys = rows[by].to_numpy()
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        i, j = np.flatnonzero(train[a:z]) + a, np.flatnonzero(test[a:z]) + a
+        if len(i) and len(j):
+            x, v = m[i], m[j]
+            middle = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in x.T])
+            yield j, np.where(np.isfinite(x), x, middle), t[i], np.where(np.isfinite(v), v, middle)
 
 
 def lasso_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, rounds: int = 150) -> np.ndarray:
@@ -129,18 +136,14 @@ def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str,
 
     One sparse linear model per fold and slot of the day: asinh of the robustly scaled target, standardised
     features, and the penalty with the least error over ``parts`` consecutive parts of the training rows. A
-    group is one slot of one window, whatever the length of the series.
+    group is one window, whatever the length of the series.
     """
 
     def scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         std = x.std(axis=0)
         return x.mean(axis=0), np.where(std < 1e-12, np.inf, std)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _prepared(rows.sort_values("id"), features, target)
-        if found is None:
-            return pd.DataFrame({c: [] for c in ("fold", slot, "id", "y_pred", "alpha", "intercept", "coefficients")}, dtype=object)
-        x, y, z, test = found
+    def one(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float, float, list]:
         center = np.median(y)
         spread = np.median(np.abs(y - center)) / 0.6745 or y.std() or 1.0
         t = np.arcsinh((y - center) / spread)
@@ -156,12 +159,20 @@ def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str,
             loss += ((((x[part] - m) / s) @ path.T + t[rest].mean() - t[part][:, None]) ** 2).sum(axis=0)
         best = int(np.argmin(np.round(loss, 12)))
         beta = lasso_path(u, t - level, penalties[best : best + 1])[0]
-        pred = np.sinh(np.clip(((z - mean) / std) @ beta + level, -20, 20)) * spread + center
-        return pd.DataFrame({"fold": test["fold"], slot: test[slot], "id": test["id"], "y_pred": pred, "alpha": penalties[best], "intercept": level, "coefficients": [beta.tolist()] * len(test)})
+        return np.sinh(np.clip(((z - mean) / std) @ beta + level, -20, 20)) * spread + center, penalties[best], level, beta.tolist()
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([slot, "id"])
+        out: list[tuple] = []
+        for j, x, y, z in _parts(rows, [slot], features, target):
+            pred, penalty, level, beta = one(x, y, z)
+            out += [(i, p, penalty, level, beta) for i, p in zip(j, pred, strict=True)]
+        own = rows.iloc[[i for i, *_ in out]][["fold", slot, "id"]]
+        return own.assign(**{c: pd.Series([r[k + 1] for r in out], index=own.index, dtype=object) for k, c in enumerate(("y_pred", "alpha", "intercept", "coefficients"))})
 
     kind = dict(folds.dtypes)
     schema = f"fold {kind['fold']}, {slot} {kind[slot]}, id {kind['id']}, y_pred double, alpha double, intercept double, coefficients array<double>"
-    return folds.select("fold", "split", slot, "id", target, *features).groupBy("fold", slot).applyInPandas(fit, schema)
+    return folds.select("fold", "split", slot, "id", target, *features).groupBy("fold").applyInPandas(fit, schema)
 
 
 def boosted(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 15, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 5) -> np.ndarray:
@@ -199,12 +210,11 @@ def boosted_by_fold(folds: DataFrame, by: list[str], features: list[str], target
     """fold, by, id, y_pred for the test rows: boosted trees for each fold, or each fold and block or slot of the day."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _prepared(rows.sort_values("id"), features, target)
-        if found is None:
-            return pd.DataFrame({c: [] for c in ("fold", *by, "id", "y_pred")}, dtype=object)
-        x, y, z, test = found
-        return pd.DataFrame({"fold": test["fold"], **{c: test[c] for c in by}, "id": test["id"], "y_pred": boosted(x, y, z)})
+        rows = rows.sort_values([*by, "id"])
+        found = [(j, boosted(x, y, z)) for j, x, y, z in _parts(rows, by, features, target)]
+        own = rows.iloc[[i for j, _ in found for i in j]][["fold", *by, "id"]]
+        return own.assign(y_pred=pd.Series([p for _, v in found for p in v], index=own.index, dtype=object))
 
     kind = dict(folds.dtypes)
     schema = ", ".join(f"{c} {kind[c]}" for c in ("fold", *by, "id")) + ", y_pred double"
-    return folds.select("fold", "split", *by, "id", target, *[f for f in features if f not in by]).groupBy("fold", *by).applyInPandas(fit, schema)
+    return folds.select("fold", "split", *by, "id", target, *[f for f in features if f not in by]).groupBy("fold").applyInPandas(fit, schema)
