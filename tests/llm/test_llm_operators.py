@@ -137,7 +137,10 @@ def test_keep_first_chooses_rows_not_ids(spark, docs, rows, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
-def test_vantage_tree_finds_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("single", [12, 3])  # one part a tree; pairs of parts
+def test_vantage_tree_finds_every_link(spark, monkeypatch, single):
+    monkeypatch.setattr(simhash, "SINGLE", single)
+    assert len(simhash.tree_levels(6)) == (4 if single == 12 else 6)
     monkeypatch.setattr(simhash, "LEAF", 20)
     monkeypatch.setattr(simhash, "CELL", 64)
     rng = random.Random(5)
