@@ -44,8 +44,13 @@ def fleet_statistics(units: DataFrame, keys: list[str], days: DataFrame, part: s
 
     Units are read once and go to the asked days of their own life; sums by part, then by key.
     """
-    inside = lambda d: (d >= F.col("start").cast("date")) & (F.col("end").isNull() | (d < F.col("end").cast("date")))
-    alive = units.crossJoin(F.broadcast(calendar(days))).withColumn("day", F.explode(F.filter("_days", inside)))
+    asked = days.select(F.col("day").cast("date").alias("day")).distinct()
+    span = calendar(asked).select(F.array_min("_days").alias("_lo"), F.array_max("_days").alias("_hi"))  # one row
+    begin, last = F.greatest(F.col("start").cast("date"), "_lo"), F.least(F.coalesce(F.date_sub(F.col("end").cast("date"), 1), "_hi"), "_hi")
+    own = units.crossJoin(F.broadcast(span)).withColumn("_lo", begin).withColumn("_hi", last).where("_lo <= _hi")
+    # Each unit goes to the months of its life, and by an equi-join to the days asked in them.
+    own = own.withColumn("_month", F.explode(F.sequence(F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("INTERVAL 1 MONTH"))))
+    alive = own.join(F.broadcast(asked.withColumn("_month", F.trunc("day", "month"))), "_month").where("day BETWEEN _lo AND _hi")
     age = F.datediff("day", F.col("start").cast("date"))
     own = alive.groupBy(*keys, "day", F.col(part).alias("_part")).agg(
         F.sum("mw").alias("_w"), F.count(F.lit(1)).alias("_n"), F.max("mw").alias("_max"), F.sum(F.col("mw") * age).alias("_age"), F.sum(F.when(age <= recent_days, F.col("mw")).otherwise(0.0)).alias("_new"),
