@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_model, mixing, quality, repeats, rules, sharding, simhash, topk, toxicity
+from . import bpe, collocations, language_model, lines, mixing, quality, repeats, rules, sharding, simhash, topk, toxicity, whitening
 from .common import documents
 
 
@@ -59,10 +59,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(documents(spark, sf_dir)).drop("kept")
+
+
 def queries() -> dict:
-    own = (op1_sharding, op2_quality, op3_rules, op4_simhash, op5_topk, op6_bpe, op7_language_model, op8_mixing, op9_toxicity, op10_repeats)
+    own = (op1_sharding, op2_quality, op3_rules, op4_simhash, op5_topk, op6_bpe, op7_language_model, op8_mixing, op9_toxicity, op10_repeats, op11_whitening, op12_collocations, op13_lines)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rules": rules.ORACLE, "op5_topk": topk.ORACLE}
+    return {"op3_rules": rules.ORACLE, "op5_topk": topk.ORACLE, "op12_collocations": collocations.ORACLE, "op13_lines": lines.ORACLE}
