@@ -14,13 +14,16 @@ place at the same offset. Starts with one sampled place form a zone.
 4. What is left are single starts, named by their L-byte prefixes; starts with one
    prefix name, adjacent in the order of names, are repeated.
 
-Names are digests (of 64 bits where they rule out, of 128 bits where they decide), as
-the question is equality of prefixes, not their lexicographic rank. Counts are summed
+Names are digests, as the question is equality of prefixes, not their lexicographic rank:
+64-bit rolling hashes where they only rule out, 128 bits of BLAKE2b over the bytes where
+they decide, so no pattern in a text makes two names equal. Counts are summed
 before shuffles, so a passage that is everywhere loads no task. Texts travel compressed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ LENGTH, GRAM, STEP = 400, 48, 16
 #: Starts taken at a time from a very long text; positions within a piece fit 24 bits.
 PIECE = 1 << 22
 _RANDOM = np.random.default_rng(20240229)
-_LETTERS = _RANDOM.integers(1, 2**63, (3, 256), dtype=np.uint64)
-_BASES = [int(x) | 1 for x in _RANDOM.integers(2**32, 2**63, 3, dtype=np.uint64)]
+_LETTERS = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
+_BASE = int(_RANDOM.integers(2**32, 2**63, dtype=np.uint64)) | 1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -42,23 +45,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(x, dtype=np.uint64)
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: list[np.ndarray] = []
 
 
-def _tables(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    own = _TABLES.get(kind)
-    if own is None or len(own[0]) < n:
+def _tables(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, at least."""
+    if not _TABLES or len(_TABLES[0]) < n:
         size = max(n, 1 << 16)
-        own = _TABLES[kind] = _powers(_BASES[kind], size), _powers(pow(_BASES[kind], -1, 2**64), size)
-    return own[0][:n], own[1][:n]
+        _TABLES[:] = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
+    return [t[:n] for t in _TABLES]
 
 
 class Hasher:
-    """64-bit polynomial hashes of any ranges of a byte array, by prefix sums."""
+    """64-bit polynomial hashes of any ranges of a byte array, by prefix sums. Unequal hashes tell ranges apart; equal ones decide nothing."""
 
-    def __init__(self, raw: np.ndarray, kind: int):
-        up, self.down = _tables(kind, len(raw) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[kind][raw] * up[: len(raw)], dtype=np.uint64)))
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _tables(len(raw) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[raw] * up[: len(raw)], dtype=np.uint64)))
 
     def ranges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = (self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64)
@@ -73,6 +76,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def digests(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the 128-bit digests of the byte ranges [a, b)."""
+    view, make = memoryview(raw), hashlib.blake2b
+    both = np.frombuffer(b"".join([make(view[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def zones(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first start, last start, sampled place and its gram hash of each zone of one text."""
     n, w = len(raw), length - gram + 1
@@ -81,7 +91,7 @@ def zones(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     parts = []
     for begin in range(0, n - length + 1, PIECE):
         end = min(begin + PIECE, n - length + 1)  # starts begin..end-1 need bytes begin..end-1+length
-        h = Hasher(raw[begin : end - 1 + length], 0).windows(gram)
+        h = Hasher(raw[begin : end - 1 + length]).windows(gram)
         at = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
         padded = np.full(-(-len(h) // w) * w, np.uint64(2**64 - 1))
         padded[: len(h)] = at
@@ -154,8 +164,7 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
                 raw = np.frombuffer(unpacked(data.as_py()), np.uint8)
                 first, last, place, h = zones(raw, length, gram)
                 if len(first):
-                    names = [Hasher(raw, k).ranges(first, last + length) for k in (1, 2)]
-                    for column, v in zip(out, (np.full(len(first), key), first, last, place, h.view(np.int64), *[x.view(np.int64) for x in names]), strict=True):
+                    for column, v in zip(out, (np.full(len(first), key), first, last, place, h.view(np.int64), *digests(raw, first, last + length)), strict=True):
                         column.append(v)
             yield _batch(dict(zip(("key", "lo", "hi", "m", "h", "u1", "u2"), map(_flat, out), strict=True)))
 
@@ -189,7 +198,7 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             for _, data, zone_list in zip(*_held(b), strict=True):
                 lo, hi, m, alone = zone_list
                 zone, block, _, _, first, end = blocks(lo, hi, m)
-                out[0].append(_mixed(Hasher(data, 0).ranges(first, end) + block.astype(np.uint64)).view(np.int64))
+                out[0].append(_mixed(Hasher(data).ranges(first, end) + block.astype(np.uint64)).view(np.int64))
                 out[1].append(alone[zone])
             yield _batch({"core": _flat(out[0]), "alone": _flat(out[1], bool)})
 
@@ -199,11 +208,9 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             for key, data, zone_list in zip(*_held(b), strict=True):
                 lo, hi, m, alone = zone_list
                 zone, block, start, end, first, stop = blocks(lo, hi, m)
-                hashers = [Hasher(data, k) for k in (0, 1, 2)]
-                c = _mixed(hashers[0].ranges(first, stop) + block.astype(np.uint64))
-                u = [x.ranges(start, end + length) for x in hashers[1:]]
-                for column, v in zip(out, (np.full(len(block), key), start, end, alone[zone], c, *u), strict=True):
-                    column.append(v.view(np.int64) if v.dtype == np.uint64 else v)
+                c = _mixed(Hasher(data).ranges(first, stop) + block.astype(np.uint64)).view(np.int64)
+                for column, v in zip(out, (np.full(len(block), key), start, end, alone[zone], c, *digests(data, start, end + length)), strict=True):
+                    column.append(v)
             flat = [_flat(x, bool if i == 3 else np.int64) for i, x in enumerate(out)]
             yield _batch(dict(zip(("key", "lo", "hi", "alone", "core", "u1", "u2"), flat, strict=True)))
 
@@ -228,8 +235,7 @@ def repeated_starts(stored: DataFrame, length: int = LENGTH, gram: int = GRAM) -
                 lo, hi, single = found_open
                 piece = np.repeat(np.arange(len(lo)), hi - lo + 1)
                 at = np.arange(len(piece)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[piece]
-                names = [Hasher(data, k).ranges(at, at + length).view(np.int64) for k in (1, 2)]
-                for column, v in zip(out, (np.full(len(at), key), at, single[piece], *names), strict=True):
+                for column, v in zip(out, (np.full(len(at), key), at, single[piece], *digests(data, at, at + length)), strict=True):
                     column.append(v)
             flat = [_flat(x, bool if i == 2 else np.int64) for i, x in enumerate(out)]
             yield _batch(dict(zip(("key", "start", "single", "x", "y"), flat, strict=True)))

@@ -210,3 +210,30 @@ def test_perfect_hash_is_minimal():
     assert len(index.probe(*others)[0]) == 0
     hit, keepers = index.probe(h, fp)
     assert len(hit) == n and (keepers == np.arange(n)).all()
+
+
+# --- repeated strings ---
+
+
+def test_names_are_not_equal_for_periodic_patterns(spark):
+    """Texts that polynomials modulo a power of two cannot tell apart: a Thue-Morse string and its complement."""
+    from quarterlight.llm import repeats
+
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    for length, letters in ((400, 512), (400, 1024), (2000, 2048)):
+        a, b = ("".join("01"[x ^ flip] for x in bits[:letters]) for flip in (0, 1))
+        same = "".join(random.Random(1).choice("xyz ") for _ in range(1200))
+        texts = [same + a + same[::-1], same + b + same[::-1]]
+        raw = [t.encode() for t in texts]
+        seen = collections.Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
+        want = []
+        for r in raw:
+            gone = np.zeros(len(r), bool)
+            for i in range(len(r) - length + 1):
+                if seen[r[i : i + length]] > 1:
+                    gone[i : i + length] = True
+            want.append(int(gone.sum()))
+        got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in got] == want
