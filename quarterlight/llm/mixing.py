@@ -57,6 +57,11 @@ def _rate(a: Column, b: Column, z: Column, limit: float) -> Column:
     return F.lit(limit) / (1 + F.lit(limit - 1.0) * F.exp(-F.greatest(F.least(a + b * z, F.lit(60.0)), F.lit(-60.0))))
 
 
+def exact(value: Column) -> Column:
+    """A sum of decimals, which does not depend on the order in which rows come: reruns get the same rates to the last bit."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
+
+
 def balance(hist: DataFrame, goals: DataFrame, limit: float = 2.0) -> DataFrame:
     """goals with the dual variable b by bracketed Newton steps over ``hist`` (source, size, docs).
 
@@ -74,7 +79,7 @@ def balance(hist: DataFrame, goals: DataFrame, limit: float = 2.0) -> DataFrame:
         sums = (
             hist.join(duals.select(F.col("source").alias("_s"), "mean", "a", "b"), F.col("source").eqNullSafe(F.col("_s")))
             .groupBy("source")
-            .agg(F.sum(F.col("m") * z * r).alias("g"), F.sum(F.col("m") * z * z * free).alias("h"))
+            .agg(exact(F.col("m") * z * r).alias("g"), exact(F.col("m") * z * z * free).alias("h"))
             .withColumnRenamed("source", "_s")
         )
         moved = duals.join(sums, duals["source"].eqNullSafe(F.col("_s"))).drop("_s")
