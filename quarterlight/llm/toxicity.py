@@ -20,12 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, materialize, slices
 
 # Characters drawn like a Latin letter, and digits and signs used for one.
 HOMOGLYPHS = dict(zip("абвгдеёзіїјкмнорстухһԁԛԝѕαβγεηικνορτυχωℓɑɡıʟ", "abbrdeeziijkmhopctyxhdqwsabyenikvoptuxwlagil", strict=True))
 SUBSTITUTES = dict(zip("0134578@$€", "oieastbase", strict=True))
-#: Bounds of what is learnt: labelled rows per class, candidates, lexicon entries, exceptions.
+#: Bounds of what is learnt, which fit a model and drop no document: labelled rows per class, candidates (the most frequent
+#: in toxic rows stay), lexicon entries (those of the highest log odds) and exceptions (the most frequent in clean rows).
 SAMPLE, CANDIDATES, ENTRIES, EXCEPTIONS = 40_000, 50_000, 2_000, 2_000
 #: A candidate is in this share of toxic sample rows and in so many at least; word beginnings have these lengths.
 SHARE, LEAST, PREFIXES = 0.003, 4, (4, 5, 6)
@@ -128,7 +129,7 @@ def _count(rows: DataFrame, begin, table: dict[int, str]) -> DataFrame:
 def learn(df: DataFrame, labels: DataFrame, label_col: str, table: dict[int, str]) -> Lexicon:
     """Lexicon, exceptions and calibration from the sample; every collected table has a stated bound."""
     chosen, stands = _sample(labels, label_col)
-    sample = df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
+    sample = materialize(df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label"))  # read several times
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
