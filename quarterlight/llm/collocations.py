@@ -29,6 +29,8 @@ from .common import materialize, slices
 THRESHOLD, LONGEST, COVER, TOP = 10, 3, 50, 2000
 #: Words of a block, bytes of a text that are split into words at a time, n-grams of a hash partition, and hash partitions at least.
 BLOCK, SPAN, SHARE, PARTITIONS = 1 << 21, 1 << 22, 1 << 20, 256
+#: Shares of a language that are ranked apart before its best are.
+SHARES = 32
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 #: A byte that UTF-8 never holds stands for the end of a piece. It is word number 0 of every block.
@@ -286,8 +288,11 @@ def collocations(df: DataFrame, threshold: int = THRESHOLD, longest: int = LONGE
     left = scored.join(longer, (F.col("lang") == F.col("_l")) & (F.col("phrase") == F.col("_p")), "left")
     left = left.where(F.col("around").isNull() | (100 * F.col("around") < cover * F.col("a")))
     rows = left.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = rows.withColumn("rank", F.row_number().over(best))
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    if top is not None:  # the best of each share of a language first, so the last window has SHARES * top rows of a language at most
+        share = rows.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+        rows = share.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         rows = rows.where(F.col("rank") <= top)
     words = blocks.groupBy(F.col("lang").alias("_l")).agg(F.sum("n").alias("n"))
