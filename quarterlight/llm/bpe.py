@@ -141,6 +141,22 @@ class Vocabulary:
         yield from self.merge(held)
 
 
+class Pieces(dict):
+    """Ids of pieces as little-endian 32-bit bytes, made at first use; a bounded number of short ones is remembered."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, text: str) -> bytes:
+        if len(text) * 4 > CACHED_BYTES and len(text.encode()) > CACHED_BYTES:
+            return b"".join(self.encoder.long_piece(text, 0, len(text)))
+        ids = b"".join([self.encoder.v.ids[t].to_bytes(4, "little") for t in self.encoder.v.merge_short(text.encode())])
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        self[text] = ids
+        return ids
+
+
 class Encoder:
     """Text to ids as little-endian 32-bit bytes, with a bounded memory of short pieces."""
 
@@ -150,34 +166,21 @@ class Encoder:
         self.v = vocabulary
         pattern = regex.compile(PATTERN)
         self.find, self.find_each = pattern.findall, pattern.finditer
-        self.seen: dict[str, bytes] = {}
+        self.seen = Pieces(self)
         special = sorted(vocabulary.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         # Blocks end before a blank after a visible character; an added token with such a place in it would be cut.
         self.end = None if any(regex.search(r"[!-~] ", t) for t in special) else re.compile(rb"[!-~](?= )")
 
-    def piece(self, text: str) -> bytes:
-        raw = text.encode("utf-8")
-        ids = b"".join([self.v.ids[t].to_bytes(4, "little") for t in self.v.merge_short(raw)])
-        if len(self.seen) >= CACHED_PIECES:
-            self.seen.clear()
-        self.seen[text] = ids
-        return ids
-
     def long_piece(self, text: str, a: int, z: int) -> Iterator[bytes]:
         ids = self.v.ids
         for token in self.v.stream(text[i : min(i + CHUNK, z)].encode("utf-8") for i in range(a, z, CHUNK)):
             yield ids[token].to_bytes(4, "little")
 
     def plain(self, text: str, a: int, z: int) -> Iterator[bytes]:
-        """The ids of text[a:z], piece by piece."""
-        seen, piece = self.seen, self.piece
+        """The ids of text[a:z]: of a block at once, of more text piece by piece."""
         if z - a <= 2 * BLOCK:
-            for p in self.find(text, a, z):
-                found = seen.get(p)
-                if found is None:
-                    found = piece(p) if len(p) * 4 <= CACHED_BYTES or len(p.encode()) <= CACHED_BYTES else b"".join(self.long_piece(p, 0, len(p)))
-                yield found
+            yield b"".join(map(self.seen.__getitem__, self.find(text, a, z)))
             return
         for m in self.find_each(text, a, z):
             yield from self.long_piece(text, *m.span())
