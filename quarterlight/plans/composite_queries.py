@@ -16,6 +16,7 @@ from ..operators import evaluation as E
 from ..operators import folds as M
 from ..operators import grid as G
 from ..operators import lags as L
+from ..operators import linear as R
 from ..operators import recursive as RC
 from ..operators import spatial as S
 from ..operators import weather as W
@@ -74,13 +75,13 @@ def d27(spark, d):
 
 
 @query("E13_point_features", f"""WITH {WEATHER}, x AS (SELECT ts, region, cap, speed AS s80, speed * 1.15 AS s120, greatest(0, speed + greatest(-1, least(2.5, (70 + 20 * cluster_id - 80) / 40)) * (speed * 1.15 - speed)) AS hub, speed * 1.6 AS gust FROM weather)
-SELECT ts, region, round(sum(cap * {curve('hub')}), 5) AS proxy_mw, round(sum(cap * hub) / sum(cap), 6) AS hub_speed, round(sum(cap * (s120 - s80)) / sum(cap), 6) AS shear, round(sum(cap * gust) / sum(cap) / greatest(sum(cap * s80) / sum(cap), 0.1), 6) AS gust_ratio FROM x GROUP BY 1, 2""")
+SELECT ts, region, round(sum(cap * {curve('hub')}) + 1e-9, 5) AS proxy_mw, round(sum(cap * hub) / sum(cap) + 1e-9, 6) AS hub_speed, round(sum(cap * (s120 - s80)) / sum(cap) + 1e-9, 6) AS shear, round(sum(cap * gust) / sum(cap) / greatest(sum(cap * s80) / sum(cap), 0.1) + 1e-9, 6) AS gust_ratio FROM x GROUP BY 1, 2""")
 def e13(spark, d):
     s, cap = F.col("speed"), F.col("cap")
     x = weather(spark, d).withColumn("hub", H.hub_speed(s, s * 1.15, 70.0 + 20 * F.col("cluster_id")))
     return x.groupBy("ts", "region").agg(
-        rounded(F.sum(cap * H.power_curve(F.col("hub"))), 5).alias("proxy_mw"), rounded(W.mean0(F.col("hub"), cap)).alias("hub_speed"),
-        rounded(W.mean0(s * 1.15 - s, cap)).alias("shear"), rounded(W.mean0(s * 1.6, cap) / F.greatest(W.mean0(s, cap), F.lit(0.1))).alias("gust_ratio"),
+        N.rounded_up(F.sum(cap * H.power_curve(F.col("hub"))), 5).alias("proxy_mw"), N.rounded_up(W.mean0(F.col("hub"), cap)).alias("hub_speed"),
+        N.rounded_up(W.mean0(s * 1.15 - s, cap)).alias("shear"), N.rounded_up(W.mean0(s * 1.6, cap) / F.greatest(W.mean0(s, cap), F.lit(0.1))).alias("gust_ratio"),
     )
 
 
@@ -175,8 +176,8 @@ def g13(spark, d):
 
 
 def ridge_forecast(spark, d):
-    f = M.rolling_folds(dataset(spark, d), "day", 14, 300)
-    return M.ridge_by_fold(f, FEATURES, "y")
+    rows = settle(dataset(spark, d))
+    return R.predict_windows(rows, R.fit_windows(rows, FEATURES, "y", 14, 300), FEATURES).select(F.col("day").alias("fold"), "id", "y_pred")
 
 
 @query("G18_rolling_forecast")
@@ -253,9 +254,9 @@ def calibrator_rows(spark, d):
 @query("H7_point_calibrator")
 def h7(spark, d):
     """Residual regressed on what is known at forecast time; half of the prediction is added."""
-    rows = calibrator_rows(spark, d)
-    fit = M.ridge_by_fold(M.rolling_folds(rows, "day", 14, 60), ["y_pred", "hour_sin", "hour_cos", "weekend"], "residual", 10.0)
-    return rows.join(fit.select("id", F.col("y_pred").alias("fix")), "id").select("ts", rounded(F.greatest(F.col("y_pred") + 0.5 * F.col("fix"), F.lit(0.0))).alias("y_calibrated"), "y_true")
+    rows, x = settle(calibrator_rows(spark, d).withColumnRenamed("y_pred", "y_raw")), ["y_raw", "hour_sin", "hour_cos", "weekend"]
+    fit = R.predict_windows(rows, R.fit_windows(rows, x, "residual", 14, 60, 10.0), x)
+    return fit.select("ts", rounded(F.greatest(F.col("y_raw") + 0.5 * F.col("y_pred"), F.lit(0.0))).alias("y_calibrated"), "y_true")
 
 
 @query("H8_postprocess_chain", f"""WITH {_WALK}, c AS (SELECT ts, model, day, hour, y_true, greatest(y_pred - bias, 0) AS y_pred FROM fixed),
@@ -285,7 +286,7 @@ def h12(spark, d):
 @query("H14_proxy_baseline")
 def h14(spark, d):
     """Ridge baseline from proxy columns, never negative, and the residual that a model fits."""
-    x = dataset(spark, d)
-    fit = M.ridge_by_fold(M.rolling_folds(x, "day", 14, 300), ["v_lag_1d", "v_lag_7d"], "y", 5.0)
+    x = settle(dataset(spark, d))
+    fit = R.predict_windows(x, R.fit_windows(x, ["v_lag_1d", "v_lag_7d"], "y", 14, 300, 5.0), ["v_lag_1d", "v_lag_7d"])
     base = F.greatest(F.col("y_pred"), F.lit(0.0))
-    return x.join(fit.select("id", "y_pred"), "id").select("ts", rounded(base).alias("baseline"), rounded(F.col("y") - base).alias("residual"))
+    return fit.select("ts", rounded(base).alias("baseline"), rounded(F.col("y") - base).alias("residual"))

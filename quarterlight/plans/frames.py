@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import time as T
-from ..functions.numeric import rounded
+from ..functions.numeric import rounded, rounded_up
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +46,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, cluster_id, v: mean event value by user cluster and hour."""
     events = table(spark, sf_dir, "events")
     hour = F.date_trunc("hour", T.utc(F.col("ts"))).cast("timestamp_ntz")
-    return events.groupBy(hour.alias("ts"), (F.col("user_id") % 8).cast("int").alias("cluster_id")).agg(F.round(F.avg("value"), 4).alias("v"))
+    return events.groupBy(hour.alias("ts"), (F.col("user_id") % 8).cast("int").alias("cluster_id")).agg(rounded_up(F.avg("value"), 4).alias("v"))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same frames in the oracle's dialect. January 2024 is one hour ahead of UTC in the local zone.
 AREAS = "areas AS (SELECT event_type AS area, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)"
 SERIES = "series AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round(sum(value), 4) AS v FROM events GROUP BY 1)"
-CLUSTERS = "clusters AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 8)::INTEGER AS cluster_id, round(avg(value), 4) AS v FROM events GROUP BY 1, 2)"
+CLUSTERS = "clusters AS (SELECT date_trunc('hour', ts) AS ts, (user_id % 8)::INTEGER AS cluster_id, round(avg(value) + 1e-9, 4) AS v FROM events GROUP BY 1, 2)"
 INTERVALS = (
     "intervals AS (SELECT l_orderkey * 10 + l_linenumber AS unit, l_returnflag AS kind, o_orderdate AS \"start\", l_shipdate AS \"end\", l_quantity AS mw "
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate)"

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import time as T
+from ..functions import numeric as N
 from ..functions.numeric import clean, clip, rounded
 from ..operators import calibration as C
 from ..operators import folds as M
 from ..operators import lags as L
+from ..operators import linear as R
 from ..sources.files import settle
 from .frames import AREAS, DAY, LOCAL, MTU, PANEL, SERIES, areas, out, panel, query, series, table
 
@@ -24,7 +26,7 @@ _FOLDS = f"{AREAS}, {_AD}, tr AS (SELECT f.day AS fold, 'train' AS split, r.area
 
 
 def folds(spark, d):
-    return M.rolling_folds(area_days(spark, d).select("area", "day", "v"), "day", 7, 20)
+    return settle(M.rolling_folds(settle(area_days(spark, d).select("area", "day", "v")), "day", 7, 20))
 
 
 @query("G1_rolling_folds", f"WITH {_FOLDS} SELECT fold, split, area, day, round(v, 4) AS v FROM folds")
@@ -42,6 +44,25 @@ def g2(spark, d):
     return z.select("area", "ts", rounded(F.col("z")).alias("z"), rounded(F.col("center") + F.col("scale") * F.sinh("z"), 5).alias("back"))
 
 
+@query("G2_smearing", f"""WITH {AREAS}, {_ROB}, z AS (SELECT area, ts, {DAY} AS day, {MTU} AS mtu, asinh((v - center) / scale) AS z, center, scale FROM areas JOIN rob USING (area)),
+w AS (SELECT a.*, b.z AS x FROM z a JOIN z b ON b.area = a.area AND b.mtu = a.mtu AND b.day = a.day - 1),
+t AS (SELECT f.area, f.day AS fold, w.x, w.z FROM (SELECT DISTINCT area, day FROM w) f JOIN w ON w.area = f.area AND w.day BETWEEN f.day - 7 AND f.day - 1),
+mo AS (SELECT area, fold, avg(x) AS mx, stddev_pop(x) AS sx, avg(z) AS mz, covar_pop(x, z) AS c, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 10),
+b AS (SELECT *, n * c / sx / (n + 1) AS beta FROM mo), r AS (SELECT t.area, t.fold, t.z - mz - beta * (t.x - mx) / sx AS r FROM t JOIN b USING (area, fold)),
+p AS (SELECT w.area, w.ts, w.day AS fold, w.center, w.scale, mz + beta * (w.x - mx) / sx AS y FROM w JOIN b ON b.area = w.area AND b.fold = w.day)
+SELECT p.area, p.ts, round(any_value(center) + any_value(scale) * avg(sinh(p.y + r.r)) + 1e-9, 4) AS y_pred FROM p JOIN r ON r.area = p.area AND r.fold = p.fold GROUP BY p.area, p.ts""")
+def g2_smearing(spark, d):
+    """Forecasts of the transformed series brought back with the mean over the training residuals of each day's model."""
+    a = areas(spark, d)
+    z = a.join(F.broadcast(M.robust_scale(a, ["area"], "v")), "area").select("area", "ts", T.local_day(F.col("ts")).alias("day"), T.mtu(F.col("ts")).alias("mtu"), F.asinh((F.col("v") - F.col("center")) / F.col("scale")).alias("z"), "center", "scale")
+    z = settle(z)
+    rows = settle(z.join(z.select("area", F.date_add("day", 1).alias("day"), "mtu", F.col("z").alias("x")), ["area", "day", "mtu"]))
+    models = settle(R.fit_windows(rows, ["x"], "z", 7, 10, keys=["area"]))
+    p = R.predict_windows(rows, models, ["x"], ["area"]).join(R.residual_smear(rows, models, "x", "z", 7, ["area"]), ["area", "day"])
+    y = R.smeared(F.col("y_pred"), F.col("mean_sinh"), F.col("mean_cosh"), F.col("center"), F.col("scale"))
+    return p.select("area", "ts", N.rounded_up(y, 4).alias("y_pred"))
+
+
 @query("G3_fold_scaling", f"WITH {_FOLDS}, s AS (SELECT fold, area, min(v) AS lo, max(v) AS hi FROM folds WHERE split = 'train' GROUP BY 1, 2) SELECT fold, split, area, day, round(CASE WHEN hi - lo > 1e-9 THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS scaled FROM folds JOIN s USING (fold, area)")
 def g3(spark, d):
     return out(M.minmax_scale(folds(spark, d), ["fold", "area"], "v"), ["fold", "split", "area", "day"], "scaled")
@@ -96,14 +117,57 @@ def g11(spark, d):
     return j.select("model", "ts", "regime", (F.col("n") < 600).alias("fallback"), rounded(F.when(F.col("n") < 600, F.col("g")).otherwise(F.col("m")), 5).alias("y_pred"))
 
 
+def wide_panel(spark, d):
+    """ts, id, day, naive_d1, naive_d7, hour, y: the naive lags side by side, written."""
+    p = panel(spark, d).groupBy("ts").agg(F.max("y_true").alias("y"), *[F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(m) for m in ("naive_d1", "naive_d7")])
+    return settle(p.select("ts", T.seconds(F.col("ts")).alias("id"), T.local_day(F.col("ts")).alias("day"), "naive_d1", "naive_d7", F.hour(T.local(F.col("ts"))).cast("double").alias("hour"), "y"))
+
+
 @query("G12_ridge_folds")
 def g12(spark, d):
     """Ridge on the two naive lags and the clock, one fit per delivery day."""
-    p = panel(spark, d).groupBy("ts").pivot("model", ["naive_d1", "naive_d7"]).agg(F.max("y_pred")).join(series(spark, d), "ts")
-    here = T.local(F.col("ts"))
-    rows = p.select(T.seconds(F.col("ts")).alias("id"), T.local_day(F.col("ts")).alias("day"), "naive_d1", "naive_d7", F.hour(here).cast("double").alias("hour"), F.col("v").alias("y"))
-    f = M.rolling_folds(rows, "day", 14, 200)
-    return out(M.ridge_by_fold(f, ["naive_d1", "naive_d7", "hour"], "y"), ["fold", "id"], "y_pred")
+    rows, x = wide_panel(spark, d), ["naive_d1", "naive_d7", "hour"]
+    p = R.predict_windows(rows, R.fit_windows(rows, x, "y", 14, 200), x)
+    return out(p.withColumnRenamed("day", "fold"), ["fold", "id"], "y_pred")
+
+
+@query("G10_block_models")
+def g10_models(spark, d):
+    """A ridge for each block of six hours and day; a day counts only if all its blocks have their own model."""
+    rows, x = wide_panel(spark, d).withColumn("block", F.floor(F.col("hour") / 6).cast("int")), ["naive_d1", "naive_d7", "hour"]
+    models = R.fit_parts(rows, "block", x, "y", 14, 100, 20)
+    whole = models.groupBy("day").agg(F.max(F.col("fallback").cast("int")).alias("_f")).where("_f = 0").select("day")
+    return out(R.predict_windows(rows, models.join(whole, "day", "left_semi"), x, ["block"]), ["day", "id", "block"], "y_pred")
+
+
+def regime_rows(spark, d):
+    """The panel with weather regimes: the older lag's share stands for cloud cover, the lags' ratio for the irradiance's."""
+    p = wide_panel(spark, d)
+    cloud = 100 * N.safe_ratio(F.col("naive_d7"), F.col("naive_d1") + F.col("naive_d7"), 1e-6, None)
+    ratio = clip(N.safe_ratio(F.col("naive_d1"), F.col("naive_d7"), 1e-6, None), 0.0, 2.0)
+    return p.withColumn("regime", R.weather_regime(cloud, ratio))
+
+
+_REGIME = f"""w AS (SELECT ts, {DAY} AS day, max(y_true) AS y, max(y_pred) FILTER (model = 'naive_d1') AS a, max(y_pred) FILTER (model = 'naive_d7') AS b FROM panel GROUP BY 1),
+r AS (SELECT ts, day, CASE WHEN coalesce(CASE WHEN a + b > 1e-6 THEN 100 * b / (a + b) END <= 35, FALSE) AND coalesce(CASE WHEN b > 1e-6 THEN least(a / b, 2) END >= 0.65, FALSE) THEN 'clear'
+  WHEN coalesce(CASE WHEN a + b > 1e-6 THEN 100 * b / (a + b) END >= 80, FALSE) OR coalesce(CASE WHEN b > 1e-6 THEN least(a / b, 2) END <= 0.35, FALSE) THEN 'overcast' ELSE 'mixed' END AS regime FROM w)"""
+
+
+@query("G11_regime_split", f"""WITH {PANEL}, {_REGIME}, k AS (SELECT DISTINCT day, regime FROM r), f AS (SELECT d.day FROM (SELECT DISTINCT day FROM r) d JOIN r ON r.day BETWEEN d.day - 14 AND d.day - 1 GROUP BY 1 HAVING count(*) >= 100),
+n AS (SELECT k.day, k.regime, count(r.ts) AS n_part FROM k LEFT JOIN r ON r.regime = k.regime AND r.day BETWEEN k.day - 14 AND k.day - 1 GROUP BY 1, 2)
+SELECT r.ts, r.regime, n_part, n_part < 200 AS fallback FROM r JOIN n USING (day, regime) JOIN f USING (day)""")
+def g11_split(spark, d):
+    """Which model serves a row: its regime's own, or that of all rows where the window has too few of the regime."""
+    rows = regime_rows(spark, d)
+    models = R.fit_parts(rows, "regime", ["naive_d1", "naive_d7", "hour"], "y", 14, 100, 200)
+    return rows.join(models, ["day", "regime"]).select("ts", "regime", "n_part", "fallback")
+
+
+@query("G11_regime_models")
+def g11_models(spark, d):
+    """A ridge for each weather regime and day; regimes with few rows share the day's model of all rows."""
+    rows, x = regime_rows(spark, d), ["naive_d1", "naive_d7", "hour"]
+    return out(R.predict_windows(rows, R.fit_parts(rows, "regime", x, "y", 14, 100, 200), x, ["regime"]), ["ts", "day", "regime"], "y_pred")
 
 
 @query("G14_boosted_trees")
@@ -168,6 +232,28 @@ def g20(spark, d):
     return grid
 
 
+# Ridge with two standardised features, penalty 1, over the window before each day, in closed form.
+_PAIR = """SELECT {0}, n, m1, m2, s1, s2, my, ((n + {1}) * n * c1 / s1 - n * c12 / (s1 * s2) * n * c2 / s2) / ((n + {1}) * (n + {1}) - pow(n * c12 / (s1 * s2), 2)) AS b1,
+  ((n + {1}) * n * c2 / s2 - n * c12 / (s1 * s2) * n * c1 / s1) / ((n + {1}) * (n + {1}) - pow(n * c12 / (s1 * s2), 2)) AS b2"""
+_SUMS = "count(*)::DOUBLE AS n, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, avg(y) AS my, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2"
+_SETTINGS = {"window": [7, 14], "alpha": [0.5, 5.0, 50.0]}
+
+
+@query("G20_sweep_scores", f"""WITH {AREAS}, loc AS (SELECT area, ts, {DAY} AS day, {MTU} AS mtu, v FROM areas), wide AS (SELECT a.area, a.day, a.v AS y, b.v AS x1, c.v AS x2 FROM loc a JOIN loc b ON b.area = a.area AND b.mtu = a.mtu AND b.day = a.day - 1 JOIN loc c ON c.area = a.area AND c.mtu = a.mtu AND c.day = a.day - 7),
+mom AS (SELECT f.area, f.day, s.w, {_SUMS} FROM (SELECT DISTINCT area, day FROM wide) f CROSS JOIN (VALUES (7), (14)) s(w) JOIN wide v ON v.area = f.area AND v.day BETWEEN f.day - s.w::INTEGER AND f.day - 1 GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+fit AS ({_PAIR.format('area, day, w, a', 'a')} FROM mom CROSS JOIN (VALUES (0.5), (5.0), (50.0)) p(a)),
+ok AS (SELECT area, day FROM fit GROUP BY 1, 2 HAVING count(*) = 6),
+e AS (SELECT f.area, f.w, f.a, avg(abs(my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 - y)) AS mae, count(*) AS n FROM wide v JOIN fit f USING (area, day) JOIN ok USING (area, day) GROUP BY 1, 2, 3)
+SELECT area, w AS "window", a::DOUBLE AS alpha, round(mae + 1e-9, 4) AS mae, n, row_number() OVER (PARTITION BY area ORDER BY round(mae, 9), w, a)::INTEGER AS rank FROM e""")
+def g20_scores(spark, d):
+    """Every setting of the sweep scored for every area by one job; rank 1 is an area's best."""
+    a = areas(spark, d).select("area", "ts", T.local_day(F.col("ts")).alias("day"), T.mtu(F.col("ts")).alias("mtu"), "v")
+    lag = lambda n, name: a.select("area", F.date_add("day", n).alias("day"), "mtu", F.col("v").alias(name))
+    rows = settle(a.withColumnRenamed("v", "y").join(lag(1, "x1"), ["area", "day", "mtu"]).join(lag(7, "x2"), ["area", "day", "mtu"]))
+    s = R.score_settings(rows, ["x1", "x2"], "y", _SETTINGS["window"], _SETTINGS["alpha"], 10, ["area"])
+    return s.select("area", "window", "alpha", N.rounded_up(F.col("mae"), 4).alias("mae"), "n", "rank")
+
+
 @query("G22_benchmark_frame", f"WITH {PANEL} SELECT s.ts, round(p.y_pred, 6) AS benchmark, round(s.v, 6) AS actual FROM series s LEFT JOIN panel p ON p.ts = s.ts AND p.model = 'naive_d7'")
 def g22(spark, d):
     p = panel(spark, d).where("model = 'naive_d7'").select("ts", F.col("y_pred").alias("benchmark"))
@@ -183,11 +269,11 @@ def hourly_panel(spark, d):
 
 @query("H1_rolling_bias", f"""WITH {PANEL}, {_H}, g AS (SELECT a.model, a.day, a.hour, avg(b.y_pred - b.y_true) AS g, count(DISTINCT b.day) AS n FROM (SELECT DISTINCT model, day, hour FROM h) a JOIN h b ON b.model = a.model AND b.hour = a.hour AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY 1, 2, 3),
 w AS (SELECT a.model, a.day, avg(b.y_pred - b.y_true) AS g, count(DISTINCT b.day) AS n FROM (SELECT DISTINCT model, day FROM h) a JOIN h b ON b.model = a.model AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY 1, 2)
-SELECT h.ts, h.model, round(coalesce(CASE WHEN g.n >= 5 THEN g.g END, CASE WHEN w.n >= 5 THEN w.g END, 0), 5) AS bias, round(y_pred - coalesce(CASE WHEN g.n >= 5 THEN g.g END, CASE WHEN w.n >= 5 THEN w.g END, 0), 5) AS y_corrected
+SELECT h.ts, h.model, round(coalesce(CASE WHEN g.n >= 5 THEN g.g END, CASE WHEN w.n >= 5 THEN w.g END, 0) + 1e-9, 5) AS bias, round(y_pred - coalesce(CASE WHEN g.n >= 5 THEN g.g END, CASE WHEN w.n >= 5 THEN w.g END, 0) + 1e-9, 5) AS y_corrected
 FROM h LEFT JOIN g USING (model, day, hour) LEFT JOIN w ON w.model = h.model AND w.day = h.day""")
 def h1(spark, d):
     b = C.rolling_bias(hourly_panel(spark, d), ["model"], "hour", 7, 5)
-    return b.select("ts", "model", rounded(F.col("bias"), 5).alias("bias"), rounded(F.col("y_corrected"), 5).alias("y_corrected"))
+    return b.select("ts", "model", N.rounded_up(F.col("bias"), 5).alias("bias"), N.rounded_up(F.col("y_corrected"), 5).alias("y_corrected"))
 
 
 _HQ = "(SELECT quantile_cont(b.y_true - b.y_pred, {0}) FROM h b WHERE b.model = k.model AND b.day BETWEEN k.day - 7 AND k.day - 1{1})"
@@ -225,6 +311,23 @@ def h10(spark, d):
     return s.join(series(spark, d), "ts").select("ts", rounded(F.col("total"), 4).alias("total"), rounded(F.col("v") - F.col("total"), 4).alias("residual"))
 
 
+def stack_rows(spark, d):
+    """area, ts, day, p1, p7, y: the areas' forecasts by two providers, of which each may be missing."""
+    a = areas(spark, d).where("area IN ('click', 'view')").select("area", "ts", T.local_day(F.col("ts")).alias("day"), T.mtu(F.col("ts")).alias("mtu"), "v")
+    lag = lambda n, name: a.select("area", F.date_add("day", n).alias("day"), "mtu", F.col("v").alias(name))
+    both = a.withColumnRenamed("v", "y").join(lag(1, "p1"), ["area", "day", "mtu"], "left").join(lag(7, "p7"), ["area", "day", "mtu"], "left")
+    return settle(both.where("p1 IS NOT NULL OR p7 IS NOT NULL").select("area", "ts", "day", "p1", "p7", "y"))
+
+
+@query("H11_stack_ridge")
+def h11_ridge(spark, d):
+    """Rolling ridge over the providers of each area, the providers' mean where it cannot be fitted, and the areas' total where all are there."""
+    s = R.stack(stack_rows(spark, d), ["p1", "p7"], "y", 14, 100, keys=["area"])
+    total = s.groupBy("ts").agg(F.lit("total").alias("area"), F.sum("y_pred").alias("y_pred"), F.min(F.col("fitted").cast("int")).cast("boolean").alias("fitted"), F.count("y_pred").alias("_n")).where("_n = 2")
+    rows = s.select("ts", "area", "y_pred", "fitted").unionByName(total.select("ts", "area", "y_pred", "fitted"))
+    return out(rows, ["ts", "area"], "y_pred", "fitted")
+
+
 @query("H11_stack_average", f"WITH {AREAS}, a AS (SELECT ts, v FROM areas WHERE area = 'click'), b AS (SELECT ts, v FROM areas WHERE area = 'view') SELECT ts, round((coalesce(a.v, 0) + coalesce(b.v, 0)) / ((a.v IS NOT NULL)::INT + (b.v IS NOT NULL)::INT), 6) AS y_pred FROM a FULL JOIN b USING (ts)")
 def h11(spark, d):
     a = areas(spark, d)
@@ -241,15 +344,17 @@ def h13(spark, d):
     return out(C.nowcast_factor(p, ["model"], 5, 150, 0.7, 1.3, 0.5), ["model", "day"], "factor")
 
 
-_CONTRIB = f"contrib AS (SELECT ts, model AS feature, CASE WHEN model LIKE 'naive%' THEN 'lag' ELSE 'other' END AS grp, (y_pred - avg(y_pred) OVER (PARTITION BY model)) * CASE model WHEN 'naive_d1' THEN 0.6 ELSE 0.4 END AS c FROM panel)"
+_CONTRIB = f"""wide AS (SELECT a.ts, (a.ts + INTERVAL 1 HOUR)::DATE AS day, a.y_true AS y, a.y_pred AS x1, b.y_pred AS x2 FROM panel a JOIN panel b ON b.ts = a.ts AND b.model = 'naive_d7' WHERE a.model = 'naive_d1'),
+mom AS (SELECT f.day, {_SUMS} FROM (SELECT DISTINCT day FROM wide) f JOIN wide w ON w.day BETWEEN f.day - 14 AND f.day - 1 GROUP BY 1 HAVING count(*) >= 20),
+fit AS ({_PAIR.format('day', 1)} FROM mom),
+contrib AS (SELECT ts, 'naive_d1' AS feature, 'lag' AS grp, b1 * (x1 - m1) / s1 AS c, my AS level FROM wide JOIN fit USING (day) UNION ALL SELECT ts, 'naive_d7', 'lag', b2 * (x2 - m2) / s2, my FROM wide JOIN fit USING (day))"""
 
 
 def contributions(spark, d):
-    """ts, feature, grp, c: coefficient times centred feature value."""
-    p = panel(spark, d)
-    beta = F.when(F.col("model") == "naive_d1", 0.6).otherwise(0.4)
-    centred = F.col("y_pred") - F.avg("y_pred").over(Window.partitionBy("model"))
-    return p.select("ts", F.col("model").alias("feature"), F.when(F.col("model").startswith("naive"), "lag").otherwise("other").alias("grp"), (beta * centred).alias("c"))
+    """ts, feature, grp, c, level: each day's fitted coefficient times the standardised feature. A row's contributions and its level add up to its prediction."""
+    rows, x = wide_panel(spark, d).where("naive_d1 IS NOT NULL AND naive_d7 IS NOT NULL"), ["naive_d1", "naive_d7"]
+    c = R.contributions(rows, R.fit_windows(rows, x, "y", 14, 20), x)
+    return c.select("ts", "feature", F.when(F.col("feature").startswith("naive"), "lag").otherwise("other").alias("grp"), F.col("contribution").alias("c"), "level")
 
 
 @query("I1_contributions", f"WITH {PANEL}, {_CONTRIB} SELECT ts, feature, round(c, 5) AS c FROM contrib")
