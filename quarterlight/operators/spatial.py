@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.files import settle
 
 #: A point set of at most this many rows is joined whole; a larger one through grid cells.
-SMALL = 10_000
+SMALL = 400
 
 
 def nearest(left: DataFrame, points: DataFrame, point: str, x: str = "x", y: str = "y", within: list[str] | None = None, count: int | None = None) -> DataFrame:
@@ -118,3 +118,67 @@ def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Col
         at = F.lit(x1) + (y - F.lit(y1)) * F.lit((x2 - x1) / (y2 - y1))
         crossings = crossings + F.when(spans & (x < at), 1).otherwise(0)
     return crossings % 2 == 1
+
+
+def edges_of(rings: DataFrame, polygon: str = "polygon", ring: str = "ring") -> DataFrame:
+    """polygon, x1, y1, x2, y2 of closed rings (arrays of structs x, y); level edges never cross a ray and go."""
+    n = F.size(ring)
+    pair = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(F.col(ring), i).alias("a"), F.get(F.col(ring), F.pmod(i + 1, n)).alias("b")))
+    e = rings.where(n > 0).select(polygon, F.explode(pair).alias("e"))
+    return e.select(polygon, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, size: float, point: str = "id", polygon: str = "polygon", x: str = "x", y: str = "y") -> DataFrame:
+    """point, polygon: every pair of a point and a polygon around it, by ray casting.
+
+    ``rings`` has one row a polygon: its id and ``ring``, an array of structs x, y, closed by its last edge. Rings and points meet by
+    grid cells of ``size``. A cell that no edge of a polygon passes is wholly inside or outside of it, which its
+    middle decides; in other cells a point is tested against the polygon's edges of its row of cells.
+    All joins are equi-joins; a point meets no polygon that is not in its cell. Points and
+    corners without coordinates are in no polygon.
+    """
+    cell = lambda c: F.floor(c / size).cast("long")
+    sound = rings.where(F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    edges = edges_of(sound, polygon)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    # An edge in each row of cells it reaches, with the cells between its ends there (a hair wider, so rounding hides none).
+    rows = edges.withColumn("_j", F.explode(F.sequence(cell(low - 1e-9), cell(high + 1e-9))))
+    at = lambda v: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (F.greatest(low, F.least(high, v)) - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
+    one, two = at(F.col("_j") * size), F.when(F.col("y1") == F.col("y2"), F.col("x2")).otherwise(at((F.col("_j") + 1) * size))
+    passed = rows.withColumn("_i", F.explode(F.sequence(cell(F.least(one, two) - 1e-9), cell(F.greatest(one, two) + 1e-9)))).select(polygon, "_i", "_j").distinct()
+    passed = settle(passed)
+    slanted = settle(rows.where("y1 <> y2").select(polygon, "_j", "x1", "y1", "x2", "y2"))
+
+    def crossings(candidates: DataFrame, keys: list[str]) -> DataFrame:
+        """Candidates (keys, polygon, _j, x, y) whose ray to the right crosses an odd number of the polygon's edges."""
+        spans = (F.least("y1", "y2") <= F.col(y)) & (F.col(y) < F.greatest("y1", "y2"))
+        hit = spans & (F.col(x) < F.col("x1") + (F.col(y) - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
+        counted = candidates.join(slanted, [polygon, "_j"]).groupBy(*keys, polygon).agg(F.sum(hit.cast("int")).alias("_n"))
+        return counted.where(F.col("_n") % 2 == 1).select(*keys, polygon)
+
+    # Cells between the outermost edges of a row that no edge passes: inside if their middle is.
+    spans = passed.groupBy(polygon, "_j").agg(F.min("_i").alias("_a"), F.max("_i").alias("_z"))
+    between = spans.withColumn("_i", F.explode(F.sequence("_a", "_z"))).select(polygon, "_i", "_j").join(passed, [polygon, "_i", "_j"], "left_anti")
+    middle = between.withColumn(x, (F.col("_i") + 0.5) * size).withColumn(y, (F.col("_j") + 0.5) * size)
+    whole = crossings(middle, ["_i", "_j"])
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point, x, y, cell(F.col(x)).alias("_i"), cell(F.col(y)).alias("_j"))
+    tested = crossings(own.join(passed, ["_i", "_j"]), [point])
+    return own.join(whole, ["_i", "_j"]).select(point, polygon).unionByName(tested)
+
+
+def lines_distance_km(points: DataFrame, segments: DataFrame, reach: float, point: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """point, line, km: each point's distance to every line of ``segments`` (line, x1, y1, x2, y2) that comes within ``reach`` degrees in both directions.
+
+    Segments lie in all grid cells around their box that ``reach`` makes matter, so points meet only near ones, by an equi-join.
+    """
+    cell = lambda c: F.floor(c / F.lit(reach)).cast("long")
+    around = lambda a, b, name: F.explode(F.sequence(cell(F.least(a, b)) - 1, cell(F.greatest(a, b)) + 1)).alias(name)
+    placed = segments.select("*", around("x1", "x2", "_i")).select("*", around("y1", "y2", "_j"))
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point, x, y, cell(F.col(x)).alias("_i"), cell(F.col(y)).alias("_j"))
+    kx, ky = F.cos(F.radians(F.col(y))) * 111.32, F.lit(110.574)
+    ax, ay = (F.col("x1") - F.col(x)) * kx, (F.col("y1") - F.col(y)) * ky
+    dx, dy = (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * ky
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
+    ex, ey = ax + t * dx, ay + t * dy
+    near = (F.abs(ex) <= reach * kx) & (F.abs(ey) <= reach * ky)
+    return own.join(placed, ["_i", "_j"]).where(near).groupBy(point, "line").agg(F.min(F.sqrt(ex * ex + ey * ey)).alias("km"))

@@ -273,6 +273,17 @@ def h8(spark, d):
     return q.select("ts", "model", "tau", rounded(F.col("q")).alias("q"))
 
 
+@query("H8_full_postprocess")
+def h8_full(spark, d):
+    """The whole chain on each series' own corrected history: grouped correction over bins, calibrator, quantiles, and the series' totals."""
+    p = hourly_panel(spark, d).withColumn("mtu", T.mtu(F.col("ts"))).withColumn("kind", (F.weekday("day") >= 5).cast("int"))
+    c = settle(RC.postprocess_days(p, ["model"]))
+    total = RC.component_totals(c, "model", "total", 2).select("ts", "model", "y_pred")
+    q = [F.col("quantiles")[i].alias(f"q{int(100 * t)}") for i, t in enumerate(RC.Postprocess().taus)]
+    rows = c.select("ts", "model", "y_base", "y_pred", *q).unionByName(total, allowMissingColumns=True)
+    return out(rows, ["ts", "model"], "y_base", "y_pred", "q10", "q50", "q90")
+
+
 @query("H12_sequence_correction")
 def h12(spark, d):
     """Whole-day trajectories of the gap-filled series and the ridge correction of their 96 residuals."""

@@ -11,6 +11,7 @@ from ..functions.numeric import rounded, rounded_up
 from ..operators import evaluation as E
 from ..operators import grid as G
 from ..operators.clustering import dominant
+from ..operators.grid import keep_last
 from ..sources import files as S
 from ..streaming import streams as R
 from .frames import AREAS, CLUSTERS, DAY, LOCAL, PANEL, SERIES, areas, clusters, out, panel, query, series, table
@@ -273,7 +274,10 @@ def d12(spark, d):
 
 @query("K1_stream_upsert", "SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2")
 def k1(spark, d):
-    return out(R.upsert_stream(R.event_stream(spark, d).select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id"), ["user_id", "event_type"], "event_id", "value")
+    """Revisions by key and local day in versioned day partitions; a key's last row over its days."""
+    events = R.event_stream(spark, d).select("user_id", "event_type", T.local_day(F.col("ts")).alias("day"), "event_id", "value")
+    held = R.upsert_stream(events, ["user_id", "event_type"], "event_id")
+    return out(keep_last(held, ["user_id", "event_type"], "event_id"), ["user_id", "event_type"], "event_id", "value")
 
 
 @query("K2_stream_windows", "SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round(sum(value), 4) AS v, count(*) AS n FROM events GROUP BY 1, 2")
@@ -289,4 +293,4 @@ def k3(spark, d):
 
 @query("K4_stream_completeness", "SELECT (ts + INTERVAL 1 HOUR)::DATE AS day, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, ts))::INTEGER AS n, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, ts)) >= 96 AS complete FROM events GROUP BY 1")
 def k4(spark, d):
-    return R.day_completeness(R.event_stream(spark, d))
+    return R.day_completeness(R.event_stream(spark, d)).select("day", "n", "complete")

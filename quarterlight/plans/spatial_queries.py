@@ -196,6 +196,21 @@ def d23(spark, d):
     return points(spark, d).select("id", S.inside_polygon(F.col("x"), F.col("y"), _RING).alias("inside"))
 
 
+def rings(spark, d):
+    """polygon, ring: a kite around every centre."""
+    r = F.lit(0.03) + 0.01 * (F.col("cluster_id") % 5)
+    x, y = F.col("x"), F.col("y")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return centres(spark, d).select(F.col("cluster_id").alias("polygon"), F.array(corner(x + r, y), corner(x, y + 2 * r), corner(x - r, y), corner(x, y - r)).alias("ring"))
+
+
+@query("D23_polygon_table", f"""WITH {_POINTS}, k AS (SELECT cluster_id AS polygon, x, y, 0.03::DOUBLE + 0.01::DOUBLE * (cluster_id % 5) AS r FROM ctr),
+e AS (SELECT polygon, x + r AS x1, y AS y1, x AS x2, y + 2 * r AS y2 FROM k UNION ALL SELECT polygon, x, y + 2 * r, x - r, y FROM k UNION ALL SELECT polygon, x - r, y, x, y - r FROM k UNION ALL SELECT polygon, x, y - r, x + r, y FROM k)
+SELECT id, polygon FROM pts, e GROUP BY id, polygon HAVING count(*) FILTER (least(y1, y2) <= y AND y < greatest(y1, y2) AND x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1))) % 2 = 1""")
+def d23_table(spark, d):
+    return S.points_in_polygons(points(spark, d), rings(spark, d), 0.02)
+
+
 _LINE = [(-0.3, -0.2), (0.0, 0.1), (0.3, 0.05)]
 
 
@@ -214,6 +229,17 @@ def d24(spark, d):
     return points(spark, d).select("id", rounded(S.segment_distance_km(F.col("x"), F.col("y"), _LINE), 5).alias("km"))
 
 
+@query("D24_line_table", f"""WITH {_POINTS}, s AS (SELECT a.cluster_id % 4 AS line, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ctr a JOIN ctr b ON b.cluster_id = a.cluster_id + 4),
+v AS (SELECT id, line, x, y, x1, y1, x2, y2, cos(radians(y)) * 111.32::DOUBLE AS kx, 110.574::DOUBLE AS ky FROM pts, s),
+w AS (SELECT *, (x1 - x) * kx AS ax, (y1 - y) * ky AS ay, (x2 - x1) * kx AS dx, (y2 - y1) * ky AS dy FROM v),
+t AS (SELECT *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM w)
+SELECT id, line, round(min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))), 5) AS km FROM t WHERE abs(ax + t * dx) <= 0.1 * kx AND abs(ay + t * dy) <= 0.1 * ky GROUP BY 1, 2""")
+def d24_table(spark, d):
+    a, b = (centres(spark, d).select(F.col("cluster_id").alias(f"c{i}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in (1, 2))
+    segments = a.join(b, F.col("c2") == F.col("c1") + 4).select((F.col("c1") % 4).alias("line"), "x1", "y1", "x2", "y2")
+    return S.lines_distance_km(points(spark, d), segments, 0.1).select("id", "line", rounded(F.col("km"), 5).alias("km"))
+
+
 @query("D25_exposure", f"""WITH {_POINTS}, k AS (SELECT *, {_DIST} AS km FROM pts), h AS (SELECT region, sum(s * s) AS hhi FROM (SELECT region, id % 9 AS part, sum(mw) / sum(sum(mw)) OVER (PARTITION BY region) AS s FROM pts GROUP BY 1, 2) GROUP BY 1)
 SELECT region, round(sum(mw * km) / sum(mw), 5) AS mean_km, round(sum(CASE WHEN km <= 10 THEN mw ELSE 0 END) / sum(mw), 6) AS near_share, round(sum(mw * exp(-km / 100)) / sum(mw), 6) AS score, round(any_value(hhi), 6) AS hhi FROM k JOIN h USING (region) GROUP BY 1""")
 def d25(spark, d):
