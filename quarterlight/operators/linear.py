@@ -49,7 +49,7 @@ def _extent(rows: DataFrame, features: list[str], target: str) -> tuple[list[flo
 
 
 def daily_moments(rows: DataFrame, keys: list[str], features: list[str], target: str, shift: list[float], marked: list[str], day: str = "day") -> DataFrame:
-    """keys, day, rows, moments: upper triangle of the sums of products; rows without a target count as rows only.
+    """keys, day, rows, moments, values: upper triangle of the sums of products, and the marked features' values; rows without a target count as rows only.
 
     One aggregate with partial sums. With p features it has some (2p)^2 / 2 sums, so p is some dozens at most.
     """
@@ -57,13 +57,17 @@ def daily_moments(rows: DataFrame, keys: list[str], features: list[str], target:
     x = [clean(F.col(f"`{c}`")) for c in features]
     parts = [F.lit(1.0), *[F.coalesce(c - s, F.lit(0.0)) for c, s in zip(x, shift, strict=False)], *[x[features.index(c)].isNull().cast("double") for c in marked], y - shift[-1]]
     sums = [F.coalesce(F.sum(F.when(y.isNotNull(), parts[i] * parts[j])), F.lit(0.0)) for i in range(len(parts)) for j in range(i, len(parts))]
-    return rows.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("rows"), F.array(*sums).alias("moments"))
+    values = [F.collect_list(F.when(y.isNotNull(), x[features.index(c)])) for c in marked]
+    return rows.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("rows"), F.array(*sums).alias("moments"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
 
 
-def window_moments(daily: DataFrame, keys: list[str], window: int, size: int, lag: int = 1, day: str = "day") -> DataFrame:
-    """keys, day, rows, moments of the window before each day."""
+def window_moments(daily: DataFrame, keys: list[str], window: int, size: int, marked: int, lag: int = 1, day: str = "day") -> DataFrame:
+    """keys, day, rows, moments, medians (of the marked features; 0 where all are missing) of the window before each day."""
     w = by_day(keys, window, lag, day)
-    return daily.select(*keys, day, F.sum("rows").over(w).alias("rows"), F.array(*[F.sum(F.col("moments")[i]).over(w) for i in range(size)]).alias("moments"))
+    held = daily.select(*keys, day, F.sum("rows").over(w).alias("rows"), F.array(*[F.sum(F.col("moments")[i]).over(w) for i in range(size)]).alias("moments"), *[F.collect_list(f"_v{i}").over(w).alias(f"_v{i}") for i in range(marked)])
+    held = held.withColumns({f"_v{i}": F.array_sort(F.flatten(f"_v{i}")) for i in range(marked)}) if marked else held
+    medians = F.array(*[F.coalesce(quantile(F.col(f"_v{i}"), 0.5), F.lit(0.0)) for i in range(marked)]) if marked else F.array().cast("array<double>")
+    return held.select(*keys, day, "rows", "moments", medians.alias("medians"))
 
 
 def solved(stats: DataFrame, features: list[str], marked: list[str], shift: list[float]) -> DataFrame:
@@ -112,17 +116,9 @@ def fit_windows(rows: DataFrame, features: list[str], target: str, window: int |
     shift, marked = _extent(rows, features, target)
     size = (len(features) + len(marked) + 2) * (len(features) + len(marked) + 3) // 2
     daily = daily_moments(rows, keys, features, target, shift, marked, day)
-    known = rows.where(clean(F.col(f"`{target}`")).isNotNull())
     every = None
     for length in [window] if isinstance(window, int) else window:
-        stats = window_moments(daily, keys, length, size, lag, day).where(F.col("rows") >= least).withColumn("window", F.lit(length))
-        for i, c in enumerate(marked):
-            # Days without a known target have no values of their own, but a window before them.
-            held = rows.select(*keys, day).distinct().join(known.select(*keys, day, clean(F.col(f"`{c}`")).alias("_x")), [*keys, day], "left") if keys else rows.select(day).distinct().join(known.select(day, clean(F.col(f"`{c}`")).alias("_x")), day, "left")
-            middle = window_values(held, keys, F.col("_x"), length, lag, day).select(*keys, day, F.coalesce(quantile(F.col("values"), 0.5), F.lit(0.0)).alias(f"_m{i}"))
-            stats = stats.join(middle, [*keys, day])
-        medians = F.array(*[F.col(f"_m{i}") for i in range(len(marked))]) if marked else F.array().cast("array<double>")
-        stats = stats.withColumn("medians", medians).drop(*[f"_m{i}" for i in range(len(marked))])
+        stats = window_moments(daily, keys, length, size, len(marked), lag, day).where(F.col("rows") >= least).withColumn("window", F.lit(length))
         every = stats if every is None else every.unionByName(stats)
     penalties = [alpha] if isinstance(alpha, (int, float)) else alpha
     every = every.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in penalties])))
