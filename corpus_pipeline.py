@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each stage's result written before the next reads it."""
+    """The stages in order over ``documents``, each stage's result written before the next reads it.
+
+    Null and empty texts fail the rules and go. Equal rows are one near-duplicate group, of which one stays; null ids are
+    ordinary rows that come last in a group. Ties stand by id and a digest of the row. An empty table gives no rows.
+    Columns of any other names travel along until the tokens.
+    """
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
