@@ -78,3 +78,10 @@ def solar_cluster(name: Column) -> Column:
     """Number of the radiation cluster in the name, else null."""
     found = F.nullif(F.regexp_extract(F.lower(name), SOLAR_CLUSTER, 1), F.lit("")).cast("int")
     return F.when(F.lower(name).rlike(SOLAR_NAMES), found)
+
+
+def feature_kind(name: Column) -> Column:
+    """How a feature is scaled: radiation, load, wind, price, calendar or other. A name that fits several takes the first of these."""
+    low = F.lower(name)
+    kind = F.when(low.rlike(SOLAR_NAMES), "radiation").when(low.contains("load"), "load").when(low.contains("wind_speed"), "wind")
+    return kind.when(name.rlike("^(price_d|exaa_d)"), "price").when(name.rlike("^weekday_|^is_15min_market$|^is_holiday$"), "calendar").otherwise("other")

@@ -1,4 +1,4 @@
-"""Queries on groups of rows and features: corrections by ten groupings, residual diagnostics, feature rules, importance of clusters."""
+"""Queries on groups of rows and features: corrections by ten groupings, residual diagnostics, feature rules, importance of clusters, scaling by kind."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import features as N
 from ..functions import time as T
 from ..functions.numeric import rounded_up
+from ..operators import folds as M
 from ..operators import groups as G
 from ..operators import linear as R
+from ..operators import scaling as S
 from ..sources.files import settle
 from .frames import DAY, LOCAL, MTU, PANEL, clusters, out, panel, query, series, table
 
@@ -126,3 +128,38 @@ def i3_clusters(spark, d):
     by_cluster = G.group_importance(c.where("mtu BETWEEN 32 AND 79").withColumn("grp", N.wind_cluster(F.col("feature")).cast("string")), ["ts"], "grp").withColumn("kind", F.lit("wind_cluster"))
     by_group = G.group_importance(c.withColumn("grp", N.feature_group(F.col("feature"))), ["ts"], "grp").withColumn("kind", F.lit("group"))
     return out(by_cluster.unionByName(by_group), ["kind", "grp"], "n", "mean_abs", "median_abs", "share")
+
+
+# Features of each kind from the events: an event type's hourly sum under a name of the kind, and marks of the weekday.
+_KINDS = {"click": "price_d1_h0", "view": "wind_speed_cluster_0_h0", "error": "ssrd_cluster_0_h0", "purchase": "load_d0_h0", "signup": "spread_h0"}
+_KIND_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " END"
+_LONG = f"""hr AS (SELECT date_trunc('hour', ts) AS ts, event_type, round(sum(value), 4) AS v FROM events GROUP BY 1, 2),
+long AS (SELECT ts, {DAY} AS day, feature, value FROM (
+  SELECT ts, {_KIND_CASE} AS feature, v AS value FROM hr UNION ALL SELECT ts, 'sw_dir_cluster_0_h0', CASE WHEN v > 600 THEN v - 600 ELSE 0 END FROM hr WHERE event_type = 'error'
+  UNION ALL SELECT ts, 'weekday_0', (dayofweek({LOCAL}) = 1)::INTEGER::DOUBLE FROM hr WHERE event_type = 'view' UNION ALL SELECT ts, 'flat_h0', 3 FROM hr WHERE event_type = 'view') WHERE feature IS NOT NULL)"""
+
+
+def kind_rows(spark, d):
+    """ts, day, feature, value: hourly features of each kind."""
+    here = F.col("ts")
+    hr = table(spark, d, "events").groupBy(F.date_trunc("hour", T.utc(here)).cast("timestamp_ntz").alias("ts"), "event_type").agg(F.round(F.sum("value"), 4).alias("v"))
+    is_type = lambda t: F.col("event_type") == t
+    pair = lambda when, name, v: F.when(when, F.struct(F.lit(name).alias("feature"), v.cast("double").alias("value")))
+    found = [pair(is_type(k), n, F.col("v")) for k, n in _KINDS.items()]
+    found += [pair(is_type("error"), "sw_dir_cluster_0_h0", F.greatest(F.col("v") - 600, F.lit(0.0))), pair(is_type("view"), "weekday_0", (F.weekday(T.local(here)) == 0).cast("double")), pair(is_type("view"), "flat_h0", F.lit(3.0))]
+    return hr.select("ts", T.local_day(here).alias("day"), F.explode(F.array_compact(F.array(*found))).alias("_x")).select("ts", "day", "_x.feature", "_x.value")
+
+
+@query("G3_scaled_kinds", f"""WITH {_LONG}, tr AS (SELECT f.day AS fold, b.ts, b.feature, b.value FROM (SELECT DISTINCT feature, day FROM long) f JOIN long b ON b.feature = f.feature AND b.day BETWEEN f.day - 7 AND f.day - 1),
+m AS (SELECT fold, feature, count(*) AS n, min(value) AS lo, max(value) AS hi, median(value) AS center, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, avg((value > 0)::INTEGER) AS share FROM tr GROUP BY 1, 2 HAVING count(*) >= 48),
+a AS (SELECT fold, feature, median(abs(value - center)) AS mad FROM tr JOIN m USING (fold, feature) GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN mad > 1e-12 THEN mad / 0.6744897501960817 ELSE 1 END AS scale FROM m JOIN a USING (fold, feature)),
+r AS (SELECT fold, 'train' AS split, ts, feature, value FROM tr UNION ALL SELECT day, 'test', ts, feature, value FROM long)
+SELECT fold, split, ts, feature, round(CASE WHEN feature LIKE 'price%' THEN asinh((value - center) / scale) WHEN feature LIKE 'wind%' OR feature LIKE 'load%' THEN (value - center) / scale WHEN feature LIKE 'weekday%' THEN value
+  WHEN regexp_matches(feature, 'ssrd|sw_dir') AND (hi - lo < 20 OR share < 0.5) THEN 0 ELSE (value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END END + 1e-9, 5) AS scaled FROM r JOIN s USING (fold, feature)""")
+def g3_kinds(spark, d):
+    """Training and test rows of every delivery day, each feature scaled by its kind with the training week's constants."""
+    rows = settle(kind_rows(spark, d))
+    both = M.rolling_folds(rows, "day", 7, 1).select("fold", "split", "ts", "feature", "value")
+    s = S.scale_by_kind(both, S.window_scales(rows, [], 7, 48), [])
+    return s.select("fold", "split", "ts", "feature", rounded_up(F.col("scaled"), 5).alias("scaled"))
