@@ -10,6 +10,8 @@ predictions, contributions and scores of many models are joins with it.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,7 +73,10 @@ def window_moments(daily: DataFrame, keys: list[str], window: int, size: int, ma
 
 
 def solved(stats: DataFrame, features: list[str], marked: list[str], shift: list[float]) -> DataFrame:
-    """``stats`` (moments, medians of the marked features, alpha) with n, means, scales, betas, level: one model a row, in batches."""
+    """``stats`` (moments, medians of the marked features, alpha) with n, means, scales, betas, level, seconds: one model a row, in batches.
+
+    ``seconds`` is the model's share of the time that its batch took to solve.
+    """
     p, k = len(features), len(marked)
     d = p + k + 2
     upper = np.triu_indices(d)
@@ -83,6 +88,7 @@ def solved(stats: DataFrame, features: list[str], marked: list[str], shift: list
             count = len(rows)
             if not count:
                 continue
+            began = time.perf_counter()
             m = np.zeros((count, d, d))
             flat = np.array(rows["moments"].tolist(), float)
             m[:, upper[0], upper[1]] = m[:, upper[1], upper[0]] = flat
@@ -100,14 +106,14 @@ def solved(stats: DataFrame, features: list[str], marked: list[str], shift: list
             gram = (g[:, 1 : p + 1, 1 : p + 1] / n[:, :, None] - mean[:, :, None] * mean[:, None, :]) / (scale[:, :, None] * scale[:, None, :]) * n[:, :, None]
             right = (g[:, 1 : p + 1, -1] / n - mean * level[:, None]) / scale * n
             beta = np.linalg.solve(gram + rows["alpha"].to_numpy(float)[:, None, None] * np.eye(p), right[:, :, None])[:, :, 0]
-            yield rows.drop(columns=["moments", "medians"]).assign(n=n[:, 0].astype("int64"), means=list(mean + base[:p]), scales=list(scale), betas=list(beta), level=level + base[-1])
+            yield rows.drop(columns=["moments", "medians"]).assign(n=n[:, 0].astype("int64"), means=list(mean + base[:p]), scales=list(scale), betas=list(beta), level=level + base[-1], seconds=(time.perf_counter() - began) / count)
 
     kept = [f"`{n}` {t}" for n, t in stats.dtypes if n not in ("moments", "medians")]
-    return stats.where(F.col("moments")[0] > 0).mapInPandas(run, ", ".join([*kept, "n long, means array<double>, scales array<double>, betas array<double>, level double"]))
+    return stats.where(F.col("moments")[0] > 0).mapInPandas(run, ", ".join([*kept, "n long, means array<double>, scales array<double>, betas array<double>, level double, seconds double"]))
 
 
 def fit_windows(rows: DataFrame, features: list[str], target: str, window: int | list[int], least: int, alpha: float | list[float] = 1.0, keys: list[str] | None = None, lag: int = 1, day: str = "day") -> DataFrame:
-    """keys, day, window, alpha, rows, n, means, scales, betas, level, middles: the model of each day's window [day - window, day - lag].
+    """keys, day, window, alpha, rows, n, means, scales, betas, level, middles, seconds: the model of each day's window [day - window, day - lag].
 
     ``rows`` are read a few times: give them written. Windows of under ``least`` rows, or without
     a target, have no model. Several windows and penalties are one job over the same daily sums.

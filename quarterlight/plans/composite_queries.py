@@ -20,7 +20,7 @@ from ..operators import linear as R
 from ..operators import recursive as RC
 from ..operators import spatial as S
 from ..operators import weather as W
-from ..sources.files import settle
+from ..sources.files import settle, shared_folder, write_bundle
 from .calendar_queries import holidays
 from .frames import AREAS, CLUSTERS, DAY, LOCAL, MTU, PANEL, SERIES, areas, clusters, out, panel, query, series
 from .model_queries import _FOLDS, _H, folds, hourly_panel
@@ -176,24 +176,47 @@ def g13(spark, d):
 
 
 def ridge_forecast(spark, d):
+    """fold, id, y_pred of the rolling ridge, and its models, one row a day with the seconds that it took."""
     rows = settle(dataset(spark, d))
-    return R.predict_windows(rows, R.fit_windows(rows, FEATURES, "y", 14, 300), FEATURES).select(F.col("day").alias("fold"), "id", "y_pred")
+    models = settle(R.fit_windows(rows, FEATURES, "y", 14, 300))
+    return R.predict_windows(rows, models, FEATURES).select(F.col("day").alias("fold"), "id", "y_pred"), models
+
+
+def rolling_forecast(spark, d):
+    """fold, id, ts, model, y_pred, y_true of the ridge and of the naive benchmark on its days; day, seconds of each fit."""
+    fit, models = ridge_forecast(spark, d)
+    fit = settle(fit)
+    truth = series(spark, d).select("ts", T.seconds(F.col("ts")).alias("id"), F.col("v").alias("y_true"))
+    own = ["fold", "id", "ts", "model", "y_pred", "y_true"]
+    model = fit.withColumn("model", F.lit("ridge")).join(truth, "id").select(*own)
+    naive = panel(spark, d).where("model = 'naive_d1'").withColumn("id", T.seconds(F.col("ts")))
+    return model.unionByName(naive.join(fit.select("fold", "id"), "id").select(*own)), models.select("day", "seconds")
 
 
 @query("G18_rolling_forecast")
 def g18(spark, d):
-    """Rolling-origin forecast: metrics of the model and of the naive benchmark on its days, with runtime rows for each delivery day."""
-    truth = series(spark, d).select(T.seconds(F.col("ts")).alias("id"), F.col("v").alias("y_true"))
-    fit = settle(ridge_forecast(spark, d))
-    model = fit.select("fold", "id", F.lit("ridge").alias("model"), "y_pred").join(truth, "id")
-    naive = panel(spark, d).where("model = 'naive_d1'").select(T.seconds(F.col("ts")).alias("id"), "model", "y_pred", "y_true")
-    both = model.select("fold", "id", "model", "y_pred", "y_true").unionByName(naive.join(model.select("fold", "id"), "id").select("fold", "id", "model", "y_pred", "y_true"))
+    """Rolling-origin forecast: metrics of the model and of the naive benchmark on its days, full and for each delivery day."""
+    both, _ = rolling_forecast(spark, d)
     days = both.groupBy("model", "fold").agg(F.count("y_pred").alias("n"), F.avg(F.abs(E.errors())).alias("mae"))  # what a run writes for each day
     full = E.point_metrics(both, ["model"]).withColumn("fold", F.lit(None).cast("date"))
     rows = days.select("model", "fold", "mae", F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("double").alias("bias"), F.col("n").alias("n_obs"))
     return out(full.select("model", "fold", "mae", "rmse", "bias", "n_obs").unionByName(rows), ["model", "fold"], "mae", "rmse", "bias", "n_obs")
 
 
+@query("G18_forecast_bundle")
+def g18_bundle(spark, d):
+    """The rolling forecast written as a bundle (forecast by month, measured seconds of each delivery day's fit, metrics, configuration) and read back by day."""
+    both, runtime = rolling_forecast(spark, d)
+    both = settle(both)
+    metrics = E.monthly_metrics(both).withColumnRenamed("month", "period")
+    forecast = both.withColumn("month", F.date_format(T.local(F.col("ts")), "yyyy-MM"))
+    b = write_bundle(forecast, runtime, metrics, {"experiment": "ridge", "window": 14, "features": FEATURES}, shared_folder(spark))
+    rows = b["forecast"].where("model = 'ridge'").groupBy(F.col("fold").alias("day")).agg(F.count(F.lit(1)).alias("rows"), rounded(F.avg("y_pred"), 4).alias("mean_pred"))
+    full = b["metrics"].where("model = 'ridge' AND period = 'full'").select(rounded(F.col("mae")).alias("mae"))
+    found = rows.join(b["runtime"], "day").crossJoin(F.broadcast(full)).crossJoin(F.broadcast(b["config"].select("experiment")))  # one row each
+    return found.select("day", "rows", "mean_pred", (F.col("seconds") > 0).alias("timed"), "mae", "experiment")
+
+
 @query("G23_one_day_prediction")
 def g23(spark, d):
     """The delivery day after the last one: features without truth, one fold."""

@@ -81,3 +81,10 @@ def test_rolling_forecast_rows_add_up(spark):
 def test_one_day_prediction_serves_one_fold(spark):
     got = QUERIES["G23_one_day_prediction"](spark, DATA).toPandas()
     assert got.fold.nunique() == 1 and got.y_pred.notna().all() and got.id.is_unique
+
+
+def test_bundle_holds_every_day_with_its_measured_time(spark):
+    got = QUERIES["G18_forecast_bundle"](spark, DATA).toPandas()
+    days = QUERIES["G18_rolling_forecast"](spark, DATA).where("model = 'ridge'").toPandas()
+    assert got.timed.all() and got.day.is_unique and set(got.day) == set(days.fold.dropna())
+    assert got.rows.sum() == days[days.fold.isna()].n_obs.iloc[0] and got.mae.nunique() == 1 and got.mae.iloc[0] == days[days.fold.isna()].mae.iloc[0]
