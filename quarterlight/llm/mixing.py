@@ -14,6 +14,7 @@ Rates become whole copies by systematic rounding: documents of a source stand in
 order of size, their fractional parts are accumulated, and a document gets one more
 copy where the running sum, plus a phase, passes an integer. Each source takes the
 phase, of 64, that comes nearest to its token target; they are tried on the histogram.
+Equal rows (id, source and text) are one row with a count until they come out again in portions.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .common import materialize, n_words, packed_rows, unpacked_rows
 WEIGHTS = (3, 1, 2)
 #: Newton stops at this relative residual of every source. Bracketed steps get there in far fewer than STEPS; one that does not is an error.
 TOLERANCE, STEPS = 1e-9, 100
-#: Documents of one (source, size) cell are numbered in so many separate parts.
-PARTS = 64
+#: Documents of one (source, size) cell are numbered in so many separate parts, by hash.
+PARTS = 4096
+#: Equal rows and copies come out of their count in portions of so many.
+PORTION = 4096
 PHASES = 64
 
 
@@ -105,18 +108,28 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, digest (of the text), size, source_size, target, copies, taken for every row of ``df``.
+def _portions(df: DataFrame, count: Column) -> DataFrame:
+    """``df`` with _from and _many: each row's count cut into portions, so that no array holds all of a large one."""
+    cut = df.where(count > 0).withColumn("_count", count)
+    cut = cut.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1, F.lit(PORTION).cast("long"))))
+    return cut.withColumn("_many", F.least(F.lit(PORTION).cast("long"), F.col("_count") - F.col("_from"))).drop("_count")
 
-    A null text has size 0 and takes nothing; null sources are one source, last in order.
-    Equal rows are separate documents. A source without words has target 0. An empty
-    table gives no rows. Other columns are not read. The result depends on the rows
-    alone, so reruns agree; between equal rows the copies are interchangeable.
+
+def _upto(k: Column) -> Column:
+    """Documents with one more copy among a cell's first ``k``."""
+    return F.floor(F.col("start") + k * F.col("part_rate") + F.col("phase"))
+
+
+def mixed_classes(df: DataFrame, share: float, limit: int, weights: tuple[int, ...], id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, digest, size, m (rows equal in these), before (rows of the cell that stand before them) and the cell's plan: source_size, target, whole, part_rate, start, phase.
+
+    Equal rows are counted before anything is numbered, so a repeated row is one row here however often it occurs.
     """
     own = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _digest(F.col(text_col)).alias("digest"))
+    own = own.groupBy("source", "size", "doc_id", "digest").agg(F.count(F.lit(1)).alias("m"))
     own = materialize(own.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS))))
-    cells = own.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
-    hist = materialize(cells.groupBy("source", "size").agg(F.sum("n").alias("m")))
+    cells = own.groupBy("source", "size", "part").agg(F.sum("m").alias("n"))
+    hist = materialize(own.groupBy("source", "size").agg(F.sum("m").alias("m")))
     goals = materialize(targets(hist.groupBy("source").agg(F.sum("m").alias("docs"), F.sum(F.col("m") * F.col("size")).alias("words")), share, limit, weights))
     duals = balance(hist, goals, limit)
     rates = (
@@ -131,36 +144,52 @@ def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, .
     sizes = sizes.withColumn("start", F.coalesce(F.sum(F.col("m") * F.col("part_rate")).over(by_size), F.lit(0.0)))
     sizes = materialize(sizes)
     tried = sizes.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(PHASES - 1)))).withColumn("phase", F.col("phase") / F.lit(float(PHASES)))
-    extra = F.floor(F.col("start") + F.col("m") * F.col("part_rate") + F.col("phase")) - F.floor(F.col("start") + F.col("phase"))
+    extra = _upto(F.col("m")) - _upto(F.lit(0))
     tried = tried.groupBy("source", "phase").agg(F.first("target").alias("target"), F.sum(F.col("size") * (F.col("m") * F.col("whole") + extra)).alias("taken"))
     best = tried.groupBy("source").agg(F.min_by("phase", F.struct(F.abs(F.col("taken") - F.col("target")), "phase")).alias("phase")).withColumnRenamed("source", "_b")
     sizes = sizes.join(best, F.col("source").eqNullSafe(F.col("_b"))).drop("_b")
     in_cell = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("skip", F.coalesce(F.sum("n").over(in_cell), F.lit(0))).select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("part").alias("_p"), "skip")
     plan = (
-        starts.join(sizes.drop("mean", "a", "b"), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size")))
+        starts.join(sizes.drop("mean", "a", "b", "m"), F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size")))
         .select("_s", "_z", "_p", "skip", F.col("words").alias("source_size"), "target", "whole", "part_rate", "start", "phase")
     )
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest"))
-    numbered = own.withColumn("k", place).join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("part") == F.col("_p")))
-    upto = lambda k: F.floor(F.col("start") + k * F.col("part_rate") + F.col("phase"))
-    j = F.col("skip") + F.col("k")
-    copies = F.least(F.col("whole") + upto(j) - upto(j - 1), F.lit(limit)).cast("long")
-    return numbered.withColumn("copies", copies).select(
+    earlier = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("k", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("part") == F.col("_p"))).drop("_s", "_z", "_p")
+    return placed.withColumn("before", F.col("skip") + F.col("k")).drop("skip", "k", "part")
+
+
+def mix(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, digest (of the text), size, source_size, target, copies, taken for every row of ``df``.
+
+    A null text has size 0 and takes nothing; null sources are one source, last in order.
+    Equal rows are separate documents. A source without words has target 0. An empty
+    table gives no rows. Other columns are not read. The result depends on the rows
+    alone, so reruns agree; between equal rows the copies are interchangeable.
+    """
+    classes = mixed_classes(df, share, limit, weights, id_col, text_col, source_col)
+    # Portions of a much repeated row go to different tasks before they become rows.
+    rows = _portions(classes, F.col("m")).repartition("doc_id", "digest", "_from")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + F.col("_many"))))
+    j = F.col("before") + F.col("_i")
+    copies = F.least(F.col("whole") + _upto(j) - _upto(j - 1), F.lit(limit)).cast("long")
+    return rows.withColumn("copies", copies).select(
         "doc_id", "source", "digest", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
         "copies", (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
-def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def repeat_rows(df: DataFrame, share: float = 1.5, limit: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, with their own columns, whatever these are called.
 
     The copies that rows with one id, source and text get together are dealt evenly over those
     rows, which are counted, not gathered: rows equal in all columns are one with a count, and
-    the others stand in order of a hash of all columns. Null ids are ids like any other.
+    the others stand in order of a hash of all columns. Null ids are ids like any other; an empty table gives no rows.
     """
-    taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    taken = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    taken = mixed_classes(df, share, limit, weights, id_col, text_col, source_col)
+    copies = F.least(F.col("whole") * F.col("m") + _upto(F.col("before") + F.col("m")) - _upto(F.col("before")), F.lit(limit) * F.col("m"))
+    taken = taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d"), copies.alias("copies")).where("copies > 0")
     everything = [F.col(f"`{c}`") for c in df.columns]
     nulls = [c.isNull() for c in everything]
     rows = packed_rows(df, id=F.col(id_col), source=F.col(source_col), digest=_digest(F.col(text_col)), h1=F.xxhash64(F.lit(1), *everything, *nulls), h2=F.xxhash64(F.lit(2), *everything, *nulls))
@@ -170,5 +199,6 @@ def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     kinds = kinds.withColumn("upto", upto).withColumn("all", F.sum("m").over(same))
     joined = kinds.join(taken, F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("digest").eqNullSafe(F.col("_d")))
     part = lambda n: F.floor(F.col("copies") * n / F.col("all"))
-    own = (part(F.col("upto")) - part(F.col("upto") - F.col("m"))).cast("int")
-    return unpacked_rows(joined.withColumn("own", own).where("own > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("own")))), df.columns)
+    own = (part(F.col("upto")) - part(F.col("upto") - F.col("m"))).cast("long")
+    rows = _portions(joined, own)
+    return unpacked_rows(rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("_many").cast("int")))), df.columns)

@@ -413,6 +413,19 @@ def test_stages_allow_any_column_names(spark, rows):
         for r in found.collect():
             assert (r.doc_id, *r[2:]) == (known[r["_w"]][0], *known[r["_w"]][2:]) or stage is simhash.keep_first
 
+def test_mixing_deals_copies_to_every_one_of_many_equal_rows(spark):
+    """More equal rows than a portion holds, and as many empty texts of other ids."""
+    hot, n = mixing.PORTION + 1500, 2000
+    rows = [(7, "one two three", "a")] * hot + [(100 + i, " ".join(["w"] * (1 + i % 9)), "a") for i in range(n)] + [(10_000 + i, "", "a") for i in range(n)] + [(5, None, None), (6, "x y", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, share=1.2).toPandas()
+    assert len(got) == len(rows) and (got.doc_id == 7).sum() == hot and got.copies.between(0, 2).all()
+    for _, own in got.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max()
+    again = mixing.repeat_rows(df, share=1.2).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert (again == got.groupby("doc_id").copies.sum()[lambda c: c > 0]).all() and again[7] > mixing.PORTION
+
+
 def test_mixing_tilts_by_size(spark):
     sizes = {"few": ([1, 2, 3, 400, 5, 5, 90], 0.4), "many": ([7, 30, 30, 200, 0, 1000], 1.7), "deep": ([1] * 50 + [5000, 300], 1.9999), "full": ([4, 5], 2.0), "one": ([6, 6, 6], 0.5), None: ([3, 8, 40], 0.01)}
     hist = [(s, z, c) for s, (all_z, _) in sizes.items() for z, c in collections.Counter(all_z).items()]
