@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linear import by_day
+
 
 def rolling_folds(rows: DataFrame, day: str, window: int, least: int, lag: int = 1) -> DataFrame:
     """Rows with ``fold`` (delivery day) and ``split``: train rows of [fold - window, fold - lag], test rows of the fold.
@@ -22,6 +26,58 @@ def rolling_folds(rows: DataFrame, day: str, window: int, least: int, lag: int =
     return train.unionByName(test).join(enough, "fold", "left_semi")
 
 
+def served_blocks(rows: DataFrame, day: str, window: int, lag: int = 1, size: int | None = None) -> DataFrame:
+    """``rows`` for each block of ``size`` delivery days (half a window, if not given) that they serve, with ``_block`` and ``_at`` (days since 1970); rows without a day go."""
+    size = size or max(1, window // 2)
+    at = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    number = lambda c: F.floor(c / size).cast("int")
+    serves = F.array_union(F.array(number(F.col("_at"))), F.sequence(number(F.col("_at") + lag), number(F.col("_at") + window)))
+    return rows.withColumn("_at", at).where("_at IS NOT NULL").withColumn("_block", F.explode(serves))
+
+
+def by_blocks(rows: DataFrame, keys: list[str], day: str, window: int, least: int, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str, lag: int = 1, block: int | None = None) -> DataFrame:
+    """What ``fit`` returns for each key and fold; it gets the fold's rows with ``fold`` (delivery day) and ``split``, as of ``rolling_folds``.
+
+    For models that need their training rows. Days are cut into blocks of ``block`` delivery days (half a window, if not given), and a
+    row goes to the blocks that it serves: 1 + window / block at most, so three whatever the window, where folds would take window + 1 copies.
+    A group is the rows of one key in block + window days, however long the series. Folds with fewer than ``least``
+    training rows go, as do rows without a day. An empty table gives no rows.
+    """
+    size = block or max(1, window // 2)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_at", kind="stable")
+        days, first = own["_at"].to_numpy(), int(own["_block"].iat[0]) * size
+        found = []
+        for d in np.unique(days[(days >= first) & (days < first + size)]):
+            a, z, b, e = np.searchsorted(days, [d - window, d - lag + 1, d, d + 1])
+            if z - a >= max(least, 1):
+                both = pd.concat([own.iloc[a:z].assign(split="train"), own.iloc[b:e].assign(split="test")], ignore_index=True)
+                found.append(fit(both.assign(fold=np.datetime64(int(d), "D").astype(object)).drop(columns=["_at", "_block"])))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame()
+
+    return served_blocks(rows, day, window, lag, size).groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
+def window_extremes(rows: DataFrame, keys: list[str], day: str, value: str, window: int, least: int, lag: int = 1) -> DataFrame:
+    """keys, fold, lo, hi: extremes of the training rows in [fold - window, fold - lag], for each key and day of the rows.
+
+    Folds with fewer than ``least`` training rows over all keys go, and keys without any in the window. A window takes the
+    extremes of its days, so no row is copied. Missing values count as rows only; where all are missing, lo and hi are null.
+    """
+    daily = rows.groupBy(*keys, day).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    folds = F.explode(F.sequence(F.date_add(day, lag), F.date_add(day, window)))
+    enough = daily.groupBy(day).agg(F.sum("_n").alias("_n")).select(folds.alias("fold"), "_n").groupBy("fold").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select("fold")  # a few rows a day
+    w = by_day(keys, window, lag, day)
+    held = daily.select(*keys, F.col(day).alias("fold"), F.min("_lo").over(w).alias("lo"), F.max("_hi").over(w).alias("hi"), F.sum("_n").over(w).alias("_n"))
+    return held.where("_n > 0").drop("_n").join(enough, "fold", "left_semi").select(*keys, "fold", "lo", "hi")
+
+
+def scaled_between(value: Column, lo: Column, hi: Column) -> Column:
+    """A value's place between two extremes; 0 where these do not differ."""
+    return F.when(hi - lo > 1e-9, (value - lo) / (hi - lo)).otherwise(F.lit(0.0))
+
+
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """center, scale per key: median and MAD / 0.6745, or IQR / 1.349 where the MAD is 0, or 1."""
     center = df.groupBy(*keys).agg(F.median(value).alias("center"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
@@ -34,8 +90,7 @@ def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def minmax_scale(folds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Values scaled by their training split's extremes; degenerate features become 0."""
     train = folds.where("split = 'train'").groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    return folds.join(train, keys).withColumn("scaled", F.when(span > 1e-9, (F.col(value) - F.col("_lo")) / span).otherwise(F.lit(0.0))).drop("_lo", "_hi")
+    return folds.join(train, keys).withColumn("scaled", scaled_between(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def top_correlated(long: DataFrame, keys: list[str], feature: str, value: str, target: str, k: int) -> DataFrame:
@@ -131,12 +186,12 @@ def lasso_path(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, rounds: int
     return beta
 
 
-def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str, parts: int = 3, grid: int = 6) -> DataFrame:
+def lasso_by_slot(rows: DataFrame, day: str, window: int, least: int, slot: str, features: list[str], target: str, parts: int = 3, grid: int = 6) -> DataFrame:
     """fold, slot, id, y_pred, alpha, intercept, coefficients (by feature, on standardised columns) for the test rows.
 
     One sparse linear model per fold and slot of the day: asinh of the robustly scaled target, standardised
-    features, and the penalty with the least error over ``parts`` consecutive parts of the training rows. A
-    group is one window, whatever the length of the series.
+    features, and the penalty with the least error over ``parts`` consecutive parts of the training rows. Folds are
+    those of ``rolling_folds``, fitted by blocks of days.
     """
 
     def scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +225,9 @@ def lasso_by_slot(folds: DataFrame, slot: str, features: list[str], target: str,
         own = rows.iloc[[i for i, *_ in out]][["fold", slot, "id"]]
         return own.assign(**{c: pd.Series([r[k + 1] for r in out], index=own.index, dtype=object) for k, c in enumerate(("y_pred", "alpha", "intercept", "coefficients"))})
 
-    kind = dict(folds.dtypes)
-    schema = f"fold {kind['fold']}, {slot} {kind[slot]}, id {kind['id']}, y_pred double, alpha double, intercept double, coefficients array<double>"
-    return folds.select("fold", "split", slot, "id", target, *features).groupBy("fold").applyInPandas(fit, schema)
+    kind = dict(rows.dtypes)
+    schema = f"fold date, {slot} {kind[slot]}, id {kind['id']}, y_pred double, alpha double, intercept double, coefficients array<double>"
+    return by_blocks(rows.select(day, slot, "id", target, *features), [], day, window, least, fit, schema)
 
 
 def boosted(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 15, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 5) -> np.ndarray:
@@ -206,15 +261,21 @@ def boosted(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 15, depth
     return out
 
 
-def boosted_by_fold(folds: DataFrame, by: list[str], features: list[str], target: str) -> DataFrame:
-    """fold, by, id, y_pred for the test rows: boosted trees for each fold, or each fold and block or slot of the day."""
+def boosted_by_fold(rows: DataFrame, day: str, window: int, least: int, configurations: dict[str, tuple[list[str], list[str]]], target: str) -> DataFrame:
+    """configuration, fold, id, y_pred for the test rows: boosted trees for each fold, or each fold and block or slot of the day.
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*by, "id"])
-        found = [(j, boosted(x, y, z)) for j, x, y, z in _parts(rows, by, features, target)]
-        own = rows.iloc[[i for j, _ in found for i in j]][["fold", *by, "id"]]
-        return own.assign(y_pred=pd.Series([p for _, v in found for p in v], index=own.index, dtype=object))
+    A configuration has the columns that part a fold into models, and its features. All are fitted where the
+    fold's rows stand, so the rows travel once for all of them, by blocks of days.
+    """
 
-    kind = dict(folds.dtypes)
-    schema = ", ".join(f"{c} {kind[c]}" for c in ("fold", *by, "id")) + ", y_pred double"
-    return folds.select("fold", "split", *by, "id", target, *[f for f in features if f not in by]).groupBy("fold").applyInPandas(fit, schema)
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, (by, features) in configurations.items():
+            own = own.sort_values([*by, "id"], ignore_index=True)
+            for j, x, y, z in _parts(own, by, features, target):
+                out.append(own.iloc[j][["fold", "id"]].assign(configuration=name, y_pred=boosted(x, y, z)))
+        return pd.concat(out) if out else pd.DataFrame({"configuration": [], "fold": [], "id": [], "y_pred": []}, dtype=object)
+
+    needed = dict.fromkeys(c for by, features in configurations.values() for c in (*by, *features))
+    schema = f"configuration string, fold date, id {dict(rows.dtypes)['id']}, y_pred double"
+    return by_blocks(rows.select(day, "id", target, *[c for c in needed if c not in (day, "id", target)]), [], day, window, least, fit, schema)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import by_blocks
+
 
 def recursive_bias(forecast: DataFrame, keys: list[str], window: int, least: int, shrinkage: float) -> DataFrame:
     """keys, day, bias: shrunk mean of past *corrected* errors.
@@ -42,10 +44,10 @@ def day_sequences(df: DataFrame, keys: list[str], slots: int = 96) -> DataFrame:
 
 
 def sequence_correction(days: DataFrame, keys: list[str], window: int, least: int, alpha: float = 10.0) -> DataFrame:
-    """keys, day, correction (array): ridge of the next day's residuals on its trajectory, fitted on past complete days."""
-    served = days.withColumn("fold", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", window)))).withColumn("split", F.lit("train"))
-    tests = days.withColumn("fold", F.col("day")).withColumn("split", F.lit("test"))
-    both = served.unionByName(tests)
+    """keys, day, correction (array): ridge of the next day's residuals on its trajectory, fitted on past complete days.
+
+    A group is the days of one key that a block of delivery days needs; a day travels three times at most, whatever the window.
+    """
 
     def shape(p: np.ndarray) -> np.ndarray:
         hourly = p.reshape(len(p), -1, 4).mean(axis=2)
@@ -53,9 +55,7 @@ def sequence_correction(days: DataFrame, keys: list[str], window: int, least: in
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         train, test = rows[rows["split"] == "train"], rows[rows["split"] == "test"]
-        out = test[[*keys, "fold"]].rename(columns={"fold": "day"})
-        if len(train) < least or test.empty:
-            return out.iloc[:0].assign(correction=pd.Series([], dtype=object))
+        out = test[[*keys, "day"]]
         x, z = shape(np.stack(train["p"].to_list())), shape(np.stack(test["p"].to_list()))
         y = np.stack(train["r"].to_list())
         mean, std = x.mean(axis=0), x.std(axis=0)
@@ -65,7 +65,8 @@ def sequence_correction(days: DataFrame, keys: list[str], window: int, least: in
         return out.assign(correction=list(z @ beta + y.mean(axis=0)))
 
     kinds = dict(days.dtypes)
-    return both.groupBy(*keys, "fold").applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", day date, correction array<double>")
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "day date, correction array<double>"
+    return by_blocks(days, keys, "day", window, least, fit, schema)
 
 
 #: How rows are grouped for corrections and quantiles: parts of "hour", "mtu", "kind" (of day) and "bin" (of prediction), joined by "_"; "global" is one group.

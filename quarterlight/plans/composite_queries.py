@@ -23,7 +23,7 @@ from ..operators import weather as W
 from ..sources.files import settle, shared_folder, write_bundle
 from .calendar_queries import holidays
 from .frames import AREAS, CLUSTERS, DAY, LOCAL, MTU, PANEL, SERIES, areas, clusters, out, panel, query, series
-from .model_queries import _FOLDS, _H, folds, hourly_panel
+from .model_queries import _FOLDS, _H, area_days, hourly_panel
 from .spatial_queries import _POINTS, centres, points
 from .weather_queries import WEATHER, curve, weather
 
@@ -155,7 +155,9 @@ def f22(spark, d):
 
 @query("G4_test_scaling", f"WITH {_FOLDS}, s AS (SELECT fold, area, min(v) AS lo, max(v) AS hi FROM folds WHERE split = 'train' GROUP BY 1, 2) SELECT fold, area, round(CASE WHEN hi - lo > 1e-9 THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS scaled FROM folds JOIN s USING (fold, area) WHERE split = 'test'")
 def g4(spark, d):
-    return out(M.minmax_scale(folds(spark, d), ["fold", "area"], "v").where("split = 'test'"), ["fold", "area"], "scaled")
+    rows = settle(area_days(spark, d).select("area", "day", "v"))
+    f = rows.withColumnRenamed("day", "fold").join(M.window_extremes(rows, ["area"], "day", "v", 7, 20), ["fold", "area"])
+    return out(f.withColumn("scaled", M.scaled_between(F.col("v"), F.col("lo"), F.col("hi"))), ["fold", "area"], "scaled")
 
 
 @query("G9_baseline_choice", f"WITH {PANEL}, w AS (SELECT ts, max(y_pred) FILTER (model = 'naive_d7') AS b, max(y_pred) FILTER (model = 'naive_d1') AS a FROM panel GROUP BY ts) SELECT s.ts, round(coalesce(b, a, 0), 6) AS baseline, CASE WHEN b IS NOT NULL THEN 'naive_d7' WHEN a IS NOT NULL THEN 'naive_d1' ELSE 'none' END AS source FROM series s LEFT JOIN w USING (ts)")
@@ -170,7 +172,7 @@ def g9(spark, d):
 def g13(spark, d):
     """One cross-validated lasso for every slot of every delivery day, with its penalty, intercept and coefficients."""
     x = dataset(spark, d).withColumn("mtu", T.mtu(F.col("ts")))
-    f = M.lasso_by_slot(M.rolling_folds(settle(x), "day", 14, 300), "mtu", FEATURES, "y")
+    f = M.lasso_by_slot(settle(x), "day", 14, 300, "mtu", FEATURES, "y")
     coefficients = [rounded(F.col("coefficients")[i], 4).alias(f"coef_{n}") for i, n in enumerate(FEATURES)]
     return f.select("fold", "mtu", "id", rounded(F.col("y_pred"), 4).alias("y_pred"), rounded(F.col("alpha")).alias("alpha"), rounded(F.col("intercept")).alias("intercept"), *coefficients)
 
@@ -277,7 +279,7 @@ def calibrator_rows(spark, d):
 @query("H7_point_calibrator")
 def h7(spark, d):
     """Residual regressed on what is known at forecast time; half of the prediction is added."""
-    rows, x = settle(calibrator_rows(spark, d).withColumnRenamed("y_pred", "y_raw")), ["y_raw", "hour_sin", "hour_cos", "weekend"]
+    rows, x = calibrator_rows(spark, d).withColumnRenamed("y_pred", "y_raw"), ["y_raw", "hour_sin", "hour_cos", "weekend"]
     fit = R.predict_windows(rows, R.fit_windows(rows, x, "residual", 14, 60, 10.0), x)
     return fit.select("ts", rounded(F.greatest(F.col("y_raw") + 0.5 * F.col("y_pred"), F.lit(0.0))).alias("y_calibrated"), "y_true")
 
@@ -311,7 +313,7 @@ def h8_full(spark, d):
 def h12(spark, d):
     """Whole-day trajectories of the gap-filled series and the ridge correction of their 96 residuals."""
     g = G.on_grid(series(spark, d), [])
-    g = g.withColumn("v", F.coalesce("v", F.lit(0.0)))
+    g = settle(g.withColumn("v", F.coalesce("v", F.lit(0.0))))
     p = L.naive(g, [1]).where("model = 'naive_d1'").withColumn("day", T.local_day(F.col("ts"))).withColumn("mtu", T.mtu(F.col("ts")))
     c = RC.sequence_correction(RC.day_sequences(p, ["model"]), ["model"], 14, 5)
     return c.select("model", "day", F.posexplode("correction").alias("mtu", "x")).select("model", "day", "mtu", rounded(F.col("x"), 4).alias("correction"))

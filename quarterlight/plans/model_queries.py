@@ -95,9 +95,9 @@ def g7(spark, d):
 
 @query("G8_target_bounds", f"WITH {_FOLDS}, b AS (SELECT fold, area, max(v) AS top FROM folds WHERE split = 'train' GROUP BY 1, 2) SELECT f.fold, f.area, round(f.v / b.top, 6) AS capacity_factor, round(greatest(0, least(1.05 * b.top, f.v * 1.2)), 5) AS bounded FROM folds f JOIN b USING (fold, area) WHERE f.split = 'test'")
 def g8(spark, d):
-    f = folds(spark, d)
-    top = f.where("split = 'train'").groupBy("fold", "area").agg(F.max("v").alias("top"))
-    return f.where("split = 'test'").join(top, ["fold", "area"]).select("fold", "area", rounded(F.col("v") / F.col("top")).alias("capacity_factor"), rounded(clip(F.col("v") * 1.2, 0.0, 1.05 * F.col("top")), 5).alias("bounded"))
+    rows = settle(area_days(spark, d).select("area", "day", "v"))
+    f = rows.withColumnRenamed("day", "fold").join(M.window_extremes(rows, ["area"], "day", "v", 7, 20), ["fold", "area"])
+    return f.select("fold", "area", rounded(F.col("v") / F.col("hi")).alias("capacity_factor"), rounded(clip(F.col("v") * 1.2, 0.0, 1.05 * F.col("hi")), 5).alias("bounded"))
 
 
 @query("G10_hour_blocks", f"WITH {PANEL}, b AS (SELECT model, CASE WHEN hour({LOCAL}) < 6 THEN '00-06' WHEN hour({LOCAL}) < 12 THEN '06-12' WHEN hour({LOCAL}) < 18 THEN '12-18' ELSE '18-24' END AS block, {DAY} AS day, y_pred - y_true AS e FROM panel) SELECT model, day, block, round(avg(e), 6) AS bias, count(*) AS n FROM b GROUP BY 1, 2, 3")
@@ -175,10 +175,8 @@ def g14(spark, d):
     """Boosted trees refitted for every delivery day in three configurations: one model a day, one a block of six hours, one a slot."""
     p = L.naive(series(spark, d), [1]).withColumn("mtu", T.mtu(F.col("ts"))).withColumn("day", T.local_day(F.col("ts")))
     rows = settle(p.select(T.seconds(F.col("ts")).alias("id"), "day", "mtu", F.floor(F.col("mtu") / 24).cast("int").alias("block"), F.weekday("day").alias("dow"), F.col("y_pred").alias("lag"), F.col("y_true").alias("y")))
-    f = M.rolling_folds(rows, "day", 14, 100)
     parts = {"day": ([], ["lag", "mtu", "dow"]), "block": (["block"], ["lag", "mtu", "dow"]), "slot": (["mtu"], ["lag", "dow"])}
-    fits = [M.boosted_by_fold(f, by, x, "y").select(F.lit(k).alias("configuration"), "fold", "id", "y_pred") for k, (by, x) in parts.items()]
-    return out(fits[0].unionByName(fits[1]).unionByName(fits[2]), ["configuration", "fold", "id"], "y_pred")
+    return out(M.boosted_by_fold(rows, "day", 14, 100, parts, "y"), ["configuration", "fold", "id"], "y_pred")
 
 
 @query("G15_components")
@@ -264,7 +262,8 @@ _H = f"h AS (SELECT ts, model, {DAY} AS day, hour({LOCAL})::INTEGER AS hour, y_p
 
 
 def hourly_panel(spark, d):
-    return panel(spark, d).withColumn("day", T.local_day(F.col("ts"))).withColumn("hour", F.hour(T.local(F.col("ts"))))
+    """The panel with local day and hour, written, as its users read it several times."""
+    return settle(panel(spark, d).withColumn("day", T.local_day(F.col("ts"))).withColumn("hour", F.hour(T.local(F.col("ts")))))
 
 
 @query("H1_rolling_bias", f"""WITH {PANEL}, {_H}, g AS (SELECT a.model, a.day, a.hour, avg(b.y_pred - b.y_true) AS g, count(DISTINCT b.day) AS n FROM (SELECT DISTINCT model, day, hour FROM h) a JOIN h b ON b.model = a.model AND b.hour = a.hour AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY 1, 2, 3),

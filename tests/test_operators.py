@@ -223,7 +223,7 @@ def test_lasso_meets_its_conditions_and_recovers_a_sparse_line(spark):
         assert np.all(np.abs(gradient) <= penalty + 1e-4) and np.allclose(gradient[b != 0], penalty * np.sign(b[b != 0]), atol=1e-4)
     assert set(np.flatnonzero(M.lasso_path(x, y, np.array([0.2]))[0])) == {0, 3}
     rows = [(f"2026-01-{d:02d}", 100 * d + m, m, float(v), float(w), float(2 * v + 5 * m)) for d in range(1, 29) for m in (0, 1) for v, w in [rng.normal(size=2)]]
-    got = M.lasso_by_slot(M.rolling_folds(frame(spark, rows, "day string, id int, slot int, a double, b double, y double"), "day", 20, 20), "slot", ["a", "b"], "y").collect()
+    got = M.lasso_by_slot(frame(spark, rows, "day string, id int, slot int, a double, b double, y double"), "day", 20, 20, "slot", ["a", "b"], "y").collect()
     truth = {r[1]: r[5] for r in rows}
     late = [r for r in got if r.id > 2000]
     assert late and np.mean([abs(r.y_pred - truth[r.id]) for r in late]) < 0.5
@@ -241,9 +241,10 @@ def test_boosted_trees_learn_steps(spark):
     assert np.mean(np.abs(M.boosted(x, y, z, rounds=40) - want)) < 0.6
     assert np.allclose(M.boosted(x[:3], y[:3], z[:2]), y[:3].mean())  # too few rows to split
     rows = [(f"2026-01-{d:02d}", 100 * d + m, m // 4, float(m), 7.0 * (m > 3)) for d in range(1, 20) for m in range(8)]
-    folds = M.rolling_folds(frame(spark, rows, "day string, id int, block int, m double, y double"), "day", 14, 50)
-    for by in ([], ["block"]):
-        got = M.boosted_by_fold(folds, by, ["m"], "y").collect()
+    df = frame(spark, rows, "day string, id int, block int, m double, y double")
+    found = M.boosted_by_fold(df, "day", 14, 50, {"whole": ([], ["m"]), "blocks": (["block"], ["m"])}, "y").collect()
+    for name in ("whole", "blocks"):
+        got = [r for r in found if r.configuration == name]
         assert got and all(abs(r.y_pred - 7.0 * (r.id % 100 > 3)) < 0.5 for r in got if r.id > 1500)
 
 
