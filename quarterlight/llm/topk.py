@@ -26,7 +26,9 @@ from .common import materialize
 #: Vectors a candidate block and a query block hold, and dimensions in a group.
 BLOCK, QUERY_BLOCK, GROUP = 4096, 4096, 8
 #: Candidates of a block that are scored in full first, to set the bound; longest vectors of all blocks that every query meets first, and of one block.
-SEED, LONGEST, LONG_OF_BLOCK = 256, 1024, 64
+SEED, LONGEST, LONG_OF_BLOCK = 256, 1000, 64
+#: Shares of a dimension whose longest vectors are found first.
+LONG_SHARES = 64
 #: Shares into which the candidate blocks are dealt for each query block.
 SALTS = 32
 EXACT = 2.0**53
@@ -150,8 +152,12 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
                 top = np.argsort(-norms, kind="stable")[:LONG_OF_BLOCK]
                 yield pa.RecordBatch.from_pydict({"dim": [r["dim"]] * len(top), "at": _places(r["block"], top), "norm": norms[top], "data": [np.ascontiguousarray(m[:, i]).tobytes() for i in top]})
 
-    by_norm = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("norm"), "at"))
-    long = everything.select("block", "dim", "data").mapInArrow(longest, "dim long, at long, norm double, data binary").withColumn("r", by_norm).where(F.col("r") <= LONGEST)
+    # Within shares first, so no task orders the vectors of all blocks; with LONGEST in Spark's limit of 1,000, tasks also cut before the shuffle.
+    share = F.pmod(F.xxhash64("at"), F.lit(LONG_SHARES))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("norm"), "at"))
+    long = everything.select("block", "dim", "data").mapInArrow(longest, "dim long, at long, norm double, data binary")
+    for by in (["dim", share], ["dim"]):
+        long = long.withColumn("r", first(*by)).where(F.col("r") <= LONGEST)
     long = long.groupBy("dim").agg(F.collect_list("at").alias("_at"), F.collect_list("data").alias("_data")).withColumnRenamed("dim", "_dim")  # LONGEST vectors a dimension
 
     def chosen(batches):
