@@ -281,7 +281,7 @@ def _tasks(df: DataFrame, vocabulary: str, work, schema: str, id_col: str, text_
 
 
 def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the token ids (binary, little-endian 32-bit) of every whole text; null: empty."""
+    """doc_id and the token ids (binary, little-endian 32-bit) of every whole text; null: empty. Null ids and repeated rows are kept; an empty table gives no rows."""
     return _tasks(df, vocabulary, lambda e, raw: (b"".join(e.blocks(raw)),), "doc_id long, ids binary", id_col, text_col)
 
 
@@ -295,7 +295,10 @@ def digest_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
 
 def tokenize_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian 32-bit) and the digests of ``digest_documents``; here the ids of a text are held whole, as they are the result."""
+    """doc_id, ids (binary, little-endian 32-bit) and the digests of ``digest_documents``; here the ids of a text are held whole, as they are the result.
+
+    Null texts, null ids, repeated rows and empty tables are treated as there.
+    """
 
     def work(encoder, raw):
         kept: list[bytes] = []

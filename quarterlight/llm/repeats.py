@@ -335,7 +335,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 def without_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
     """``df`` with the repeated strings cut out of its texts; every row and column stays, whatever the columns are called.
 
-    Bytes of a character that a cut splits go too. Null texts stay null.
+    Bytes of a character that a cut splits go too. Null texts stay null. Equal rows are separate: what they share is cut from
+    each. An empty table gives no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") if c != text_col else F.lit(None).cast("string").alias(c) for c in df.columns])
     stored = store(df.select(row.alias("row"), F.col(text_col).cast("string").alias("text")))

@@ -122,7 +122,10 @@ def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
 
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that pass, with their own columns, whatever these are called."""
+    """The rows of ``df`` that pass, with their own columns, whatever these are called.
+
+    Null and empty texts have no words, so they go. Each of several equal rows passes or goes like the others. An empty table gives no rows.
+    """
     counts = F.col("_rules")
     found = rule_counts(packed_rows(df, text=F.col(text_col)))
     return unpacked_rows(found.where(~base_failed(counts) & verdict(counts, rules)), df.columns)
